@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from glossa.llm import jaccard as _jaccard
 from glossa.llm import oracles
 from glossa.llm import quality as _quality
 
@@ -24,3 +25,10 @@ def op8_line_frequency(spark, sf_dir):
 
 
 _add("op8_line_frequency", op8_line_frequency, oracles.QUALITY)
+
+
+def op3_jaccard_join(spark, sf_dir):
+    return _jaccard.jaccard_components(_table(spark, sf_dir, "documents"), width=3, percent=90)
+
+
+_add("op3_jaccard_join", op3_jaccard_join, oracles.JACCARD)
