@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from glossa.llm import jaccard as _jaccard
+from glossa.llm import mixing as _mixing
 from glossa.llm import oracles
+from glossa.llm import pii as _pii
 from glossa.llm import quality as _quality
 
 QUERIES: dict = {}
@@ -32,3 +34,20 @@ def op3_jaccard_join(spark, sf_dir):
 
 
 _add("op3_jaccard_join", op3_jaccard_join, oracles.JACCARD)
+
+
+def op4_boosted_candidates(spark, sf_dir):
+    return _pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
+_add("op4_boosted_candidates", op4_boosted_candidates)
+
+#: Target weights of the mixture; other sources have weight 1.
+WEIGHTS = {"src0": 4, "src1": 3, "src2": 3, "src3": 2, "src4": 2, "src5": 2}
+
+
+def op1_pfair_mixing(spark, sf_dir):
+    return _mixing.mix(_table(spark, sf_dir, "documents").select("doc_id", "source"), WEIGHTS)
+
+
+_add("op1_pfair_mixing", op1_pfair_mixing)
