@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from glossa.llm import decontaminate as _decontaminate
 from glossa.llm import jaccard as _jaccard
+from glossa.llm import licenses as _licenses
 from glossa.llm import mixing as _mixing
 from glossa.llm import oracles
 from glossa.llm import pii as _pii
@@ -51,3 +53,17 @@ def op1_pfair_mixing(spark, sf_dir):
 
 
 _add("op1_pfair_mixing", op1_pfair_mixing)
+
+
+def op10_simhash_windows(spark, sf_dir):
+    return _decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+_add("op10_simhash_windows", op10_simhash_windows)
+
+
+def op2_sentence_rules(spark, sf_dir):
+    return _licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+_add("op2_sentence_rules", op2_sentence_rules)
