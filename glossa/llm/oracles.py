@@ -65,3 +65,20 @@ WITH RECURSIVE w AS (
 SELECT w.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, least(w.doc_id, coalesce(lo, w.doc_id)) AS component_id
 FROM w LEFT JOIN sizes ON sizes.doc_id = w.doc_id LEFT JOIN (SELECT u, min(v) AS lo FROM reach GROUP BY u) r ON r.u = w.doc_id
 """
+
+WARC = r"""
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, strlen(coalesce(html, '')) AS payload_bytes, upper(sha1(coalesce(html, ''))) AS h FROM pages
+), t AS (
+  SELECT *, max(page_id) OVER (PARTITION BY html) AS top,
+    list_transform(range(8), lambda k: substr(h, CAST(1 + 5 * k AS INTEGER), 5)) AS fives
+  FROM p
+), n AS (
+  SELECT *, list_transform(fives, lambda x: list_sum(list_transform(range(5), lambda j: (strpos('0123456789ABCDEF', substr(x, CAST(j + 1 AS INTEGER), 1)) - 1) * CAST(pow(16, 4 - j) AS BIGINT)))) AS numbers FROM t
+)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(numbers, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (CAST(v AS BIGINT) >> s) & 31 AS INTEGER), 1)), '')), '') AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> top THEN top END AS refers_to
+FROM n
+"""

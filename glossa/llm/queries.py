@@ -9,6 +9,8 @@ from glossa.llm import mixing as _mixing
 from glossa.llm import oracles
 from glossa.llm import pii as _pii
 from glossa.llm import quality as _quality
+from glossa.llm import urls as _urls
+from glossa.llm import warc as _warc
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -67,3 +69,17 @@ def op2_sentence_rules(spark, sf_dir):
 
 
 _add("op2_sentence_rules", op2_sentence_rules)
+
+
+def op7_boundary_chain(spark, sf_dir):
+    return _warc.round_trip(_table(spark, sf_dir, "pages"))
+
+
+_add("op7_boundary_chain", op7_boundary_chain, oracles.WARC)
+
+
+def op9_hashed_ngrams(spark, sf_dir):
+    return _urls.judge(_table(spark, sf_dir, "pages"))
+
+
+_add("op9_hashed_ngrams", op9_hashed_ngrams)
