@@ -10,9 +10,10 @@ all orders. Any order gives the same links: the sketch only decides how much wor
 
 Candidates come from the first order, in two rounds, so that no group is expanded into all its pairs. Round one compares
 each member of a token's group with the group's smallest document. Links found there join components; a group that lies in
-one component is done. Round two compares members of different components whose sizes fit, unless their known distances
-to the group's smallest document differ by more than 1 - t, as the Jaccard distance obeys the triangle inequality.
-Documents with equal sets are one member throughout; ``membership`` maps them to it.
+one component is done. Round two compares members of different components whose sizes fit: in groups of up to SMALL
+members all pairs but those whose known distances to the group's smallest document differ by more than 1 - t, as the
+Jaccard distance obeys the triangle inequality; in larger groups those that a prefix filter on the differences from the
+smallest document leaves. Documents with equal sets are one member throughout.
 
 Sets are compared by hash: two documents of n shingles meet a false match with a probability near n^2 / 2^64.
 
@@ -32,6 +33,8 @@ from pyspark.sql import functions as F
 from glossa.llm.common import Scratch, components
 
 SLOTS, ORDERS = 1 << 20, 3
+#: Groups of up to so many members are compared pair by pair; larger ones by differences from their smallest document.
+SMALL = 32
 #: Bits of the map of candidate documents that tells tasks which sets to build; where it is full, more sets are built.
 MAP_BITS = 1 << 22
 
@@ -146,23 +149,62 @@ def _both(a: str, b: str, percent: int) -> Column:
 
 
 def _verified(scratch: Scratch, docs: DataFrame, table: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """x, y, shared for the pairs (x, y) that pass the filter of every further order."""
+    """x, y, nx, ny, shared for the pairs (x, y) that pass the filter of every further order; delta for those marked large.
+
+    delta holds the tokens that are in one of the two sets only.
+    """
     other = [f"p{k}" for k in range(1, ORDERS)]
     left = table.select(F.col("doc_id").alias("x"), *(F.col(c).alias(f"x_{c}") for c in other))
     right = table.select(F.col("doc_id").alias("y"), *(F.col(c).alias(f"y_{c}") for c in other))
     passed = pairs.join(left, "x").join(right, "y")
     for c in other:
         passed = passed.where(F.arrays_overlap(f"x_{c}", f"y_{c}"))
-    passed = scratch.save(passed.select("x", "y"), f"{name}-passed")
+    passed = scratch.save(passed.select("x", "y", "large"), f"{name}-passed")
     wanted = scratch.save(passed.select(F.col("x").alias("doc_id")).union(passed.select("y")).distinct(), f"{name}-wanted")
     sets = scratch.save(_sets(docs, wanted, width), f"{name}-sets")
     met = passed.join(sets.select(F.col("doc_id").alias("x"), F.col("tokens").alias("a")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("tokens").alias("b")), "y")
-    met = met.select("x", "y", F.size("a").cast("long").alias("nx"), F.size("b").cast("long").alias("ny"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared"))
+    delta = F.when(F.col("large"), F.concat(F.array_except("a", "b"), F.array_except("b", "a")))
+    met = met.select("x", "y", F.size("a").cast("long").alias("nx"), F.size("b").cast("long").alias("ny"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), delta.alias("delta"))
     met = scratch.save(met, f"{name}-met")
     scratch.drop(f"{name}-sets")
     return met
 
 
+def _small_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs within groups of at most SMALL members that lie in different components and that no bound rules out."""
+    a, b = (mixed.select("token", F.col("doc_id").alias(d), F.col("n").alias(f"n{d}"), F.col("component").alias(f"c{d}"), F.col("far").alias(f"f{d}")) for d in "xy")
+    near = F.coalesce(F.abs(F.col("fx") - F.col("fy")) <= 1 - percent / 100 + 1e-9, F.lit(True))
+    return a.join(b, "token").where("x < y AND cx <> cy").where(_both("nx", "ny", percent)).where(near).select("x", "y").distinct()
+
+
+def _unplaced_pairs(mixed: DataFrame, percent: int) -> DataFrame:
+    """Pairs within larger groups of which one has not been compared with the group's smallest document."""
+    a, b = (mixed.select("token", F.col("doc_id").alias(d), F.col("n").alias(f"n{d}"), F.col("component").alias(f"c{d}"), F.col("far").alias(f"f{d}")) for d in "xy")
+    pairs = a.where("fx IS NULL").join(b, "token").where("cx <> cy").where(_both("nx", "ny", percent))
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
+def _delta_pairs(met: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of documents that were compared with the same smallest document of a larger group, by how they differ from it.
+
+    Two sets link when the tokens that only one of them has are at most B = nx + ny - 2 s, s being the least overlap of
+    sets that link. Their differences from a third set, of sizes dx and dy, must then share c = (dx + dy - B) / 2 tokens.
+    c is at least 1 unless both link with the third set. So a prefix filter applies to the differences: with the rarest
+    tokens first, a shared token must stand among the first dx - c + 1 of the one and dy - c + 1 of the other.
+    """
+    linked = 100 * F.col("shared") >= percent * (F.col("nx") + F.col("ny") - F.col("shared"))
+    star = met.where("delta IS NOT NULL").select(F.col("x").alias("hub"), F.col("y").alias("doc_id"), F.col("ny").alias("n"), linked.alias("linked"), F.size("delta").cast("long").alias("d"), "delta")
+    star = star.join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    each = star.select("hub", "doc_id", "n", "linked", "d", "component", F.explode("delta").alias("token"))
+    each = each.withColumn("held", F.expr("count(*) OVER (PARTITION BY hub, token)"))
+    each = each.withColumn("at", F.expr("row_number() OVER (PARTITION BY hub, doc_id ORDER BY held, token)").cast("long")).where("held > 1")
+    a, b = (each.select("hub", "token", F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("linked").alias(f"l{k}"), F.col("d").alias(f"d{k}"), F.col("component").alias(f"c{k}"), F.col("at").alias(f"a{k}")) for k in "xy")
+    least = F.expr(f"({percent} * (nx + ny) + {100 + percent} - 1) div {100 + percent}")
+    need = F.ceil((F.col("dx") + F.col("dy") - (F.col("nx") + F.col("ny") - 2 * least)) / 2)
+    pairs = a.where("NOT lx").join(b, ["hub", "token"]).where("x <> y AND cx <> cy AND (ly OR x < y)").where((F.col("ax") <= F.col("dx") - need + 1) & (F.col("ay") <= F.col("dy") - need + 1))
+    return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def _linked(met: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * F.col("shared") >= percent * (F.col("nx") + F.col("ny") - F.col("shared"))).select("x", "y")
 
@@ -183,21 +225,21 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     tokens = table.select("doc_id", "n", "p0").join(alone, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", F.explode("p0").alias("token"))
     group = "OVER (PARTITION BY token)"
     tokens = tokens.select("token", "doc_id", "n", F.expr(f"count(*) {group}").alias("held"), F.expr(f"min(struct(doc_id, n)) {group}").alias("hub"))
-    tokens = scratch.save(tokens.where("held > 1").select("token", "doc_id", "n", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")), "tokens")
+    tokens = scratch.save(tokens.where("held > 1").select("token", "doc_id", "n", "held", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")), "tokens")
 
-    first = tokens.where("doc_id <> hub").where(_both("n", "hub_n", percent)).select(F.col("hub").alias("x"), F.col("doc_id").alias("y")).distinct()
+    first = tokens.where("doc_id <> hub").where(_both("n", "hub_n", percent)).groupBy(F.col("hub").alias("x"), F.col("doc_id").alias("y")).agg(F.max(F.col("held") > SMALL).alias("large"))
     met = _verified(scratch, docs, table, first, width, percent, "one")
     links = _linked(met, percent)
     found = components(scratch, links, "x", "y", "one")
+    parts = found.withColumnRenamed("node", "doc_id")
 
     far = met.select(F.col("x").alias("hub"), F.col("y").alias("doc_id"), (1 - F.col("shared") / (F.col("nx") + F.col("ny") - F.col("shared"))).alias("far"))
-    placed = tokens.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).join(far, ["hub", "doc_id"], "left")
-    placed = placed.withColumn("far", F.when(F.col("doc_id") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far"))).select("token", "doc_id", "n", "component", "far")
+    placed = tokens.join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).join(far, ["hub", "doc_id"], "left")
+    placed = placed.withColumn("far", F.when(F.col("doc_id") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far"))).select("token", "doc_id", "n", "component", "far", (F.col("held") > SMALL).alias("large"))
     placed = scratch.save(placed, "placed")
     mixed = scratch.save(placed.join(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "token"), "mixed")
-    a, b = (mixed.select("token", F.col("doc_id").alias(d), F.col("n").alias(f"n{d}"), F.col("component").alias(f"c{d}"), F.col("far").alias(f"f{d}")) for d in "xy")
-    second = a.join(b, "token").where("x < y AND cx <> cy").where(_both("nx", "ny", percent)).where(F.coalesce(F.abs(F.col("fx") - F.col("fy")) <= 1 - percent / 100 + 1e-9, F.lit(True))).select("x", "y").distinct()
-    second = scratch.save(second.join(met.select("x", "y"), ["x", "y"], "left_anti"), "second")
+    second = _small_pairs(mixed.where("NOT large"), percent).union(_unplaced_pairs(mixed.where("large"), percent)).union(_delta_pairs(met, parts, percent)).distinct()
+    second = scratch.save(second.join(met.select("x", "y"), ["x", "y"], "left_anti").withColumn("large", F.lit(False)), "second")
     more = _linked(_verified(scratch, docs, table, second, width, percent, "two"), percent)
     found = components(scratch, links.union(more), "x", "y", "all")
 
