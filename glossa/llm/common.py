@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,3 +69,28 @@ def components(scratch: Scratch, edges: DataFrame, a: str, b: str, name: str) ->
         labels = nxt.select("node", "component")
         if nxt.where("component <> was").isEmpty():
             return labels
+
+
+#: Bits of a map of keys. Where it is full, tasks pass on more rows than are wanted; joins after it stay exact.
+MAP_BITS = 1 << 22
+
+
+def bit_map(keys: DataFrame, key: Column):
+    """A broadcast map of MAP_BITS bits in which the bits of the keys are set."""
+    slot = keys.select(F.pmod(F.xxhash64(key), F.lit(MAP_BITS)).alias("s"))
+    parts = slot.groupBy(F.shiftright("s", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(s, 64) AS int)))").alias("bits")).toArrow()
+    bits = np.zeros(MAP_BITS // 64, np.int64)
+    bits[parts["at"].to_numpy()] = parts["bits"].to_numpy()
+    return keys.sparkSession.sparkContext.broadcast(bits)
+
+
+def hits(df: DataFrame, known, key: Column) -> DataFrame:
+    """The rows of which the key's bit is set, among them all rows with a wanted key."""
+
+    def keep(batches):
+        for batch in batches:
+            s = batch.column(batch.num_columns - 1).to_numpy()
+            mask = (known.value[s >> 6] >> (s & 63)) & 1 == 1
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(mask))
+
+    return df.select("*", F.pmod(F.xxhash64(key), F.lit(MAP_BITS)).alias("__slot")).mapInArrow(keep, df.schema)

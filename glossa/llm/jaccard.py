@@ -30,13 +30,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm.common import Scratch, components
+from glossa.llm.common import Scratch, bit_map, components, hits
 
 SLOTS, ORDERS = 1 << 20, 3
 #: Groups of up to so many members are compared pair by pair; larger ones by differences from their smallest document.
 SMALL = 32
-#: Bits of the map of candidate documents that tells tasks which sets to build; where it is full, more sets are built.
-MAP_BITS = 1 << 22
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -125,21 +123,13 @@ def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
 
 def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(doc_id, tokens) of the wanted documents. A bit map of fixed size tells tasks which texts to skip."""
-    spark = docs.sparkSession
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MAP_BITS))
-    parts = wanted.select(slot.alias("s")).groupBy(F.shiftright("s", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(s, 64) AS int)))").alias("bits")).toArrow()
-    bits = np.zeros(MAP_BITS // 64, np.int64)
-    bits[parts["at"].to_numpy()] = parts["bits"].to_numpy()
-    known = spark.sparkContext.broadcast(bits)
 
     def build(batches):
         for batch in batches:
-            s = batch.column(2).to_numpy()
-            hit = pa.array((known.value[s >> 6] >> (s & 63)) & 1 == 1)
-            hit = batch.filter(hit)
-            yield pa.RecordBatch.from_arrays([hit.column(0), _lists([shingle_hashes(t, width) for t in hit.column(1).to_pylist()], np.int64)], ["doc_id", "tokens"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_hashes(t, width) for t in batch.column(1).to_pylist()], np.int64)], ["doc_id", "tokens"])
 
-    built = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text", slot.alias("slot")).mapInArrow(build, "doc_id long, tokens array<long>")
+    named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    built = hits(named, bit_map(wanted, F.col("doc_id")), F.col("doc_id")).mapInArrow(build, "doc_id long, tokens array<long>")
     return built.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"])
 
 

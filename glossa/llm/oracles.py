@@ -77,7 +77,7 @@ WITH p AS (
   SELECT *, list_transform(fives, lambda x: list_sum(list_transform(range(5), lambda j: (strpos('0123456789ABCDEF', substr(x, CAST(j + 1 AS INTEGER), 1)) - 1) * CAST(pow(16, 4 - j) AS BIGINT)))) AS numbers FROM t
 )
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
-  array_to_string(list_transform(numbers, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + (CAST(v AS BIGINT) >> s) & 31 AS INTEGER), 1)), '')), '') AS payload_digest,
+  array_to_string(list_transform(numbers, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST(v AS BIGINT) >> s) & 31) AS INTEGER), 1)), '')), '') AS payload_digest,
   CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> top THEN top END AS refers_to
 FROM n

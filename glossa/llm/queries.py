@@ -9,6 +9,7 @@ from glossa.llm import mixing as _mixing
 from glossa.llm import oracles
 from glossa.llm import pii as _pii
 from glossa.llm import quality as _quality
+from glossa.llm import suffixes as _suffixes
 from glossa.llm import urls as _urls
 from glossa.llm import warc as _warc
 
@@ -83,3 +84,10 @@ def op9_hashed_ngrams(spark, sf_dir):
 
 
 _add("op9_hashed_ngrams", op9_hashed_ngrams)
+
+
+def op6_lyndon_suffixes(spark, sf_dir):
+    return _suffixes.dedup(_table(spark, sf_dir, "documents"))
+
+
+_add("op6_lyndon_suffixes", op6_lyndon_suffixes)
