@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from glossa.llm import decontaminate as _decontaminate
+from glossa.llm import html as _html
 from glossa.llm import jaccard as _jaccard
 from glossa.llm import licenses as _licenses
 from glossa.llm import mixing as _mixing
@@ -91,3 +92,10 @@ def op6_lyndon_suffixes(spark, sf_dir):
 
 
 _add("op6_lyndon_suffixes", op6_lyndon_suffixes)
+
+
+def op5_nearest_url(spark, sf_dir):
+    return _html.extract(_table(spark, sf_dir, "pages"))
+
+
+_add("op5_nearest_url", op5_nearest_url)
