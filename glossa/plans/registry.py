@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from glossa.plans import text  # noqa: F401
 from glossa.plans.catalog import ORACLES, QUERIES
 
 
