@@ -84,13 +84,13 @@ def bit_map(keys: DataFrame, key: Column):
     return keys.sparkSession.sparkContext.broadcast(bits)
 
 
-def hits(df: DataFrame, known, key: Column) -> DataFrame:
-    """The rows of which the key's bit is set, among them all rows with a wanted key."""
+def hits(df: DataFrame, known, key: Column, wanted: bool = True) -> DataFrame:
+    """The rows of which the key's bit is set, among them all rows with a wanted key; or the other rows."""
 
     def keep(batches):
         for batch in batches:
             s = batch.column(batch.num_columns - 1).to_numpy()
-            mask = (known.value[s >> 6] >> (s & 63)) & 1 == 1
+            mask = ((known.value[s >> 6] >> (s & 63)) & 1 == 1) == wanted
             yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(mask))
 
     return df.select("*", F.pmod(F.xxhash64(key), F.lit(MAP_BITS)).alias("__slot")).mapInArrow(keep, df.schema)

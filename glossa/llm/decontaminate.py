@@ -1,6 +1,6 @@
 """Benchmark decontamination: SimHash windows, Hamming blocks, exact weighted-shingle similarity.
 
-Every window of every document gets a 64-bit SimHash of its words. Windows have a size for each class of items: a ladder
+Every window of every document gets a 64-bit SimHash of its word pairs (a window of one word: of the word). Windows have a size for each class of items: a ladder
 step at most WINDOW_SHARE of the item's words. Fingerprints of all such windows of the items are indexed by RADIUS + 1
 blocks of their bits: two fingerprints at most RADIUS apart agree in a block, so the blocks find all of them. Each found
 pair of windows aligns the item with a place in the document; there, and SHIFT words to either side, the weighted Jaccard
@@ -73,6 +73,21 @@ def simhashes(bits: np.ndarray, size: int) -> np.ndarray:
     return np.packbits(ones > size // 2, axis=1).view(np.uint64).ravel()
 
 
+def pair_hashes(h: np.ndarray) -> np.ndarray:
+    """Hashes of each word with the next one. Unlike words, pairs are rarely common, so fingerprints spread evenly."""
+    with np.errstate(over="ignore"):
+        x = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        return x ^ (x >> np.uint64(31))
+
+
+def prints_of(h: np.ndarray, size: int, pairs: np.ndarray | None = None) -> np.ndarray:
+    """Fingerprints of all windows of ``size`` words."""
+    if size == 1:
+        return simhashes(planes(h), 1)
+    return simhashes(planes(pair_hashes(h)) if pairs is None else pairs, size - 1)
+
+
 def planes(h: np.ndarray) -> np.ndarray:
     return np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1)
 
@@ -86,16 +101,16 @@ class Items:
         by: dict[int, list] = {}
         for k, (_, w) in enumerate(self.words):
             size = window_size(len(w))
-            prints = simhashes(planes(word_hashes(w)), size)
+            prints = prints_of(word_hashes(w), size)
             by.setdefault(size, []).extend((f, k, at) for at, f in enumerate(prints.tolist()))
         self.sizes = {}
         for size, found in by.items():
             prints = np.array([f for f, _, _ in found], np.uint64)
             blocks = prints.view(np.uint16).reshape(-1, RADIUS + 1)
-            tables = np.zeros((RADIUS + 1, 1 << 16), bool)
-            for b in range(RADIUS + 1):
-                tables[b][blocks[:, b]] = True
-            self.sizes[size] = (prints, tables, np.array([k for _, k, _ in found]), np.array([at for _, _, at in found]))
+            order = [np.argsort(blocks[:, b], kind="stable") for b in range(RADIUS + 1)]
+            # where the fingerprints of each value of a block stand in its order
+            starts = [np.searchsorted(blocks[o, b], np.arange((1 << 16) + 1)) for b, o in enumerate(order)]
+            self.sizes[size] = (prints, order, starts, np.array([k for _, k, _ in found]), np.array([at for _, _, at in found]))
         self.shingles = [shingles(w) for _, w in self.words]
 
 
@@ -119,22 +134,26 @@ def matches(docs: list[list[str]], items: Items):
         tokens = [w for d in docs[lo:hi] for w in d]
         starts = np.cumsum([0, *(len(d) for d in docs[lo:hi])])
         owner = np.repeat(np.arange(lo, hi), np.diff(starts))
-        bits = planes(word_hashes(tokens))
-        for size, (prints, tables, item, offset) in items.sizes.items():
-            if len(bits) < size:
+        h = word_hashes(tokens)
+        pairs = planes(pair_hashes(h))
+        for size, (prints, order, first, item, offset) in items.sizes.items():
+            if len(h) < size:
                 continue
-            f = simhashes(bits, size)
-            b = f.view(np.uint16).reshape(-1, RADIUS + 1)
-            hit = tables[0][b[:, 0]]
-            for k in range(1, RADIUS + 1):
-                hit |= tables[k][b[:, k]]
-            at = np.flatnonzero(hit & (owner[: len(f)] == owner[size - 1 :]))
-            for k in range(0, len(at), 2048):
-                near = np.argwhere(np.bitwise_count(f[at[k : k + 2048], None] ^ prints[None, :]) <= RADIUS)
-                for p, q in near:
-                    pos = at[k + p]
-                    d = int(owner[pos])
-                    found.add((d, int(item[q]), int(pos - starts[d - lo] - offset[q])))
+            f = prints_of(h, size, pairs)
+            values = f.view(np.uint16).reshape(-1, RADIUS + 1)
+            whole = owner[: len(f)] == owner[size - 1 :]
+            for b in range(RADIUS + 1):
+                v = values[:, b].astype(np.int64)
+                many = np.where(whole, first[b][v + 1] - first[b][v], 0)
+                at = np.flatnonzero(many)
+                # all pairs of a window and a fingerprint that agree in the block, a slice of windows at a time
+                for k in range(0, len(at), 4096):
+                    part = at[k : k + 4096]
+                    n = many[part]
+                    pos = np.repeat(part, n)
+                    q = order[b][np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[b][v[part]], n)]
+                    near = np.flatnonzero(np.bitwise_count(f[pos] ^ prints[q]) <= RADIUS)
+                    found.update(zip(owner[pos[near]].tolist(), item[q[near]].tolist(), (pos[near] - starts[owner[pos[near]] - lo] - offset[q[near]]).tolist(), strict=True))
     best: dict[tuple[int, int], tuple[float, int]] = {}
     done: set[tuple[int, int, int]] = set()
     for d, k, start in found:

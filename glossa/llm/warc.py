@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from glossa.llm.common import Scratch
+from glossa.llm.common import Scratch, bit_map, hits, let
 
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
 RECORDS_PER_FILE = 20_000
@@ -35,26 +35,30 @@ def base32(hexadecimal: Column) -> Column:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload (binary), digest, record_type, refers_to."""
-    payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    known = pages.select(F.when(F.col("page_id").isNull(), F.raise_error(F.lit("page_id is null"))).otherwise(F.col("page_id")).cast("long").alias("page_id"), "url", payload.alias("payload"))
-    known = known.withColumns({"digest": base32(F.sha1("payload")), "key": F.sha2("payload", 256)})
-    top = known.groupBy("key").agg(F.max("page_id").alias("original"))
-    # rows that repeat the original page: one of them stays the response
-    nth = known.select("page_id", "key", "url").join(top.withColumnRenamed("original", "page_id"), ["page_id", "key"]).groupBy("page_id", "key").agg(F.max_by("url", F.coalesce("url", F.lit(""))).alias("top_url"), F.count("*").alias("times"))
-    joined = known.join(top, "key").join(nth.select("key", "top_url", "times"), "key")
-    first = (F.col("page_id") == F.col("original")) & F.col("url").eqNullSafe(F.col("top_url"))
-    # only equal rows need a number among themselves
-    alone = joined.where(~first | (F.col("times") == 1)).withColumn("response", first)
-    equal = joined.where(first & (F.col("times") > 1)).withColumn("response", F.row_number().over(Window.partitionBy("key").orderBy("page_id")) == 1)
-    both = alone.unionByName(equal)
-    return both.select("page_id", "url", "payload", "digest", F.when(F.col("response"), "response").otherwise("revisit").alias("record_type"), F.when(~F.col("response"), F.col("original")).alias("refers_to"))
+    """page_id, url, html, digest, record_type, refers_to.
+
+    Only payloads that may have an equal, by a bit map of the keys of those that have, are shuffled.
+    """
+    html = F.coalesce("html", F.lit(""))
+    page = F.when(F.col("page_id").isNull(), F.raise_error(F.lit("page_id is null"))).otherwise(F.col("page_id")).cast("long")
+    known = pages.select(page.alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), base32(F.sha1(F.encode(html, "UTF-8"))).alias("digest"), F.sha2(html, 256).alias("key"))
+    top = known.groupBy("key").agg(F.max("page_id").alias("original"), F.max(F.struct("page_id", F.coalesce("url", F.lit("")).alias("at")))["at"].alias("top_url"), F.count("*").alias("times")).where("times > 1")
+    twins = bit_map(top, F.col("key"))
+    alone = hits(known, twins, F.col("key"), wanted=False).select("page_id", "url", "html", "digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    joined = hits(known, twins, F.col("key")).join(top, "key", "left")
+    first = F.col("times").isNull() | ((F.col("page_id") == F.col("original")) & (F.coalesce("url", F.lit("")) == F.col("top_url")))
+    joined = joined.withColumn("first", first)
+    # of equal rows one is the response; only they need a number
+    nth = joined.where("first").withColumn("response", F.row_number().over(Window.partitionBy("key").orderBy("page_id")) == 1)
+    both = joined.where("NOT first").withColumn("response", F.lit(False)).unionByName(nth)
+    both = both.select("page_id", "url", "html", "digest", F.when(F.col("response"), "response").otherwise("revisit").alias("record_type"), F.when(~F.col("response"), F.col("original")).alias("refers_to"))
+    return alone.unionByName(both)
 
 
 def write(pages: DataFrame, path: str) -> None:
     """Archives of all pages under path."""
-    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit(END))
-    body = F.concat(http, F.when(F.col("record_type") == "response", F.decode("payload", "UTF-8")).otherwise(""))
+    http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("html").cast("string"), F.lit(END))
+    body = F.concat(http, F.when(F.col("record_type") == "response", F.col("html")).otherwise(""))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     r = records(pages).withColumn("body", body)
     record = F.concat(
@@ -71,7 +75,7 @@ def write(pages: DataFrame, path: str) -> None:
         F.lit("\r\n"), F.col("body"), F.lit("\r\n\r"),
     )
     # the writer's line feed is the last byte of a record
-    r.select(record.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path, lineSep="\n")
+    r.select(record.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path, lineSep="\n", compression="gzip")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -103,53 +107,102 @@ def chain(scratch: Scratch, candidates: DataFrame) -> DataFrame:
         scratch.drop(f"jump-{step - 1}")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload_digest (as written), payload_bytes (as written), payload (null for revisits)."""
+LENGTH_FIELD = r"(?i)(?:^|\r\n)Content-Length:[ \t]*([0-9]+)"
+
+
+def _field(head: Column, name: str) -> Column:
+    return F.nullif(F.regexp_extract(head, rf"(?i)(?:^|\r\n){name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
+
+
+def _length(head: Column) -> Column:
+    return F.regexp_extract(head, LENGTH_FIELD, 1).try_cast("bigint")
+
+
+def _latin(value: Column) -> Column:
+    return F.decode(value, "ISO-8859-1")
+
+
+def _content(value: Column, head: Column) -> Column:
+    """A record's content, from the bytes after its magic."""
+    return F.substring(value, F.length(head) + len(END) + 1, _length(head).cast("int"))
+
+
+def _payload(content: Column) -> Column:
+    return let(F.substring_index(_latin(content), END, 1), lambda http: F.substring(content, F.length(http) + len(END) + 1, F.length(content)))
+
+
+def walk(spark: SparkSession, path: str):
+    """Pieces with what is known of each, and for the pieces of reached records where the record starts.
+
+    A piece that holds its record whole has the length and digest of its payload; of others these are null.
+    """
     scratch = Scratch(spark)
     raw = pieces(spark, path)
     order = Window.partitionBy("file").orderBy("block", "row")
-    light = raw.select("file", "block", "row", F.octet_length("value").cast("long").alias("size"), F.substring_index(F.decode("value", "ISO-8859-1"), END, 1).alias("head"))
-    light = light.select("*", (F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - len(MAGIC)).alias("offset"))
+    facts = F.struct(F.octet_length("value").cast("long").alias("size"), F.substring_index(_latin(F.col("value")), END, 1).alias("head"), F.col("value").alias("value"))
+
+    def known(x):
+        whole = x["size"] == F.length(x["head"]) + len(END) + _length(x["head"]) + len(END)
+        payload = let(_content(x["value"], x["head"]), lambda c: let(_payload(c), lambda p: F.struct(F.octet_length(p).cast("long").alias("bytes"), base32(F.sha1(p)).alias("digest"))))
+        return F.struct(x["size"].alias("size"), x["head"].alias("head"), F.when(whole, payload).alias("own"), F.coalesce(whole, F.lit(False)).alias("whole"))
+
+    light = raw.select("file", "block", "row", let(facts, known).alias("x")).select("file", "block", "row", "x.*")
+    light = light.withColumn("offset", F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - len(MAGIC))
     light = scratch.save(light, "pieces")
-    field = lambda name: F.nullif(F.regexp_extract("head", rf"(?i)(?:^|\r\n){name}:[ \t]*([^\r\n]*)", 1), F.lit(""))
-    length = F.expr("try_cast(regexp_extract(head, '(?i)(?:^|\\r\\n)Content-Length:[ \\t]*([0-9]+)', 1) AS bigint)")
-    found = light.where("offset >= 0").select("file", "block", "row", "offset", (F.col("offset") + len(MAGIC) + F.length("head") + len(END) + length + len(END)).alias("successor"), "head")
-    found = found.where("successor IS NOT NULL")
-    reached = chain(scratch, found.select("file", "offset", "successor"))
+    found = light.where("offset >= 0").select("file", "offset", (F.col("offset") + len(MAGIC) + F.length("head") + len(END) + _length(F.col("head")) + len(END)).alias("successor"))
+    reached = chain(scratch, found.where("successor IS NOT NULL"))
     # a piece belongs to the last reached record at or before it
-    owned = light.where("offset >= 0").join(reached.select("file", "offset", F.col("offset").alias("start")), ["file", "offset"], "left")
-    owned = owned.select("file", "block", "row", "offset", F.last("start", True).over(Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)).alias("start")).where("start IS NOT NULL")
-    whole = raw.join(owned, ["file", "block", "row"])
-    parts = whole.groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("parts"))
+    owned = light.where("offset >= 0").join(reached.withColumn("start", F.col("offset")), ["file", "offset"], "left")
+    owned = owned.withColumn("start", F.last("start", True).over(Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0))).where("start IS NOT NULL")
+    return scratch, raw, scratch.save(owned, "owned")
+
+
+def joined(raw: DataFrame, owned: DataFrame) -> DataFrame:
+    """head, content of each record, put together from its pieces."""
+    parts = raw.join(owned.select("file", "block", "row", "start", "offset"), ["file", "block", "row"]).groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("parts"))
     data = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.col("parts")[0]["value"], lambda acc, x: F.concat(acc, F.encode(F.lit(MAGIC), "UTF-8"), x["value"]))
-    head = F.substring_index(F.decode("value", "ISO-8859-1"), END, 1)
-    out = parts.select(data.alias("value")).select("value", head.alias("head"))
-    out = out.withColumns({"length": F.expr("try_cast(regexp_extract(head, '(?i)(?:^|\\r\\n)Content-Length:[ \\t]*([0-9]+)', 1) AS bigint)"), "url": F.decode(F.encode(field("WARC-Target-URI"), "ISO-8859-1"), "UTF-8")})
-    content = F.expr(f"substring(value, length(head) + {len(END)} + 1, cast(length AS int))")
-    out = out.withColumn("content", content).withColumn("http", F.substring_index(F.decode("content", "ISO-8859-1"), END, 1))
-    number = lambda name: F.expr(f"try_cast(regexp_extract(head, '(?i)(?:^|\\\\r\\\\n){name}:[ \\\\t]*<urn:page:(-?[0-9]+)>', 1) AS bigint)")
-    return out.select(
-        number("WARC-Record-ID").alias("page_id"), "url", field("WARC-Type").alias("record_type"), number("WARC-Refers-To").alias("refers_to"),
-        F.regexp_replace(field("WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
-        F.expr("try_cast(regexp_extract(http, '(?i)\\r\\nContent-Length:[ \\t]*([0-9]+)', 1) AS bigint)").alias("payload_bytes"),
-        F.when(field("WARC-Type") == "response", F.expr(f"substring(content, length(http) + {len(END)} + 1, length(content))")).alias("payload"),
-    )
+    value = parts.select(data.alias("value"))
+    return value.select(F.substring_index(_latin(F.col("value")), END, 1).alias("head"), "value").select("head", _content(F.col("value"), F.col("head")).alias("content"))
+
+
+def _named(head: Column) -> list[Column]:
+    number = lambda name: F.regexp_extract(head, rf"(?i)(?:^|\r\n){name}:[ \t]*<urn:page:(-?[0-9]+)>", 1).try_cast("bigint")
+    return [
+        number("WARC-Record-ID").alias("page_id"), F.decode(F.encode(_field(head, "WARC-Target-URI"), "ISO-8859-1"), "UTF-8").alias("url"), _field(head, "WARC-Type").alias("record_type"),
+        number("WARC-Refers-To").alias("refers_to"), F.regexp_replace(_field(head, "WARC-Payload-Digest"), "^sha1:", "").alias("payload_digest"),
+    ]
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, url, record_type, refers_to, payload_digest (as written), payload (null for revisits)."""
+    _, raw, owned = walk(spark, path)
+    found = joined(raw, owned).select(*_named(F.col("head")), _payload(F.col("content")).alias("payload"))
+    return found.withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")))
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, of the archives read back.
 
     Lengths and digests of responses are those of the payload that was read; revisits take them from the record they
-    refer to, which is found by page and digest.
+    refer to, which is found by page and digest. Payloads are digested where they are read; only records that the magic
+    cuts into several pieces are put together first.
     """
     spark = pages.sparkSession
-    scratch = Scratch(spark)
-    path = f"{scratch.root}/archives"
+    home = Scratch(spark)
+    path = f"{home.root}/archives"
     write(pages, path)
-    back = read(spark, path)
-    back = back.select("page_id", "record_type", "refers_to", "payload_digest", F.octet_length("payload").cast("long").alias("own_bytes"), base32(F.sha1("payload")).alias("own_digest"))
-    back = scratch.save(back, "back")
-    scratch.drop("archives")
-    full = back.where("record_type = 'response'").select(F.col("page_id").alias("refers_to"), F.col("own_digest").alias("payload_digest"), F.col("own_bytes").alias("full_bytes"))
+    scratch, raw, owned = walk(spark, path)
+    pieces_of = owned.groupBy("file", "start").agg(F.count("*").alias("n"))
+    several = owned.join(pieces_of.where("n > 1").select("file", "start"), ["file", "start"], "left_semi")
+    single = owned.join(pieces_of.where("n = 1").select("file", "start"), ["file", "start"], "left_semi")
+    key = F.concat_ws("|", "file", "block", "row")
+    cut = hits(raw, bit_map(several, key), key)
+    whole = single.select(*_named(F.col("head")), F.col("own.bytes").alias("own_bytes"), F.col("own.digest").alias("own_digest"))
+    rest = joined(cut, several).select(*_named(F.col("head")), _payload(F.col("content")).alias("p")).select("page_id", "url", "record_type", "refers_to", "payload_digest", F.octet_length("p").cast("long").alias("own_bytes"), base32(F.sha1("p")).alias("own_digest"))
+    back = scratch.save(whole.unionByName(rest).drop("url"), "back")
+    home.drop("archives")
+    scratch.drop("pieces")
+    own = F.col("record_type") == "response"
+    full = back.where(own).select(F.col("page_id").alias("refers_to"), F.col("own_digest").alias("payload_digest"), F.col("own_bytes").alias("full_bytes"))
     same = back.join(full, ["refers_to", "payload_digest"], "left")
-    return same.select("page_id", F.coalesce("own_bytes", "full_bytes").alias("payload_bytes"), F.coalesce("own_digest", "payload_digest").alias("payload_digest"), "record_type", "refers_to")
+    return same.select("page_id", F.when(own, F.col("own_bytes")).otherwise(F.col("full_bytes")).alias("payload_bytes"), F.when(own, F.col("own_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")
