@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.plans import pairs, search, text  # noqa: F401
+from glossa.plans import history, lexicon, pairs, search, text  # noqa: F401
 from glossa.plans.catalog import ORACLES, QUERIES
 
 
