@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Kinds of the code's places, first to last: letters or digits.
-PLACES = (LETTERS, DIGITS, DIGITS, LETTERS, DIGITS, DIGITS, LETTERS)
+PLACES = (LETTERS, DIGITS, DIGITS, LETTERS, LETTERS, DIGITS, LETTERS)
 
 
 def code_of(number: Column) -> Column:
@@ -16,7 +16,7 @@ def code_of(number: Column) -> Column:
     for alphabet in reversed(PLACES):
         n = len(alphabet)
         parts.append(F.substring(F.lit(alphabet), (F.pmod(rest, F.lit(n)) + 1).cast("int"), F.lit(1)))
-        rest = F.floor(rest / n).cast("long")
+        rest = F.floor(rest / n).cast("long")  # exact: codes stay below 2^53
     return F.concat(*reversed(parts))
 
 

@@ -67,8 +67,8 @@ def repaired(text: Column) -> Column:
 
 def merged_alnum(text: Column) -> Column:
     """Joins letters, digits and decimals that spaces keep apart."""
-    for pattern in (r"(?<=[A-Za-z]) (?=[A-Za-z])", r"(?<=[0-9]) (?=[0-9])", r"(?<=[0-9]) ?([.,]) ?(?=[0-9])"):
-        text = F.regexp_replace(text, pattern, "$1" if "(" in pattern.split(")")[1] else "")
+    for pattern, new in ((r"(?<=[A-Za-z]) (?=[A-Za-z])", ""), (r"(?<=[0-9]) (?=[0-9])", ""), (r"(?<=[0-9]) ?([.,]) ?(?=[0-9])", "$1")):
+        text = F.regexp_replace(text, pattern, new)
     return text
 
 

@@ -144,8 +144,8 @@ ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 @query(
     "id_codec",
-    f"""WITH o AS (SELECT o_orderkey, o_orderkey * 7919 + 1 AS n FROM orders), p AS (SELECT *, n % 52 AS p7, n // 52 % 10 AS p6, n // 520 % 10 AS p5, n // 5200 % 52 AS p4, n // 270400 % 10 AS p3, n // 2704000 % 10 AS p2, n // 27040000 % 52 AS p1 FROM o)
-SELECT o_orderkey, n, substr('{ALPHABET}', p1 + 1, 1) || p2 || p3 || substr('{ALPHABET}', p4 + 1, 1) || p5 || p6 || substr('{ALPHABET}', p7 + 1, 1) AS code, n AS back FROM p""",
+    f"""WITH o AS (SELECT o_orderkey, o_orderkey * 7919 + 1 AS n FROM orders), p AS (SELECT *, n % 52 AS p7, n // 52 % 10 AS p6, n // 520 % 52 AS p5, n // 27040 % 52 AS p4, n // 1406080 % 10 AS p3, n // 14060800 % 10 AS p2, n // 140608000 % 52 AS p1 FROM o)
+SELECT o_orderkey, n, substr('{ALPHABET}', p1 + 1, 1) || p2 || p3 || substr('{ALPHABET}', p4 + 1, 1) || substr('{ALPHABET}', p5 + 1, 1) || p6 || substr('{ALPHABET}', p7 + 1, 1) AS code, n AS back FROM p""",
 )
 def id_codec(spark, d):
     n = (F.col("o_orderkey") * 7919 + 1).cast("long")
