@@ -24,16 +24,17 @@ from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import Scratch
+from glossa.llm.common import Scratch, bit_map, hits
 
 # Elements without article text; elements that end a block; names of furniture.
-SKIP = {"script", "style", "noscript", "template", "head", "title", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "iframe", "svg", "canvas", "object", "menu", "dialog", "figure"}
+SKIP = {"script", "style", "noscript", "template", "head", "title", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "iframe", "svg", "canvas", "object", "menu", "dialog"}
 RAW = {"script", "style"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-BLOCK = {"address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+BLOCK = {"address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
 FURNITURE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|reply|replies|discussion|disqus|consent|cookie|cookies|copyright|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|popup|promo|promoted|related|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 
@@ -132,41 +133,48 @@ def nearest(path: str, before: str | None, after: str | None) -> int:
     return 0 if a < 0 and b < 0 else -1 if a >= b else 1
 
 
-def main_text(blocks: list[tuple[str, bool]], partner: list[tuple[str, bool]], strict: bool = False) -> str:
+def dropped(blocks: list[tuple], partner: list[tuple], strict: bool = False) -> list[bool]:
+    """Which blocks (text or its hash, marked) of a page differencing with its partner deletes."""
     own, other = [t for t, _ in blocks], [t for t, _ in partner]
     if own == other:
-        return "\n\n".join(own)
-    drop = shared(own, other)
-    return "\n\n".join(t for (t, marked), gone in zip(blocks, drop, strict=True) if not gone or (marked and not strict))
+        return [False] * len(own)
+    return [gone and (strict or not marked) for (_, marked), gone in zip(blocks, shared(own, other), strict=True)]
 
 
-def extract(pages: DataFrame, strict: bool = False) -> DataFrame:
-    """page_id, url, text, n_chars."""
-    scratch = Scratch(pages.sparkSession)
-    url = F.coalesce("url", F.lit(""))
-    host, path = F.lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)", 1)
+def _parsed(pages: DataFrame) -> DataFrame:
+    def read(batches):
+        for batch in batches:
+            blocks = pa.array([[t for t, _ in blocks_of(x)] for x in batch.column(3).to_pylist()], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], blocks], ["row", "page_id", "url", "blocks"])
+
+    return pages.select("row", "page_id", "url", "html").mapInArrow(read, "row long, page_id long, url string, blocks array<string>")
+
+
+def _outline(pages: DataFrame) -> DataFrame:
+    """row, page_id, host, path, and a hash and mark for each block: all that differencing needs."""
 
     def read(batches):
         for batch in batches:
-            found = [blocks_of(t) for t in batch.column(4).to_pylist()]
-            blocks = pa.array([[{"text": t, "marked": m} for t, m in b] for b in found], pa.list_(pa.struct([("text", pa.string()), ("marked", pa.bool_())])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], blocks], ["page_id", "url", "host", "path", "blocks"])
+            found = [[((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)), m) for t, m in blocks_of(x)] for x in batch.column(4).to_pylist()]
+            lists = [pa.array([[b[k] for b in f] for f in found], pa.list_(kind)) for k, kind in ((0, pa.int64()), (1, pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], ["row", "page_id", "host", "path", "hashes", "marks"])
 
-    known = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), "html")
-    parsed = known.mapInArrow(read, "page_id long, url string, host string, path string, blocks array<struct<text:string,marked:boolean>>")
+    return pages.select("row", "page_id", "host", "path", "html").mapInArrow(read, "row long, page_id long, host string, path string, hashes array<long>, marks array<boolean>")
+
+
+def _deletions(scratch: Scratch, outline: DataFrame, strict: bool) -> DataFrame:
+    """row, gone: a flag for each block, of pages that lose any."""
     order = ["host", "path", "page_id"]
-    sorted_pages = parsed.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    table = scratch.save(sorted_pages, "pages")
+    table = scratch.save(outline.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "outlines")
     # the first and last page of each partition, for its neighbours: two rows a partition
-    row = F.struct(*order, "blocks")
-    ends = scratch.save(table.groupBy("part").agg(F.min_by(row, F.struct(*order)).alias("first"), F.max_by(row, F.struct(*order)).alias("last")), "ends")
+    fields = ["page_id", "host", "path", "hashes", "marks"]
+    ends = scratch.save(table.groupBy("part").agg(F.min_by(F.struct(*fields), F.struct(*order)).alias("first"), F.max_by(F.struct(*fields), F.struct(*order)).alias("last")), "ends")
     parts = [r["part"] for r in ends.select("part").orderBy("part").collect()]
-    link = pages.sparkSession.createDataFrame([(p, parts[i - 1] if i else None, parts[i + 1] if i + 1 < len(parts) else None) for i, p in enumerate(parts)], "part int, left int, right int")
+    link = outline.sparkSession.createDataFrame([(p, parts[i - 1] if i else None, parts[i + 1] if i + 1 < len(parts) else None) for i, p in enumerate(parts)], "part int, left int, right int")
     link = link.join(ends.select(F.col("part").alias("left"), F.col("last").alias("x")), "left", "left").join(ends.select(F.col("part").alias("right"), F.col("first").alias("y")), "right", "left")
-    side = lambda name: F.col(f"{name}.*")
-    extra = link.where("x IS NOT NULL").select("part", side("x")).union(link.where("y IS NOT NULL").select("part", side("y")))
-    own = table.select("part", "page_id", "url", "host", "path", "blocks", F.lit(True).alias("own"))
-    both = own.unionByName(extra.select("part", "page_id", F.lit(None).cast("string").alias("url"), "host", "path", "blocks", F.lit(False).alias("own")))
+    extra = link.where("x IS NOT NULL").select("part", "x.*").union(link.where("y IS NOT NULL").select("part", "y.*"))
+    own = table.select("part", *fields, "row", F.lit(True).alias("own"))
+    both = own.unionByName(extra.select("part", *fields, F.lit(None).cast("long").alias("row"), F.lit(False).alias("own")))
 
     def difference(batches):
         before = current = None
@@ -177,15 +185,16 @@ def extract(pages: DataFrame, strict: bool = False) -> DataFrame:
                 return
             near = lambda o: o["path"] if o is not None and o["host"] == current["host"] and o["part"] == current["part"] else None
             which = nearest(current["path"], near(before), near(after))
-            partner = before if which < 0 else after
-            pairs = lambda r: [(b["text"], b["marked"]) for b in r["blocks"]]
-            text = main_text(pairs(current), pairs(partner), strict) if which else "\n\n".join(t for t, _ in pairs(current))
-            done.append((current["page_id"], current["url"], text, len(text)))
+            if which:
+                partner = before if which < 0 else after
+                gone = dropped(*(list(zip(r["hashes"], r["marks"], strict=True)) for r in (current, partner)), strict)
+                if any(gone):
+                    done.append((current["row"], gone))
 
         def out():
-            columns = list(zip(*done, strict=True)) if done else [[]] * 4
+            columns = list(zip(*done, strict=True)) if done else [[], []]
             done.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "text", "n_chars"])
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.list_(pa.bool_()))], ["row", "gone"])
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -196,4 +205,24 @@ def extract(pages: DataFrame, strict: bool = False) -> DataFrame:
         yield out()
 
     near = both.repartition("part").sortWithinPartitions("part", "host", "path", "page_id", "own")
-    return near.mapInArrow(difference, "page_id long, url string, text string, n_chars long")
+    return near.mapInArrow(difference, "row long, gone array<boolean>").dropDuplicates(["row"])
+
+
+def extract(pages: DataFrame, strict: bool = False) -> DataFrame:
+    """page_id, url, text, n_chars.
+
+    Only outlines (hashes of blocks) are sorted and compared. A page that loses no block is read and written in one task;
+    the others, told by a bit map, meet their flags in a join.
+    """
+    scratch = Scratch(pages.sparkSession)
+    url = F.coalesce("url", F.lit(""))
+    host, path = F.lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)", 1)
+    known = pages.select(F.xxhash64("page_id", "url", "html").alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), "html")
+    gone = scratch.save(_deletions(scratch, _outline(known), strict), "gone")
+    flagged = bit_map(gone, F.col("row"))
+    light = known.drop("host", "path")
+    plain = _parsed(hits(light, flagged, F.col("row"), wanted=False))
+    cut = _parsed(hits(light, flagged, F.col("row"))).join(gone, "row", "left")
+    cut = cut.withColumn("blocks", F.filter("blocks", lambda b, i: ~F.coalesce(F.get("gone", i), F.lit(False)))).drop("gone")
+    text = F.array_join("blocks", "\n\n")
+    return plain.unionByName(cut).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))

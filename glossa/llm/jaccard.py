@@ -238,7 +238,8 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The documents of which doc_id is the smallest of its component; columns as they came."""
+    """The documents of which doc_id is the smallest of its component, and those without a doc_id; columns as they came."""
     groups = jaccard_components(docs, width, percent)
     keep = groups.where("component_id = doc_id").select(F.col("doc_id").alias("__keep")).distinct()
-    return docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
+    kept = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.where("doc_id IS NULL"))

@@ -82,3 +82,58 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
   CASE WHEN page_id <> top THEN top END AS refers_to
 FROM n
 """
+
+SUFFIXES = r"""
+WITH d AS (
+  SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents
+), w AS (
+  SELECT doc_id, b, unnest(range(0, n - 399)) AS s FROM d WHERE n >= 400
+), h AS (
+  SELECT doc_id, s, md5(array_slice(b, s + 1, s + 400)) AS h FROM w
+), dup AS (
+  SELECT doc_id, s FROM h QUALIFY count(*) OVER (PARTITION BY h) > 1
+), starts AS (
+  SELECT doc_id, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 400 THEN 0 ELSE 1 END AS fresh FROM dup
+), runs AS (
+  SELECT doc_id, min(s) AS lo, max(s) + 400 AS hi FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM starts) GROUP BY doc_id, run
+), gone AS (
+  SELECT doc_id, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id
+), edges AS (
+  SELECT doc_id, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS x, lo AS y FROM runs
+  UNION ALL SELECT doc_id, max(hi), NULL FROM runs GROUP BY doc_id
+  UNION ALL SELECT doc_id, 0, NULL FROM d WHERE doc_id NOT IN (SELECT doc_id FROM runs)
+), kept AS (
+  SELECT d.doc_id, sha256(unhex(coalesce(string_agg(hex(array_slice(b, x + 1, coalesce(y, n))), '' ORDER BY x) FILTER (WHERE x < coalesce(y, n)), ''))) AS kept_sha256 FROM d JOIN edges USING (doc_id) GROUP BY d.doc_id
+)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""
+
+
+def licences() -> str:
+    """SQL of the licence scan, with the operator's sentences and rules as literals."""
+    from glossa.llm import licenses as li
+
+    text = lambda s: "'" + s.replace("'", "''") + "'"
+    known = li.pieces()
+    keys = "MAP {" + ", ".join(f"{text(' | '.join(run))}: {text(letter)}" for letter, run in known) + "}"
+    longest = max(len(run) for _, run in known)
+    tries = ", ".join(f"k[array_to_string(p[i:i + {n - 1}], ' | ')]" for n in range(longest, 0, -1))
+    ends = r"regexp_replace({0}, '([.!?;:])[\x20\x09-\x0D]+', '\1' || chr(1), 'g')"
+    cut = r"list_filter(list_transform(regexp_split_to_array({0}, '{1}'), lambda x: trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), lambda x: x <> '')"
+    letters = f"array_to_string(list_transform(range(1, len(p) + 1), lambda i: coalesce({tries}, '')), '')"
+    families: dict[str, list] = {}
+    for name, family, pattern in li.RULES:
+        families.setdefault(family, []).append((name, pattern))
+    case = lambda c, rules: "CASE " + " ".join(f"WHEN regexp_matches({c}, {text(p)}) THEN {i}" for i, (_, p) in rules) + " END"
+    order = [name for name, _, _ in li.RULES]
+    best = ", ".join(f"least({case('text_ids', [(order.index(n), (n, p)) for n, p in rules])}, {case('line_ids', [(order.index(n), (n, p)) for n, p in rules])})" for rules in families.values())
+    names = "[" + ", ".join(map(text, order)) + "]"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+g AS (SELECT doc_id, CASE WHEN regexp_matches(t, '(?i){li.STEMS}') THEN t ELSE '' END AS t, {keys} AS k FROM d),
+c AS (SELECT doc_id, k, {cut.format(ends.format("t"), chr(92) + "x01|" + chr(92) + "n+")} AS a, {cut.format(ends.format("replace(t, chr(10), ' ')"), chr(92) + "x01")} AS b FROM g),
+l AS (SELECT doc_id, (SELECT {letters} FROM (SELECT a AS p)) AS line_ids, (SELECT {letters} FROM (SELECT b AS p)) AS text_ids FROM c),
+f AS (SELECT *, list_filter([{best}], lambda x: x IS NOT NULL) AS found FROM l)
+SELECT doc_id, CAST(greatest(length(line_ids), length(text_ids)) AS BIGINT) AS n_sentences, line_ids, text_ids, array_to_string(list_sort(list_transform(found, lambda x: {names}[x + 1])), ',') AS licences FROM f
+"""

@@ -70,7 +70,7 @@ def op2_sentence_rules(spark, sf_dir):
     return _licenses.scan(_table(spark, sf_dir, "documents"))
 
 
-_add("op2_sentence_rules", op2_sentence_rules)
+_add("op2_sentence_rules", op2_sentence_rules, oracles.licences())
 
 
 def op7_boundary_chain(spark, sf_dir):
@@ -91,7 +91,7 @@ def op6_lyndon_suffixes(spark, sf_dir):
     return _suffixes.dedup(_table(spark, sf_dir, "documents"))
 
 
-_add("op6_lyndon_suffixes", op6_lyndon_suffixes)
+_add("op6_lyndon_suffixes", op6_lyndon_suffixes, oracles.SUFFIXES)
 
 
 def op5_nearest_url(spark, sf_dir):

@@ -13,8 +13,9 @@ suffix array of their sequence and reads repeated strings off neighbours that ag
 processed in descending order and handing their word on to the suffix that the previous-smaller pointer names; then each
 group's order is emitted in one ascending pass along those pointers, without renaming or recursion.
 
-Equal texts are one text with a count in all this, and are removed whole. Hashes that more than HOT places hold aren't
-collected: there each string is a group of its own, by a 128-bit hash, which Spark counts.
+Equal texts are one text with a count in all this, and are removed whole. Of a hash that more than HOT places hold, equal
+pairs of sides are first reduced to one by a window, the others being repeats in full. Hashes with more than MOST distinct
+pairs aren't collected even then: there each string is a group of its own, by a 128-bit hash, which Spark counts.
 
 Texts are compared by 64-bit hash and length, anchors by two 64-bit hashes.
 
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from glossa.llm.common import Scratch, bit_map, hits
 
 LENGTH, WINDOW = 400, 65
-HOT, BATCH, PART = 2000, 1 << 16, 1 << 20
+HOT, MOST, BATCH, PART = 2000, 8192, 1 << 16, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -242,8 +243,11 @@ def repeated_starts(groups: list[list[tuple[bytes, bytes]]], window: int) -> lis
     return out
 
 
-def _decided(sides: DataFrame, window: int) -> DataFrame:
-    """(tkey, n, lo, hi): first and last start of runs of repeated strings, from rows that are sorted by key."""
+def _decided(rows: DataFrame, window: int) -> DataFrame:
+    """(tkey, n, lo, hi): first and last start of runs of repeated strings, from rows that are sorted by key.
+
+    A settled row stands for several equal ones that are done with; others are still compared with it.
+    """
 
     def build(batches):
         group, last, queue, weight = {}, None, [], 0
@@ -280,7 +284,7 @@ def _decided(sides: DataFrame, window: int) -> DataFrame:
 
         rows = []
         for batch in batches:
-            for key, check, left, right, tkey, n, pos in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, check, left, right, tkey, n, pos, settled in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, check) != last:
                     rows += settle(group)
                     if len(group) > 1:
@@ -290,7 +294,9 @@ def _decided(sides: DataFrame, window: int) -> DataFrame:
                         rows += flush()
                         queue, weight = [], 0
                     group, last = {}, (key, check)
-                group.setdefault((left, right), []).append((tkey, n, pos))
+                places = group.setdefault((left, right), [])
+                if not settled:
+                    places.append((tkey, n, pos))
                 if len(rows) > 50_000:
                     yield out(rows)
                     rows = []
@@ -300,18 +306,31 @@ def _decided(sides: DataFrame, window: int) -> DataFrame:
         rows += flush()
         yield out(rows)
 
-    cold = sides.where(F.col("held") <= HOT).select("key", "check", "left", "right", "tkey", "n", "pos")
-    return cold.repartition("key").sortWithinPartitions("key", "check").mapInArrow(build, "tkey long, n long, lo long, hi long")
+    return rows.select("key", "check", "left", "right", "tkey", "n", "pos", "settled").repartition("key").sortWithinPartitions("key", "check").mapInArrow(build, "tkey long, n long, lo long, hi long")
 
 
-def _counted(sides: DataFrame, window: int) -> DataFrame:
-    """The same for anchors in more than HOT places: every string of theirs is a group, by its hash."""
+def _counted(rows: DataFrame, window: int) -> DataFrame:
+    """The same where every string is a group of its own, by its hash."""
     side = window - 1
-    each = sides.where(F.col("held") > HOT).select("*", F.explode(F.sequence(F.lit(0), F.lit(side))).alias("take")).where(F.expr(f"take <= length(left) AND {side} - take <= length(right)"))
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(side))).alias("take")).where(F.expr(f"take <= length(left) AND {side} - take <= length(right)"))
     cut = [F.col("key"), F.col("check"), F.col("take"), F.expr("substring(left, length(left) - take + 1, take)"), F.expr(f"substring(right, 1, {side} - take)")]
-    each = each.select("tkey", "n", (F.col("pos") - F.col("take")).alias("lo"), F.xxhash64(*cut).alias("h1"), F.xxhash64(F.lit(7), *cut).alias("h2"))
+    each = each.select("tkey", "n", (F.col("pos") - F.col("take")).alias("lo"), "settled", F.xxhash64(*cut).alias("h1"), F.xxhash64(F.lit(7), *cut).alias("h2"))
     twice = each.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2")
-    return each.join(twice, ["h1", "h2"], "left_semi").select("tkey", "n", "lo", F.col("lo").alias("hi"))
+    return each.where("NOT settled").join(twice, ["h1", "h2"], "left_semi").select("tkey", "n", "lo", F.col("lo").alias("hi"))
+
+
+def _runs_of(scratch: Scratch, sides: DataFrame, window: int) -> DataFrame:
+    """(tkey, n, lo, hi) of all sides."""
+    side = window - 1
+    cold = sides.where(F.col("held") <= HOT).withColumn("settled", F.lit(False))
+    equal = "PARTITION BY key, check, left, right"
+    hot = sides.where(F.col("held") > HOT).select("*", F.expr(f"count(*) OVER ({equal})").alias("times"), F.expr(f"row_number() OVER ({equal} ORDER BY tkey, n, pos)").alias("nth"))
+    hot = scratch.save(hot.where("times > 1 OR nth = 1"), "hot")
+    # every string of equal pairs is repeated
+    whole = hot.where("times > 1").select("tkey", "n", (F.col("pos") - F.length("left")).alias("lo"), (F.col("pos") - F.greatest(F.lit(0), side - F.length("right"))).alias("hi")).where("lo <= hi")
+    one = hot.where("nth = 1").withColumn("settled", F.col("times") > 1).withColumn("pairs", F.expr("count(*) OVER (PARTITION BY key)"))
+    few, many = one.where(F.col("pairs") <= MOST), one.where(F.col("pairs") > MOST)
+    return _decided(cold.unionByName(few.drop("times", "nth", "pairs")), window).union(whole).union(_counted(many, window))
 
 
 def _cut(data: bytes, found, length: int) -> tuple[int, int, bytes]:
@@ -334,10 +353,10 @@ def repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> Data
     rows = rows.withColumn("held", F.expr("count(*) OVER (PARTITION BY key)")).where("held > 1")
     wanted = scratch.save(rows, "anchors")
     sides = scratch.save(_sides(keyed.select("tkey", "n", "text"), wanted, length, window), "sides")
-    found = _decided(sides, window).union(_counted(sides, window))
+    found = _runs_of(scratch, sides, window)
     found = scratch.save(found.groupBy("tkey", "n").agg(F.collect_list(F.struct("lo", "hi")).alias("found")), "found")
-    scratch.drop("sides")
-    scratch.drop("anchors")
+    for name in ("sides", "anchors", "hot"):
+        scratch.drop(name)
     return keyed, found
 
 

@@ -31,7 +31,8 @@ def plain(pages):
         near = lambda j: rows[j] if 0 <= j < len(rows) and rows[j][0] == host else None
         a, c = near(k - 1), near(k + 1)
         w = h.nearest(path, a and a[1], c and c[1])
-        out[i] = h.main_text(b, (a if w < 0 else c)[4]) if w else "\n\n".join(t for t, _ in b)
+        gone = h.dropped(b, (a if w < 0 else c)[4]) if w else [False] * len(b)
+        out[i] = "\n\n".join(t for (t, _), x in zip(b, gone) if not x)
     return out
 
 

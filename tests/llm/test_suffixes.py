@@ -50,8 +50,9 @@ def test_dedup_equals_brute_force(spark, monkeypatch):
     rows = texts()
     want = brute(rows, 40)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, tkey string")
-    for hot in (2000, 6):
+    for hot, most in ((2000, 8192), (3, 8192), (3, 2)):
         monkeypatch.setattr(sx, "HOT", hot)
+        monkeypatch.setattr(sx, "MOST", most)
         got = {r["doc_id"]: tuple(r)[1:] for r in sx.dedup(docs, length=40, window=9).collect()}
         assert [got[i] for i in range(len(rows))] == want
 
