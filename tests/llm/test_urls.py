@@ -25,14 +25,16 @@ def test_rules_and_parts(spark):
 
 
 def test_held_out_accuracy(spark):
+    """Hosts are held out by name: no form of a held-out name is seen in fitting, though its word may be."""
+    known = urls.names()
+    random.Random(1).shuffle(known)
+    out = {name for name, _ in known[: len(known) // 4]}
+    inside = lambda host: any(form.format(name) == host for name in out for form in urls.HOSTS)
     rows = urls.labelled()
-    rng = random.Random(1)
-    rng.shuffle(rows)
-    cut = len(rows) * 3 // 4
-    model = urls.fit(spark, rows[:cut])
-    held = spark.createDataFrame(rows[cut:], "host string, path string, label int")
-    out = model.transform(urls.featured(held)).select("label", "__prediction").collect()
-    assert sum(r[0] == r[1] for r in out) / len(out) >= 0.9
+    model = urls.fit(spark, [r for r in rows if not inside(r[0])])
+    held = spark.createDataFrame([r for r in rows if inside(r[0])], "host string, path string, label int")
+    got = model.transform(urls.featured(held)).select("label", "__prediction").collect()
+    assert sum(r[0] == r[1] for r in got) / len(got) >= 0.85
 
 
 def test_empty(spark):
