@@ -2,9 +2,9 @@
 
 Lines are normalised (lower case, digits as 0, runs of white space as one space, trimmed) and hashed; for each host the
 distinct documents that hold a line are counted. Exact copies of a text are one document in that count. A line held by
-at least ``min_docs`` documents and more than ``max_share`` of its host's documents is boilerplate. A document is
-rejected when base rules fail or when, without its boilerplate, it has under ``min_words`` words or under ``min_left``
-of its words.
+at least ``min_docs`` documents of its host is boilerplate. That is a number and no share of the host, so that the limit
+doesn't grow with the host; a host of fewer documents has no boilerplate. A document is rejected when base rules fail or
+when, without its boilerplate, it has under ``min_words`` words or under ``min_left`` of its words.
 
 Defined cases: a null text is empty and is rejected for want of words; a null host is a host of its own; equal rows give
 equal results; an empty table gives no rows; a text of any length is read whole. Columns beside those named here pass
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from glossa.llm.common import let, words_of
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
-MIN_DOCS, MAX_SHARE, MIN_LEFT = 20, 0.25, 0.3
+MIN_DOCS, MIN_LEFT = 20, 0.3
 WORD = r"[^\x20\x09-\x0D]"
 
 
@@ -90,12 +90,10 @@ def line_table(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce("source", F.lit("")).alias("__host"), F.md5(text).alias("__text"), lines.alias("lines")).dropDuplicates(["__host", "__text"])
 
 
-def boilerplate(table: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """__host, line: the lines above the limits. Counts are pre-aggregated, so a hot host or line is no hot group."""
-    sizes = table.groupBy("__host").agg(F.count("*").alias("docs"))
+def boilerplate(table: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+    """__host, line: the lines at or above the limit. Counts are pre-aggregated, so a hot host or line is no hot group."""
     held = table.select("__host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["line"]))).alias("line"))
-    counts = held.groupBy("__host", "line").agg(F.count("*").alias("held")).where(F.col("held") >= min_docs)
-    return counts.join(sizes, "__host").where(F.col("held") > max_share * F.col("docs")).select("__host", "line")
+    return held.groupBy("__host", "line").agg(F.count("*").alias("held")).where(F.col("held") >= min_docs).select("__host", "line")
 
 
 def removed_words(table: DataFrame, common: DataFrame) -> DataFrame:
@@ -111,17 +109,17 @@ def _judged(base: DataFrame, removed: DataFrame, min_left: float) -> DataFrame:
     )
 
 
-def quality(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def quality(docs: DataFrame, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """One row a document: its counts, base_failed, n_left_words (outside boilerplate) and kept."""
     table = line_table(docs)
-    removed = removed_words(table, boilerplate(table, min_docs, max_share)).drop("gone")
+    removed = removed_words(table, boilerplate(table, min_docs)).drop("gone")
     return _judged(base_rules(docs), removed, min_left).drop("__host", "__text", "removed")
 
 
-def clean(docs: DataFrame, min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
+def clean(docs: DataFrame, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT) -> DataFrame:
     """The documents that are kept, without their boilerplate lines; columns as they came, n_chars brought up to date."""
     table = line_table(docs)
-    removed = removed_words(table, boilerplate(table, min_docs, max_share))
+    removed = removed_words(table, boilerplate(table, min_docs))
     kept = _judged(base_rules(docs), removed, min_left).where("kept").select(F.col("doc_id").alias("__id"), F.col("__text").alias("__of"), F.col("__host").alias("__at"), F.col("gone").alias("__gone")).distinct()
     text = F.coalesce(docs["text"], F.lit(""))
     joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]) & (F.md5(text) == kept["__of"]) & (F.coalesce(docs["source"], F.lit("")) == kept["__at"]))

@@ -37,6 +37,22 @@ def test_lines_of_many_documents_go(spark):
     assert kept.count() == 32 and texts[3]["text"] == words(60, "d3_") and texts[3]["n_chars"] == len(texts[3]["text"]) and "reserved" in texts[200]["text"] and texts[200]["n_chars"] == 1
 
 
+def test_lines_of_a_small_share_of_a_large_host_go(spark):
+    shares = {"Kept by 19 documents": 19, "Seen on 20 pages": 20, "Subscribe to the letter": 100, "Cookies are used here": 200}
+    passage = words(60, "p")
+    rows = [(i, "\n".join([words(60, f"d{i}_"), *(line for line, n in shares.items() if i < n)]), "h") for i in range(2000)]
+    # a passage of over 50 words in 25 documents that hold little else
+    rows += [(3000 + i, passage + "\n" + words(10, f"e{i}_"), "h") for i in range(25)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    got = {r["doc_id"]: r for r in q.quality(docs).collect()}
+    gone = lambda i: sum(len(line.split()) for line, n in shares.items() if 20 <= n and i < n)
+    assert all(got[i]["kept"] and got[i]["n_words"] - got[i]["n_left_words"] == gone(i) for i in range(2000))
+    assert not any(got[3000 + i]["kept"] for i in range(25))
+    texts = {r["doc_id"]: r["text"] for r in q.clean(docs).collect()}
+    assert set(texts) == set(range(2000))
+    assert texts[0] == words(60, "d0_") + "\nKept by 19 documents" and texts[150] == words(60, "d150_")
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert q.quality(docs).count() == 0 and q.clean(docs).count() == 0
