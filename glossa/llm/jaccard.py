@@ -18,8 +18,8 @@ smallest document leaves. Documents with equal sets are one member throughout.
 Sets are compared by hash: two documents of n shingles meet a false match with a probability near n^2 / 2^64.
 
 Defined cases: null and empty texts have no shingles and no links; texts with fewer words than a shingle are one shingle;
-doc_id names a document, so rows that repeat one get one result; a null doc_id has its n_shingles, no links and a null
-component; an empty table gives no rows; texts are read whole; other columns are ignored.
+rows that repeat a doc_id with an equal text are one document, and those with another text are documents of their own; a
+null doc_id has its n_shingles, no links and a null component; an empty table gives no rows; texts are read whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -199,14 +199,10 @@ def _linked(met: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * F.col("shared") >= percent * (F.col("nx") + F.col("ny") - F.col("shared"))).select("x", "y")
 
 
-def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links, itself included.
-
-    One row for each row of docs. component_id of a document without shingles is its own doc_id.
-    """
+def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """jaccard_components of (doc_id, text) in which no doc_id repeats."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = docs.select("doc_id", "text")
     ranks = classes(spark, sketch(docs, width))
     table = scratch.save(profiles(docs, width, percent, ranks), "profiles")
     small = table.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "set_id")
@@ -237,9 +233,47 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
     return table.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
+def _repeats(docs: DataFrame) -> bool:
+    return not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with __key, a 64-bit name of doc_id and text; null where doc_id is."""
+    return docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.md5("text"))))
+
+
+def _texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """__key, doc_id, n_shingles, lead for each distinct doc_id and text, and each null doc_id; lead is the first (doc_id, __key) of its component."""
+    scratch = Scratch(docs.sparkSession)
+    keyed = _keyed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    once = scratch.save(keyed.where("__key IS NOT NULL").dropDuplicates(["__key"]).union(keyed.where("__key IS NULL")), "texts")
+    found = scratch.save(_components(once.select(F.col("__key").alias("doc_id"), "text"), width, percent), "found")
+    owned = found.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "__key").join(once.where("__key IS NOT NULL").select("__key", "doc_id"), "__key")
+    leads = owned.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("lead"))
+    named = owned.join(leads, "component_id").select("__key", "doc_id", "n_shingles", "lead")
+    none = found.where("doc_id IS NULL").select(F.col("doc_id").alias("__key"), "doc_id", "n_shingles", F.lit(None).cast(named.schema["lead"].dataType).alias("lead"))
+    return scratch.save(named.union(none), "leads")
+
+
+def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """doc_id, n_shingles, component_id: the smallest doc_id reachable by links, itself included.
+
+    One row for each row of docs. component_id of a document without shingles is its own doc_id.
+    """
+    docs = docs.select("doc_id", "text")
+    if not _repeats(docs):
+        return _components(docs, width, percent)
+    texts = _texts(docs, width, percent)
+    each = _keyed(docs).where("__key IS NOT NULL").select("__key").join(texts, "__key")
+    return each.union(texts.where("__key IS NULL")).select("doc_id", "n_shingles", F.col("lead.doc_id").alias("component_id"))
+
+
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents of which doc_id is the smallest of its component, and those without a doc_id; columns as they came."""
-    groups = jaccard_components(docs, width, percent)
-    keep = groups.where("component_id = doc_id").select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi").dropDuplicates(["doc_id"])
+    if _repeats(docs):
+        keep = _texts(docs, width, percent).where("__key = lead.__key").select("__key")
+        kept = _keyed(docs).join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    else:
+        keep = _components(docs.select("doc_id", "text"), width, percent).where("component_id = doc_id").select(F.col("doc_id").alias("__keep"))
+        kept = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi")
     return kept.unionByName(docs.where("doc_id IS NULL"))

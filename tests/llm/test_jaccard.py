@@ -63,6 +63,30 @@ def test_repeated_and_null_ids(spark):
     assert {r["doc_id"] for r in j.keep_one(docs, 3, 90).collect()} == {1, None}
 
 
+def test_repeats_in_a_large_group(spark):
+    rng = random.Random(9)
+    core, pool = [f"c{i}" for i in range(35)], [f"p{i}" for i in range(60)]
+    rows = [(0, core + pool[:10])]
+    for i in range(1, 41, 2):
+        own = rng.sample(pool[10:], 15)
+        rows += [(i, core + own[:10]), (i + 1, core + own[5:])]  # 40 of 50 words shared: exactly 0.8
+    # the pool's words are common elsewhere, so the core's words are all that prefixes hold
+    rows += [(100 + i, pool + [f"u{i}x{k}" for k in range(200)]) for i in range(120)]
+    rows = [(i, " ".join(w)) for i, w in rows]
+    docs = spark.createDataFrame(rows + [rows[0]] * 2 + rows[3:9], "doc_id long, text string")
+    out = j.jaccard_components(docs, 1, 80).collect()
+    want = brute(rows, 1, 80)
+    assert len(out) == docs.count() and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
+    assert sorted(r["doc_id"] for r in j.keep_one(docs, 1, 80).collect()) == sorted(i for i, (_, c) in want.items() if i == c)
+
+
+def test_repeated_ids_of_other_texts(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "a b c d"), (2, "e f g h"), (2, "e f g h"), (3, "E f g h"), (4, None), (4, "i j k")], "doc_id long, text string")
+    out = [(r["doc_id"], r["n_shingles"], r["component_id"]) for r in j.jaccard_components(docs, 3, 90).collect()]
+    assert sorted(out) == [(1, 2, 1), (2, 2, 1), (2, 2, 2), (2, 2, 2), (3, 2, 2), (4, 0, 4), (4, 1, 4)]
+    assert sorted(map(str, map(tuple, j.keep_one(docs, 3, 90).collect()))) == sorted(map(str, [(1, "a b c d"), (2, "e f g h"), (4, None), (4, "i j k")]))
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert j.jaccard_components(docs).count() == 0 and j.keep_one(docs).count() == 0
