@@ -20,7 +20,6 @@ neighbours and copies; an empty table gives no rows; a page is read whole, whate
 from __future__ import annotations
 
 import re
-from difflib import SequenceMatcher
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -108,14 +107,52 @@ def blocks_of(html: str | None) -> list[tuple[str, bool]]:
     return marked or parser.found
 
 
-def shared(a: list[str], b: list[str]) -> list[bool]:
-    """Which blocks of a are in the longest common subsequence with b that differencing finds."""
+def shared(a: list, b: list) -> list[bool]:
+    """Which blocks of a are in a longest common subsequence with b.
+
+    Common ends belong to one and are taken off first, then blocks that the other side lacks. The rest is aligned by
+    Hirschberg's halving: memory is that of rows of lengths, time the product of what is left of both.
+    """
     out = [False] * len(a)
-    for x in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks():
-        out[x.a : x.a + x.size] = [True] * x.size
+    lo, end = 0, min(len(a), len(b))
+    while lo < end and a[lo] == b[lo]:
+        out[lo] = True
+        lo += 1
+    hi = 0
+    while hi < end - lo and a[-1 - hi] == b[-1 - hi]:
+        out[len(a) - 1 - hi] = True
+        hi += 1
+    own, other = set(a[lo : len(a) - hi]), set(b[lo : len(b) - hi])
+    places = [i for i in range(lo, len(a) - hi) if a[i] in other]
+    rest = [x for x in b[lo : len(b) - hi] if x in own]
+    work = [(places, rest)]
+    while work:
+        left, right = work.pop()
+        if not left or not right:
+            continue
+        if len(left) == 1:
+            out[left[0]] = a[left[0]] in right
+            continue
+        half = len(left) // 2
+        head = _lengths([a[i] for i in left[:half]], right)
+        tail = _lengths([a[i] for i in reversed(left[half:])], right[::-1])
+        cut = max(range(len(right) + 1), key=lambda k: head[k] + tail[len(right) - k])
+        work += [(left[:half], right[:cut]), (left[half:], right[cut:])]
     return out
 
 
+def _lengths(a: list, b: list) -> list[int]:
+    """Length of a longest common subsequence of a with each beginning of b."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        above = 0
+        for k, y in enumerate(b, 1):
+            here = row[k]
+            row[k] = above + 1 if x == y else max(here, row[k - 1])
+            above = here
+    return row
+
+
 def nearest(path: str, before: str | None, after: str | None) -> int:
     """-1 or 1 for the neighbour with the longer common prefix; 0 without neighbours."""
 

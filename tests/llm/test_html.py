@@ -17,6 +17,32 @@ def test_neighbours():
     assert h.nearest("/a/b1", "/a/a", "/a/b2") == 1 and h.nearest("/a", "/a", "/a") == -1 and h.nearest("/a", None, None) == 0 and h.nearest("/a", None, "/z") == 1
 
 
+def test_shared_is_a_longest_common_subsequence():
+    import random
+    from functools import cache
+
+    def length(a, b):
+        @cache
+        def best(i, k):
+            if i == len(a) or k == len(b):
+                return 0
+            return 1 + best(i + 1, k + 1) if a[i] == b[k] else max(best(i + 1, k), best(i, k + 1))
+
+        return best(0, 0)
+
+    def inside(x, b):
+        at = iter(b)
+        return all(y in at for y in x)
+
+    own, other = "p q m1 t1 m2 t2 m3".split(), "m1 u1 m2 u2 m3 p q".split()
+    assert [x for x, hit in zip(own, h.shared(own, other)) if hit] == ["m1", "m2", "m3"]
+    rng = random.Random(4)
+    for _ in range(2000):
+        a, b = ([rng.randrange(rng.choice([2, 5, 12])) for _ in range(rng.randrange(14))] for _ in "ab")
+        found = [x for x, hit in zip(a, h.shared(a, b), strict=True) if hit]
+        assert len(found) == length(a, b) and inside(found, b)
+
+
 def plain(pages):
     """Without Spark: sort by host and path, compare neighbours."""
     import re
