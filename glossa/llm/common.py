@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,20 +16,69 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of an Arrow batch that Spark hands to a task, and characters of text that a task works on at a time.
+BATCH_BYTES, SLICE = 4 << 20, 1 << 20
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir. In a single JVM, as in tests, one of our own where it is unset."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="glossa-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Limits Arrow batches to BATCH_BYTES, so that a task's Python process holds little at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"([0-9]+)b?", spark.conf.get(key))
+    if not now or int(now[1]) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
+def sliced(batches, column: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches with about SLICE bytes in a column of texts; a longer text is alone."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        lo = held = 0
+        for i, size in enumerate(sizes.tolist()):
+            if i > lo and held + size > SLICE:
+                yield batch.slice(lo, i - lo)
+                lo, held = i, 0
+            held += size
+        if batch.num_rows > lo:
+            yield batch.slice(lo)
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def all_of(df: DataFrame) -> list[Column]:
+    """The columns of a table, whatever their names."""
+    return [F.col(quoted(c)) for c in df.columns]
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of the table has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Tables written to the shared folder, to cut lineage; each name is written once and can be dropped."""
 
     def __init__(self, spark: SparkSession):
         self.spark, self.root = spark, f"{shared_folder(spark)}/glossa-{uuid.uuid4().hex}"
+        bounded(spark)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.root}/{name}")
@@ -75,22 +126,19 @@ def components(scratch: Scratch, edges: DataFrame, a: str, b: str, name: str) ->
 MAP_BITS = 1 << 22
 
 
-def bit_map(keys: DataFrame, key: Column):
-    """A broadcast map of MAP_BITS bits in which the bits of the keys are set."""
+def bit_map(keys: DataFrame, key: Column) -> DataFrame:
+    """(at, bits): a map of MAP_BITS bits in which the bits of the keys are set, as MAP_BITS / 64 rows at most."""
     slot = keys.select(F.pmod(F.xxhash64(key), F.lit(MAP_BITS)).alias("s"))
-    parts = slot.groupBy(F.shiftright("s", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(s, 64) AS int)))").alias("bits")).toArrow()
-    bits = np.zeros(MAP_BITS // 64, np.int64)
-    bits[parts["at"].to_numpy()] = parts["bits"].to_numpy()
-    return keys.sparkSession.sparkContext.broadcast(bits)
-
+    return slot.groupBy(F.shiftright("s", 6).cast("int").alias("at")).agg(F.expr("bit_or(shiftleft(1L, cast(pmod(s, 64) AS int)))").alias("bits"))
 
-def hits(df: DataFrame, known, key: Column, wanted: bool = True) -> DataFrame:
-    """The rows of which the key's bit is set, among them all rows with a wanted key; or the other rows."""
 
-    def keep(batches):
-        for batch in batches:
-            s = batch.column(batch.num_columns - 1).to_numpy()
-            mask = ((known.value[s >> 6] >> (s & 63)) & 1 == 1) == wanted
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(mask))
+def hits(df: DataFrame, known: DataFrame, key: Column, wanted: bool = True) -> DataFrame:
+    """The rows of which the key's bit is set, among them all rows with a wanted key; or the other rows.
 
-    return df.select("*", F.pmod(F.xxhash64(key), F.lit(MAP_BITS)).alias("__slot")).mapInArrow(keep, df.schema)
+    The map has a bounded size, so it is broadcast.
+    """
+    slot, at, bits = unused(df, "slot", "at", "bits")
+    met = df.withColumn(slot, F.pmod(F.xxhash64(key), F.lit(MAP_BITS)))
+    met = met.join(F.broadcast(known.toDF(at, bits)), F.shiftright(F.col(slot), 6).cast("int") == F.col(at), "left")
+    found = F.expr(f"coalesce(shiftright({bits}, cast(pmod({slot}, 64) AS int)) & 1L, 0L) = 1L")
+    return met.where(found if wanted else ~found).select(*all_of(df))

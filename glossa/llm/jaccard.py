@@ -15,6 +15,13 @@ members all pairs but those whose known distances to the group's smallest docume
 Jaccard distance obeys the triangle inequality; in larger groups those that a prefix filter on the differences from the
 smallest document leaves. Documents with equal sets are one member throughout.
 
+A pair counts in a group only where the token's places in both sets leave room for enough shared tokens after it. Under the
+other orders prefixes are twice as long, and the tokens that two of them share must be so many that the rest could make up
+what is wanting; both bounds hold for every linked pair, and cut pairs before whole sets are fetched.
+
+Tokens that the sketch shows to be rare are grouped by a window. Those it can't show to be so are counted with map-side
+aggregation and joined with their counts, so that no task need hold all rows of a frequent token.
+
 Sets are compared by hash: two documents of n shingles meet a false match with a probability near n^2 / 2^64.
 
 Defined cases: null and empty texts have no shingles and no links; texts with fewer words than a shingle are one shingle;
@@ -30,9 +37,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm.common import Scratch, bit_map, components, hits
+from glossa.llm.common import Scratch, all_of, bit_map, components, hits, sliced, unused
 
-SLOTS, ORDERS = 1 << 20, 3
+SLOTS, ORDERS = 1 << 19, 3
+#: Tokens whose slot counts fewer than 2^RARE documents are grouped by a window.
+RARE = 16
 #: Groups of up to so many members are compared pair by pair; larger ones by differences from their smallest document.
 SMALL = 32
 
@@ -72,10 +81,9 @@ def sketch(docs: DataFrame, width: int) -> DataFrame:
 
     def count(batches):
         counts = np.zeros(SLOTS, np.int64)
-        for batch in batches:
-            sets = [shingle_hashes(t, width) for t in batch.column(0).to_pylist()]
-            if sets:
-                counts += np.bincount((np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
+        for part in sliced(batches, 0):
+            sets = [shingle_hashes(t.as_py(), width) for t in part.column(0)]
+            counts += np.bincount((np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
         full = np.flatnonzero(counts)
         for k in range(0, len(full), 50_000):
             at = full[k : k + 50_000]
@@ -93,25 +101,41 @@ def classes(spark: SparkSession, counts: DataFrame):
 
 
 def profiles(docs: DataFrame, width: int, percent: int, ranks) -> DataFrame:
-    """doc_id, n, set_id (128-bit fingerprint), and the prefix under each order."""
+    """doc_id, n, set_id (128-bit fingerprint), the prefix under each order, and how many tokens of the first are rare.
+
+    The first prefix is in order. The others are twice as long, and sets of 32-bit values.
+    """
 
     def build(batches):
-        for batch in batches:
-            ids, texts = batch.columns
-            counts, names, kept = [], [], [[] for _ in range(ORDERS)]
-            for text in texts.to_pylist():
-                h = shingle_hashes(text, width)
-                counts.append(len(h))
+        for part in sliced(batches, 1):
+            counts, names, rare, kept = [], [], [], [[] for _ in range(ORDERS)]
+            for text in part.column(1):
+                h = shingle_hashes(text.as_py(), width)
+                n = len(h)
+                counts.append(n)
                 names.append(xxhash.xxh3_128_digest(h.tobytes()))
-                rank = ranks.value[(h & np.uint64(SLOTS - 1)).astype(np.int64)]
-                size = len(h) and len(h) - needed(len(h), percent) + 1
+                rank = ranks.value[(h & np.uint64(SLOTS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(58)
+                size = n and n - needed(n, percent) + 1
                 for k in range(ORDERS):
-                    kept[k].append(h[np.lexsort((_mix(h ^ np.uint64(k + 1)), rank))[:size]])
-            lists = [_lists(kept[0], np.int64), *(_lists([x >> np.uint64(32) for x in kept[k]], np.int32) for k in range(1, ORDERS))]
-            yield pa.RecordBatch.from_arrays([ids, pa.array(counts, pa.int64()), pa.array(names, pa.binary()), *lists], ["doc_id", "n", "set_id", *(f"p{k}" for k in range(ORDERS))])
+                    keys = rank | (_mix(h ^ np.uint64(k + 1)) >> np.uint64(6))
+                    if k == 0:
+                        first = np.argsort(keys)[:size]
+                        rare.append(int((rank[first] < (np.uint64(RARE) << np.uint64(58))).sum()))
+                        kept[0].append(h[first])
+                    else:
+                        some = longer(n, percent)
+                        first = np.argpartition(keys, some - 1)[:some] if some < n else slice(None)
+                        kept[k].append(np.unique(h[first] >> np.uint64(32)))
+            lists = [_lists(kept[0], np.int64), *(_lists(kept[k], np.int32) for k in range(1, ORDERS))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(rare, pa.int32()), *lists], ["doc_id", "n", "set_id", "rare", *(f"p{k}" for k in range(ORDERS))])
 
     kinds = ", ".join(["p0 array<long>", *(f"p{k} array<int>" for k in range(1, ORDERS))])
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, f"doc_id long, n long, set_id binary, {kinds}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, f"doc_id long, n long, set_id binary, rare int, {kinds}")
+
+
+def longer(n: int, percent: int) -> int:
+    """Tokens of a prefix under the orders after the first."""
+    return min(n, 2 * (n - needed(n, percent) + 1))
 
 
 def _lists(arrays: list[np.ndarray], kind) -> pa.ListArray:
@@ -125,8 +149,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int) -> DataFrame:
     """(doc_id, tokens) of the wanted documents. A bit map of fixed size tells tasks which texts to skip."""
 
     def build(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), _lists([shingle_hashes(t, width) for t in batch.column(1).to_pylist()], np.int64)], ["doc_id", "tokens"])
+        for part in sliced(batches, 1):
+            yield pa.RecordBatch.from_arrays([part.column(0), _lists([shingle_hashes(t.as_py(), width) for t in part.column(1)], np.int64)], ["doc_id", "tokens"])
 
     named = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     built = hits(named, bit_map(wanted, F.col("doc_id")), F.col("doc_id")).mapInArrow(build, "doc_id long, tokens array<long>")
@@ -138,17 +162,34 @@ def _both(a: str, b: str, percent: int) -> Column:
     return (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
 
+def _least(x: str, y: str, percent: int) -> Column:
+    """Tokens that linked sets of sizes x and y share at least."""
+    return F.expr(f"({percent} * ({x} + {y}) + {100 + percent} - 1) div {100 + percent}")
+
+
+def _room(nx: str, ax: str, ny: str, ay: str, percent: int) -> Column:
+    """Whether sets that first meet at places ax and ay (from 0) of the order can share enough."""
+    return F.least(F.col(nx) - F.col(ax), F.col(ny) - F.col(ay)) >= _least(nx, ny, percent)
+
+
 def _verified(scratch: Scratch, docs: DataFrame, table: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
     """x, y, nx, ny, shared for the pairs (x, y) that pass the filter of every further order; delta for those marked large.
 
-    delta holds the tokens that are in one of the two sets only.
+    delta holds the tokens that are in one of the two sets only. What two prefixes share is all that they can share but for
+    the tokens outside one of them. Prefixes are sets of 32-bit values: what that merges is granted to the pair.
     """
     other = [f"p{k}" for k in range(1, ORDERS)]
-    left = table.select(F.col("doc_id").alias("x"), *(F.col(c).alias(f"x_{c}") for c in other))
-    right = table.select(F.col("doc_id").alias("y"), *(F.col(c).alias(f"y_{c}") for c in other))
+    ends = scratch.save(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), f"{name}-ends")
+    some = hits(table.select("doc_id", "n", *other), bit_map(ends, F.col("doc_id")), F.col("doc_id"))
+    left = some.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), *(F.col(c).alias(f"x_{c}") for c in other))
+    right = some.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), *(F.col(c).alias(f"y_{c}") for c in other))
     passed = pairs.join(left, "x").join(right, "y")
+    size = lambda n: f"least({n}, 2 * ({n} - ({percent} * {n} + 99) div 100 + 1))"
     for c in other:
-        passed = passed.where(F.arrays_overlap(f"x_{c}", f"y_{c}"))
+        both = F.size(F.array_intersect(f"x_{c}", f"y_{c}"))
+        merged = F.expr(size("nx")) - F.size(f"x_{c}")
+        outside = F.greatest(F.expr(f"nx - {size('nx')}"), F.expr(f"ny - {size('ny')}"))
+        passed = passed.where((both > 0) & (both + merged + outside >= _least("nx", "ny", percent)))
     passed = scratch.save(passed.select("x", "y", "large"), f"{name}-passed")
     wanted = scratch.save(passed.select(F.col("x").alias("doc_id")).union(passed.select("y")).distinct(), f"{name}-wanted")
     sets = scratch.save(_sets(docs, wanted, width), f"{name}-sets")
@@ -160,17 +201,21 @@ def _verified(scratch: Scratch, docs: DataFrame, table: DataFrame, pairs: DataFr
     return met
 
 
+def _sides(mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return tuple(mixed.select("token", F.col("doc_id").alias(d), *(F.col(c).alias(f"{k}{d}") for c, k in (("n", "n"), ("at", "a"), ("component", "c"), ("far", "f")))) for d in "xy")
+
+
 def _small_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     """Pairs within groups of at most SMALL members that lie in different components and that no bound rules out."""
-    a, b = (mixed.select("token", F.col("doc_id").alias(d), F.col("n").alias(f"n{d}"), F.col("component").alias(f"c{d}"), F.col("far").alias(f"f{d}")) for d in "xy")
+    a, b = _sides(mixed)
     near = F.coalesce(F.abs(F.col("fx") - F.col("fy")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-    return a.join(b, "token").where("x < y AND cx <> cy").where(_both("nx", "ny", percent)).where(near).select("x", "y").distinct()
+    return a.join(b, "token").where("x < y AND cx <> cy").where(_both("nx", "ny", percent)).where(_room("nx", "ax", "ny", "ay", percent)).where(near).select("x", "y").distinct()
 
 
 def _unplaced_pairs(mixed: DataFrame, percent: int) -> DataFrame:
     """Pairs within larger groups of which one has not been compared with the group's smallest document."""
-    a, b = (mixed.select("token", F.col("doc_id").alias(d), F.col("n").alias(f"n{d}"), F.col("component").alias(f"c{d}"), F.col("far").alias(f"f{d}")) for d in "xy")
-    pairs = a.where("fx IS NULL").join(b, "token").where("cx <> cy").where(_both("nx", "ny", percent))
+    a, b = _sides(mixed)
+    pairs = a.where("fx IS NULL").join(b, "token").where("cx <> cy AND (fy IS NOT NULL OR x < y)").where(_both("nx", "ny", percent)).where(_room("nx", "ax", "ny", "ay", percent))
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
@@ -189,8 +234,7 @@ def _delta_pairs(met: DataFrame, parts: DataFrame, percent: int) -> DataFrame:
     each = each.withColumn("held", F.expr("count(*) OVER (PARTITION BY hub, token)"))
     each = each.withColumn("at", F.expr("row_number() OVER (PARTITION BY hub, doc_id ORDER BY held, token)").cast("long")).where("held > 1")
     a, b = (each.select("hub", "token", F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), F.col("linked").alias(f"l{k}"), F.col("d").alias(f"d{k}"), F.col("component").alias(f"c{k}"), F.col("at").alias(f"a{k}")) for k in "xy")
-    least = F.expr(f"({percent} * (nx + ny) + {100 + percent} - 1) div {100 + percent}")
-    need = F.ceil((F.col("dx") + F.col("dy") - (F.col("nx") + F.col("ny") - 2 * least)) / 2)
+    need = F.ceil((F.col("dx") + F.col("dy") - (F.col("nx") + F.col("ny") - 2 * _least("nx", "ny", percent))) / 2)
     pairs = a.where("NOT lx").join(b, ["hub", "token"]).where("x <> y AND cx <> cy AND (ly OR x < y)").where((F.col("ax") <= F.col("dx") - need + 1) & (F.col("ay") <= F.col("dy") - need + 1))
     return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
@@ -199,6 +243,16 @@ def _linked(met: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * F.col("shared") >= percent * (F.col("nx") + F.col("ny") - F.col("shared"))).select("x", "y")
 
 
+def _grouped(tokens: DataFrame) -> DataFrame:
+    """token, doc_id, n, at, held, hub, hub_n, hub_at of tokens that several documents hold."""
+    group, hub = "OVER (PARTITION BY token)", "struct(doc_id, n, at)"
+    few = tokens.where("rare").select("token", "doc_id", "n", "at", F.expr(f"count(*) {group}").alias("held"), F.expr(f"min({hub}) {group}").alias("hub")).where("held > 1")
+    many = tokens.where("NOT rare").select("token", "doc_id", "n", "at")
+    counts = many.groupBy("token").agg(F.count("*").alias("held"), F.expr(f"min({hub})").alias("hub")).where("held > 1")
+    both = few.unionByName(many.join(counts, "token"))
+    return both.select("token", "doc_id", "n", "at", "held", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at"))
+
+
 def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """jaccard_components of (doc_id, text) in which no doc_id repeats."""
     spark = docs.sparkSession
@@ -208,12 +262,14 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     small = table.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "set_id")
     members = scratch.save(small.join(small.groupBy("n", "set_id").agg(F.min("doc_id").alias("member")), ["n", "set_id"]).select("doc_id", "member"), "members")
     alone = members.select(F.col("member").alias("doc_id")).distinct()
-    tokens = table.select("doc_id", "n", "p0").join(alone, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "n", F.explode("p0").alias("token"))
-    group = "OVER (PARTITION BY token)"
-    tokens = tokens.select("token", "doc_id", "n", F.expr(f"count(*) {group}").alias("held"), F.expr(f"min(struct(doc_id, n)) {group}").alias("hub"))
-    tokens = scratch.save(tokens.where("held > 1").select("token", "doc_id", "n", "held", F.col("hub.doc_id").alias("hub"), F.col("hub.n").alias("hub_n")), "tokens")
-
-    first = tokens.where("doc_id <> hub").where(_both("n", "hub_n", percent)).groupBy(F.col("hub").alias("x"), F.col("doc_id").alias("y")).agg(F.max(F.col("held") > SMALL).alias("large"))
+    tokens = table.select("doc_id", "n", "rare", "p0").join(alone, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    tokens = tokens.select("doc_id", "n", F.posexplode("p0").alias("at", "token"), "rare").select("token", "doc_id", "n", "at", (F.col("at") < F.col("rare")).alias("rare"))
+    tokens = scratch.save(_grouped(tokens), "tokens")
+
+    # the pair is wanted if any of its tokens leaves room; it is large if any of its groups is
+    first = tokens.where("doc_id <> hub").where(_both("n", "hub_n", percent)).withColumn("room", _room("n", "at", "hub_n", "hub_at", percent))
+    first = first.groupBy(F.col("hub").alias("x"), F.col("doc_id").alias("y")).agg(F.max(F.col("held") > SMALL).alias("large"), F.max("room").alias("room")).where("room").drop("room")
+    first = scratch.save(first, "first")
     met = _verified(scratch, docs, table, first, width, percent, "one")
     links = _linked(met, percent)
     found = components(scratch, links, "x", "y", "one")
@@ -221,7 +277,7 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
 
     far = met.select(F.col("x").alias("hub"), F.col("y").alias("doc_id"), (1 - F.col("shared") / (F.col("nx") + F.col("ny") - F.col("shared"))).alias("far"))
     placed = tokens.join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).join(far, ["hub", "doc_id"], "left")
-    placed = placed.withColumn("far", F.when(F.col("doc_id") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far"))).select("token", "doc_id", "n", "component", "far", (F.col("held") > SMALL).alias("large"))
+    placed = placed.withColumn("far", F.when(F.col("doc_id") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far"))).select("token", "doc_id", "n", "at", "component", "far", (F.col("held") > SMALL).alias("large"))
     placed = scratch.save(placed, "placed")
     mixed = scratch.save(placed.join(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "token"), "mixed")
     second = _small_pairs(mixed.where("NOT large"), percent).union(_unplaced_pairs(mixed.where("large"), percent)).union(_delta_pairs(met, parts, percent)).distinct()
@@ -237,9 +293,9 @@ def _repeats(docs: DataFrame) -> bool:
     return not docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty()
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with __key, a 64-bit name of doc_id and text; null where doc_id is."""
-    return docs.withColumn("__key", F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.md5("text"))))
+def _keyed(docs: DataFrame, name: str = "__key") -> DataFrame:
+    """docs with a 64-bit name of doc_id and text; null where doc_id is."""
+    return docs.withColumn(name, F.when(F.col("doc_id").isNotNull(), F.xxhash64(F.col("doc_id").cast("long"), F.md5("text"))))
 
 
 def _texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -270,10 +326,11 @@ def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Da
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The documents of which doc_id is the smallest of its component, and those without a doc_id; columns as they came."""
+    name, keep = unused(docs, "key", "keep")
     if _repeats(docs):
-        keep = _texts(docs, width, percent).where("__key = lead.__key").select("__key")
-        kept = _keyed(docs).join(keep, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+        kept = _texts(docs, width, percent).where("__key = lead.__key").select(F.col("__key").alias(keep))
+        found = _keyed(docs, name).join(kept, F.col(name) == F.col(keep), "left_semi").dropDuplicates([name]).select(*all_of(docs))
     else:
-        keep = _components(docs.select("doc_id", "text"), width, percent).where("component_id = doc_id").select(F.col("doc_id").alias("__keep"))
-        kept = docs.join(keep, docs["doc_id"] == keep["__keep"], "left_semi")
-    return kept.unionByName(docs.where("doc_id IS NULL"))
+        kept = _components(docs.select("doc_id", "text"), width, percent).where("component_id = doc_id").select(F.col("doc_id").alias(keep))
+        found = docs.join(kept, F.col("doc_id") == F.col(keep), "left_semi")
+    return found.unionByName(docs.where("doc_id IS NULL"))
