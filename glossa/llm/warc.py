@@ -1,19 +1,19 @@
 """WARC archives: writing, and reading back by boundary-chain verification.
 
-Writing makes one record a page, in text files of at most RECORDS_PER_FILE records that Spark's writer makes. Of pages
-with equal payloads the one with the largest page_id (of equal ones, the greatest url) is a response; the others are
-revisit records, which carry no payload and name the page they refer to.
+Writing makes one record a page, in uncompressed files of at most RECORDS_PER_FILE records that Spark's writer makes, which
+Spark can split. Of pages with equal payloads the one with the largest page_id (of equal ones, the greatest url) is a
+response; the others are revisit records, which carry no payload and name the page they refer to.
 
 Reading takes no word in a payload for a record. Spark cuts the files at every occurrence of the magic; lengths before an
 occurrence in its file give its offset. Each occurrence that reads as a header is a candidate, which proposes the offset
 of its successor from its Content-Length. Pointer jumping from each file's start, which doubles the length of the jumps
 in each round, keeps the candidates that the chain of records reaches; what lies between two of them is payload, magic
 inside included. Nothing is read whole by one task: a file is cut by Spark's splits, and a record is put together from
-its own pieces.
+its own pieces. Pieces are numbered once, in a saved table, so that later reads can't number them otherwise.
 
 Defined cases: a null html is an empty payload, equal to other empty ones; a null url is written as empty and read back as
-null; rows that repeat a page are records of their own, all but one a revisit; an empty table gives no rows; other columns
-are ignored. A page_id must not be null: such rows are refused.
+null; a null page_id is written as none, ranks below all others and is read back as null; rows that repeat a page are records
+of their own, all but one a revisit; an empty table gives no rows; payloads are whole, whatever their length; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,13 +40,13 @@ def records(pages: DataFrame) -> DataFrame:
     Only payloads that may have an equal, by a bit map of the keys of those that have, are shuffled.
     """
     html = F.coalesce("html", F.lit(""))
-    page = F.when(F.col("page_id").isNull(), F.raise_error(F.lit("page_id is null"))).otherwise(F.col("page_id")).cast("long")
-    known = pages.select(page.alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), base32(F.sha1(F.encode(html, "UTF-8"))).alias("digest"), F.sha2(html, 256).alias("key"))
-    top = known.groupBy("key").agg(F.max("page_id").alias("original"), F.max(F.struct("page_id", F.coalesce("url", F.lit("")).alias("at")))["at"].alias("top_url"), F.count("*").alias("times")).where("times > 1")
+    known = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("html"), base32(F.sha1(F.encode(html, "UTF-8"))).alias("digest"), F.sha2(html, 256).alias("key"))
+    top = known.groupBy("key").agg(F.max(F.struct("page_id", F.coalesce("url", F.lit("")).alias("at"))).alias("top"), F.count("*").alias("times")).where("times > 1")
+    top = top.select("key", F.col("top.page_id").alias("original"), F.col("top.at").alias("top_url"), "times")
     twins = bit_map(top, F.col("key"))
     alone = hits(known, twins, F.col("key"), wanted=False).select("page_id", "url", "html", "digest", F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
     joined = hits(known, twins, F.col("key")).join(top, "key", "left")
-    first = F.col("times").isNull() | ((F.col("page_id") == F.col("original")) & (F.coalesce("url", F.lit("")) == F.col("top_url")))
+    first = F.col("times").isNull() | (F.col("page_id").eqNullSafe(F.col("original")) & (F.coalesce("url", F.lit("")) == F.col("top_url")))
     joined = joined.withColumn("first", first)
     # of equal rows one is the response; only they need a number
     nth = joined.where("first").withColumn("response", F.row_number().over(Window.partitionBy("key").orderBy("page_id")) == 1)
@@ -64,7 +64,7 @@ def write(pages: DataFrame, path: str) -> None:
     record = F.concat(
         F.lit(MAGIC),
         line("WARC-Type", F.col("record_type")),
-        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.col("page_id").cast("string"), F.lit(">"))),
+        line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))),
         line("WARC-Date", F.lit(DATE)),
         line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ")),
         F.when(F.col("refers_to").isNull(), "").otherwise(line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))),
@@ -75,11 +75,14 @@ def write(pages: DataFrame, path: str) -> None:
         F.lit("\r\n"), F.col("body"), F.lit("\r\n\r"),
     )
     # the writer's line feed is the last byte of a record
-    r.select(record.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path, lineSep="\n", compression="gzip")
+    r.select(record.alias("value")).write.mode("overwrite").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path, lineSep="\n", compression="none")
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """value, file, block, row: the bytes before, between and after occurrences of the magic, and their order in a file."""
+    """value, file, block, row: the bytes before, between and after occurrences of the magic, and their order in a file.
+
+    Numbers hold for one scan alone.
+    """
     return spark.read.option("lineSep", MAGIC).text(path).select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
 
 
@@ -92,8 +95,8 @@ def chain(scratch: Scratch, candidates: DataFrame) -> DataFrame:
     reached = scratch.save(candidates.where("offset = 0").select("file", "offset"), "reached-0")
     step, had = 0, reached.count()
     while True:
-        on = reached.join(jumps, ["file", "offset"]).select("file", F.col("successor").alias("offset"))
-        valid = on.join(candidates.select("file", "offset"), ["file", "offset"], "left_semi")
+        on = reached.join(jumps.hint("merge"), ["file", "offset"]).select("file", F.col("successor").alias("offset"))
+        valid = on.join(candidates.select("file", "offset").hint("merge"), ["file", "offset"], "left_semi")
         step += 1
         reached = scratch.save(reached.union(valid).distinct(), f"reached-{step}")
         now = reached.count()
@@ -103,7 +106,7 @@ def chain(scratch: Scratch, candidates: DataFrame) -> DataFrame:
             return reached
         had = now
         further = jumps.select("file", F.col("offset").alias("successor"), F.col("successor").alias("further"))
-        jumps = scratch.save(jumps.join(further, ["file", "successor"]).select("file", "offset", F.col("further").alias("successor")), f"jump-{step}")
+        jumps = scratch.save(jumps.join(further.hint("merge"), ["file", "successor"]).select("file", "offset", F.col("further").alias("successor")), f"jump-{step}")
         scratch.drop(f"jump-{step - 1}")
 
 
@@ -132,12 +135,11 @@ def _payload(content: Column) -> Column:
 
 
 def walk(spark: SparkSession, path: str):
-    """Pieces with what is known of each, and for the pieces of reached records where the record starts.
+    """The saved pieces, and what is known of those of reached records, with where the record starts.
 
     A piece that holds its record whole has the length and digest of its payload; of others these are null.
     """
     scratch = Scratch(spark)
-    raw = pieces(spark, path)
     order = Window.partitionBy("file").orderBy("block", "row")
     facts = F.struct(F.octet_length("value").cast("long").alias("size"), F.substring_index(_latin(F.col("value")), END, 1).alias("head"), F.col("value").alias("value"))
 
@@ -146,20 +148,20 @@ def walk(spark: SparkSession, path: str):
         payload = let(_content(x["value"], x["head"]), lambda c: let(_payload(c), lambda p: F.struct(F.octet_length(p).cast("long").alias("bytes"), base32(F.sha1(p)).alias("digest"))))
         return F.struct(x["size"].alias("size"), x["head"].alias("head"), F.when(whole, payload).alias("own"), F.coalesce(whole, F.lit(False)).alias("whole"))
 
-    light = raw.select("file", "block", "row", let(facts, known).alias("x")).select("file", "block", "row", "x.*")
-    light = light.withColumn("offset", F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - len(MAGIC))
+    raw = scratch.save(pieces(spark, path).select("file", "block", "row", let(facts, known).alias("x"), "value").select("file", "block", "row", "x.*", "value"), "raw")
+    light = raw.drop("value").withColumn("offset", F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - len(MAGIC))
     light = scratch.save(light, "pieces")
     found = light.where("offset >= 0").select("file", "offset", (F.col("offset") + len(MAGIC) + F.length("head") + len(END) + _length(F.col("head")) + len(END)).alias("successor"))
     reached = chain(scratch, found.where("successor IS NOT NULL"))
     # a piece belongs to the last reached record at or before it
-    owned = light.where("offset >= 0").join(reached.withColumn("start", F.col("offset")), ["file", "offset"], "left")
+    owned = light.where("offset >= 0").join(reached.withColumn("start", F.col("offset")).hint("merge"), ["file", "offset"], "left")
     owned = owned.withColumn("start", F.last("start", True).over(Window.partitionBy("file").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0))).where("start IS NOT NULL")
     return scratch, raw, scratch.save(owned, "owned")
 
 
 def joined(raw: DataFrame, owned: DataFrame) -> DataFrame:
     """head, content of each record, put together from its pieces."""
-    parts = raw.join(owned.select("file", "block", "row", "start", "offset"), ["file", "block", "row"]).groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("parts"))
+    parts = raw.select("file", "block", "row", "value").join(owned.select("file", "block", "row", "start", "offset"), ["file", "block", "row"]).groupBy("file", "start").agg(F.array_sort(F.collect_list(F.struct("offset", "value"))).alias("parts"))
     data = F.aggregate(F.slice("parts", 2, F.greatest(F.size("parts") - 1, F.lit(0))), F.col("parts")[0]["value"], lambda acc, x: F.concat(acc, F.encode(F.lit(MAGIC), "UTF-8"), x["value"]))
     value = parts.select(data.alias("value"))
     return value.select(F.substring_index(_latin(F.col("value")), END, 1).alias("head"), "value").select("head", _content(F.col("value"), F.col("head")).alias("content"))
@@ -174,7 +176,10 @@ def _named(head: Column) -> list[Column]:
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, url, record_type, refers_to, payload_digest (as written), payload (null for revisits)."""
+    """page_id, url, record_type, refers_to, payload_digest (as written), payload (null for revisits).
+
+    The result is computed from tables in the shared folder, which stay there.
+    """
     _, raw, owned = walk(spark, path)
     found = joined(raw, owned).select(*_named(F.col("head")), _payload(F.col("content")).alias("payload"))
     return found.withColumn("payload", F.when(F.col("record_type") == "response", F.col("payload")))
@@ -201,8 +206,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     rest = joined(cut, several).select(*_named(F.col("head")), _payload(F.col("content")).alias("p")).select("page_id", "url", "record_type", "refers_to", "payload_digest", F.octet_length("p").cast("long").alias("own_bytes"), base32(F.sha1("p")).alias("own_digest"))
     back = scratch.save(whole.unionByName(rest).drop("url"), "back")
     home.drop("archives")
-    scratch.drop("pieces")
+    for name in ("raw", "pieces", "owned"):
+        scratch.drop(name)
     own = F.col("record_type") == "response"
     full = back.where(own).select(F.col("page_id").alias("refers_to"), F.col("own_digest").alias("payload_digest"), F.col("own_bytes").alias("full_bytes"))
-    same = back.join(full, ["refers_to", "payload_digest"], "left")
+    same = back.join(full, back["refers_to"].eqNullSafe(full["refers_to"]) & (back["payload_digest"] == full["payload_digest"]) & (back["record_type"] == "revisit"), "left").drop(full["refers_to"]).drop(full["payload_digest"])
     return same.select("page_id", F.when(own, F.col("own_bytes")).otherwise(F.col("full_bytes")).alias("payload_bytes"), F.when(own, F.col("own_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"), "record_type", "refers_to")

@@ -41,5 +41,28 @@ def test_payloads_come_back(spark):
             assert bytes(got[p]["payload"]) == (html or "").encode()
 
 
+def test_no_record_is_lost_when_splits_change(spark):
+    rows = pages()
+    scratch = Scratch(spark)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        warc.write(spark.createDataFrame(rows, SCHEMA), f"{scratch.root}/w")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+        _, raw, owned = warc.walk(spark, f"{scratch.root}/w")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        found = warc.joined(raw, owned).select(*warc._named(warc.F.col("head"))).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r["page_id"] for r in found) == sorted(r[0] for r in rows)
+
+
+def test_null_page_id_and_a_long_payload(spark):
+    long = "WARC/1.1\r\n" + "é" * 700_000 + "WARC/1.1\r\n"
+    rows = [(None, "u", "x", "h"), (None, "v", "x", "h"), (None, "v", "x", "h"), (4, "u", long, "h"), (3, "u", long, "h"), (5, None, "x!", "h"), (None, None, None, None)]
+    got = {(r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in warc.round_trip(spark.createDataFrame(rows, SCHEMA)).collect()}
+    n = len(long.encode())
+    assert got == {(None, "response", None, 1), (None, "revisit", None, 1), (4, "response", None, n), (3, "revisit", 4, n), (5, "response", None, 2), (None, "response", None, 0)}
+
+
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
