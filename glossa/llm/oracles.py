@@ -104,9 +104,17 @@ WITH d AS (
   UNION ALL SELECT doc_id, 0, NULL FROM d WHERE doc_id NOT IN (SELECT doc_id FROM runs)
 ), kept AS (
   SELECT d.doc_id, sha256(unhex(coalesce(string_agg(hex(array_slice(b, x + 1, coalesce(y, n))), '' ORDER BY x) FILTER (WHERE x < coalesce(y, n)), ''))) AS kept_sha256 FROM d JOIN edges USING (doc_id) GROUP BY d.doc_id
+), t AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), spots AS (
+  SELECT doc_id, words, unnest(range(0, len(words) - 49)) AS s FROM t WHERE len(words) >= 50
+), word_dup AS (
+  SELECT doc_id, s FROM (SELECT doc_id, s, md5(array_to_string(words[s + 1:s + 50], ' ')) AS h FROM spots) QUALIFY count(*) OVER (PARTITION BY h) > 1
+), shared AS (
+  SELECT doc_id, CAST(sum(least(50, coalesce(after - s, 50))) AS BIGINT) AS n_repeated_words FROM (SELECT doc_id, s, lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS after FROM word_dup) GROUP BY doc_id
 )
-SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256
-FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+SELECT d.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256, coalesce(n_repeated_words, 0) AS n_repeated_words
+FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id) LEFT JOIN shared USING (doc_id)
 """
 
 

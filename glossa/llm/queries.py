@@ -88,7 +88,7 @@ _add("op9_hashed_ngrams", op9_hashed_ngrams)
 
 
 def op6_lyndon_suffixes(spark, sf_dir):
-    return _suffixes.dedup(_table(spark, sf_dir, "documents"))
+    return _suffixes.dedup(_table(spark, sf_dir, "documents"), words=_suffixes.WORDS)
 
 
 _add("op6_lyndon_suffixes", op6_lyndon_suffixes, oracles.SUFFIXES)

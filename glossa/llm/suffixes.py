@@ -1,23 +1,25 @@
 """Removal of repeated byte strings by suffix arrays, which are built by Lyndon grouping.
 
-A byte goes if a string of ``length`` bytes that covers it starts anywhere else too, in the same text or in another.
+A byte goes if a string of ``length`` bytes that covers it starts anywhere else too, in the same text or in another. The
+same is done for words: ``repeated_words`` counts the words that strings of so many words cover.
 
-Anchors bring equal strings together. Every run of WINDOW grams of ``length - WINDOW + 1`` bytes selects its grams of the
-smallest hash, which depend on the run's bytes alone; so equal strings hold equal anchors at equal places. Anchors whose
-hash occurs once in all texts are done with. For the others the bytes around are fetched: WINDOW - 1 to either side. A
-string that holds the anchor is then some bytes of its left side, the anchor, and some of its right side, WINDOW symbols
-in all with the anchor as one symbol of its own. The sides of all anchors of a hash go to one task, which builds the
-suffix array of their sequence and reads repeated strings off neighbours that agree in WINDOW symbols.
+Anchors bring equal strings together. Every run of ``window`` grams of ``length - window + 1`` units (bytes, or hashes of
+words) selects its grams of the smallest hash, which depend on the run's units alone; so equal strings hold equal anchors at
+equal places. Anchors whose hash occurs once in all texts are done with. For the others the units around are fetched:
+``window - 1`` to either side. A string that holds the anchor is then some of its left side, the anchor, and some of its
+right side, ``window`` symbols in all with the anchor as one symbol of its own. Sides that occur twice are repeats in full.
+The distinct pairs of sides of an anchor go to one task, which builds the suffix array of their sequence and reads repeated
+strings off neighbours that agree in ``window`` symbols.
 
 ``suffix_array`` takes linear time: suffixes are grouped by the longest Lyndon word that they start with, groups being
 processed in descending order and handing their word on to the suffix that the previous-smaller pointer names; then each
 group's order is emitted in one ascending pass along those pointers, without renaming or recursion.
 
-Equal texts are one text with a count in all this, and are removed whole. Of a hash that more than HOT places hold, equal
-pairs of sides are first reduced to one by a window, the others being repeats in full. Hashes with more than MOST distinct
-pairs aren't collected even then: there each string is a group of its own, by a 128-bit hash, which Spark counts.
+Equal texts are one text with a count in all this, and are removed whole. Counts of texts, anchors and sides are aggregated
+in the map tasks and joined back, so that no task need hold all places of one. Anchors with more than MOST distinct pairs of
+sides aren't collected: there each string is a group of its own, by a 128-bit hash, which Spark counts; the result is the same.
 
-Texts are compared by 64-bit hash and length, anchors by two 64-bit hashes.
+Texts are compared by 64-bit hash and length, anchors and sides by two 64-bit hashes.
 
 Defined cases: a null text is empty; texts shorter than ``length`` keep all bytes; rows that repeat are copies of each other;
 an empty table gives no rows; texts are read whole; other columns are ignored.
@@ -33,13 +35,42 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import Scratch, bit_map, hits
+from glossa.llm.common import Scratch, bit_map, hits, sliced, words_of
 
-LENGTH, WINDOW = 400, 65
-HOT, MOST, BATCH, PART = 2000, 8192, 1 << 16, 1 << 20
+LENGTH, WINDOW = 400, 129
+WORDS, WORD_WINDOW = 50, 17
+MOST, BATCH, PART = 8192, 1 << 16, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 
 
+class Bytes:
+    """Texts as their bytes in UTF-8."""
+
+    kind = np.uint8
+
+    def __call__(self, text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+
+
+class Words:
+    """Texts as 64-bit hashes of their words, which ASCII white space parts."""
+
+    kind = np.uint64
+
+    def __init__(self):
+        self.known: dict[bytes, int] = {}
+
+    def __call__(self, text: str) -> np.ndarray:
+        found = text.encode("utf-8", "surrogatepass").split()
+        if len(self.known) > 1 << 17:
+            self.known.clear()
+        known = self.known
+        for w in found:
+            if w not in known:
+                known[w] = xxhash.xxh64_intdigest(w)
+        return np.fromiter((known[w] for w in found), np.uint64, len(found))
+
+
 def suffix_array(text: list[int]) -> list[int]:
     """Starts of the suffixes of a sequence of positive integers, in ascending order."""
     t = [*text, 0]
@@ -54,48 +85,58 @@ def suffix_array(text: list[int]) -> list[int]:
     below = list(range(-1, len(members) - 1))
     above = [*range(1, len(members)), -1]
     done = [False] * len(members)
-    previous = [-1] * n
+    unknown = -2
+    previous = [unknown] * n
     # groups from the highest down: each hands its Lyndon word to the suffixes before its members
     g = len(members) - 1
     while g >= 0:
         done[g] = True
         times: dict[int, int] = {}
         own = [i for i in members[g] if group[i] == g]
-        own.sort()
         members[g] = own
         for i in own:
-            p = i - 1
-            while p >= 0 and done[group[p]]:
-                p = previous[p]
-            previous[i] = p
+            if previous[i] == unknown:
+                # of members that stand before i and are in its way, the pointers are found first
+                wait = [(i, i - 1)]
+                while wait:
+                    j, p = wait.pop()
+                    while p >= 0 and done[group[p]] and previous[p] != unknown:
+                        p = previous[p]
+                    if p >= 0 and done[group[p]]:
+                        wait += [(j, p), (p, p - 1)]
+                    else:
+                        previous[j] = p
+            p = previous[i]
             if p >= 0:
                 times[p] = times.get(p, 0) + 1
         if times:
             # a suffix that takes the word more often ranks above one that takes it less often, and both above the rest
             most = max(times.values())
+            often: list[list[int]] = [[] for _ in range(most + 1)]
+            for p, c in times.items():
+                often[c].append(p)
             for k in range(most, 0, -1):
                 new: dict[int, int] = {}
-                for p, c in times.items():
-                    if c == k:
-                        old = group[p]
-                        to = new.get(old)
-                        if to is None:
-                            to = new[old] = len(members)
-                            members.append([])
-                            done.append(False)
-                            below.append(old)
-                            up = above[old]
-                            above.append(up)
-                            above[old] = to
-                            below[up] = to
-                        group[p] = to
-                        members[to].append(p)
+                for p in often[k]:
+                    old = group[p]
+                    to = new.get(old)
+                    if to is None:
+                        to = new[old] = len(members)
+                        members.append([])
+                        done.append(False)
+                        below.append(old)
+                        up = above[old]
+                        above.append(up)
+                        above[old] = to
+                        below[up] = to
+                    group[p] = to
+                    members[to].append(p)
         g = below[g]
     # where each group starts
     slot, at, g = [0] * len(members), 0, 0
     while g != -1:
         slot[g] = at
-        at += sum(1 for i in members[g] if group[i] == g) if not done[g] else len(members[g])
+        at += len(members[g])
         g = above[g]
     out, placed = [-1] * n, [False] * (n + 1)
     out[0] = n - 1
@@ -130,16 +171,16 @@ def _extreme(a: np.ndarray, w: int, f) -> np.ndarray:
     return f(a[: len(a) - (w - span)], a[w - span :]) if w > span else a
 
 
-def anchors(data: bytes, length: int, window: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
+def anchors(units: np.ndarray, length: int, window: int, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
     """Places and hashes of the anchors of a text. Long texts are taken in overlapping parts."""
     gram = length - window + 1
     places, hashes = [], []
-    for lo in range(0, max(len(data) - length + 1, 0), PART - length + 1):
-        b = np.frombuffer(data[lo : lo + PART], np.uint8)
+    for lo in range(0, max(len(units) - length + 1, 0), PART - length + 1):
+        b = units[lo : lo + PART].astype(np.uint64)
         n = len(b)
         with np.errstate(over="ignore"):
             s = np.zeros(n + 1, np.uint64)
-            np.cumsum((b.astype(np.uint64) + np.uint64(1)) * powers.up[:n], out=s[1:])
+            np.cumsum((b + np.uint64(1)) * powers.up[:n], out=s[1:])
             h = (s[gram:] - s[:-gram]) * powers.down[: n - gram + 1]
             h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
             h ^= h >> np.uint64(29)
@@ -156,86 +197,90 @@ def anchors(data: bytes, length: int, window: int, powers: Powers) -> tuple[np.n
     return at, np.concatenate(hashes)[first]
 
 
-def _anchor_rows(texts: DataFrame, length: int, window: int) -> DataFrame:
-    """(key, tkey, n, pos) of each anchor; a text that a task has met before is skipped."""
+def _anchor_rows(texts: DataFrame, unit, length: int, window: int) -> DataFrame:
+    """(key, tkey, n, pos) of each anchor."""
 
     def build(batches):
-        powers, seen = Powers(PART), set()
-        for batch in batches:
+        powers, units = Powers(PART), unit()
+        for part in sliced(batches, 2):
             keys, owners, sizes, places = [], [], [], []
-            for tkey, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
-                if len(data) < length or (tkey, len(data)) in seen:
-                    continue
-                if len(seen) < 1 << 17:
-                    seen.add((tkey, len(data)))
-                at, h = anchors(data, length, window, powers)
+            for tkey, n, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                at, h = anchors(units(text.as_py()), length, window, powers)
                 keys.append(h.view(np.int64))
                 places.append(at)
                 owners.append(np.full(len(at), tkey, np.int64))
-                sizes.append(np.full(len(at), len(data), np.int64))
-            for part in range(0, len(keys), 256):
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x[part : part + 256])) for x in (keys, owners, sizes, places)], ["key", "tkey", "n", "pos"])
+                sizes.append(np.full(len(at), n, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, owners, sizes, places)], ["key", "tkey", "n", "pos"])
+
+    return texts.where(f"n >= {length}").select("tkey", "n", "text").mapInArrow(build, "key long, tkey long, n long, pos long")
 
-    return texts.select("tkey", "text").mapInArrow(build, "key long, tkey long, n long, pos long")
 
+SIDES = "key long, check long, left binary, right binary, tkey long, n long, pos long"
 
-def _sides(texts: DataFrame, wanted: DataFrame, length: int, window: int) -> DataFrame:
-    """(key, check, left, right, tkey, n, pos): the bytes to either side of the wanted anchors, and a second hash of each."""
+
+def _sides(texts: DataFrame, wanted: DataFrame, unit, length: int, window: int) -> DataFrame:
+    """key, check, left, right, tkey, n, pos: the units to either side of the wanted anchors, and a second hash of each."""
     gram = length - window + 1
-    lists = wanted.groupBy("tkey", "n").agg(F.collect_list(F.struct("key", "held", "pos")).alias("found"))
-    known = bit_map(lists, F.col("tkey"))
-    own = hits(texts, known, F.col("tkey")).dropDuplicates(["tkey", "n"])
+    lists = wanted.groupBy("tkey", "n").agg(F.collect_list(F.struct("key", "pos")).alias("found"))
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+    names = [x.split()[0] for x in SIDES.split(", ")]
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     def build(batches):
-        for batch in batches:
+        units = unit()
+        for part in sliced(batches, 2):
             rows = []
-            for tkey, n, text, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                data = text.encode("utf-8", "surrogatepass")
+            for tkey, n, text, found in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                data = units(text)
+                width, raw = data.itemsize, data.tobytes()
                 for x in found:
                     p = x["pos"]
-                    rows.append((x["key"], x["held"], xxhash.xxh64_intdigest(data[p : p + gram]) - (1 << 63), data[max(0, p - window + 1) : p], data[p + gram : p + gram + window - 1], tkey, n, p))
-                if len(rows) >= 20_000:
-                    yield _batch(rows)
+                    lo, a, b, hi = (width * max(0, v) for v in (p - window + 1, p, p + gram, p + gram + window - 1))
+                    rows.append((x["key"], xxhash.xxh64_intdigest(raw[a:b]) - (1 << 63), raw[lo:a], raw[b:hi], tkey, n, p))
+                if len(rows) >= 10_000:
+                    yield batch_of(rows)
                     rows = []
             if rows:
-                yield _batch(rows)
-
-    names = ["key", "held", "check", "left", "right", "tkey", "n", "pos"]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+                yield batch_of(rows)
 
-    def _batch(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-
-    joined = own.join(lists, ["tkey", "n"]).select("tkey", "n", "text", "found")
-    return joined.mapInArrow(build, "key long, held long, check long, left binary, right binary, tkey long, n long, pos long")
+    own = hits(texts, bit_map(wanted, F.col("tkey")), F.col("tkey"))
+    return own.join(lists, ["tkey", "n"]).select("tkey", "n", "text", "found").mapInArrow(build, SIDES)
 
 
-def repeated_starts(groups: list[list[tuple[bytes, bytes]]], window: int) -> list[list[set[int]]]:
-    """For each group of distinct pairs of sides: how many left bytes the strings take that two of its pairs share.
+def repeated_starts(groups: list[list[tuple[np.ndarray, np.ndarray]]], window: int) -> list[list[set[int]]]:
+    """For each group of distinct pairs of sides: how many left units the strings take that two of its pairs share.
 
-    Symbols: 1 between pairs, 2 for want of a byte, 3 to 258 for bytes, then one for the anchor of each group.
+    Symbols: 1 between pairs, 2 for want of a unit, then those of the units, then one for the anchor of each group.
     """
-    side = window - 1
-    text: list[int] = []
-    for g, pairs in enumerate(groups):
-        for left, right in pairs:
-            text += [2] * (side - len(left)) + [b + 3 for b in left] + [259 + g] + [b + 3 for b in right] + [2] * (side - len(right)) + [1]
-    size = 2 * window
-    array = np.array(suffix_array(text), np.int64)
-    symbols = np.array(text, np.int32)
+    side, size = window - 1, 2 * window
+    pairs = [p for g in groups for p in g]
+    flat = np.concatenate([x for p in pairs for x in p])
+    known, flat = np.unique(flat, return_inverse=True)
+    symbols = np.full((len(pairs), size), 2, np.int64)
+    symbols[:, -1] = 1
+    symbols[:, side] = np.repeat(np.arange(len(groups)), [len(g) for g in groups]) + 3 + len(known)
+    at = 0
+    for row, (left, right) in enumerate(pairs):
+        symbols[row, side - len(left) : side] = flat[at : at + len(left)] + 3
+        at += len(left)
+        symbols[row, side + 1 : side + 1 + len(right)] = flat[at : at + len(right)] + 3
+        at += len(right)
+    symbols = symbols.ravel()
+    array = np.array(suffix_array(symbols.tolist()), np.int64)
     array = array[array % size < window]
     views = np.lib.stride_tricks.sliding_window_view(symbols, window)
     same = np.zeros(len(array) + 1, bool)
-    for k in range(0, len(array) - 1, 4096):
-        a, b = array[k : k + 4096], array[k + 1 : k + 4097]
+    for k in range(0, len(array) - 1, 2048):
+        a, b = array[k : k + 2048], array[k + 1 : k + 2049]
         same[k + 1 : k + 1 + len(b)] = (views[a[: len(b)]] == views[b]).all(axis=1)
-    twice = np.zeros(len(text), bool)
+    twice = np.zeros(len(symbols), bool)
     twice[array[same[1:] | same[:-1]]] = True
     out, at = [], 0
-    for pairs in groups:
+    for group in groups:
         found = []
-        for left, right in pairs:
+        for left, right in group:
             valid = {side - i for i in np.flatnonzero(twice[at : at + window]).tolist()}
             found.append({k for k in valid if k <= len(left) and side - k <= len(right)})
             at += size
@@ -243,146 +288,180 @@ def repeated_starts(groups: list[list[tuple[bytes, bytes]]], window: int) -> lis
     return out
 
 
-def _decided(rows: DataFrame, window: int) -> DataFrame:
-    """(tkey, n, lo, hi): first and last start of runs of repeated strings, from rows that are sorted by key.
+def _decided(rows: DataFrame, unit, window: int) -> DataFrame:
+    """(tkey, n, lo, hi): first and last start of runs of repeated strings, from distinct pairs of sides.
 
-    A settled row stands for several equal ones that are done with; others are still compared with it.
+    A settled pair is one that is repeated as a whole and done with; others are still compared with it.
     """
+    kind = unit.kind
 
     def build(batches):
-        group, last, queue, weight = {}, None, [], 0
+        last, group, queue, weight, out = None, [], [], 0, []
 
         def flush():
-            found = repeated_starts([list(g) for g in queue], window) if queue else []
-            rows = []
+            found = repeated_starts([[x[0] for x in g] for g in queue], window) if queue else []
             for g, sets in zip(queue, found, strict=True):
-                for places, takes in zip(g.values(), sets, strict=True):
-                    rows += _runs(places, takes)
-            return rows
+                for (_, place), takes in zip(g, sets, strict=True):
+                    if place:
+                        runs(place, sorted(takes))
+
+        def runs(place, starts):
+            tkey, n, pos = place
+            lo = None
+            for i, k in enumerate(starts):
+                lo = k if lo is None else lo
+                if i + 1 == len(starts) or starts[i + 1] != k + 1:
+                    out.append((tkey, n, pos - k, pos - lo))
+                    lo = None
+
+        def table():
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [[]] * 4)], ["tkey", "n", "lo", "hi"])
+            out.clear()
+            return batch
 
-        def settle(g):
-            """Rows of pairs that occur twice; groups with several pairs go on to the suffix array."""
-            rows = []
-            for (left, right), places in g.items():
-                if len(places) > 1:
-                    rows += _runs(places, set(range(max(0, window - 1 - len(right)), len(left) + 1)))
-            return rows
-
-        def _runs(places, takes):
-            rows, starts = [], sorted(takes)
-            for tkey, n, pos in places:
-                lo = None
-                for i, k in enumerate(starts):
-                    lo = k if lo is None else lo
-                    if i + 1 == len(starts) or starts[i + 1] != k + 1:
-                        rows.append((tkey, n, pos - k, pos - lo))
-                        lo = None
-            return rows
-
-        def out(rows):
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 4)], ["tkey", "n", "lo", "hi"])
-
-        rows = []
         for batch in batches:
             for key, check, left, right, tkey, n, pos, settled in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, check) != last:
-                    rows += settle(group)
                     if len(group) > 1:
                         queue.append(group)
                         weight += 2 * window * len(group)
                     if weight > BATCH:
-                        rows += flush()
+                        flush()
                         queue, weight = [], 0
-                    group, last = {}, (key, check)
-                places = group.setdefault((left, right), [])
-                if not settled:
-                    places.append((tkey, n, pos))
-                if len(rows) > 50_000:
-                    yield out(rows)
-                    rows = []
-        rows += settle(group)
+                    group, last = [], (key, check)
+                group.append(((np.frombuffer(left, kind), np.frombuffer(right, kind)), None if settled else (tkey, n, pos)))
+            if len(out) > 20_000:
+                yield table()
         if len(group) > 1:
             queue.append(group)
-        rows += flush()
-        yield out(rows)
+        flush()
+        yield table()
 
     return rows.select("key", "check", "left", "right", "tkey", "n", "pos", "settled").repartition("key").sortWithinPartitions("key", "check").mapInArrow(build, "tkey long, n long, lo long, hi long")
 
 
-def _counted(rows: DataFrame, window: int) -> DataFrame:
+def _counted(rows: DataFrame, unit, window: int) -> DataFrame:
     """The same where every string is a group of its own, by its hash."""
-    side = window - 1
-    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(side))).alias("take")).where(F.expr(f"take <= length(left) AND {side} - take <= length(right)"))
-    cut = [F.col("key"), F.col("check"), F.col("take"), F.expr("substring(left, length(left) - take + 1, take)"), F.expr(f"substring(right, 1, {side} - take)")]
+    side, width = window - 1, np.dtype(unit.kind).itemsize
+    each = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(side))).alias("take")).where(F.expr(f"take * {width} <= length(left) AND ({side} - take) * {width} <= length(right)"))
+    cut = [F.col("key"), F.col("check"), F.col("take"), F.expr(f"substring(left, length(left) - {width} * take + 1, {width} * take)"), F.expr(f"substring(right, 1, {width} * ({side} - take))")]
     each = each.select("tkey", "n", (F.col("pos") - F.col("take")).alias("lo"), "settled", F.xxhash64(*cut).alias("h1"), F.xxhash64(F.lit(7), *cut).alias("h2"))
     twice = each.groupBy("h1", "h2").agg(F.count("*").alias("times")).where("times > 1").select("h1", "h2")
     return each.where("NOT settled").join(twice, ["h1", "h2"], "left_semi").select("tkey", "n", "lo", F.col("lo").alias("hi"))
 
 
-def _runs_of(scratch: Scratch, sides: DataFrame, window: int) -> DataFrame:
+def _runs_of(scratch: Scratch, sides: DataFrame, unit, window: int) -> DataFrame:
     """(tkey, n, lo, hi) of all sides."""
-    side = window - 1
-    cold = sides.where(F.col("held") <= HOT).withColumn("settled", F.lit(False))
-    equal = "PARTITION BY key, check, left, right"
-    hot = sides.where(F.col("held") > HOT).select("*", F.expr(f"count(*) OVER ({equal})").alias("times"), F.expr(f"row_number() OVER ({equal} ORDER BY tkey, n, pos)").alias("nth"))
-    hot = scratch.save(hot.where("times > 1 OR nth = 1"), "hot")
+    side, width = window - 1, np.dtype(unit.kind).itemsize
+    same = ["key", "check", "h1", "h2"]
+    named = sides.select("*", F.xxhash64("left", "right").alias("h1"), F.xxhash64("right", F.lit(7), "left").alias("h2"), F.xxhash64("tkey", "n", "pos").alias("place"))
+    counts = named.groupBy(*same).agg(F.count("*").alias("times"), F.min("place").alias("one"))
+    counts = scratch.save(counts, "pairs")
+    groups = counts.groupBy("key", "check").agg(F.count("*").alias("pairs"))
+    met = scratch.save(named.join(counts, same), "met")
     # every string of equal pairs is repeated
-    whole = hot.where("times > 1").select("tkey", "n", (F.col("pos") - F.length("left")).alias("lo"), (F.col("pos") - F.greatest(F.lit(0), side - F.length("right"))).alias("hi")).where("lo <= hi")
-    one = hot.where("nth = 1").withColumn("settled", F.col("times") > 1).withColumn("pairs", F.expr("count(*) OVER (PARTITION BY key)"))
+    lo, hi = F.expr(f"pos - length(left) div {width}"), F.expr(f"pos - greatest(0, {side} - length(right) div {width})")
+    whole = met.where("times > 1").select("tkey", "n", lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
+    one = met.where("place = one").join(groups.where("pairs > 1"), ["key", "check"]).withColumn("settled", F.col("times") > 1)
     few, many = one.where(F.col("pairs") <= MOST), one.where(F.col("pairs") > MOST)
-    return _decided(cold.unionByName(few.drop("times", "nth", "pairs")), window).union(whole).union(_counted(many, window))
+    return whole.union(_decided(few, unit, window)).union(_counted(many, unit, window))
+
+
+class Texts:
+    """The distinct texts of a table, keyed by hash and length, and the copies among them."""
+
+    def __init__(self, docs: DataFrame):
+        self.scratch = Scratch(docs.sparkSession)
+        text = F.coalesce("text", F.lit(""))
+        self.keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tkey"), F.octet_length(text).cast("long").alias("n"))
+        self.copies = self.scratch.save(self.keyed.groupBy("tkey", "n").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+        map_ = bit_map(self.copies, F.col("tkey"))
+        light = self.keyed.select("tkey", "n", "text")
+        once = self.scratch.save(hits(light, map_, F.col("tkey")).dropDuplicates(["tkey", "n"]), "once")
+        self.distinct = hits(light, map_, F.col("tkey"), wanted=False).unionByName(once)
+
+    def repeats(self, unit, length: int, window: int) -> DataFrame:
+        """(tkey, n, found): runs of starts of repeated strings in each distinct text that has any."""
+        scratch = Scratch(self.distinct.sparkSession)
+        rows = scratch.save(_anchor_rows(self.distinct, unit, length, window), "all")
+        held = scratch.save(rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key"), "held")
+        wanted = scratch.save(hits(rows, bit_map(held, F.col("key")), F.col("key")).join(held, "key", "left_semi"), "anchors")
+        scratch.drop("all")
+        sides = scratch.save(_sides(self.distinct, wanted, unit, length, window), "sides")
+        found = _runs_of(scratch, sides, unit, window)
+        found = self.scratch.save(found.groupBy("tkey", "n").agg(F.collect_list(F.struct("lo", "hi")).alias("found")), f"found-{unit.__name__}")
+        for name in ("held", "anchors", "sides", "pairs", "met"):
+            scratch.drop(name)
+        return found
+
+
+def _covered(n: int, found, length: int) -> np.ndarray:
+    """Which of n units are covered by strings with such runs of starts."""
+    edge = np.zeros(n + 1, np.int64)
+    for lo, hi in found:
+        edge[lo] += 1
+        edge[hi + length] -= 1
+    return np.cumsum(edge[:-1]) > 0
 
 
 def _cut(data: bytes, found, length: int) -> tuple[int, int, bytes]:
     """Bytes removed, runs removed, bytes left."""
-    edge = np.zeros(len(data) + 1, np.int64)
-    for lo, hi in found:
-        edge[lo] += 1
-        edge[hi + length] -= 1
-    gone = np.cumsum(edge[:-1]) > 0
+    gone = _covered(len(data), found, length)
     runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum()) if len(gone) else 0
     return int(gone.sum()), runs, np.frombuffer(data, np.uint8)[~gone].tobytes()
 
 
-def repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """(tkey, n, found): runs of starts of repeated strings in each distinct text that has any; and the keyed documents."""
-    scratch = Scratch(docs.sparkSession)
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("tkey"), F.octet_length(text).cast("long").alias("n"))
-    rows = _anchor_rows(keyed, length, window).repartition("key").dropDuplicates(["key", "tkey", "n", "pos"])
-    rows = rows.withColumn("held", F.expr("count(*) OVER (PARTITION BY key)")).where("held > 1")
-    wanted = scratch.save(rows, "anchors")
-    sides = scratch.save(_sides(keyed.select("tkey", "n", "text"), wanted, length, window), "sides")
-    found = _runs_of(scratch, sides, window)
-    found = scratch.save(found.groupBy("tkey", "n").agg(F.collect_list(F.struct("lo", "hi")).alias("found")), "found")
-    for name in ("sides", "anchors", "hot"):
-        scratch.drop(name)
-    return keyed, found
-
-
-def dedup(docs: DataFrame, length: int = LENGTH, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    keyed, found = repeats(docs, length, window)
-    known = bit_map(found, F.col("tkey"))
+def _removed(texts: Texts, length: int, window: int) -> DataFrame:
+    """tkey, n, gone, spans, kept of the distinct texts that lose bytes."""
+    found = texts.repeats(Bytes, length, window)
 
     def build(batches):
-        for batch in batches:
+        for part in sliced(batches, 2):
             out = []
-            for tkey, n, text, runs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for tkey, n, text, runs in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 gone, spans, rest = _cut(text.encode("utf-8", "surrogatepass"), [(x["lo"], x["hi"]) for x in runs], length)
                 out.append((tkey, n, gone, spans, hashlib.sha256(rest).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 5, kinds, strict=True)], ["tkey", "n", "gone", "spans", "kept"])
-
-    own = hits(keyed.select("tkey", "n", "text"), known, F.col("tkey")).dropDuplicates(["tkey", "n"])
-    cut = own.join(found, ["tkey", "n"]).select("tkey", "n", "text", "found").mapInArrow(build, "tkey long, n long, gone long, spans long, kept string")
-    base = keyed.select("doc_id", "tkey", "n", F.sha2("text", 256).alias("whole"))
-    copies = base.groupBy("tkey", "n").agg(F.count("*").alias("copies")).where(f"copies > 1 AND n >= {length}")
-    out = base.join(copies, ["tkey", "n"], "left").join(cut, ["tkey", "n"], "left")
-    twin = F.col("copies").isNotNull()
-    return out.select(
-        "doc_id", F.col("n").alias("n_bytes"),
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["tkey", "n", "gone", "spans", "kept"])
+
+    own = hits(texts.distinct, bit_map(found, F.col("tkey")), F.col("tkey"))
+    return own.join(found, ["tkey", "n"]).select("tkey", "n", "text", "found").mapInArrow(build, "tkey long, n long, gone long, spans long, kept string")
+
+
+def _repeated(texts: Texts, length: int, window: int) -> DataFrame:
+    """tkey, n, words: how many words repeated strings of words cover, for distinct texts that have any."""
+    found = texts.repeats(Words, length, window)
+    ordered = F.array_sort("found")
+    step = F.aggregate(
+        ordered, F.struct(F.lit(0).cast("long").alias("end"), F.lit(0).cast("long").alias("total")),
+        lambda acc, x: F.struct(F.greatest(acc["end"], x["hi"] + length).alias("end"), (acc["total"] + F.greatest(F.lit(0).cast("long"), x["hi"] + length - F.greatest(acc["end"], x["lo"]))).alias("total")),
+    )
+    return found.select("tkey", "n", step["total"].alias("words"))
+
+
+def dedup(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, words: int | None = None, word_window: int = WORD_WINDOW) -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    With ``words``, n_repeated_words too: the words of a document that strings of so many words cover which start anywhere
+    else too. It counts what shorter passages share, and removes nothing.
+    """
+    texts = Texts(docs)
+    cut = _removed(texts, length, window)
+    base = texts.keyed.select("doc_id", "tkey", "n", F.sha2("text", 256).alias("whole"), _count(F.col("text")).alias("size"))
+    out = base.join(texts.copies, ["tkey", "n"], "left").join(cut, ["tkey", "n"], "left")
+    twin = F.col("copies").isNotNull() & (F.col("n") >= length)
+    columns = [
+        F.col("doc_id"), F.col("n").alias("n_bytes"),
         F.when(twin, F.col("n")).otherwise(F.coalesce("gone", F.lit(0))).cast("long").alias("n_removed"),
         F.when(twin, 1).otherwise(F.coalesce("spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(twin, hashlib.sha256(b"").hexdigest()).otherwise(F.coalesce("kept", "whole")).alias("kept_sha256"),
-    )
+    ]
+    if words:
+        out = out.join(_repeated(texts, words, word_window), ["tkey", "n"], "left")
+        whole = F.col("copies").isNotNull() & (F.col("size") >= words)
+        columns.append(F.when(whole, F.col("size")).otherwise(F.coalesce("words", F.lit(0))).cast("long").alias("n_repeated_words"))
+    return out.select(*columns)
+
+
+def _count(text):
+    return F.size(words_of(text)).cast("long")

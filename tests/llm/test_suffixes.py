@@ -14,6 +14,34 @@ def test_suffix_array_equals_a_sort():
         assert sx.suffix_array(t) == sorted(range(len(t)), key=lambda i: t[i:]), t
 
 
+def test_suffix_array_takes_linear_time():
+    import time
+
+    def seconds(n):
+        best = 9.0
+        for _ in range(2):
+            t = time.process_time()
+            sx.suffix_array([1, 2] * (n // 2) + [3] * n)
+            best = min(best, time.process_time() - t)
+        return best
+
+    assert seconds(160_000) < 40 * seconds(10_000)  # sixteenfold input
+
+
+def brute_words(texts, length):
+    places = {}
+    data = [(t or "").encode().split() for t in texts]
+    for d, b in enumerate(data):
+        for i in range(len(b) - length + 1):
+            places.setdefault(tuple(b[i : i + length]), []).append((d, i))
+    gone = [[False] * len(b) for b in data]
+    for at in places.values():
+        if len(at) > 1:
+            for d, i in at:
+                gone[d][i : i + length] = [True] * length
+    return [sum(g) for g in gone]
+
+
 def brute(texts, length):
     places = {}
     data = [(t or "").encode() for t in texts]
@@ -50,11 +78,12 @@ def test_dedup_equals_brute_force(spark, monkeypatch):
     rows = texts()
     want = brute(rows, 40)
     docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(rows)], "doc_id long, text string, tkey string")
-    for hot, most in ((2000, 8192), (3, 8192), (3, 2)):
-        monkeypatch.setattr(sx, "HOT", hot)
+    words = brute_words(rows, 8)
+    for most in (8192, 2):
         monkeypatch.setattr(sx, "MOST", most)
-        got = {r["doc_id"]: tuple(r)[1:] for r in sx.dedup(docs, length=40, window=9).collect()}
-        assert [got[i] for i in range(len(rows))] == want
+        got = {r["doc_id"]: tuple(r)[1:] for r in sx.dedup(docs, length=40, window=9, words=8, word_window=3).collect()}
+        assert [got[i][:4] for i in range(len(rows))] == want
+        assert [got[i][4] for i in range(len(rows))] == words and sum(words) > 1000
 
 
 def test_production_length(spark):
