@@ -1,18 +1,22 @@
-"""Benchmark decontamination: SimHash windows, Hamming blocks, exact weighted-shingle similarity.
+"""Benchmark decontamination: SimHash item-sized windows, Hamming blocks, exact weighted-shingle similarity.
 
-Every window of every document gets a 64-bit SimHash of its word pairs (a window of one word: of the word). Windows have a size for each class of items: a ladder
-step at most WINDOW_SHARE of the item's words. Fingerprints of all such windows of the items are indexed by RADIUS + 1
-blocks of their bits: two fingerprints at most RADIUS apart agree in a block, so the blocks find all of them. Each found
-pair of windows aligns the item with a place in the document; there, and SHIFT words to either side, the weighted Jaccard
-similarity of five-word shingles decides exactly. A shingle weighs as many units as its words have characters.
+Every window of every document gets a 64-bit SimHash of its words, for each size of window that an item has: a step of a
+ladder, at most SHARE of the item's words and at least SHARE / LADDER of them. Items have two fingerprints of that size, of
+their first and of their last words. Fingerprints at most RADIUS apart are found by an index over four blocks of 16 bits:
+one of the blocks differs in at most RADIUS // 4 bits, so each fingerprint is filed in each block under all values that
+near, and a look-up of the window's own value finds it. Each found pair of windows aligns the item with a place in the
+document; there, and SHIFT words to either side, the weighted Jaccard similarity of five-word shingles decides exactly. A
+shingle weighs as many units as its words have characters. Before that, a place is passed over if less than half of its words
+are words of the item: a similarity of 0.8 leaves none such.
 
-Windows are shorter than their item for a reason of recall. At a similarity of 0.8 an item of up to about a hundred words
-has an unbroken run of over WINDOW_SHARE of its words in the document, so some pair of windows is equal. Windows of the
-whole item would lie up to 16 of 64 bits apart, and blocks that guarantee such a radius select next to nothing.
+The index finds every fingerprint within RADIUS. That a similar passage has one is a matter of chance, if a small one: at a
+similarity of 0.8 about one word in 45 differs, which turns 4 of 64 bits on average. Tests measure what is found.
+
+A document with fewer words than a window, but SHORT of them, is a window of its own.
 
 Texts are lower-cased; words are runs of word characters, so case and punctuation don't matter.
 
-Items are taken in blocks of ITEMS rows, each against all documents; nothing is shuffled.
+Items are taken in blocks of ITEMS rows, each broadcast and held against all documents; nothing is shuffled.
 
 Defined cases: null or wordless texts and items meet nothing; an item of fewer words than a shingle is one shingle; rows that
 repeat are rows of their own; an empty table on either side gives no rows; texts are read whole; other columns are ignored
@@ -29,10 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.llm.common import bounded, sliced
+
 WIDTH, SIMILARITY = 5, 0.8
-WINDOW_SHARE, LADDER, RADIUS, SHIFT = 0.45, 1.5, 3, 3
-ITEMS, CHUNK = 20_000, 1 << 15
+SHARE, LADDER, SHORT, RADIUS, SHIFT = 0.95, 1.15, 0.7, 12, 3
+ITEMS, CHUNK = 2000, 1 << 14
 WORD = re.compile(r"\w+")
+#: Values of 16 bits with at most RADIUS // 4 of them set.
+FLIPS = np.array([m for m in range(1 << 16) if m.bit_count() <= RADIUS // 4], np.uint16)
 
 
 def words(text: str | None) -> list[str]:
@@ -45,73 +53,58 @@ def word_hashes(tokens: list[str]) -> np.ndarray:
 
 
 def window_size(n: int) -> int:
-    """The largest step of the ladder up to WINDOW_SHARE of n words; at least 1."""
-    size, step = max(1, int(n * WINDOW_SHARE)), 1.0
-    while int(step * LADDER + 0.5) <= size:
-        step = int(step * LADDER + 0.5) if int(step * LADDER + 0.5) > step else step + 1
-    return int(step)
-
-
-def simhashes(bits: np.ndarray, size: int) -> np.ndarray:
-    """Fingerprints of all windows of ``size`` rows of a 0/1 matrix of 64 columns."""
-    if size > 255:
-        total = np.zeros((len(bits) + 1, bits.shape[1]), np.int32)
-        np.cumsum(bits, axis=0, out=total[1:])
-        ones = total[size:] - total[:-size]
-    else:
-        # sums over doubling spans, put together by the binary digits of size
-        n, span, width, at, ones = len(bits) - size + 1, bits, 1, 0, None
-        while True:
-            if size & width:
-                part = span[at : at + n]
-                ones = part.copy() if ones is None else ones + part
-                at += width
-            if width * 2 > size:
-                break
-            span = span[:-width] + span[width:]
-            width *= 2
-    return np.packbits(ones > size // 2, axis=1).view(np.uint64).ravel()
-
-
-def pair_hashes(h: np.ndarray) -> np.ndarray:
-    """Hashes of each word with the next one. Unlike words, pairs are rarely common, so fingerprints spread evenly."""
-    with np.errstate(over="ignore"):
-        x = h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        return x ^ (x >> np.uint64(31))
-
-
-def prints_of(h: np.ndarray, size: int, pairs: np.ndarray | None = None) -> np.ndarray:
-    """Fingerprints of all windows of ``size`` words."""
-    if size == 1:
-        return simhashes(planes(h), 1)
-    return simhashes(planes(pair_hashes(h)) if pairs is None else pairs, size - 1)
+    """The largest step of the ladder up to SHARE of n words; at least 1."""
+    size, step = max(1, int(n * SHARE)), 1
+    while (up := max(step + 1, int(step * LADDER))) <= size:
+        step = up
+    return step
 
 
 def planes(h: np.ndarray) -> np.ndarray:
+    """The bits of hashes: a row a hash, a column a bit."""
     return np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1)
 
 
+def running(h: np.ndarray, longest: int) -> np.ndarray:
+    """Running sums of each bit, from 0. Sums of windows up to 255 words are right modulo 256."""
+    kind = np.uint8 if longest < 256 else np.int32
+    out = np.zeros((len(h) + 1, 64), kind)
+    np.cumsum(planes(h), axis=0, dtype=kind, out=out[1:])
+    return out
+
+
+def simhashes(sums: np.ndarray, size: int) -> np.ndarray:
+    """Fingerprints of all windows of ``size`` words, from running sums: a bit is set if most of the words have it."""
+    return np.packbits((sums[size:] - sums[:-size]) > size // 2, axis=1).view(np.uint64).ravel()
+
+
 class Items:
-    """Items ready for search: fingerprints by window size, and shingles."""
+    """Items ready for search: fingerprints by window size, words and shingles."""
 
     def __init__(self, rows: list[tuple[int, str]]):
         self.words = [(i, words(t)) for i, t in rows]
         self.words = [(i, w) for i, w in self.words if w]
+        self.shingles = [shingles(w) for _, w in self.words]
+        self.known = []
         by: dict[int, list] = {}
         for k, (_, w) in enumerate(self.words):
+            h = word_hashes(w)
+            self.known.append(np.unique(h))
             size = window_size(len(w))
-            prints = prints_of(word_hashes(w), size)
-            by.setdefault(size, []).extend((f, k, at) for at, f in enumerate(prints.tolist()))
+            prints = simhashes(running(h, size), size)
+            by.setdefault(size, []).extend((int(prints[at]), k, at) for at in sorted({0, len(w) - size}))
         self.sizes = {}
         for size, found in by.items():
             prints = np.array([f for f, _, _ in found], np.uint64)
-            blocks = prints.view(np.uint16).reshape(-1, RADIUS + 1)
-            order = [np.argsort(blocks[:, b], kind="stable") for b in range(RADIUS + 1)]
-            # where the fingerprints of each value of a block stand in its order
-            starts = [np.searchsorted(blocks[o, b], np.arange((1 << 16) + 1)) for b, o in enumerate(order)]
-            self.sizes[size] = (prints, order, starts, np.array([k for _, k, _ in found]), np.array([at for _, _, at in found]))
-        self.shingles = [shingles(w) for _, w in self.words]
+            blocks = prints.view(np.uint16).reshape(-1, 4)
+            owners, starts = [], []
+            for b in range(4):
+                near = (blocks[:, b, None] ^ FLIPS[None, :]).ravel()
+                order = np.argsort(near, kind="stable")
+                owners.append((order // len(FLIPS)).astype(np.int32))
+                # where the fingerprints filed under each value stand
+                starts.append(np.searchsorted(near[order], np.arange((1 << 16) + 1)).astype(np.int32))
+            self.sizes[size] = (prints, owners, starts, np.array([k for _, k, _ in found]), np.array([at for _, _, at in found]))
 
 
 def shingles(w: list[str]) -> dict[tuple, int]:
@@ -129,42 +122,54 @@ def similarity(a: dict[tuple, int], b: dict[tuple, int]) -> float:
 
 def matches(docs: list[list[str]], items: Items):
     """(document's place, item's place, similarity, first word) of each document and item that match; best place of each."""
-    found: set[tuple[int, int, int]] = set()
+    best: dict[tuple[int, int], tuple[float, int]] = {}
+    longest = max(items.sizes, default=0)
     for lo, hi in _chunks(docs):
-        tokens = [w for d in docs[lo:hi] for w in d]
-        starts = np.cumsum([0, *(len(d) for d in docs[lo:hi])])
-        owner = np.repeat(np.arange(lo, hi), np.diff(starts))
-        h = word_hashes(tokens)
-        pairs = planes(pair_hashes(h))
-        for size, (prints, order, first, item, offset) in items.sizes.items():
-            if len(h) < size:
-                continue
-            f = prints_of(h, size, pairs)
-            values = f.view(np.uint16).reshape(-1, RADIUS + 1)
-            whole = owner[: len(f)] == owner[size - 1 :]
-            for b in range(RADIUS + 1):
+        h = word_hashes([w for d in docs[lo:hi] for w in d])
+        lengths = np.array([len(d) for d in docs[lo:hi]])
+        starts = np.cumsum([0, *lengths])
+        owner = np.repeat(np.arange(hi - lo), lengths)
+        sums = running(h, longest)
+        found: set[tuple[int, int, int]] = set()
+        for size, (prints, owners, first, item, offset) in items.sizes.items():
+            f, at = np.empty(0, np.uint64), np.empty(0, np.int64)
+            if len(h) >= size:
+                at = np.flatnonzero(owner[: len(h) - size + 1] == owner[size - 1 :])
+                f = simhashes(sums, size)[at]
+            short = np.flatnonzero((lengths < size) & (lengths >= SHORT * size) & (lengths > 0))
+            if len(short):
+                f = np.concatenate([f, *(simhashes(sums[starts[d] : starts[d + 1] + 1], int(lengths[d])) for d in short)])
+                at = np.concatenate([at, starts[short]])
+            values = f.view(np.uint16).reshape(-1, 4)
+            for b in range(4):
                 v = values[:, b].astype(np.int64)
-                many = np.where(whole, first[b][v + 1] - first[b][v], 0)
-                at = np.flatnonzero(many)
-                # all pairs of a window and a fingerprint that agree in the block, a slice of windows at a time
-                for k in range(0, len(at), 4096):
-                    part = at[k : k + 4096]
+                many = first[b][v + 1] - first[b][v]
+                some = np.flatnonzero(many)
+                # all pairs of a window and a fingerprint that meet in the block, a slice of windows at a time
+                for k in range(0, len(some), 2048):
+                    part = some[k : k + 2048]
                     n = many[part]
                     pos = np.repeat(part, n)
-                    q = order[b][np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[b][v[part]], n)]
+                    q = owners[b][np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[b][v[part]], n)]
                     near = np.flatnonzero(np.bitwise_count(f[pos] ^ prints[q]) <= RADIUS)
-                    found.update(zip(owner[pos[near]].tolist(), item[q[near]].tolist(), (pos[near] - starts[owner[pos[near]] - lo] - offset[q[near]]).tolist(), strict=True))
-    best: dict[tuple[int, int], tuple[float, int]] = {}
-    done: set[tuple[int, int, int]] = set()
-    for d, k, start in found:
-        n = len(items.words[k][1])
-        for s in range(start - SHIFT, start + SHIFT + 1):
-            s = max(0, min(s, len(docs[d]) - n))
-            if (d, k, s) not in done:
+                    d = owner[at[pos[near]]]
+                    found.update(zip(d.tolist(), item[q[near]].tolist(), (at[pos[near]] - starts[d] - offset[q[near]]).tolist(), strict=True))
+        done: set[tuple[int, int, int]] = set()
+        for d, k, start in found:
+            n = len(items.words[k][1])
+            doc, known = h[starts[d] : starts[d + 1]], items.known[k]
+            top = max(0, len(doc) - n)
+            for s in range(start - SHIFT, start + SHIFT + 1):
+                s = max(0, min(s, top))
+                if (d, k, s) in done:
+                    continue
                 done.add((d, k, s))
-                x = similarity(shingles(docs[d][s : s + n]), items.shingles[k])
+                window = doc[s : s + n]
+                if 2 * np.count_nonzero(known[np.searchsorted(known, window).clip(max=len(known) - 1)] == window) < len(window):
+                    continue
+                x = similarity(shingles(docs[lo + d][s : s + n]), items.shingles[k])
                 if x >= SIMILARITY:
-                    best[d, k] = max(best.get((d, k), (0.0, 0)), (x, -s))
+                    best[lo + int(d), k] = max(best.get((lo + int(d), k), (0.0, 0)), (x, -s))
     return [(d, k, x, -s) for (d, k), (x, s) in sorted(best.items())]
 
 
@@ -181,12 +186,12 @@ def _chunks(docs: list[list[str]]):
 
 
 def _blocks(benchmark: DataFrame):
-    """Items in blocks of bounded size, collected one at a time."""
+    """Items in blocks of bounded size, collected one at a time, each as a broadcast."""
     rows = benchmark.select("item_id", "text").where("text IS NOT NULL")
     n = -(-rows.count() // ITEMS)
     for k in range(n):
         part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)
-        yield [(r["item_id"], r["text"]) for r in part.collect()]
+        yield benchmark.sparkSession.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.collect()])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -194,16 +199,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     schema = "doc_id long, item_id long, similarity double, start_word long"
     out = None
     for rows in _blocks(benchmark):
-        out = _leaks(docs, rows, schema) if out is None else out.union(_leaks(docs, rows, schema))
+        found = _leaks(docs, rows, schema)
+        out = found if out is None else out.union(found)
     return out if out is not None else docs.sparkSession.createDataFrame([], schema)
 
 
-def _leaks(docs: DataFrame, rows: list, schema: str) -> DataFrame:
+def _leaks(docs: DataFrame, rows, schema: str) -> DataFrame:
+    bounded(docs.sparkSession)
+
     def search(batches):
-        items = Items(rows)
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            hits = matches([words(t) for t in batch.column(1).to_pylist()], items)
+        items = Items(rows.value)
+        for part in sliced(batches, 1):
+            ids = part.column(0).to_pylist()
+            hits = matches([words(t.as_py()) for t in part.column(1)], items)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([ids[h[0]] for h in hits], pa.int64()), pa.array([items.words[h[1]][0] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.float64()), pa.array([h[3] for h in hits], pa.int64())],
                 ["doc_id", "item_id", "similarity", "start_word"],
@@ -214,14 +222,15 @@ def _leaks(docs: DataFrame, rows: list, schema: str) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that match no item; columns as they came."""
+    bounded(docs.sparkSession)
     place = docs.columns.index("text")
     for rows in _blocks(benchmark):
 
         def keep(batches, rows=rows):
-            items = Items(rows)
-            for batch in batches:
-                bad = {h[0] for h in matches([words(t) for t in batch.column(place).to_pylist()], items)}
-                yield batch.filter(pa.array([i not in bad for i in range(batch.num_rows)], pa.bool_()))
+            items = Items(rows.value)
+            for part in sliced(batches, place):
+                bad = {h[0] for h in matches([words(t.as_py()) for t in part.column(place)], items)}
+                yield part.filter(pa.array([i not in bad for i in range(part.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
     return docs

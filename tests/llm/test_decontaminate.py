@@ -60,9 +60,52 @@ def test_edges(spark):
 def test_windows_agree_with_a_plain_simhash():
     import numpy as np
 
-    h = np.array([17, 5, 99, 1 << 60, 3, 8, 1 << 33], np.uint64)
-    for size in (1, 2, 3, 5, 7):
-        got = d.simhashes(d.planes(h), size)
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    for size in (1, 2, 3, 5, 7, 200, 300):
+        got = d.simhashes(d.running(h, size), size)
         for i in range(len(h) - size + 1):
             bits = d.planes(h[i : i + size]).sum(axis=0) > size // 2
             assert np.packbits(bits).view(np.uint64)[0] == got[i]
+
+
+def test_index_finds_all_within_the_radius():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    items = d.Items([(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 30))) for i in range(50)])
+    (prints, owners, first, _, _), = items.sizes.values()
+    for k, f in enumerate(prints):
+        for _ in range(40):
+            flips = rng.choice(64, rng.integers(0, d.RADIUS + 1), replace=False)
+            g = np.array([int(f) ^ sum(1 << int(b) for b in flips)], np.uint64).view(np.uint16)
+            assert any(k in owners[b][first[b][int(g[b])] : first[b][int(g[b]) + 1]] for b in range(4))
+
+
+def test_recall_at_the_threshold():
+    """Items of many lengths with as many evenly spaced edits as the similarity allows, inside other text."""
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(4000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    tried = missed = 0
+    for n in (15, 20, 30, 49, 59, 94, 100, 142, 185, 250, 600):
+        items, docs, want = [], [], set()
+        for i in range(40):
+            item = text(n)
+            items.append((i, " ".join(item)))
+            most = max((n - 4) // 45, 0)
+            copy = list(item)
+            for k in range(most):
+                at = (k + 1) * n // (most + 1)
+                kind = rng.randrange(3)
+                copy[at : at + (kind != 1)] = [] if kind == 0 else text(1)
+            if most == 0:
+                copy[rng.choice([0, -1])] = text(1)[0]
+            doc = text(30) + copy + text(30)
+            docs.append(doc)
+            if any(d.similarity(d.shingles(doc[a : a + n]), d.shingles(item)) >= d.SIMILARITY for a in range(len(doc) - n + 1)):
+                want.add((i, i))
+        got = {(a, b) for a, b, _, _ in d.matches(docs, d.Items(items))}
+        assert got <= want | {(a, b) for a, b in got if a != b}
+        tried, missed = tried + len(want), missed + len(want - got)
+    assert tried > 200 and missed <= 0.01 * tried
