@@ -2,7 +2,7 @@ from collections import Counter
 
 import pytest
 
-from glossa.llm.mixing import mix, pfair_period
+from glossa.llm.mixing import groups_of, mix, pfair_period
 
 WEIGHTS = {"a": 5, "b": 3, "c": 1}
 
@@ -40,4 +40,25 @@ def test_edges(spark):
     empty = spark.createDataFrame([], "doc_id long, source string")
     assert mix(empty, WEIGHTS).count() == 0
     with pytest.raises(ValueError):
-        mix(spark.createDataFrame([(1, "a", 2)], "doc_id long, source string, position int"), WEIGHTS)
+        mix(spark.createDataFrame([(1, "a")], "doc_id long, source string"), {"a": 0})
+
+
+def test_names_that_clash(spark):
+    names = ["position", "weight", "block", "slot", "exact", "bucket", "rank", "own", "at", "had", "turn", "blk", "g", "k", "n", "b", "w", "a.b", "__bucket", "__rank"]
+    docs = spark.createDataFrame([(i, "ab"[i % 2], *[7] * len(names)) for i in range(200)], ["doc_id", "source", *names])
+    out = mix(docs, {"a": 2}, block=8)
+    assert out.columns[: len(docs.columns)] == docs.columns and "_position" in out.columns
+    assert sorted(r["_position"] for r in out.collect()) == list(range(200)) and {r["position"] for r in out.collect()} == {7}
+
+
+def test_many_sources_of_one_weight(spark):
+    groups, places = groups_of([1] * 10_001)
+    assert groups == [1] and places[7] == (0, 7, 10_001)
+    rows = [(i, f"s{i % 37}", "x" * (100_000 if i == 3 else 1)) for i in range(37 * 6)] + [(None, "s0", None)]
+    out = mix(spark.createDataFrame(rows, "doc_id long, source string, text string"), {"s0": 3, "s1": 3}, block=2).collect()
+    assert sorted(r["position"] for r in out) == list(range(len(rows)))
+    assert all(r["release_slot"] <= r["slot"] < r["deadline_slot"] for r in out)
+    by = {}
+    for r in sorted(out, key=lambda r: r["position"]):
+        by.setdefault(r["slot"], set()).add(r["source"])
+    assert all(len(x) == 1 for x in by.values())
