@@ -17,8 +17,6 @@ WITH d AS (
   SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id
 ), uniq AS (
   SELECT DISTINCT host, text, lines FROM w
-), hosts AS (
-  SELECT host, count(*) AS docs FROM uniq GROUP BY host
 ), each AS (
   SELECT host, text, unnest(lines) AS line FROM uniq
 ), norm AS (
@@ -26,8 +24,7 @@ WITH d AS (
     len(list_filter(regexp_split_to_array(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS words
   FROM each
 ), common AS (
-  SELECT host, line FROM (SELECT host, line, count(DISTINCT text) AS held FROM norm GROUP BY host, line) JOIN hosts USING (host)
-  WHERE held >= 20 AND held > 0.25 * docs
+  SELECT host, line FROM norm GROUP BY host, line HAVING count(DISTINCT text) >= 20
 ), removed AS (
   SELECT host, text, sum(words) AS n FROM norm JOIN common USING (host, line) GROUP BY host, text
 ), counted AS (

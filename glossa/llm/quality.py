@@ -16,11 +16,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import let, words_of
+from glossa.llm.common import all_of, let, unused, words_of
 
 MIN_WORDS, REPEAT_PERCENT = 50, 50
 MIN_DOCS, MIN_LEFT = 20, 0.3
 WORD = r"[^\x20\x09-\x0D]"
+#: Bits of a packed window that hold its place.
+PLACE_BITS = 20
 
 
 def repeated_words(words: Column) -> Column:
@@ -28,13 +30,13 @@ def repeated_words(words: Column) -> Column:
 
     Windows are 64-bit hashes. Each is packed with its place into one long (44 bits of hash, 20 of place) so that a
     sort of plain longs brings equal windows together, and equal ones are confirmed on all 64 bits. Texts of over
-    2^20 words take a sort of (hash, place) pairs instead.
+    2^20 words, and those in which different windows share 44 bits, take a sort of (hash, place) pairs instead.
     """
     return F.when(F.size(words) < 4, F.lit(0)).otherwise(
         let(
             F.filter(F.transform(words, lambda w, i: F.xxhash64(w, F.get(words, i + 1), F.get(words, i + 2))), lambda h, i: i < F.size(words) - 2),
             lambda hashes: F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(
-                _covered(F.when(F.size(hashes) < (1 << 20), _places_packed(hashes)).otherwise(_places_paired(hashes)))
+                _covered(F.when(F.size(hashes) < (1 << PLACE_BITS), _places_packed(hashes)).otherwise(_places_paired(hashes)))
             ),
         )
     )
@@ -42,10 +44,13 @@ def repeated_words(words: Column) -> Column:
 
 def _places_packed(hashes: Column) -> Column:
     """Sorted places of the windows that are not alone."""
-    packed = F.sort_array(F.transform(hashes, lambda h, i: F.shiftleft(F.shiftright(h, 20), 20).bitwiseOR(i.cast("long"))))
-    place = lambda x: x.bitwiseAND(F.lit((1 << 20) - 1)).cast("int")
+    low = F.lit((1 << PLACE_BITS) - 1)
+    packed = F.sort_array(F.transform(hashes, lambda h, i: F.shiftleft(F.shiftright(h, PLACE_BITS), PLACE_BITS).bitwiseOR(i.cast("long"))))
+    place = lambda x: x.bitwiseAND(low).cast("int")
     same = lambda s, x, j: F.coalesce(F.get(hashes, place(F.get(s, j))) == F.get(hashes, place(x)), F.lit(False))
-    return let(packed, lambda s: F.sort_array(F.transform(F.filter(s, lambda x, j: same(s, x, j + 1) | same(s, x, j - 1)), place)))
+    # neighbours that share the high bits and are different windows, which could part equal ones
+    clash = lambda s: F.exists(F.filter(s, lambda x, j: (F.shiftright(x, PLACE_BITS) == F.shiftright(F.get(s, j - 1), PLACE_BITS)) & ~same(s, x, j - 1)), lambda x: F.lit(True))
+    return let(packed, lambda s: F.when(clash(s), _places_paired(hashes)).otherwise(F.sort_array(F.transform(F.filter(s, lambda x, j: same(s, x, j + 1) | same(s, x, j - 1)), place))))
 
 
 def _places_paired(hashes: Column) -> Column:
@@ -120,11 +125,12 @@ def clean(docs: DataFrame, min_docs: int = MIN_DOCS, min_left: float = MIN_LEFT)
     """The documents that are kept, without their boilerplate lines; columns as they came, n_chars brought up to date."""
     table = line_table(docs)
     removed = removed_words(table, boilerplate(table, min_docs))
-    kept = _judged(base_rules(docs), removed, min_left).where("kept").select(F.col("doc_id").alias("__id"), F.col("__text").alias("__of"), F.col("__host").alias("__at"), F.col("gone").alias("__gone")).distinct()
-    text = F.coalesce(docs["text"], F.lit(""))
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]) & (F.md5(text) == kept["__of"]) & (F.coalesce(docs["source"], F.lit("")) == kept["__at"]))
-    rest = F.array_join(F.filter(F.split(docs["text"], "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains("__gone", line_key(x)))), "\n")
-    out = joined.withColumn("text", F.when(F.col("__gone").isNotNull(), rest).otherwise(docs["text"]))
+    ident, of, at, gone = unused(docs, "id", "of", "at", "gone")
+    kept = _judged(base_rules(docs), removed, min_left).where("kept").select(F.col("doc_id").alias(ident), F.col("__text").alias(of), F.col("__host").alias(at), F.col("gone").alias(gone)).distinct()
+    text = F.coalesce("text", F.lit(""))
+    joined = docs.join(kept, F.col("doc_id").eqNullSafe(F.col(ident)) & (F.md5(text) == F.col(of)) & (F.coalesce("source", F.lit("")) == F.col(at)))
+    rest = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~(x.rlike(WORD) & F.array_contains(gone, line_key(x)))), "\n")
+    out = joined.withColumn("text", F.when(F.col(gone).isNotNull(), rest).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+        out = out.withColumn("n_chars", F.when(F.col(gone).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*all_of(docs))

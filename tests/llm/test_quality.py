@@ -18,6 +18,30 @@ def test_repeated_words(spark):
     assert got == [brute(c) for c in cases]
 
 
+def test_repeated_words_with_clashing_hashes_and_many_windows(spark, monkeypatch):
+    """With 3 bits of hash left in packed windows nearly all clash; with 2 bits of place texts are over the limit."""
+    from pyspark.sql import functions as F
+
+    w = (words(200, "w").split() + "a b c".split()) * 2 + words(50, "v").split()
+    df = spark.createDataFrame([(w,)], "w array<string>")
+    for bits in (20, 61, 2):
+        monkeypatch.setattr(q, "PLACE_BITS", bits)
+        assert df.select(q.repeated_words(F.col("w"))).first()[0] == 406
+
+
+def test_lines_go_on_the_given_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    out = q.quality(docs)
+    lost = out.where("n_left_words < n_words").count()
+    assert lost > 1000 and out.where("NOT kept AND NOT base_failed").count() > 0
+
+
+def test_columns_of_any_name(spark):
+    row = ("k", 1, 2, 3, 4, 5.5, 6)
+    docs = spark.createDataFrame([(1, words(60, "d"), *row)], "doc_id long, text string, source string, __id int, __of int, __at int, __gone int, `a.b` double, id int")
+    assert [tuple(r)[2:] for r in q.clean(docs).collect()] == [row]
+
+
 def test_lines_of_many_documents_go(spark):
     rows = [(i, words(60, f"d{i}_") + "\nAll Rights  reserved 2019", "h") for i in range(30)]
     rows += [(100 + i, "\n".join(["All rights reserved 2024"] * 3 + [words(48, f"e{i}_")]), "h") for i in range(3)]
