@@ -1,14 +1,17 @@
-"""Main text of web pages: structure first, then differencing against the page with the nearest URL of the same host.
+"""Main text of web pages: differencing against the page with the nearest URL of the same host, then structure.
 
-A page is read by the standard library's HTML parser into blocks of text. Blocks inside elements that hold no article text
-(fixed list), or that are named as such by role, class or id (fixed list), are dropped. Where the page marks its article,
-only blocks inside it count.
+A page is read by the standard library's HTML parser into all its blocks of text, menus and footers included. Each block
+has a place: FURNITURE (inside an element that holds no article text, or that is named as such by role, class or id; fixed
+lists), ARTICLE (inside a marked article and not furniture), or PLAIN.
 
-Then each page is paired with its neighbour: pages of a host are ordered by URL path, and a page's partner is the one of
-its two neighbours with the longer common path prefix (of equal ones, the one before). Their block texts are aligned by
-longest common subsequence, and blocks shared by both are deleted, as pages of a host share their furniture and not their
-text. Blocks inside a marked article are safe from that unless ``strict`` is set: two pages of one article would else lose
-it. Pages with equal blocks throughout are copies, and keep all of theirs.
+Each page is paired with its neighbour: pages of a host are ordered by URL path, and a page's partner is the one of its two
+neighbours with the longer common path prefix (of equal ones, the one before). Their blocks are aligned by longest common
+subsequence, and blocks shared by both are deleted, as pages of a host share their furniture and not their text. Blocks of a
+marked article are safe from that unless ``strict`` is set: two pages of one article would else lose it. Pages with equal
+blocks throughout are copies, of which differencing deletes nothing.
+
+What is left is settled by structure: furniture that the partner doesn't share goes, and where a page has article blocks only
+those stay.
 
 Neighbours come from a sort of the pages by host and path over range partitions. The page before and the page after a
 partition's ends are fetched by partition number, so no host, however large, lies in one task.
@@ -27,31 +30,32 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.llm.common import Scratch, bit_map, hits
+from glossa.llm.common import Scratch, sliced
 
-# Elements without article text; elements that end a block; names of furniture.
-SKIP = {"script", "style", "noscript", "template", "head", "title", "nav", "header", "footer", "aside", "form", "button", "select", "textarea", "iframe", "svg", "canvas", "object", "menu", "dialog"}
-RAW = {"script", "style"}
+FURNITURE, PLAIN, ARTICLE = range(3)
+# Elements without text of the page; those whose text is furniture; elements that end a block; names of furniture.
+UNSEEN = {"script", "style", "noscript", "template", "head", "title", "iframe", "svg", "canvas", "object"}
+SKIP = UNSEEN | {"nav", "header", "footer", "aside", "form", "button", "select", "textarea", "menu", "dialog"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 BLOCK = {"address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "h1", "h2", "h3", "h4", "h5", "h6", "hr", "html", "li", "main", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
-FURNITURE = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|reply|replies|discussion|disqus|consent|cookie|cookies|copyright|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|popup|promo|promoted|related|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+NAMED = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert|advertisement|advertising|banner|breadcrumb|breadcrumbs|comment|comments|reply|replies|discussion|disqus|consent|cookie|cookies|copyright|footer|header|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|pagination|popup|promo|promoted|related|share|sharing|sidebar|social|sponsor|sponsored|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar"}
 
 
 class Blocks(HTMLParser):
-    """Blocks of a page as (text, inside an article)."""
+    """Blocks of a page as (text, place)."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, bool]] = []
+        self.found: list[tuple[str, int]] = []
         self.open: list[tuple[str, bool]] = []
-        self.skipped = self.articles = 0
+        self.skipped = self.unseen = self.articles = 0
         self.parts: list[str] = []
 
     def end_block(self):
         text = " ".join("".join(self.parts).split())
         if text:
-            self.found.append((text, self.articles > 0))
+            self.found.append((text, FURNITURE if self.skipped else ARTICLE if self.articles else PLAIN))
         self.parts = []
 
     def handle_starttag(self, tag, attrs):
@@ -63,9 +67,12 @@ class Blocks(HTMLParser):
             # a paragraph ends an open one
             self._close("p", stop={"article", "main", "section", "div", "td", "th", "li", "blockquote", "body"})
         named = dict(attrs)
-        furniture = tag in SKIP or (named.get("role") or "").lower() in ROLES or "hidden" in named or (tag not in ("html", "body", "article", "main") and any(FURNITURE.search(named.get(k) or "") for k in ("class", "id")))
+        furniture = tag in SKIP or (named.get("role") or "").lower() in ROLES or "hidden" in named or (tag not in ("html", "body", "article", "main") and any(NAMED.search(named.get(k) or "") for k in ("class", "id")))
+        if furniture:
+            self.end_block()
         self.open.append((tag, furniture))
         self.skipped += furniture
+        self.unseen += tag in UNSEEN
         self.articles += tag in ("article", "main")
 
     def handle_startendtag(self, tag, attrs):
@@ -81,8 +88,11 @@ class Blocks(HTMLParser):
     def _close(self, tag, stop=frozenset()):
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i][0] == tag:
+                if any(furniture for _, furniture in self.open[i:]):
+                    self.end_block()
                 for name, furniture in self.open[i:]:
                     self.skipped -= furniture
+                    self.unseen -= name in UNSEEN
                     self.articles -= name in ("article", "main")
                 del self.open[i:]
                 return
@@ -94,17 +104,23 @@ class Blocks(HTMLParser):
                     return
 
     def handle_data(self, data):
-        if not self.skipped:
+        if not self.unseen:
             self.parts.append(data)
 
 
-def blocks_of(html: str | None) -> list[tuple[str, bool]]:
+def blocks_of(html: str | None) -> list[tuple[str, int]]:
+    """All blocks of a page, with their places."""
     parser = Blocks()
     parser.feed(html or "")
     parser.close()
     parser.end_block()
-    marked = [b for b in parser.found if b[1]]
-    return marked or parser.found
+    return parser.found
+
+
+def settled(places: list[int]) -> list[bool]:
+    """Which blocks structure keeps: those of the article where there is one, else those that aren't furniture."""
+    best = ARTICLE if ARTICLE in places else PLAIN
+    return [p == best for p in places]
 
 
 def shared(a: list, b: list) -> list[bool]:
@@ -171,37 +187,42 @@ def nearest(path: str, before: str | None, after: str | None) -> int:
 
 
 def dropped(blocks: list[tuple], partner: list[tuple], strict: bool = False) -> list[bool]:
-    """Which blocks (text or its hash, marked) of a page differencing with its partner deletes."""
+    """Which blocks (text or its hash, place) of a page differencing with its partner deletes."""
     own, other = [t for t, _ in blocks], [t for t, _ in partner]
     if own == other:
         return [False] * len(own)
-    return [gone and (strict or not marked) for (_, marked), gone in zip(blocks, shared(own, other), strict=True)]
+    return [gone and (strict or place != ARTICLE) for (_, place), gone in zip(blocks, shared(own, other), strict=True)]
 
 
 def _parsed(pages: DataFrame) -> DataFrame:
+    """row, page_id, url, blocks, places."""
+
     def read(batches):
-        for batch in batches:
-            blocks = pa.array([[t for t, _ in blocks_of(x)] for x in batch.column(3).to_pylist()], pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], blocks], ["row", "page_id", "url", "blocks"])
+        for part in sliced(batches, 3):
+            found = [blocks_of(x.as_py()) for x in part.column(3)]
+            lists = [pa.array([[b[k] for b in f] for f in found], pa.list_(kind)) for k, kind in ((0, pa.string()), (1, pa.int8()))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], *lists], ["row", "page_id", "url", "blocks", "places"])
 
-    return pages.select("row", "page_id", "url", "html").mapInArrow(read, "row long, page_id long, url string, blocks array<string>")
+    return pages.select("row", "page_id", "url", "html").mapInArrow(read, "row long, page_id long, url string, blocks array<string>, places array<byte>")
 
 
 def _outline(pages: DataFrame) -> DataFrame:
-    """row, page_id, host, path, and a hash and mark for each block: all that differencing needs."""
+    """row, page_id, host, path, and a hash and place for each block: all that differencing needs."""
 
     def read(batches):
-        for batch in batches:
-            found = [[((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)), m) for t, m in blocks_of(x)] for x in batch.column(4).to_pylist()]
-            lists = [pa.array([[b[k] for b in f] for f in found], pa.list_(kind)) for k, kind in ((0, pa.int64()), (1, pa.bool_()))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *lists], ["row", "page_id", "host", "path", "hashes", "marks"])
+        for part in sliced(batches, 4):
+            found = [[((xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)), m) for t, m in blocks_of(x.as_py())] for x in part.column(4)]
+            lists = [pa.array([[b[k] for b in f] for f in found], pa.list_(kind)) for k, kind in ((0, pa.int64()), (1, pa.int8()))]
+            yield pa.RecordBatch.from_arrays([*part.columns[:4], *lists], ["row", "page_id", "host", "path", "hashes", "marks"])
 
-    return pages.select("row", "page_id", "host", "path", "html").mapInArrow(read, "row long, page_id long, host string, path string, hashes array<long>, marks array<boolean>")
+    return pages.select("row", "page_id", "host", "path", "html").mapInArrow(read, "row long, page_id long, host string, path string, hashes array<long>, marks array<byte>")
 
 
 def _deletions(scratch: Scratch, outline: DataFrame, strict: bool) -> DataFrame:
     """row, gone: a flag for each block, of pages that lose any."""
     order = ["host", "path", "page_id"]
+    # saved first: finding the bounds of the ranges reads it once more
+    outline = scratch.save(outline, "parsed")
     table = scratch.save(outline.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()), "outlines")
     # the first and last page of each partition, for its neighbours: two rows a partition
     fields = ["page_id", "host", "path", "hashes", "marks"]
@@ -245,21 +266,24 @@ def _deletions(scratch: Scratch, outline: DataFrame, strict: bool) -> DataFrame:
     return near.mapInArrow(difference, "row long, gone array<boolean>").dropDuplicates(["row"])
 
 
+def _known(pages: DataFrame) -> DataFrame:
+    url = F.coalesce("url", F.lit(""))
+    host, path = F.lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)", 1)
+    return pages.select(F.xxhash64("page_id", "url", "html").alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), "html")
+
+
 def extract(pages: DataFrame, strict: bool = False) -> DataFrame:
-    """page_id, url, text, n_chars.
+    """page_id, url, text, n_chars, n_shared (blocks that differencing deleted).
 
-    Only outlines (hashes of blocks) are sorted and compared. A page that loses no block is read and written in one task;
-    the others, told by a bit map, meet their flags in a join.
+    Only outlines (hashes of blocks) are sorted and compared; pages meet their flags in a join.
     """
     scratch = Scratch(pages.sparkSession)
-    url = F.coalesce("url", F.lit(""))
-    host, path = F.lower(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*(.*)", 1)
-    known = pages.select(F.xxhash64("page_id", "url", "html").alias("row"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), host.alias("host"), path.alias("path"), "html")
+    known = _known(pages)
     gone = scratch.save(_deletions(scratch, _outline(known), strict), "gone")
-    flagged = bit_map(gone, F.col("row"))
-    light = known.drop("host", "path")
-    plain = _parsed(hits(light, flagged, F.col("row"), wanted=False))
-    cut = _parsed(hits(light, flagged, F.col("row"))).join(gone, "row", "left")
-    cut = cut.withColumn("blocks", F.filter("blocks", lambda b, i: ~F.coalesce(F.get("gone", i), F.lit(False)))).drop("gone")
-    text = F.array_join("blocks", "\n\n")
-    return plain.unionByName(cut).select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"))
+    met = _parsed(known).join(gone.hint("merge"), "row", "left")
+    deleted = lambda i: F.coalesce(F.get("gone", i), F.lit(False))
+    best = F.when(F.array_contains("places", F.lit(ARTICLE).cast("byte")), ARTICLE).otherwise(PLAIN)
+    kept = F.filter("blocks", lambda b, i: ~deleted(i) & (F.get("places", i) == best))
+    text = F.array_join(kept, "\n\n")
+    n_shared = F.coalesce(F.size(F.filter("gone", lambda x: x)), F.lit(0)).cast("long")
+    return met.select("page_id", "url", text.alias("text"), F.length(text).cast("long").alias("n_chars"), F.greatest(n_shared, F.lit(0)).cast("long").alias("n_shared"))
