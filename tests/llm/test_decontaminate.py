@@ -74,7 +74,7 @@ def test_index_finds_all_within_the_radius():
 
     rng = np.random.default_rng(4)
     items = d.Items([(i, " ".join(f"w{x}" for x in rng.integers(0, 5000, 30))) for i in range(50)])
-    (prints, owners, first, _, _), = items.sizes.values()
+    (prints, owners, first, *_), = items.sizes.values()
     for k, f in enumerate(prints):
         for _ in range(40):
             flips = rng.choice(64, rng.integers(0, d.RADIUS + 1), replace=False)
@@ -88,7 +88,7 @@ def test_recall_at_the_threshold():
     vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 8))) for _ in range(4000)]
     text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
     tried = missed = 0
-    for n in (15, 20, 30, 49, 59, 94, 100, 142, 185, 250, 600):
+    for n in (15, 20, 30, 49, 59, 94, 100, 142, 185, 250):
         items, docs, want = [], [], set()
         for i in range(40):
             item = text(n)
