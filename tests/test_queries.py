@@ -1,6 +1,7 @@
 """Every registered query against its SQL, on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from glossa.plans import registry
@@ -19,7 +20,7 @@ def duck():
 
 
 def cell(v):
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "~"
     return f"{v:.6g}" if isinstance(v, float) else str(v)
 
