@@ -37,9 +37,9 @@ from pyspark.sql import functions as F
 
 from glossa.llm.common import Scratch, bit_map, hits, sliced, words_of
 
-LENGTH, WINDOW = 400, 129
-WORDS, WORD_WINDOW = 50, 17
-MOST, BATCH, PART = 8192, 1 << 16, 1 << 20
+LENGTH, WINDOW = 400, 65
+WORDS, WORD_WINDOW = 50, 25
+MOST, BATCH, PART = 2048, 1 << 15, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 
 
@@ -58,17 +58,20 @@ class Words:
     kind = np.uint64
 
     def __init__(self):
-        self.known: dict[bytes, int] = {}
+        self.known = _Hashes()
 
     def __call__(self, text: str) -> np.ndarray:
-        found = text.encode("utf-8", "surrogatepass").split()
-        if len(self.known) > 1 << 17:
-            self.known.clear()
-        known = self.known
-        for w in found:
-            if w not in known:
-                known[w] = xxhash.xxh64_intdigest(w)
-        return np.fromiter((known[w] for w in found), np.uint64, len(found))
+        return np.array(list(map(self.known.__getitem__, text.encode("utf-8", "surrogatepass").split())), np.uint64)
+
+
+class _Hashes(dict):
+    """Hashes of words, kept for the next text."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1 << 17:
+            self.clear()
+        self[word] = h = xxhash.xxh64_intdigest(word)
+        return h
 
 
 def suffix_array(text: list[int]) -> list[int]:
