@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossa.functions.text import HANZI, has_hanzi, normal_token
+from glossa.functions.text import HANZI, has_hanzi, let, normal_token
 
 # Characters that part tokens, besides white space; what a number looks like.
 SEPARATORS = ",;:.?!-/'\"()[]"
@@ -78,9 +78,11 @@ def trimmed_tokens(text: Column) -> Column:
 
 def pruned_places(text: Column) -> Column:
     """For each character of the pruned text (punctuation and white space as single spaces, trimmed) its place in the text."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
     blank = lambda c: c.rlike(r"^[\p{P}\s]$")
-    each = F.transform(chars, lambda c, i: F.struct(i.alias("i"), blank(c).alias("b"), F.coalesce(blank(F.get(chars, i - 1)), F.lit(True)).alias("after")))
-    kept = F.filter(each, lambda x: ~(x["b"] & x["after"]))
-    last = F.try_element_at(kept, F.lit(-1))
-    return F.transform(F.when(last["b"], F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept), lambda x: x["i"])
+
+    def places(chars):
+        each = F.transform(chars, lambda c, i: F.struct(i.alias("i"), blank(c).alias("b"), F.coalesce(blank(F.get(chars, i - 1)), F.lit(True)).alias("after")))
+        kept = F.filter(each, lambda x: ~(x["b"] & x["after"]))
+        return let(kept, lambda k: F.transform(F.when(F.try_element_at(k, F.lit(-1))["b"], F.slice(k, 1, F.size(k) - 1)).otherwise(k), lambda x: x["i"]))
+
+    return let(F.filter(F.split(text, ""), lambda c: c != ""), places)

@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 WORD = "[a-zà-ÿ]+"
 # Letters with diacritics and what they fold to.
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿőű", "aaaaaaceeeeiiiinooooouuuuyyou"
-#: Bands of the length filter: longest source, ratio of lengths from and to, largest share of punctuation.
+# Bands of the length filter: longest source, ratio of lengths from and to, largest share of punctuation.
 BANDS = ((5, 2.5, 7.0, 0.3), (20, 2.3, 5.0, 0.2), (40, 2.1, 4.0, 0.1))
+# The blocks of characters that count as hanzi.
 HANZI = r"[\x{3400}-\x{4DFF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once a row; plain columns may be computed again at each use in a lambda."""
+    return F.transform(F.array(value), body)[0]
+
+
 def words(text: Column) -> Column:
     """Words of a text in lower case, in order."""
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), 0)

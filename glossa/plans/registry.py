@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.plans import corpus, dictionary, entries, history, lexicon, pairs, search, text  # noqa: F401
+from glossa.plans import corpus, dictionary, edits, entries, history, lexicon, pairs, search, text  # noqa: F401
 from glossa.plans.catalog import ORACLES, QUERIES
 
 

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-IDEOGRAPH = r"[\x{3400}-\x{4DFF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
-STATUS = {"New": 0, "Verif": 1, "Flagged": 2}
-
+from glossa.functions.text import HANZI as IDEOGRAPH
+from glossa.functions.text import let
 
-def let(value: Column, body) -> Column:
-    return F.transform(F.array(value), body)[0]
+# Status words of version lines.
+STATUS = {"New": 0, "Verif": 1, "Flagged": 2}
 
 
 def syllables(text: Column) -> Column:

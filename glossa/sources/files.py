@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from glossa.operators.tokens import ranked, running
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """line (from 0), text, in the order of the files and of the lines in them.
 
-    Lines are numbered inside each block that a task reads; running counts of the blocks make the numbers whole.
+    Lines are numbered inside each block that a task reads; running counts of the blocks make the numbers whole. The counts
+    need a block's name alone, so that a second scan which is cut otherwise gives the same numbers for blocks of its own.
     """
     raw = spark.read.text(path).select(F.col("value").alias("text"), F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")).alias("at"), F.monotonically_increasing_id().alias("row"))
     counts = raw.groupBy("at").agg(F.count("*").alias("n"))
@@ -20,7 +23,7 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def merged_lines(first: DataFrame, second: DataFrame, mark: str = "@TOSIMP@") -> DataFrame:
     """Lines of which those that are the mark are replaced, in turn, by the lines of a second table."""
-    marked = first.where(F.col("text") == mark).select("line", (F.row_number().over(Window.orderBy("line")) - 1).alias("ordinal"))
+    marked = ranked(first.where(F.col("text") == mark).select("line"), "line").select("line", (F.col("rank") - 1).alias("ordinal"))
     put = marked.join(second.select(F.col("line").alias("ordinal"), F.col("text").alias("new")), "ordinal", "left").select("line", "new")
     return first.join(put, "line", "left").select("line", F.coalesce("new", "text").alias("text"))
 
@@ -89,3 +92,74 @@ def write_lines(df: DataFrame, path: str, *columns: str, gzip: bool = False) ->
     """Tab-separated lines without quotes, replacing what is at the path."""
     line = F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns))
     df.select(line.alias("value")).write.mode("overwrite").text(path, compression="gzip" if gzip else "none")
+
+
+def zipped_heads(simp: DataFrame, trad: DataFrame) -> DataFrame:
+    """line, text: entry lines made from two lists of headwords line by line, up to the end of the shorter one."""
+    both = simp.select("line", F.col("text").alias("s")).join(trad.select("line", F.col("text").alias("t")), "line")
+    return both.select("line", F.concat("t", F.lit(" "), "s", F.lit(" [pin yin] /sense/")).alias("text"))
+
+
+def escaped_heads(lines: DataFrame) -> DataFrame:
+    """line, text: the second field of tab-separated lines after the header, with {[hex]} as the character it names."""
+    head = F.get(F.split("text", "\t"), F.lit(1))
+    parts = F.split(head, r"(?=\{\[[0-9A-Fa-f]{4}\]\})|(?<=\{\[[0-9A-Fa-f]{4}\]\})")
+    one = lambda x: F.when(x.rlike(r"^\{\[[0-9A-Fa-f]{4}\]\}$"), F.decode(F.unhex(F.substring(x, 3, 4)), "UTF-16BE")).otherwise(x)
+    return lines.where("line > 0").select("line", F.array_join(F.transform(parts, one), "").alias("text"))
+
+
+def analysis_groups(lines: DataFrame) -> DataFrame:
+    """surf, analyses of groups of lines `surface TAB analysis`, which blank lines part."""
+    grouped = running(lines, "line", F.col("text") == "", "group").where("text <> ''")
+    f = F.split("text", "\t")
+    each = grouped.select("group", "line", f[0].alias("surf"), F.get(f, F.lit(1)).alias("analysis"))
+    return each.groupBy("group").agg(F.min_by("surf", "line").alias("surf"), F.transform(F.array_sort(F.collect_list(F.struct("line", "analysis"))), lambda x: x["analysis"]).alias("analyses")).drop("group")
+
+
+def vocabulary(groups: DataFrame) -> DataFrame:
+    """word, is_word: lower-case surface forms; one whose first analysis ends with a question mark is no word."""
+    return groups.select(F.lower("surf").alias("word"), ~F.endswith(F.get("analyses", F.lit(0)), F.lit("?")).alias("is_word")).groupBy("word").agg(F.max("is_word").alias("is_word"))
+
+
+def variants(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:
+    """hanzi, field, variant of the two variant fields, of characters that known (hanzi) has readings for."""
+    f = F.split("value", "\t")
+    char = lambda c: F.decode(F.unhex(F.lpad(F.substring(c, 3, 6), 4, "0")), "UTF-16BE")
+    rows = spark.read.text(path).where(F.size(f) == 3).select(f[0].alias("c"), f[1].alias("field"), F.explode(F.split(f[2], " ")).alias("v"))
+    rows = rows.where(F.col("field").isin("kTraditionalVariant", "kSimplifiedVariant") & (F.length("c") == 6) & (F.length("v") == 6))
+    return rows.select(char(F.col("c")).alias("hanzi"), "field", char(F.col("v")).alias("variant")).join(known.select("hanzi").distinct(), "hanzi", "left_semi")
+
+
+def kept_vectors(vectors: DataFrame, words: DataFrame) -> DataFrame:
+    """Vectors of the words that a vocabulary has."""
+    return vectors.join(words.select("word").distinct(), "word", "left_semi")
+
+
+def rank_list(spark: SparkSession, path: str, column: int = 0) -> DataFrame:
+    """word, rank (from 0) of a CSV list in its own order."""
+    lines = numbered_lines(spark, path)
+    return lines.select(F.get(F.split("text", ","), F.lit(column)).alias("word"), F.col("line").alias("rank")).groupBy("word").agg(F.min("rank").alias("rank"))
+
+
+def heads_of(lines: DataFrame) -> DataFrame:
+    """simp, entries: entry lines by their second field, joined with ' @@ ' in line order."""
+    kept = lines.where(~F.col("text").rlike(r"^\s*(#|$)"))
+    each = kept.groupBy(F.get(F.split("text", " "), F.lit(1)).alias("simp")).agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("e"))
+    return each.select("simp", F.array_join(F.transform("e", lambda x: x["text"]), " @@ ").alias("entries"))
+
+
+def sessions(spark: SparkSession, path: str) -> DataFrame:
+    """token, user_id, expires, user_name, score, perms of persisted sessions; expiry is in ticks of 100 ns since year 1."""
+    f = F.split("value", "\t")
+    seconds = (f[2].try_cast("decimal(20,0)") / 10_000_000).cast("long") - 62_135_596_800
+    return spark.read.text(path).where(F.size(f) == 6).select(f[0].alias("token"), f[1].try_cast("int").alias("user_id"), F.timestamp_seconds(seconds).alias("expires"), f[3].alias("user_name"), f[4].try_cast("int").alias("score"), f[5].try_cast("int").alias("perms"))
+
+
+def statements(spark: SparkSession, path: str) -> DataFrame:
+    """name, params (name and kind), sql of a catalog of statements between `# Script name` and `# End`."""
+    raw = spark.read.option("lineSep", "# Script ").text(path).where(F.contains("value", F.lit("# End")))
+    body = F.substring_index("value", "# End", 1)
+    params = F.regexp_extract_all(body, F.lit(r"# @(\w+)[ \t]+\w+"), 1)
+    kinds = F.regexp_extract_all(body, F.lit(r"# @\w+[ \t]+(\w+)"), 1)
+    sql = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(body, r"^[^\n]*\n", ""), r"(?m)^# .*$", ""), r"\s+", " "))
+    return raw.select(F.trim(F.regexp_extract("value", r"^([^\s]+)", 1)).alias("name"), F.arrays_zip(params.alias("name"), kinds.alias("kind")).alias("params"), F.regexp_replace(sql, r"@(\w+)", ":$1").alias("sql"))
