@@ -41,7 +41,7 @@ from glossa.llm.common import bounded, sliced
 
 WIDTH, SIMILARITY = 5, 0.8
 SHARE, LADDER, SHORT, RADIUS, SHIFT = 0.95, 1.25, 0.7, 11, 3
-ITEMS, CHUNK = 2000, 1 << 14
+ITEMS, CHUNK = 2000, 1 << 15
 WORD = re.compile(r"\w+")
 #: Values of 16 bits with at most RADIUS // 4 of them set.
 FLIPS = np.array([m for m in range(1 << 16) if m.bit_count() <= RADIUS // 4], np.uint16)
@@ -55,7 +55,7 @@ class Hashes(dict):
     """Hashes of words, kept for the next text."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 1 << 17:
+        if len(self) > 1 << 18:
             self.clear()
         self[word] = h = xxhash.xxh64_intdigest(word)
         return h
@@ -99,11 +99,12 @@ class Items:
         self.words = [(i, w) for i, w in self.words if w]
         self.shingles = [shingles(w) for _, w in self.words]
         self.limits = [(1 / SIMILARITY - 1) / WIDTH * sum(x.values()) + 1e-6 for x in self.shingles]
-        self.known, self.hashes = [], Hashes()
+        self.sets = [set(w) for _, w in self.words]
+        known, self.hashes = [], Hashes()
         by: dict[int, list] = {}
         for k, (_, w) in enumerate(self.words):
             h = word_hashes(w)
-            self.known.append(np.unique(h))
+            known.append(h)
             size = window_size(len(w))
             prints = simhashes(running(h, size), size)
             by.setdefault(size, []).extend((int(prints[at]), k, at) for at in sorted({0, len(w) - size}))
@@ -121,7 +122,7 @@ class Items:
             filled = [np.diff(x) > 0 for x in starts]
             item = np.array([k for _, k, _ in found])
             self.sizes[size] = (prints, owners, starts, filled, item, np.array([at for _, _, at in found]), max(self.limits[k] for k in item))
-        self.vocabulary = np.unique(np.concatenate([*self.known, np.empty(0, np.uint64)]))
+        self.vocabulary = np.unique(np.concatenate([*known, np.empty(0, np.uint64)]))
 
 
 def shingles(w: list[str]) -> dict[tuple, int]:
@@ -185,21 +186,21 @@ def matches(docs: list[list[str]], items: Items):
                     found.update(zip(d.tolist(), item[q[near]].tolist(), (at[pos[near]] - starts[d] - offset[q[near]]).tolist(), strict=True))
         done: set[tuple[int, int, int]] = set()
         for d, k, start in found:
-            n = len(items.words[k][1])
-            doc, known = h[starts[d] : starts[d + 1]], items.known[k]
+            n, doc, known, limit = len(items.words[k][1]), docs[lo + d], items.sets[k], items.limits[k]
             top = max(0, len(doc) - n)
-            # the words that the middles of all places to be tried have in common
-            inner = slice(starts[d] + max(0, min(start + SHIFT, top)) + edge, starts[d] + min(max(0, min(start - SHIFT, top)) + n, len(doc)) - edge)
-            if inner.stop > inner.start and strange(h[inner], chars[inner], known)[-1] > items.limits[k]:
+            first_place, last_place = (max(0, min(start + shift, top)) for shift in (-SHIFT, SHIFT))
+            # the words that the middles of all places to be tried have in common, then those of each
+            if sum(len(w) for w in doc[last_place + edge : min(first_place + n, len(doc)) - edge] if w not in known) > limit:
                 continue
-            for s in range(start - SHIFT, start + SHIFT + 1):
-                s = max(0, min(s, top))
+            for s in range(first_place, last_place + 1):
                 if (d, k, s) in done:
                     continue
                 done.add((d, k, s))
-                x = similarity(shingles(docs[lo + d][s : s + n]), items.shingles[k])
+                if sum(len(w) for w in doc[s + edge : min(s + n, len(doc)) - edge] if w not in known) > limit:
+                    continue
+                x = similarity(shingles(doc[s : s + n]), items.shingles[k])
                 if x >= SIMILARITY:
-                    best[lo + int(d), k] = max(best.get((lo + int(d), k), (0.0, 0)), (x, -s))
+                    best[lo + d, k] = max(best.get((lo + d, k), (0.0, 0)), (x, -s))
     return [(d, k, x, -s) for (d, k), (x, s) in sorted(best.items())]
 
 

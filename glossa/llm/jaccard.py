@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from glossa.llm.common import Scratch, all_of, bit_map, components, hits, sliced, unused
 
-SLOTS, ORDERS = 1 << 19, 3
+SLOTS, SIDE, ORDERS = 1 << 19, 16, 3
 #: Tokens whose slot counts fewer than 2^RARE documents are grouped by a window.
 RARE = 16
 #: Groups of up to so many members are compared pair by pair; larger ones by differences from their smallest document.
@@ -77,27 +77,31 @@ def needed(n: int, percent: int) -> int:
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
-    """(slot, n): how many documents' shingles fall into each of SLOTS slots."""
+    """block, c0, c1, …: how many documents' shingles fall into each of SLOTS slots, SIDE of them side by side in a row."""
 
     def count(batches):
         counts = np.zeros(SLOTS, np.int64)
         for part in sliced(batches, 0):
             sets = [shingle_hashes(t.as_py(), width) for t in part.column(0)]
             counts += np.bincount((np.concatenate(sets) & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS)
-        full = np.flatnonzero(counts)
-        for k in range(0, len(full), 50_000):
-            at = full[k : k + 50_000]
-            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(counts[at])], ["slot", "n"])
+        blocks = counts.reshape(-1, SIDE)
+        full = np.flatnonzero(blocks.any(axis=1))
+        for k in range(0, len(full), 8192):
+            at = full[k : k + 8192]
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), *(pa.array(blocks[at, i]) for i in range(SIDE))], names)
 
-    return docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    names = ["block", *(f"c{i}" for i in range(SIDE))]
+    found = docs.select("text").mapInArrow(count, "block int, " + ", ".join(f"c{i} long" for i in range(SIDE)))
+    return found.groupBy("block").agg(*(F.sum(c).alias(c) for c in names[1:]))
 
 
 def classes(spark: SparkSession, counts: DataFrame):
     """The magnitude of each slot's count, as a broadcast of SLOTS bytes."""
-    rows = counts.select("slot", F.floor(F.log2("n")).cast("byte").alias("magnitude")).toArrow()
-    out = np.zeros(SLOTS, np.uint8)
-    out[rows["slot"].to_numpy()] = rows["magnitude"].to_numpy()
-    return spark.sparkContext.broadcast(out)
+    rows = counts.select("block", *(F.floor(F.log2(F.greatest(F.col(f"c{i}"), F.lit(1)))).cast("byte").alias(f"c{i}") for i in range(SIDE))).toArrow()
+    out = np.zeros((SLOTS // SIDE, SIDE), np.uint8)
+    for i in range(SIDE):
+        out[rows["block"].to_numpy(), i] = rows[f"c{i}"].to_numpy()
+    return spark.sparkContext.broadcast(out.ravel())
 
 
 def profiles(docs: DataFrame, width: int, percent: int, ranks) -> DataFrame:
