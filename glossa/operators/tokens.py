@@ -36,6 +36,17 @@ def bigram_scores(df: DataFrame, least: int, score: float, text: str = "text") -
     return scored.withColumn("mi", F.round(mi, 6)).where(mi > score).select("a", "b", "n", "mi")
 
 
+def phrases(df: DataFrame, least: int, score: float, text: str = "text") -> DataFrame:
+    """a, b, n, npmi of pairs found at least ``least`` times, with normalised mutual information above ``score``."""
+    single = frequencies(df, text)
+    total = F.broadcast(single.agg(F.sum("freq").cast("double").alias("total")))  # one row
+    pairs = bigrams(df, text).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    met = pairs.join(single.select(F.col("word").alias("a"), F.col("freq").alias("fa")), "a").join(single.select(F.col("word").alias("b"), F.col("freq").alias("fb")), "b").join(total)
+    share = lambda c: F.col(c) / F.col("total")
+    npmi = F.log(share("n") / (share("fa") * share("fb"))) / -F.log(share("n"))
+    return met.withColumn("npmi", F.round(npmi, 6)).where(npmi > score).select("a", "b", "n", "npmi")
+
+
 def merge_pass(df: DataFrame, merges: DataFrame, key: str, tokens_col: str = "tokens") -> DataFrame:
     """Joins neighbouring tokens that are in merges (a, b), best score first where pairs overlap, of equal ones the first.
 
