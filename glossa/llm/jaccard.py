@@ -17,7 +17,8 @@ smallest document leaves. Documents with equal sets are one member throughout.
 
 A pair counts in a group only where the token's places in both sets leave room for enough shared tokens after it. Under the
 other orders prefixes are twice as long, and the tokens that two of them share must be so many that the rest could make up
-what is wanting; both bounds hold for every linked pair, and cut pairs before whole sets are fetched.
+what is wanting. A map of 256 bits of the second order's prefix is held against that first, as bits that only one side has
+stand for tokens that it doesn't share. These bounds hold for every linked pair, and cut pairs before whole sets are fetched.
 
 Tokens that the sketch shows to be rare are grouped by a window. Those it can't show to be so are counted with map-side
 aggregation and joined with their counts, so that no task need hold all rows of a frequent token.
@@ -40,6 +41,7 @@ from pyspark.sql import functions as F
 from glossa.llm.common import Scratch, all_of, bit_map, components, hits, sliced, unused
 
 SLOTS, SIDE, ORDERS = 1 << 19, 16, 3
+BITS = ("b0", "b1", "b2", "b3")
 #: Tokens whose slot counts fewer than 2^RARE documents are grouped by a window.
 RARE = 16
 #: Groups of up to so many members are compared pair by pair; larger ones by differences from their smallest document.
@@ -112,7 +114,7 @@ def profiles(docs: DataFrame, width: int, percent: int, ranks) -> DataFrame:
 
     def build(batches):
         for part in sliced(batches, 1):
-            counts, names, rare, kept = [], [], [], [[] for _ in range(ORDERS)]
+            counts, names, rare, kept, bits = [], [], [], [[] for _ in range(ORDERS)], []
             for text in part.column(1):
                 h = shingle_hashes(text.as_py(), width)
                 n = len(h)
@@ -130,10 +132,13 @@ def profiles(docs: DataFrame, width: int, percent: int, ranks) -> DataFrame:
                         some = longer(n, percent)
                         first = np.argpartition(keys, some - 1)[:some] if some < n else slice(None)
                         kept[k].append(np.unique(h[first] >> np.uint64(32)))
-            lists = [_lists(kept[0], np.int64), *(_lists(kept[k], np.int32) for k in range(1, ORDERS))]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(rare, pa.int32()), *lists], ["doc_id", "n", "set_id", "rare", *(f"p{k}" for k in range(ORDERS))])
+                marks = np.zeros(256, bool)
+                marks[(kept[1][-1] & np.uint64(255)).astype(np.int64)] = True
+                bits.append(np.packbits(marks).view(np.int64))
+            lists = [*(pa.array(c) for c in np.array(bits).T), _lists(kept[0], np.int64), *(_lists(kept[k], np.int32) for k in range(1, ORDERS))]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(rare, pa.int32()), *lists], ["doc_id", "n", "set_id", "rare", *BITS, *(f"p{k}" for k in range(ORDERS))])
 
-    kinds = ", ".join(["p0 array<long>", *(f"p{k} array<int>" for k in range(1, ORDERS))])
+    kinds = ", ".join([*(f"{b} long" for b in BITS), "p0 array<long>", *(f"p{k} array<int>" for k in range(1, ORDERS))])
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(build, f"doc_id long, n long, set_id binary, rare int, {kinds}")
 
 
@@ -184,16 +189,20 @@ def _verified(scratch: Scratch, docs: DataFrame, table: DataFrame, pairs: DataFr
     """
     other = [f"p{k}" for k in range(1, ORDERS)]
     ends = scratch.save(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), f"{name}-ends")
-    some = hits(table.select("doc_id", "n", *other), bit_map(ends, F.col("doc_id")), F.col("doc_id"))
-    left = some.select(F.col("doc_id").alias("x"), F.col("n").alias("nx"), *(F.col(c).alias(f"x_{c}") for c in other))
-    right = some.select(F.col("doc_id").alias("y"), F.col("n").alias("ny"), *(F.col(c).alias(f"y_{c}") for c in other))
-    passed = pairs.join(left, "x").join(right, "y")
+    some = scratch.save(hits(table.select("doc_id", "n", *BITS, *other), bit_map(ends, F.col("doc_id")), F.col("doc_id")), f"{name}-some")
     size = lambda n: f"least({n}, 2 * ({n} - ({percent} * {n} + 99) div 100 + 1))"
+    outside = F.greatest(F.expr(f"nx - {size('nx')}"), F.expr(f"ny - {size('ny')}"))
+    need = _least("nx", "ny", percent) - outside
+    side = lambda k, *columns: some.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), *(F.col(c).alias(f"{k}_{c}") for c in columns))
+    mapped = pairs.join(side("x", *BITS), "x").join(side("y", *BITS), "y")
+    only = lambda a, b: sum((F.bit_count(F.col(f"{a}_{c}").bitwiseAND(F.bitwise_not(f"{b}_{c}"))) for c in BITS), F.lit(0))
+    mapped = mapped.where((only("x", "y") <= F.expr(size("nx")) - need) & (only("y", "x") <= F.expr(size("ny")) - need))
+    mapped = scratch.save(mapped.select("x", "y", "nx", "ny", "large"), f"{name}-mapped")
+    passed = mapped.join(side("x", *other).drop("nx"), "x").join(side("y", *other).drop("ny"), "y")
     for c in other:
         both = F.size(F.array_intersect(f"x_{c}", f"y_{c}"))
         merged = F.expr(size("nx")) - F.size(f"x_{c}")
-        outside = F.greatest(F.expr(f"nx - {size('nx')}"), F.expr(f"ny - {size('ny')}"))
-        passed = passed.where((both > 0) & (both + merged + outside >= _least("nx", "ny", percent)))
+        passed = passed.where((both > 0) & (both + merged >= need))
     passed = scratch.save(passed.select("x", "y", "large"), f"{name}-passed")
     wanted = scratch.save(passed.select(F.col("x").alias("doc_id")).union(passed.select("y")).distinct(), f"{name}-wanted")
     sets = scratch.save(_sets(docs, wanted, width), f"{name}-sets")
@@ -201,7 +210,8 @@ def _verified(scratch: Scratch, docs: DataFrame, table: DataFrame, pairs: DataFr
     delta = F.when(F.col("large"), F.concat(F.array_except("a", "b"), F.array_except("b", "a")))
     met = met.select("x", "y", F.size("a").cast("long").alias("nx"), F.size("b").cast("long").alias("ny"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), delta.alias("delta"))
     met = scratch.save(met, f"{name}-met")
-    scratch.drop(f"{name}-sets")
+    for part in ("sets", "some", "mapped", "ends"):
+        scratch.drop(f"{name}-{part}")
     return met
 
 
