@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.functions.text import folded, words
+from glossa.functions.text import folded, let, words
 from glossa.operators.tokens import tokens
 
 
@@ -69,32 +71,41 @@ def longest_covers(queries: DataFrame, heads: DataFrame, key: str, text: str, lo
     return best.withColumn("far", far).where("start + length > far").drop("far")
 
 
-def segments(df: DataFrame, heads: set[str], key: str, text: str) -> DataFrame:
-    """key, segments: forward maximum matching against a headword list, which travels as a broadcast of checked size.
+def segments(df: DataFrame, heads: DataFrame, key: str, text: str) -> DataFrame:
+    """key, segments: forward maximum matching against a headword list (head), which travels as a broadcast of checked size.
 
     Where no headword fits, white space and punctuation are skipped, runs of ASCII letters and digits are one segment, and
-    any other character is a segment of its own marked with @.
+    any other character is a segment of its own marked with @. A list of over 64 MB is refused before it is collected.
     """
-    if sum(map(len, heads)) > 64 << 20:
+    size = heads.agg(F.coalesce(F.sum(F.octet_length("head") + 64), F.lit(0))).first()[0]
+    if size > 64 << 20:
         raise ValueError("the headword list is too large to send to every task; use longest_covers")
-    known = df.sparkSession.sparkContext.broadcast((heads, max(map(len, heads), default=0)))
+    known = df.sparkSession.sparkContext.broadcast(lengths_of(r["head"] for r in heads.distinct().collect()))
 
     def split(batches):
-        words, longest = known.value
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_match(t, words, longest) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], [key, "segments"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_match(t, known.value) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], [key, "segments"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(split, f"{key} {kind}, segments array<string>")
 
 
-def _match(text: str | None, heads: set[str], longest: int) -> list[str]:
+def lengths_of(heads) -> dict[str, list[tuple[int, set[str]]]]:
+    """Headwords by first character, then by length, longest first."""
+    by: dict[str, dict[int, set[str]]] = {}
+    for h in heads:
+        if h:
+            by.setdefault(h[0], {}).setdefault(len(h), set()).add(h)
+    return {c: sorted(x.items(), reverse=True) for c, x in by.items()}
+
+
+def _match(text: str | None, heads: dict[str, list[tuple[int, set[str]]]]) -> list[str]:
     out: list[str] = []
     i, run = 0, False
     text = text or ""
     while i < len(text):
-        size = next((n for n in range(min(longest, len(text) - i), 0, -1) if text[i : i + n] in heads), 0)
         c = text[i]
+        size = next((n for n, known in heads.get(c, ()) if text[i : i + n] in known), 0)
         if size:
             out.append(text[i : i + size])
             run = False
@@ -115,3 +126,28 @@ def _match(text: str | None, heads: set[str], longest: int) -> list[str]:
 def stems(df: DataFrame, dictionary: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, pos, word, stem: words with the dictionary's stem, or themselves."""
     return tokens(df, key, text).join(dictionary.select("word", "stem"), "word", "left").select(key, "pos", "word", F.coalesce("stem", "word").alias("stem"))
+
+
+#: Words of a query's stems that travel with the plan.
+MOST_WORDS = 10_000
+
+
+def stem_runs(df: DataFrame, dictionary: DataFrame, wanted: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, hits: how often the wanted stems stand in a row.
+
+    The words of these stems are a small part of the dictionary; up to MOST_WORDS of them travel with the plan, and texts are
+    searched inside their rows, so that no token is shuffled. With more, tokens meet the dictionary in a join.
+    """
+    few = dictionary.where(F.col("stem").isin(*set(wanted))).select("word", "stem")
+    rows = few.limit(MOST_WORDS + 1).collect()
+    if len(rows) > MOST_WORDS:
+        each = tokens(df, key, text).join(few, "word").select(key, "pos", "stem")
+        sides = (each.where(F.col("stem") == s).select(key, (F.col("pos") - i).alias("pos")) for i, s in enumerate(wanted))
+        return reduce(lambda a, b: a.join(b, [key, "pos"]), sides).groupBy(key).agg(F.count("*").alias("hits"))
+    # a word that the dictionary doesn't have is its own stem
+    known = {r["word"] for r in rows}
+    forms = {s: [r["word"] for r in rows if r["stem"] == s] + ([s] if s not in known else []) for s in wanted}
+    at = lambda w, i: reduce(lambda a, b: a & b, (F.coalesce(F.get(w, i + k).isin(*forms[s]), F.lit(False)) for k, s in enumerate(wanted)))
+    hits = let(words(F.col(text)), lambda w: F.size(F.filter(F.transform(w, lambda x, i: at(w, i)), lambda ok: ok)))
+    some = df.where(F.lower(text).rlike("|".join(sorted(forms[wanted[0]], key=len)[:1]))) if len(forms[wanted[0]]) == 1 else df
+    return some.select(key, hits.cast("long").alias("hits")).where("hits > 0")

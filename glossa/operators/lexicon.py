@@ -39,13 +39,15 @@ def fused(lists: list[DataFrame], key: str, item: str, place: str, most: int) ->
     return stacked.groupBy(key, item).agg(F.sum(most - F.col(place)).alias("score"))
 
 
-def buckets(df: DataFrame, rank: Column, hit: Column, width: int = 1000, many: int = 99) -> DataFrame:
-    """bucket, n, hits of ranks in buckets of a width."""
-    return df.select(F.floor(rank / width).cast("long").alias("bucket"), hit.alias("h")).where(F.col("bucket") < many).groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("long")).alias("hits"))
+def buckets(df: DataFrame, rank: Column, hit: Column, width: int = 1000, many: int | None = 99) -> DataFrame:
+    """bucket, n, hits of ranks in buckets of a width; of the first ``many`` buckets, or of all."""
+    cut = df.select(F.floor(rank / width).cast("long").alias("bucket"), hit.alias("h"))
+    return (cut if many is None else cut.where(F.col("bucket") < many)).groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("long")).alias("hits"))
 
 
-def contained(seeds: DataFrame, heads: DataFrame, seed: str, head: str, longest: int) -> DataFrame:
-    """(seed, head): headwords that occur inside a seed, by an equi-join on the seed's substrings."""
+def contained(seeds: DataFrame, heads: DataFrame, seed: str, head: str) -> DataFrame:
+    """(seed, head): headwords that occur inside a seed, by an equi-join on the seed's substrings of up to the longest head's length."""
+    longest = heads.agg(F.max(F.length(head))).first()[0] or 1
     cut = seeds.select(seed, F.explode(F.sequence(F.lit(1), F.length(seed))).alias("i")).select(seed, "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(seed) - F.col("i") + 1))).alias("n"))
     cut = cut.select(seed, F.expr(f"substring({seed}, i, n)").alias(head)).distinct()
     return cut.join(heads.select(head).distinct(), head).select(seed, head)

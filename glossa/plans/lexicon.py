@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from glossa.functions.text import words
 from glossa.operators import lexicon as L
 from glossa.operators.tokens import frequencies, tokens
 from glossa.plans.catalog import query
@@ -26,19 +27,19 @@ def semi_anti_split(spark, d):
     return customer.join(seen, "c_custkey", "left_semi").withColumn("known", F.lit(True)).unionByName(customer.join(seen, "c_custkey", "left_anti").withColumn("known", F.lit(False)))
 
 
-@query("substring_join", "WITH s AS (SELECT DISTINCT p_name AS seed FROM part), h AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS head FROM part UNION SELECT DISTINCT split_part(p_name, ' ', 2) FROM part) SELECT seed, head FROM s JOIN h ON contains(seed, head) AND head <> ''")
+@query("substring_join", "WITH s AS (SELECT DISTINCT p_name AS seed FROM part), h AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS head FROM part) SELECT seed, head FROM s JOIN h ON contains(seed, head) AND head <> ''")
 def substring_join(spark, d):
     parts = table(spark, d, "part")
-    heads = parts.select(F.explode(F.slice(F.split("p_name", " "), 1, 2)).alias("head")).where("head <> ''")
-    return L.contained(parts.select(F.col("p_name").alias("seed")).distinct(), heads, "seed", "head", 24)
+    heads = parts.select(F.explode(F.split("p_name", " ")).alias("head")).where("head <> ''")
+    return L.contained(parts.select(F.col("p_name").alias("seed")).distinct(), heads, "seed", "head")
 
 
-HINTS = f"h AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest({W}[1:40]) AS word FROM documents))"
+HINTS = f"h AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest({W}) AS word FROM documents))"
 
 
 def _hints(spark, d):
-    """The distinct words among the first forty of each document: its list of hints."""
-    return tokens(table(spark, d, "documents"), "doc_id").where("pos < 40").select("doc_id", "word").distinct()
+    """The distinct words of each document, its list of hints; made distinct inside the row."""
+    return table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(words(F.col("text")))).alias("word"))
 
 
 @query("hint_filter", f"WITH {HINTS}, c AS (SELECT word FROM h GROUP BY word HAVING count(*) <= 20) SELECT doc_id, word FROM h WHERE word IN (SELECT word FROM c)")
@@ -47,28 +48,32 @@ def hint_filter(spark, d):
 
 
 FREQUENT = f"f AS (SELECT word FROM (SELECT unnest({W}) AS word FROM documents) GROUP BY word HAVING count(*) > 2000)"
-FIRST = f"i AS (SELECT doc_id, unnest({W}[1:20]) AS word, unnest(range(len({W}[1:20]))) AS pos FROM documents)"
+FIRST = f"i AS (SELECT doc_id, unnest({W}) AS word, unnest(range(len({W}))) AS pos FROM documents)"
 
 
 @query("first_hypothesis_filter", f"WITH {FREQUENT}, {FIRST}, b AS (SELECT doc_id FROM i WHERE pos = 0 AND word IN (SELECT word FROM f)) SELECT doc_id, CAST(pos AS INTEGER) AS pos, word FROM i WHERE doc_id NOT IN (SELECT doc_id FROM b) AND word NOT IN (SELECT word FROM f)")
 def first_hypothesis_filter(spark, d):
     docs = table(spark, d, "documents")
     frequent = frequencies(docs).where("freq > 2000")
-    return L.first_ok(tokens(docs, "doc_id").where("pos < 20"), "doc_id", "pos", "word", frequent).select("doc_id", "pos", "word")
+    return L.first_ok(tokens(docs, "doc_id"), "doc_id", "pos", "word", frequent).select("doc_id", "pos", "word")
 
 
-@query("rank_fusion", f"""WITH l AS (SELECT lang, list_distinct({W})[1:10] AS ws FROM documents), u AS (SELECT lang, unnest(ws) AS word FROM l),
-t AS (SELECT lang, unnest({W}[1:10]) AS word, unnest(range(len({W}[1:10]))) AS place FROM documents) SELECT lang, word, CAST(sum(100 - place) AS BIGINT) AS score FROM t GROUP BY lang, word""")
+LISTS = f"""l AS (SELECT doc_id, lang, {W} AS ws, list_distinct({W}) AS ds, list_sort(list_distinct({W})) AS ss FROM documents), t AS (SELECT lang, unnest(ws) AS word, len(ws) - unnest(range(len(ws))) AS points FROM l
+UNION ALL SELECT lang, unnest(ss), len(ss) - unnest(range(len(ss))) FROM l UNION ALL SELECT lang, unnest(list_reverse(ss)), len(ss) - unnest(range(len(ss))) FROM l)"""
+
+
+@query("rank_fusion", f"WITH {LISTS} SELECT lang, word, CAST(sum(points) AS BIGINT) AS score FROM t GROUP BY lang, word")
 def rank_fusion(spark, d):
-    """For each language, words by the sum of (100 - place) over the first ten words of its documents."""
-    docs = table(spark, d, "documents")
-    head = tokens(docs.withColumn("k", F.struct("doc_id", "lang")), "k").where("pos < 10").select(F.col("k.lang").alias("lang"), "word", F.col("pos").alias("place"))
-    return L.fused([head], "lang", "word", "place", 100)
+    """For each language, words by the sum over three lists of each document of (length - place): as they stand, and in either order of the alphabet."""
+    docs = table(spark, d, "documents").select("lang", words(F.col("text")).alias("w")).withColumn("s", F.array_sort(F.array_distinct("w")))
+    lists = [docs.select("lang", F.size(c).alias("n"), F.posexplode(c).alias("place", "word")) for c in ("w", "s")]
+    back = docs.select("lang", F.size("s").alias("n"), F.posexplode(F.reverse("s")).alias("place", "word"))
+    return L.fused([x.select("lang", "word", (F.col("place") - F.col("n")).alias("place")) for x in (*lists, back)], "lang", "word", "place", 0)
 
 
-@query("rank_buckets", "SELECT o_orderkey // 1000 AS bucket, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM orders WHERE o_orderkey // 1000 < 99 GROUP BY 1")
+@query("rank_buckets", "SELECT o_orderkey // 1000 AS bucket, count(*) AS n, CAST(sum(CASE WHEN o_orderstatus = 'F' THEN 1 ELSE 0 END) AS BIGINT) AS hits FROM orders GROUP BY 1")
 def rank_buckets(spark, d):
-    return L.buckets(table(spark, d, "orders"), F.col("o_orderkey"), F.col("o_orderstatus") == "F")
+    return L.buckets(table(spark, d, "orders"), F.col("o_orderkey"), F.col("o_orderstatus") == "F", many=None)
 
 
 @query("sense_counts", f"SELECT n_lines, count(*) AS n FROM (SELECT len(string_split(text, chr(10))) AS n_lines FROM documents) GROUP BY n_lines")
@@ -79,8 +84,6 @@ def sense_counts(spark, d):
 
 @query("corpus_stats", f"WITH w AS (SELECT len({W}) AS n FROM documents) SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens, CAST(max(n) AS BIGINT) AS longest, round(avg(n), 4) AS mean FROM w")
 def corpus_stats(spark, d):
-    from glossa.functions.text import words
-
     n = table(spark, d, "documents").select(F.size(words(F.col("text"))).cast("long").alias("n"))
     return n.agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"), F.max("n").alias("longest"), F.round(F.avg("n"), 4).alias("mean"))
 

@@ -52,9 +52,10 @@ def prefix_hints(spark, d):
     return I.prefix_hints(K.frequencies(table(spark, d, "documents")), "éla", 10)
 
 
-def _stem_dictionary(docs):
-    """A word's stem: the most frequent word with its first four letters, of equal ones the first."""
-    freq = K.frequencies(docs).withColumn("head", F.substring("word", 1, 4))
+def _stem_dictionary(docs, heads: list[str]):
+    """A word's stem: the most frequent word with its first four letters, of equal ones the first; for words of given heads."""
+    own = F.filter(words(F.col("text")), lambda w: F.substring(w, 1, 4).isin(*heads))
+    freq = docs.select(F.explode(own).alias("word")).groupBy("word").agg(F.count("*").alias("freq")).withColumn("head", F.substring("word", 1, 4))
     best = freq.groupBy("head").agg(F.min(F.struct((-F.col("freq")).alias("f"), F.col("word").alias("stem")))["stem"].alias("stem"))
     return freq.join(best, "head").select("word", "stem")
 
@@ -68,16 +69,11 @@ s AS (SELECT doc_id, pos, stem FROM t JOIN b ON b.head = left(t.word, 4))"""
 def stem_rewrite_search(spark, d):
     """Documents with the stems of two query words in a row."""
     docs = table(spark, d, "documents")
-    dictionary = _stem_dictionary(docs)
-    known = {h: dictionary.where(F.substring("word", 1, 4) == h).select("stem").first() for h in ("the", "ther")}
-    if not all(known.values()):
+    dictionary = _stem_dictionary(docs, ["the", "ther"])
+    known = {r["word"][:4]: r["stem"] for r in dictionary.where("word = stem").collect()}  # a row for each word of the query
+    if len(known) < 2:
         return docs.select("doc_id", F.lit(0).cast("long").alias("hits")).limit(0)
-    x, y = (known[h]["stem"] for h in ("the", "ther"))
-    line = F.struct("pos", "stem")
-    # only words of the two stems are kept before rows are brought together
-    few = I.stems(docs, dictionary).where(F.col("stem").isin(x, y))
-    a, b = few.where(F.col("stem") == x), few.where(F.col("stem") == y).select("doc_id", (F.col("pos") - 1).alias("pos"))
-    return a.join(b, ["doc_id", "pos"]).groupBy("doc_id").agg(F.count("*").alias("hits"))
+    return I.stem_runs(docs, dictionary, [known["the"], known["ther"]])
 
 
 @query("concordance_union", f"""WITH {STEMS}, p AS (SELECT doc_id, {P} AS p FROM documents), q AS (SELECT doc_id, ' ' || string_agg(stem, ' ' ORDER BY pos) || ' ' AS q FROM s GROUP BY doc_id),
@@ -87,13 +83,11 @@ def concordance_union(spark, d):
     """Surface hits, then stem hits not seen before; the first page of 100."""
     docs = table(spark, d, "documents")
     surface = I.phrase(docs, "the of").select("doc_id", F.lit(0).alias("priority"))
-    few = I.stems(docs, _stem_dictionary(docs)).where(F.col("stem").isin("the", "of"))
-    a, b = few.where("stem = 'the'"), few.where("stem = 'of'").select("doc_id", (F.col("pos") - 1).alias("pos"))
-    stem = a.join(b, ["doc_id", "pos"]).select("doc_id", F.lit(1).alias("priority"))
+    stem = I.stem_runs(docs, _stem_dictionary(docs, ["the", "of"]), ["the", "of"]).select("doc_id", F.lit(1).alias("priority"))
     return surface.union(stem).groupBy("doc_id").agg(F.min("priority").alias("priority")).orderBy("priority", "doc_id").limit(100)
 
 
-HEADS = "SELECT DISTINCT substr(p_name, i, n) AS head FROM part, (SELECT unnest(range(1, 13)) AS i), (SELECT unnest([2, 3, 5]) AS n) WHERE i + n - 1 <= length(p_name) AND (p_partkey + i) % 3 = 0"
+HEADS = "SELECT DISTINCT substr(p_name, i, n) AS head FROM part, (SELECT unnest(range(1, 200)) AS i), (SELECT unnest([2, 3, 5]) AS n) WHERE i + n - 1 <= length(p_name)"
 
 
 @query("longest_cover", f"""WITH h AS ({HEADS}), c AS (SELECT p_partkey, i - 1 AS start, n AS length, substr(p_name, i, n) AS head FROM part, (SELECT unnest(range(1, 40)) AS i), (SELECT unnest(range(1, 6)) AS n) WHERE i + n - 1 <= length(p_name)),
@@ -102,16 +96,17 @@ f AS (SELECT *, coalesce(max(start + length) OVER (PARTITION BY p_partkey ORDER
 SELECT p_partkey, CAST(start AS INTEGER) AS start, CAST(length AS INTEGER) AS length, head FROM f WHERE start + length > far""")
 def longest_cover(spark, d):
     parts = table(spark, d, "part").select("p_partkey", "p_name")
-    cut = parts.select("p_partkey", "p_name", F.explode(F.sequence(F.lit(1), F.lit(12))).alias("i")).select("p_partkey", "p_name", "i", F.explode(F.array(F.lit(2), F.lit(3), F.lit(5))).alias("n"))
-    heads = cut.where("i + n - 1 <= length(p_name) AND (p_partkey + i) % 3 = 0").select(F.expr("substring(p_name, i, n)").alias("head")).distinct()
+    cut = parts.select("p_partkey", "p_name", F.explode(F.sequence(F.lit(1), F.length("p_name"))).alias("i")).select("p_partkey", "p_name", "i", F.explode(F.array(F.lit(2), F.lit(3), F.lit(5))).alias("n"))
+    heads = cut.where("i + n - 1 <= length(p_name)").select(F.expr("substring(p_name, i, n)").alias("head")).distinct()
     return I.longest_covers(parts, heads, "p_partkey", "p_name", 5)
 
 
 @query("fmm_segment")
 def fmm_segment(spark, d):
-    """Forward maximum matching of all documents against the words of the brands and types of parts, a fixed small list."""
-    names = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("w")).distinct().limit(100_000).collect()
-    return I.segments(table(spark, d, "documents"), {r["w"] for r in names if r["w"]} | {"the", "tion", "ing", "er", "on"}, "doc_id", "text")
+    """Forward maximum matching of all documents against the words of the names of parts, and some syllables."""
+    names = table(spark, d, "part").select(F.explode(F.split(F.lower("p_name"), " ")).alias("head")).distinct()
+    few = spark.createDataFrame([(w,) for w in ("the", "tion", "ing", "er", "on")], "head string")
+    return I.segments(table(spark, d, "documents"), names.unionByName(few), "doc_id", "text")
 
 
 @query("highlight_bridge", f"""WITH t AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM (SELECT doc_id, {W} AS w FROM documents)),

@@ -12,14 +12,14 @@ from glossa.sources import entries, files
 
 
 def test_segments():
-    heads = {"ab", "abc", "c", "苹果", "苹"}
-    assert index._match("abcab xy1苹果果, c", heads, 3) == ["abc", "ab", "xy1", "苹果", "@果", "c"]
-    assert index._match(None, heads, 3) == []
+    heads = index.lengths_of({"ab", "abc", "c", "苹果", "苹"})
+    assert index._match("abcab xy1苹果果, c", heads) == ["abc", "ab", "xy1", "苹果", "@果", "c"]
+    assert index._match(None, heads) == []
 
 
 def test_segments_of_a_table(spark):
     df = spark.createDataFrame([(1, "the thing"), (2, None)], "doc_id long, text string")
-    got = {r["doc_id"]: r["segments"] for r in index.segments(df, {"the", "ing"}, "doc_id", "text").collect()}
+    got = {r["doc_id"]: r["segments"] for r in index.segments(df, spark.createDataFrame([("the",), ("ing",)], "head string"), "doc_id", "text").collect()}
     assert got == {1: ["the", "th", "ing"], 2: []}
 
 
