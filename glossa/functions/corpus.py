@@ -181,7 +181,7 @@ def _located(text: Column, part: Column, start: Column) -> Column:
 
 def stem_map(surface: Column, tokens: Column) -> Column:
     """(stem, start, length) of stem tokens `pieces/stem#surface`: a compound's stems share its surface, the last one taking what is left."""
-    parsed = F.transform(F.split(tokens, " "), lambda t: F.struct(F.substring(t, 1, 1).cast("int").alias("n"), F.regexp_extract(t, "^[0-9]/([^#]*)#", 1).alias("stem"), F.regexp_extract(t, "#(.*)$", 1).alias("surf")))
+    parsed = F.transform(F.split(tokens, " "), lambda t: F.struct(F.substring(t, 1, 1).try_cast("int").alias("n"), F.regexp_extract(t, "^[0-9]/([^#]*)#", 1).alias("stem"), F.regexp_extract(t, "#(.*)$", 1).alias("surf")))
     begin = F.struct(F.lit(1).alias("at"), F.lit(0).alias("left"), F.lit(0).alias("used"), F.array().cast("array<struct<stem:string,start:int,length:int>>").alias("out"))
 
     def step(acc, t):

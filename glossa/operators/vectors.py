@@ -30,6 +30,7 @@ def _unit(lists: pa.Array) -> np.ndarray:
 
 
 def _blocks(queries: DataFrame):
+    """Blocks of at most BLOCK or so queries, each as a broadcast (ids, unit vectors); the driver holds one at a time."""
     n = queries.count()
     many = max(1, -(-n // BLOCK))
     for k in range(many):
@@ -37,15 +38,16 @@ def _blocks(queries: DataFrame):
         t = part.toArrow()
         if t.num_rows:
             v = t["v"].combine_chunks()
-            yield t["id"].to_numpy(), _unit(v.chunk(0) if isinstance(v, pa.ChunkedArray) else v)
+            yield queries.sparkSession.sparkContext.broadcast((t["id"].to_numpy(), _unit(v.chunk(0) if isinstance(v, pa.ChunkedArray) else v)))
 
 
 def matches(queries: DataFrame, rows: DataFrame, k: int | None = None, least: float | None = None) -> DataFrame:
     """query_id, id, sim: of each query (id, v) the k best rows (id, v) or those of at least a similarity; not itself."""
     schema, out = "query_id long, id long, sim double", None
-    for ids, units in _blocks(queries):
+    for block in _blocks(queries):
 
-        def search(batches, ids=ids, units=units):
+        def search(batches, block=block):
+            ids, units = block.value
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -81,15 +83,56 @@ def inverse_rank(targets: DataFrame, sources: DataFrame, k: int) -> DataFrame:
     return near.withColumn("place", place - 1).where(F.col("place") < k)
 
 
-def reduce_dimensions(good: DataFrame, bad: DataFrame, rounds: int) -> list[int]:
-    """Dimensions to drop, in turn: each round drops the one whose loss widens the gap of mean products most.
+def _gains(pairs: DataFrame, kept: list[int]) -> dict[int, float]:
+    """For each kept dimension the gap between the mean cosines of good and bad pairs without it; one row a dimension and side comes back."""
+    a, b = F.col("a").cast("array<double>"), F.col("b").cast("array<double>")
+    pick = lambda c: F.transform(F.array(*map(F.lit, kept)), lambda i: F.get(c, i))
+    cut = pairs.select("good", pick(a).alias("x"), pick(b).alias("y"))
+    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
+    sums = cut.select("good", "x", "y", dot("x", "y").alias("d"), dot("x", "x").alias("n"), dot("y", "y").alias("m"))
+    without = F.transform(F.arrays_zip("x", "y"), lambda v: (F.col("d") - v["x"] * v["y"]) / F.sqrt((F.col("n") - v["x"] * v["x"]) * (F.col("m") - v["y"] * v["y"])))
+    means = sums.select("good", F.posexplode(without).alias("i", "v")).groupBy("i", "good").agg(F.avg("v").alias("mean")).collect()
+    by = {(r["i"], r["good"]): r["mean"] for r in means}
+    return {k: (by.get((i, True)) or 0.0) - (by.get((i, False)) or 0.0) for i, k in enumerate(kept)}
+
+
+def reduce_dimensions(pairs: DataFrame, size: int, rounds: int, restore_every: int = 3) -> list[int]:
+    """Dimensions dropped, in order, to widen the gap between good and bad pairs (a, b, good).
 
-    Only one row of sums a table reaches the driver: by-dimension products of normalised pairs (a, b).
+    Each round drops the dimension without which the gap is widest, of equal ones the first; each ``restore_every``-th round
+    the one dropped earliest comes back before that. A round is a job over the pairs, of which a mean for each dimension and
+    side comes back.
     """
-    def sums(df):
-        n = len(df.select("a").first()[0])
-        parts = [F.avg(F.col("a")[i].cast("double") * F.col("b")[i].cast("double")) for i in range(n)]
-        return np.array(df.agg(F.array(*parts)).first()[0])
+    dropped: list[int] = []
+    for n in range(1, rounds + 1):
+        if n % restore_every == 0 and dropped:
+            dropped.pop(0)
+        gains = _gains(pairs, [i for i in range(size) if i not in dropped])
+        dropped.append(min(gains, key=lambda i: (-round(gains[i], 12), i)))
+    return dropped
+
+
+def negative_pairs(rows: DataFrame, seed: int = 1) -> DataFrame:
+    """a_id, b_id, a, b: each row (id, v) with another one that a hash of its id and a seed picks."""
+    from glossa.operators.tokens import ranked
+
+    numbered = ranked(rows, "id")
+    n = F.broadcast(rows.agg(F.count("*").alias("n")))  # one row
+    step = F.pmod(F.xxhash64("id", F.lit(seed)), F.greatest(F.col("n") - 1, F.lit(1))) + 1
+    wanted = numbered.join(n).select(F.col("id").alias("a_id"), F.col("v").alias("a"), (F.pmod(F.col("rank") - 1 + step, F.col("n")) + 1).alias("rank"))
+    return wanted.join(numbered.select("rank", F.col("id").alias("b_id"), F.col("v").alias("b")), "rank").where("a_id <> b_id").select("a_id", "b_id", "a", "b")
+
+
+def trained(docs: DataFrame, words: str, size: int = 300, window: int = 65, least: int = 5, seed: int = 1) -> DataFrame:
+    """word, vector of Spark ML's skip-gram model over arrays of words."""
+    from pyspark.ml.feature import Word2Vec
+    from pyspark.ml.functions import vector_to_array
+
+    model = Word2Vec(vectorSize=size, windowSize=window, minCount=least, seed=seed, inputCol=words, outputCol="__v", maxSentenceLength=10_000).fit(docs)
+    return model.getVectors().select("word", vector_to_array("vector").alias("vector"))
+
 
-    gain = sums(good) - sums(bad)
-    return [int(i) for i in np.argsort(gain, kind="stable")[:rounds]]
+def nearest_words(vectors: DataFrame, word: str, k: int = 20) -> DataFrame:
+    """word, sim of the k words whose vectors are nearest to one word's."""
+    own = F.broadcast(vectors.where(F.col("word") == word).select(F.col("vector").alias("own")).limit(1))  # one row
+    return vectors.where(F.col("word") != word).join(own).select("word", cosine(F.col("vector"), F.col("own")).alias("sim")).orderBy(F.desc("sim"), "word").limit(k)

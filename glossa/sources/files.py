@@ -118,7 +118,7 @@ def analysis_groups(lines: DataFrame) -> DataFrame:
 
 def vocabulary(groups: DataFrame) -> DataFrame:
     """word, is_word: lower-case surface forms; one whose first analysis ends with a question mark is no word."""
-    return groups.select(F.lower("surf").alias("word"), ~F.endswith(F.get("analyses", F.lit(0)), F.lit("?")).alias("is_word")).groupBy("word").agg(F.max("is_word").alias("is_word"))
+    return groups.select(F.lower("surf").alias("word"), (~F.endswith(F.get("analyses", F.lit(0)), F.lit("?"))).alias("is_word")).groupBy("word").agg(F.max("is_word").alias("is_word"))
 
 
 def variants(spark: SparkSession, path: str, known: DataFrame) -> DataFrame:

@@ -63,12 +63,6 @@ def test_vector_matches_equal_brute_force(spark, monkeypatch):
     assert vectors.matches(df.limit(0), df, k=3).count() == 0
 
 
-def test_reduce_dimensions(spark):
-    good = spark.createDataFrame([([1.0, 0.0, 1.0], [1.0, 0.0, -1.0])], "a array<double>, b array<double>")
-    bad = spark.createDataFrame([([1.0, 1.0, 0.0], [0.0, 1.0, 0.0])], "a array<double>, b array<double>")
-    assert vectors.reduce_dimensions(good, bad, 2) == [1, 2]
-
-
 def test_entry_lines(spark):
     lines = ["# comment", "", "蘋果 苹果 [ping2 guo3] /(növ.) alma (gyümölcs (ehető))/SZ:個|个[ge4]/", "女 女 [nu:3] /nő/", "A咖 A咖 [A ka1] /menő/", "苹果 苹 [ping2 guo3] /x/", "苹果 苹果 [ping2] /x/", "bad line", "苹果 苹果 [ping2 guo3] /x", "𠀀 𠀀 [he1] /x/", "你 你 [ni5] /(csak (mély))/"]
     out = entries.parse_lines(spark.createDataFrame(list(enumerate(lines)), "n int, text string")).collect()
