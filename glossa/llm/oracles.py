@@ -128,8 +128,8 @@ def licences() -> str:
     cut = r"list_filter(list_transform(regexp_split_to_array({0}, '{1}'), lambda x: trim(regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', ' ', 'g'))), lambda x: x <> '')"
     letters = f"array_to_string(list_transform(range(1, len(p) + 1), lambda i: coalesce({tries}, '')), '')"
     families: dict[str, list] = {}
-    for name, family, pattern in li.RULES:
-        families.setdefault(family, []).append((name, pattern))
+    for name, family, rule in li.RULES:
+        families.setdefault(family, []).append((name, li.pattern_of(rule)))
     case = lambda c, rules: "CASE " + " ".join(f"WHEN regexp_matches({c}, {text(p)}) THEN {i}" for i, (_, p) in rules) + " END"
     order = [name for name, _, _ in li.RULES]
     best = ", ".join(f"least({case('text_ids', [(order.index(n), (n, p)) for n, p in rules])}, {case('line_ids', [(order.index(n), (n, p)) for n, p in rules])})" for rules in families.values())
@@ -137,8 +137,8 @@ def licences() -> str:
     return f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 g AS (SELECT doc_id, CASE WHEN regexp_matches(t, '(?i){li.STEMS}') THEN t ELSE '' END AS t, {keys} AS k FROM d),
-c AS (SELECT doc_id, k, {cut.format(ends.format("t"), chr(92) + "x01|" + chr(92) + "n+")} AS a, {cut.format(ends.format("replace(t, chr(10), ' ')"), chr(92) + "x01")} AS b FROM g),
+c AS (SELECT doc_id, k, {cut.format(ends.format("t"), chr(92) + "x01|" + chr(92) + "n+")} AS a, {cut.format(ends.format("t"), chr(92) + "x01|" + chr(92) + "n[" + chr(92) + "x20" + chr(92) + "t]*" + chr(92) + "n[" + chr(92) + "x20" + chr(92) + "x09-" + chr(92) + "x0D]*")} AS b FROM g),
 l AS (SELECT doc_id, (SELECT {letters} FROM (SELECT a AS p)) AS line_ids, (SELECT {letters} FROM (SELECT b AS p)) AS text_ids FROM c),
 f AS (SELECT *, list_filter([{best}], lambda x: x IS NOT NULL) AS found FROM l)
-SELECT doc_id, CAST(greatest(length(line_ids), length(text_ids)) AS BIGINT) AS n_sentences, line_ids, text_ids, array_to_string(list_sort(list_transform(found, lambda x: {names}[x + 1])), ',') AS licences FROM f
+SELECT doc_id, CAST(greatest(length(line_ids) - length(replace(line_ids, '<', '')), length(text_ids) - length(replace(text_ids, '<', ''))) AS BIGINT) AS n_sentences, line_ids, text_ids, array_to_string(list_sort(list_transform(found, lambda x: {names}[x + 1])), ',') AS licences FROM f
 """
