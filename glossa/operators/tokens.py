@@ -19,29 +19,36 @@ def frequencies(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def bigrams(df: DataFrame, text: str = "text") -> DataFrame:
-    """a, b of each pair of neighbouring words, made inside the row."""
+    """a, b of each word and the one after it, made inside the row; b is null for a text's last word."""
     w = words(F.col(text))
-    pairs = df.select(w.alias("w")).select(F.explode(F.arrays_zip(F.col("w").alias("a"), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))).alias("b"))).alias("p"))
-    return pairs.select("p.a", "p.b").where("b IS NOT NULL")
+    return df.select(w.alias("w")).select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("a"), F.get("w", i + 1).alias("b")))).alias("p")).select("p.a", "p.b")
+
+
+def counted_bigrams(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b, n), and words (word, freq) as sums of the pairs that they start: texts are cut into words once."""
+    each = bigrams(df, text).groupBy("a", "b").agg(F.count("*").alias("n"))
+    return each.where("b IS NOT NULL"), each.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("freq"))
+
+
+def _with_frequencies(pairs: DataFrame, single: DataFrame) -> DataFrame:
+    a, b = (single.select(F.col("word").alias(c), F.col("freq").alias(f"f{c}")) for c in "ab")
+    return pairs.join(a, "a").join(b, "b")
 
 
 def bigram_scores(df: DataFrame, least: int, score: float, text: str = "text") -> DataFrame:
     """a, b, n, mi of pairs found at least ``least`` times, with mutual information above ``score``."""
-    pairs = bigrams(df, text).groupBy("a", "b").agg(F.count("*").alias("n"))
-    total = pairs.agg(F.sum("n").alias("total"))
-    single = frequencies(df, text)
-    scored = pairs.where(F.col("n") >= least).join(single.select(F.col("word").alias("a"), F.col("freq").alias("fa")), "a").join(single.select(F.col("word").alias("b"), F.col("freq").alias("fb")), "b")
-    scored = scored.join(F.broadcast(total))  # one row
+    pairs, single = counted_bigrams(df, text)
+    total = F.broadcast(pairs.agg(F.sum("n").alias("total")))  # one row
+    scored = _with_frequencies(pairs.where(F.col("n") >= least), single).join(total)
     mi = F.log(F.col("total") / (F.col("fa").cast("double") * F.col("fb")) * F.col("n"))
     return scored.withColumn("mi", F.round(mi, 6)).where(mi > score).select("a", "b", "n", "mi")
 
 
 def phrases(df: DataFrame, least: int, score: float, text: str = "text") -> DataFrame:
     """a, b, n, npmi of pairs found at least ``least`` times, with normalised mutual information above ``score``."""
-    single = frequencies(df, text)
+    pairs, single = counted_bigrams(df, text)
     total = F.broadcast(single.agg(F.sum("freq").cast("double").alias("total")))  # one row
-    pairs = bigrams(df, text).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    met = pairs.join(single.select(F.col("word").alias("a"), F.col("freq").alias("fa")), "a").join(single.select(F.col("word").alias("b"), F.col("freq").alias("fb")), "b").join(total)
+    met = _with_frequencies(pairs.where(F.col("n") >= least), single).join(total)
     share = lambda c: F.col(c) / F.col("total")
     npmi = F.log(share("n") / (share("fa") * share("fb"))) / -F.log(share("n"))
     return met.withColumn("npmi", F.round(npmi, 6)).where(npmi > score).select("a", "b", "n", "npmi")

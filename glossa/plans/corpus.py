@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from glossa.functions import corpus as C
 from glossa.functions import target as T
 from glossa.plans.catalog import query
-from glossa.plans.dictionary import E, SIMP, TRAD, entries
+from glossa.plans.dictionary import ALPHABET, E, SIMP, TRAD, entries
 from glossa.plans.text import W
 from glossa.sources.tables import table
 
@@ -146,3 +146,92 @@ def erhua(spark, d):
     s = lambda t, n: F.struct(F.lit(t).alias("text"), F.lit(n).alias("tone"))
     run = F.when(F.col("p_size") % 2 == 0, F.array(s("wa", 3), s("r", 0), s("yi", 1))).otherwise(F.array(s("wa", 3), s("yi", 1)))
     return table(spark, d, "part").select("p_partkey", C.merged_erhua(run).alias("m")).select("p_partkey", F.array_join(F.transform("m", lambda x: x["text"]), " ").alias("shown"), F.array_join(F.transform("m", lambda x: F.concat_ws("-", x["from"].cast("string"), x["to"].cast("string"))), ",").alias("places"))
+
+
+@query("headword_export", f"WITH {E}, h AS (SELECT entry_id, simp || CASE WHEN entry_id % 3 = 0 THEN 'a1' ELSE '' END AS head FROM e) SELECT entry_id, head, array_to_string(string_split(head, ''), ' ') AS spaced FROM h WHERE NOT regexp_matches(head, '[0-9a-zA-Z]')")
+def headword_export(spark, d):
+    """Headwords without ASCII letters and digits, and with their characters apart."""
+    heads = entries(spark, d).select("entry_id", F.concat("simp", F.when(F.col("entry_id") % 3 == 0, "a1").otherwise("")).alias("head"))
+    return heads.where(C.without_latin(F.col("head"))).withColumn("spaced", C.spaced(F.col("head")))
+
+
+BAD = r"[^\x{3400}-\x{4DFF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}A-Za-z0-9]"
+
+
+@query("sentence_chunks", f"""WITH {E}, c AS (SELECT entry_id, simp || '！ ' || l || ' ?  ' || trad AS t FROM e), p AS (SELECT entry_id, list_filter(list_transform(regexp_split_to_array(t, ' +'), lambda x: regexp_replace(x, '{BAD}', '', 'g')), lambda x: x <> '') AS cs FROM c)
+SELECT entry_id, unnest(cs) AS chunk, unnest(list_transform(cs, lambda x: array_to_string(string_split(x, ''), ' '))) AS spaced FROM p""")
+def sentence_chunks(spark, d):
+    """Pieces between spaces without bad characters, and with their characters apart."""
+    letters = F.translate("simp", SIMP, ALPHABET)
+    text = F.concat("simp", F.lit("！ "), letters, F.lit(" ?  "), "trad")
+    return entries(spark, d).select("entry_id", F.explode(C.chunks(text)).alias("chunk")).withColumn("spaced", C.spaced(F.col("chunk")))
+
+
+@query("entry_limits", "SELECT doc_id, length(text) AS n FROM documents WHERE length(text) <= 1024 AND length(left(text, CAST(doc_id % 20 AS INTEGER))) <= 16")
+def entry_limits(spark, d):
+    """Rows within the limits of a headword and a target text."""
+    docs = table(spark, d, "documents")
+    return docs.where(C.fits_limits(F.substring("text", F.lit(1), (F.col("doc_id") % 20).cast("int")), F.col("text"))).select("doc_id", F.length("text").cast("long").alias("n"))
+
+
+@query("cased_stems", f"WITH f AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS w FROM conversations), s AS (SELECT w, CASE WHEN length(w) > 4 THEN lower(left(w, 4)) END AS stem FROM f) SELECT w, CASE WHEN stem IS NULL THEN w WHEN upper(left(w, 1)) = left(w, 1) AND lower(left(w, 1)) <> left(w, 1) THEN upper(left(stem, 1)) || substr(stem, 2) ELSE stem END AS stemmed FROM s")
+def cased_stems(spark, d):
+    """Words with their stem in the word's case; short ones have none."""
+    w = table(spark, d, "conversations").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-zÀ-ÿ]+"), 0)).alias("w")).distinct()
+    return w.select("w", C.stem_in_case(F.col("w"), F.when(F.length("w") > 4, F.lower(F.substring("w", 1, 4)))).alias("stemmed"))
+
+
+@query("sense_checks", f"WITH {E}, s AS (SELECT entry_id, unnest(senses) AS sense, unnest(range(len(senses))) AS sense_ix FROM e) SELECT entry_id, CAST(sense_ix AS INTEGER) AS sense_ix, contains(sense, ',') AS has_comma, sense AS plain FROM s")
+def sense_checks(spark, d):
+    """Senses with a comma, which should perhaps be two, and the plain text that their parts make."""
+    from glossa.sources.entries import sense
+
+    each = entries(spark, d).select("entry_id", F.posexplode("senses").alias("sense_ix", "text")).withColumn("s", sense(F.col("text")))
+    return each.select("entry_id", "sense_ix", F.contains("text", F.lit(",")).alias("has_comma"), F.concat("s.domain", "s.equiv", "s.note").alias("plain"))
+
+
+@query("repository_lines", "SELECT CASE p_size % 5 WHEN 0 THEN 'lengths of traditional and simplified differ' WHEN 1 THEN 'no slash at the end' WHEN 2 THEN 'header' ELSE 'kept' END AS outcome, count(*) AS n FROM part GROUP BY 1")
+def repository_lines(spark, d):
+    """How many dictionary lines are kept, and why the others aren't."""
+    from glossa.sources.entries import parse_lines
+
+    k = F.col("p_size") % 5
+    line = F.when(k == 0, "一 一二 [yi1] /a/").when(k == 1, "一 一 [yi1] /a").when(k == 2, "nothing").otherwise("一 一 [yi1] /a/")
+    parsed = parse_lines(table(spark, d, "part").select(line.alias("text")))
+    return parsed.groupBy(F.coalesce("error", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
+
+
+@query("readable_characters", "SELECT hanzi, n FROM (SELECT p_brand AS hanzi, count(*) FILTER (WHERE p_size % 7 = 0) AS n FROM part GROUP BY p_brand) WHERE n > 0")
+def readable_characters(spark, d):
+    """Characters with a reading; the others go. Here brands stand for characters, and some parts for readings."""
+    found = table(spark, d, "part").groupBy(F.col("p_brand").alias("hanzi")).agg(F.count(F.when(F.col("p_size") % 7 == 0, 1)).alias("n"))
+    return found.where("n > 0")
+
+
+@query("prefix_ranks", "WITH c AS (SELECT split_part(p_name, ' ', 1) AS prefix, count(*) AS n FROM part GROUP BY 1) SELECT prefix, n, CAST(row_number() OVER (ORDER BY n DESC, prefix) AS INTEGER) AS rank FROM c")
+def prefix_ranks(spark, d):
+    """First words of names by how often they occur; a row for each, so that one task can rank them."""
+    from pyspark.sql import Window
+
+    n = table(spark, d, "part").groupBy(F.substring_index("p_name", " ", 1).alias("prefix")).agg(F.count("*").alias("n"))
+    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "prefix")))
+
+
+@query("pre_counts", "WITH t AS (SELECT user_id, max(event_id) AS top_id, count(*) - 1 AS earlier FROM events GROUP BY user_id) SELECT event_id, e.user_id, CASE WHEN event_id = top_id THEN earlier ELSE -1 END AS count_a FROM events e JOIN t ON t.user_id = e.user_id")
+def pre_counts(spark, d):
+    """Counts of earlier changes written to each user's newest row from a grouped table, and -1 to the others."""
+    events = table(spark, d, "events").select("event_id", "user_id")
+    top = events.groupBy("user_id").agg(F.max("event_id").alias("top_id"), (F.count("*") - 1).alias("earlier"))
+    return events.join(top, "user_id").select("event_id", "user_id", F.when(F.col("event_id") == F.col("top_id"), F.col("earlier")).otherwise(-1).cast("long").alias("count_a"))
+
+
+@query("truecased", r"""WITH t AS (SELECT unnest(regexp_extract_all(text, '(?:^|[^.!?\s])\s+([A-Za-zÀ-ÿ]+)', 1)) AS form FROM documents), c AS (SELECT lower(form) AS key, form, count(*) AS n FROM t GROUP BY 1, 2),
+u AS (SELECT key, max(n) AS n FROM c WHERE form <> key GROUP BY key), l AS (SELECT l.key FROM c l LEFT JOIN u ON u.key = l.key WHERE l.form = l.key AND l.n >= 2 * coalesce(u.n, 0)),
+s AS (SELECT doc_id, regexp_extract(text, '^([A-Za-zÀ-ÿ]+)', 1) AS first FROM documents) SELECT doc_id, first, CASE WHEN lower(first) IN (SELECT key FROM l) THEN lower(first) ELSE first END AS shown FROM s WHERE first <> ''""")
+def truecased(spark, d):
+    """First words of texts, in lower case where that is how they stand inside sentences."""
+    from glossa.plans.text import truecase_forms
+
+    lowered = truecase_forms(spark, d).where("lowered").select(F.col("word").alias("key"), F.lit(True).alias("low"))
+    first = table(spark, d, "documents").select("doc_id", F.regexp_extract("text", "^([A-Za-zÀ-ÿ]+)", 1).alias("first")).where("first <> ''").withColumn("key", F.lower("first"))
+    return first.join(lowered, "key", "left").select("doc_id", "first", F.when(F.col("low"), F.col("key")).otherwise(F.col("first")).alias("shown"))
