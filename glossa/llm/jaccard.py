@@ -17,8 +17,9 @@ smallest document leaves. Documents with equal sets are one member throughout.
 
 A pair counts in a group only where the token's places in both sets leave room for enough shared tokens after it. Under the
 other orders prefixes are twice as long, and the tokens that two of them share must be so many that the rest could make up
-what is wanting. A map of 256 bits of the second order's prefix is held against that first, as bits that only one side has
-stand for tokens that it doesn't share. These bounds hold for every linked pair, and cut pairs before whole sets are fetched.
+what is wanting. Before prefixes are fetched, maps of 1,024 bits of the whole sets are held against each other, as bits that
+only one side has stand for tokens that it doesn't share. These bounds hold for every linked pair, and cut pairs before whole
+sets are fetched.
 
 Tokens that the sketch shows to be rare are grouped by a window. Those it can't show to be so are counted with map-side
 aggregation and joined with their counts, so that no task need hold all rows of a frequent token.
@@ -41,11 +42,11 @@ from pyspark.sql import functions as F
 from glossa.llm.common import Scratch, all_of, bit_map, components, hits, sliced, unused
 
 SLOTS, SIDE, ORDERS = 1 << 19, 16, 3
-BITS = ("b0", "b1", "b2", "b3")
+BITS = tuple(f"b{i}" for i in range(16))
 #: Tokens whose slot counts fewer than 2^RARE documents are grouped by a window.
 RARE = 16
 #: Groups of up to so many members are compared pair by pair; larger ones by differences from their smallest document.
-SMALL = 32
+SMALL = 8
 
 
 def shingle_hashes(text: str | None, width: int) -> np.ndarray:
@@ -132,8 +133,8 @@ def profiles(docs: DataFrame, width: int, percent: int, ranks) -> DataFrame:
                         some = longer(n, percent)
                         first = np.argpartition(keys, some - 1)[:some] if some < n else slice(None)
                         kept[k].append(np.unique(h[first] >> np.uint64(32)))
-                marks = np.zeros(256, bool)
-                marks[(kept[1][-1] & np.uint64(255)).astype(np.int64)] = True
+                marks = np.zeros(64 * len(BITS), bool)
+                marks[(h & np.uint64(64 * len(BITS) - 1)).astype(np.int64)] = True
                 bits.append(np.packbits(marks).view(np.int64))
             lists = [*(pa.array(c) for c in np.array(bits).T), _lists(kept[0], np.int64), *(_lists(kept[k], np.int32) for k in range(1, ORDERS))]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts, pa.int64()), pa.array(names, pa.binary()), pa.array(rare, pa.int32()), *lists], ["doc_id", "n", "set_id", "rare", *BITS, *(f"p{k}" for k in range(ORDERS))])
@@ -196,7 +197,7 @@ def _verified(scratch: Scratch, docs: DataFrame, table: DataFrame, pairs: DataFr
     side = lambda k, *columns: some.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), *(F.col(c).alias(f"{k}_{c}") for c in columns))
     mapped = pairs.join(side("x", *BITS), "x").join(side("y", *BITS), "y")
     only = lambda a, b: sum((F.bit_count(F.col(f"{a}_{c}").bitwiseAND(F.bitwise_not(f"{b}_{c}"))) for c in BITS), F.lit(0))
-    mapped = mapped.where((only("x", "y") <= F.expr(size("nx")) - need) & (only("y", "x") <= F.expr(size("ny")) - need))
+    mapped = mapped.where((only("x", "y") <= F.col("nx") - _least("nx", "ny", percent)) & (only("y", "x") <= F.col("ny") - _least("nx", "ny", percent)))
     mapped = scratch.save(mapped.select("x", "y", "nx", "ny", "large"), f"{name}-mapped")
     passed = mapped.join(side("x", *other).drop("nx"), "x").join(side("y", *other).drop("ny"), "y")
     for c in other:
@@ -290,7 +291,8 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     parts = found.withColumnRenamed("node", "doc_id")
 
     far = met.select(F.col("x").alias("hub"), F.col("y").alias("doc_id"), (1 - F.col("shared") / (F.col("nx") + F.col("ny") - F.col("shared"))).alias("far"))
-    placed = tokens.join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).join(far, ["hub", "doc_id"], "left")
+    # pairs of groups of two have been compared
+    placed = tokens.where("held > 2").join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).join(far, ["hub", "doc_id"], "left")
     placed = placed.withColumn("far", F.when(F.col("doc_id") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far"))).select("token", "doc_id", "n", "at", "component", "far", (F.col("held") > SMALL).alias("large"))
     placed = scratch.save(placed, "placed")
     mixed = scratch.save(placed.join(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "token"), "mixed")
