@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 WORD = "[a-zà-ÿ]+"
-# Letters with diacritics and what they fold to.
-ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿőű", "aaaaaaceeeeiiiinooooouuuuyyou"
+
+
+def _folds() -> tuple[str, str]:
+    """Letters of one code unit that come apart into one letter and marks, and those letters, by Unicode's decomposition."""
+    pairs = []
+    for c in map(chr, range(0xC0, 0x2000)):
+        bare = "".join(x for x in unicodedata.normalize("NFD", c) if unicodedata.category(x) != "Mn")
+        if len(bare) == 1 and bare != c:
+            pairs.append((c, bare))
+    return "".join(c for c, _ in pairs), "".join(x for _, x in pairs)
+
+
+ACCENTED, PLAIN = _folds()
 # Bands of the length filter: longest source, ratio of lengths from and to, largest share of punctuation.
 BANDS = ((5, 2.5, 7.0, 0.3), (20, 2.3, 5.0, 0.2), (40, 2.1, 4.0, 0.1))
 # The blocks of characters that count as hanzi.
@@ -25,8 +38,14 @@ def words(text: Column) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(text), ACCENTED, PLAIN)
+    """Lower case without diacritics; marks of their own go too."""
+    return F.regexp_replace(F.translate(F.lower(text), ACCENTED, PLAIN), r"\p{Mn}", "")
+
+
+def packed_prefix(text: Column) -> Column:
+    """The first four characters of the folded text as one number, 16 bits each; shorter texts are filled up with 0."""
+    unit = lambda i: F.coalesce(F.ascii(F.substring(folded(text), i, 1)), F.lit(0)).cast("long")
+    return F.shiftleft(unit(1), 48) + F.shiftleft(unit(2), 32) + F.shiftleft(unit(3), 16) + unit(4)
 
 
 def compacted(text: Column) -> Column:

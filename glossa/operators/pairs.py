@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.text import words
-from glossa.operators.tokens import frequencies
 
 
 def turn_pairs(turns: DataFrame) -> DataFrame:
@@ -26,17 +25,17 @@ def zipped(left: DataFrame, right: DataFrame, line: str = "line") -> DataFrame:
 def counted(pairs: DataFrame, least_src: int, least_trg: int, src: str = "src", trg: str = "trg") -> DataFrame:
     """src, trg, n, src_freq, trg_freq: token pairs of all segments, with multiplicity, of words frequent enough.
 
-    Rare words are dropped inside the row, before pairs are made: those kept come as arrays from one join a side.
+    Both sides' words are counted by segment in one table, which gives the frequencies too. Rare words are dropped before a
+    segment's words are brought together, and pairs are made inside its row.
     """
-    vocabulary = lambda c, k: frequencies(pairs.select(F.col(c).alias("text"))).where(F.col("freq") >= k)
-    a, b = vocabulary(src, least_src), vocabulary(trg, least_trg)
-
-    def side(c, v, name):
-        each = pairs.select("conv_id", "turn", F.explode(words(F.col(c))).alias("word")).groupBy("conv_id", "turn", "word").agg(F.count("*").alias("times"))
-        return each.join(v, "word").select("conv_id", "turn", F.col("word").alias(name), F.col("times").alias(f"{name}_times"), F.col("freq").alias(f"{name}_freq"))
-
-    met = side(src, a, "src").join(side(trg, b, "trg"), ["conv_id", "turn"])
-    return met.groupBy("src", "trg").agg(F.sum(F.col("src_times") * F.col("trg_times")).alias("n"), F.first("src_freq").alias("src_freq"), F.first("trg_freq").alias("trg_freq"))
+    side = lambda c, k: F.transform(words(F.col(c)), lambda w: F.struct(F.lit(k).alias("side"), w.alias("word")))
+    each = pairs.select("conv_id", "turn", F.explode(F.concat(side(src, 0), side(trg, 1))).alias("x")).select("conv_id", "turn", "x.side", "x.word")
+    each = each.groupBy("conv_id", "turn", "side", "word").agg(F.count("*").alias("times"))
+    freq = each.groupBy("side", "word").agg(F.sum("times").alias("freq")).where(F.col("freq") >= F.when(F.col("side") == 0, least_src).otherwise(least_trg))
+    own = lambda k: F.collect_list(F.when(F.col("side") == k, F.struct("word", "times", "freq")))
+    rows = each.join(freq, ["side", "word"]).groupBy("conv_id", "turn").agg(own(0).alias("s"), own(1).alias("t"))
+    met = rows.select(F.explode("s").alias("a"), "t").select("a", F.explode("t").alias("b"))
+    return met.groupBy(F.col("a.word").alias("src"), F.col("b.word").alias("trg")).agg(F.sum(F.col("a.times") * F.col("b.times")).alias("n"), F.first("a.freq").alias("src_freq"), F.first("b.freq").alias("trg_freq"))
 
 
 def _xlnx(x: Column) -> Column:

@@ -108,9 +108,9 @@ def numbered(df: DataFrame, text: str, lead: int = 2) -> DataFrame:
     return cut.withColumn("__at", inside).join(counts.select("__lead", before.alias("__before")), "__lead").withColumn("number", (F.col("__at") + F.col("__before")).cast("long")).drop("__lead", "__at", "__before")
 
 
-def sampled(df: DataFrame, key: str, step: int, most: int) -> DataFrame:
-    """Every step-th row in key order, the first ``most`` of them."""
-    return ranked(df, key).where((F.pmod("rank", F.lit(step)) == 0) & (F.col("rank") <= step * most))
+def sampled(df: DataFrame, key: str, step: int, most: int, offset: int = 0) -> DataFrame:
+    """Every step-th row in key order, of those whose place leaves ``offset``, the first ``most`` of them."""
+    return ranked(df, key).where((F.pmod("rank", F.lit(step)) == offset) & (F.col("rank") <= step * most - (step - offset if offset else 0)))
 
 
 def histogram(df: DataFrame, band: Column, value: Column) -> DataFrame:

@@ -235,3 +235,51 @@ def truecased(spark, d):
     lowered = truecase_forms(spark, d).where("lowered").select(F.col("word").alias("key"), F.lit(True).alias("low"))
     first = table(spark, d, "documents").select("doc_id", F.regexp_extract("text", "^([A-Za-zÀ-ÿ]+)", 1).alias("first")).where("first <> ''").withColumn("key", F.lower("first"))
     return first.join(lowered, "key", "left").select("doc_id", "first", F.when(F.col("low"), F.col("key")).otherwise(F.col("first")).alias("shown"))
+
+
+@query("step_sample", "SELECT event_id, rank FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) AS rank FROM events) WHERE rank % 49 = 3 AND (rank - 3) // 49 < 15")
+def step_sample(spark, d):
+    """Every 49th row from the third on, the first 15 of them."""
+    from glossa.operators.tokens import sampled
+
+    return sampled(table(spark, d, "events").select("event_id"), "event_id", 49, 15, 3).select("event_id", F.col("rank").cast("long").alias("rank"))
+
+
+@query("kept_words", f"WITH f AS (SELECT word, count(*) AS freq FROM (SELECT unnest({W}) AS word FROM documents) GROUP BY word) SELECT word, freq FROM f WHERE freq >= 20 AND word IN (SELECT DISTINCT unnest({W}) FROM conversations)")
+def kept_words(spark, d):
+    """Words that are frequent enough and in a vocabulary, here that of the conversations."""
+    from glossa.functions.text import words
+    from glossa.operators.tokens import frequencies
+
+    known = table(spark, d, "conversations").select(F.explode(words(F.col("text"))).alias("word")).distinct()
+    return frequencies(table(spark, d, "documents")).where("freq >= 20").join(known, "word", "left_semi")
+
+
+@query("measure_word_counts", "WITH m AS (SELECT unnest(CASE p_size % 3 WHEN 0 THEN ['个'] WHEN 1 THEN ['个', '本'] ELSE ['本'] END) AS simp FROM part) SELECT simp, count(*) AS n FROM m GROUP BY simp")
+def measure_word_counts(spark, d):
+    return measure_words(spark, d).groupBy("simp").agg(F.count("*").alias("n"))
+
+
+@query("entry_sense_counts", f"WITH {E} SELECT len(senses) AS n_senses, count(*) AS n FROM e GROUP BY 1")
+def entry_sense_counts(spark, d):
+    """How many entries have so many senses."""
+    return entries(spark, d).groupBy(F.size("senses").cast("long").alias("n_senses")).agg(F.count("*").alias("n"))
+
+
+@query("packed_prefixes", "SELECT p_partkey, (CAST(ascii(substr(p_name, 1, 1)) AS BIGINT) << 48) + (CAST(ascii(substr(p_name, 2, 1)) AS BIGINT) << 32) + (CAST(ascii(substr(p_name, 3, 1)) AS BIGINT) << 16) + ascii(substr(p_name, 4, 1)) AS packed FROM part")
+def packed_prefixes(spark, d):
+    from glossa.functions.text import packed_prefix
+
+    return table(spark, d, "part").select("p_partkey", packed_prefix(F.col("p_name")).alias("packed"))
+
+
+@query("rank_coverage", """WITH h AS (SELECT o_orderkey AS head, o_custkey AS a, o_orderkey % 700 AS b, CASE WHEN o_orderstatus = 'F' THEN o_orderkey END AS c FROM orders), r AS (SELECT 'a' AS source, a AS rank FROM h UNION ALL SELECT 'b', b FROM h UNION ALL SELECT 'c', c FROM h)
+SELECT source, rank // 1000 AS bucket, count(*) AS n FROM r WHERE rank IS NOT NULL GROUP BY 1, 2""")
+def rank_coverage(spark, d):
+    """How many headwords each of three ranked lists has, by buckets of a thousand ranks."""
+    o = table(spark, d, "orders")
+    lists = {"a": o.select(F.col("o_custkey").alias("rank")), "b": o.select((F.col("o_orderkey") % 700).alias("rank")), "c": o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("rank"))}
+    from functools import reduce
+
+    stacked = reduce(lambda x, y: x.unionByName(y), (df.select(F.lit(k).alias("source"), "rank") for k, df in lists.items()))
+    return stacked.groupBy("source", F.expr("rank div 1000").alias("bucket")).agg(F.count("*").alias("n"))

@@ -11,8 +11,8 @@ from glossa.operators.tokens import ranked, running
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """line (from 0), text, in the order of the files and of the lines in them.
 
-    Lines are numbered inside each block that a task reads; running counts of the blocks make the numbers whole. The counts
-    need a block's name alone, so that a second scan which is cut otherwise gives the same numbers for blocks of its own.
+    Lines are numbered inside each block that a task reads; running counts of the blocks make the numbers whole. Rows and
+    counts come from two scans of one plan, which are cut alike; a caller that reads the lines in several jobs saves them first.
     """
     raw = spark.read.text(path).select(F.col("value").alias("text"), F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b")).alias("at"), F.monotonically_increasing_id().alias("row"))
     counts = raw.groupBy("at").agg(F.count("*").alias("n"))
