@@ -48,8 +48,9 @@ def data(copies):
 
 
 def test_components_equal_brute_force(spark):
+    long = " ".join(f"w{i * i % 9973}x{i % 7}" for i in range(30_000))
     for copies, width, percent in ((120, 3, 90), (60, 5, 80)):
-        rows = data(copies)
+        rows = data(copies) + [(4000, long), (4001, long + " and a tail"), (4002, long[:9000])]
         docs = spark.createDataFrame([(*r, "z") for r in rows], "doc_id long, text string, member string")
         out = j.jaccard_components(docs, width, percent).collect()
         assert len(out) == len(rows)
