@@ -74,14 +74,25 @@ def history_page(spark, d):
 
 @query("entry_changes", "SELECT c_custkey, c_name, o_orderkey, o_orderdate, n_name FROM customer JOIN orders ON o_custkey = c_custkey JOIN nation ON n_nationkey = c_nationkey")
 def entry_changes(spark, d):
+    """Changes with their entry and user, newest first."""
     customer, orders, nation = (table(spark, d, t) for t in ("customer", "orders", "nation"))
-    return orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).join(nation, customer["c_nationkey"] == nation["n_nationkey"]).select("c_custkey", "c_name", "o_orderkey", "o_orderdate", "n_name")
+    return orders.join(customer, orders["o_custkey"] == customer["c_custkey"]).join(nation, customer["c_nationkey"] == nation["n_nationkey"]).select("c_custkey", "c_name", "o_orderkey", "o_orderdate", "n_name").orderBy(F.desc("o_orderdate"), "o_orderkey")
+
+
+@query("entry_pages", "SELECT o_custkey, count(*) AS n, max(o_orderdate) AS newest, string_agg(CAST(o_orderkey AS VARCHAR), ' ' ORDER BY o_orderdate DESC, o_orderkey) AS history FROM orders GROUP BY o_custkey")
+def entry_pages(spark, d):
+    """For each entry its history in one row, newest first: what an export or an edit page reads, entry by entry."""
+    orders = table(spark, d, "orders")
+    row = F.struct((-F.unix_micros(F.col("o_orderdate").cast("timestamp"))).alias("at"), "o_orderkey")
+    grouped = orders.groupBy("o_custkey").agg(F.count("*").alias("n"), F.max("o_orderdate").alias("newest"), F.array_sort(F.collect_list(row)).alias("rows"))
+    return grouped.select("o_custkey", "n", "newest", F.array_join(F.transform("rows", lambda r: r["o_orderkey"].cast("string")), " ").alias("history"))
 
 
 @query("full_history", "SELECT o_orderkey, l_linenumber, l_partkey, o_orderdate, l_shipdate FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def full_history(spark, d):
+    """All changes, ordered by entry."""
     orders, lines = table(spark, d, "orders"), table(spark, d, "lineitem")
-    return orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).select("o_orderkey", "l_linenumber", "l_partkey", "o_orderdate", "l_shipdate")
+    return orders.join(lines, orders["o_orderkey"] == lines["l_orderkey"]).select("o_orderkey", "l_linenumber", "l_partkey", "o_orderdate", "l_shipdate").orderBy("o_orderkey", "l_linenumber")
 
 
 @query("latest_change", "SELECT max(ts) AS latest FROM events")

@@ -48,7 +48,7 @@ ln(total / (CAST(src_freq AS DOUBLE) * trg_freq) * n) AS mi, total FROM c, z), w
 @query("colloc_ll_mi", f"WITH {SCORES} SELECT src, trg, n, round(ll, 4) AS ll, round(mi, 4) AS mi FROM r WHERE ll >= 100 OR mi >= 1")
 def colloc_ll_mi(spark, d):
     pairs = P.turn_pairs(table(spark, d, "conversations"))
-    return P.scored(pairs, P.counted(pairs, 5, 3), 100.0, 1.0).withColumn("n", F.col("n").cast("long"))
+    return P.scored(pairs, P.counted(pairs, 5, 3), 100.0, 1.0).withColumn("n", F.col("n").cast("long")).orderBy(F.desc("ll"), F.desc("mi"), "src", "trg")
 
 
 @query("colloc_capped", f"""WITH {COUNTS}, g AS (SELECT src, trg FROM c WHERE n >= 3), a AS (SELECT src FROM g GROUP BY src HAVING count(*) <= 40), b AS (SELECT trg FROM g GROUP BY trg HAVING count(*) <= 20)
