@@ -353,19 +353,27 @@ def _counted(rows: DataFrame, unit, window: int) -> DataFrame:
     return each.where("NOT settled").join(twice, ["h1", "h2"], "left_semi").select("tkey", "n", "lo", F.col("lo").alias("hi"))
 
 
+def _named(sides: DataFrame, unit) -> DataFrame:
+    """Sides with two hashes of them, a name for their place, and how many units they have."""
+    width = np.dtype(unit.kind).itemsize
+    return sides.select(
+        "*", F.xxhash64("left", "right").alias("h1"), F.xxhash64("right", F.lit(7), "left").alias("h2"), F.xxhash64("tkey", "n", "pos").alias("place"),
+        F.expr(f"length(left) div {width}").cast("int").alias("nl"), F.expr(f"length(right) div {width}").cast("int").alias("nr"),
+    )
+
+
 def _runs_of(scratch: Scratch, sides: DataFrame, unit, window: int) -> DataFrame:
-    """(tkey, n, lo, hi) of all sides."""
-    side, width = window - 1, np.dtype(unit.kind).itemsize
+    """(tkey, n, lo, hi) of all sides, as _named gives them. The bytes of sides are fetched for one place of each distinct pair alone."""
     same = ["key", "check", "h1", "h2"]
-    named = sides.select("*", F.xxhash64("left", "right").alias("h1"), F.xxhash64("right", F.lit(7), "left").alias("h2"), F.xxhash64("tkey", "n", "pos").alias("place"))
-    counts = named.groupBy(*same).agg(F.count("*").alias("times"), F.min("place").alias("one"))
-    counts = scratch.save(counts, "pairs")
-    groups = counts.groupBy("key", "check").agg(F.count("*").alias("pairs"))
-    met = scratch.save(named.join(counts, same), "met")
+    counts = scratch.save(sides.select(*same, "place").groupBy(*same).agg(F.count("*").alias("times"), F.min("place").alias("one")), "pairs")
     # every string of equal pairs is repeated
-    lo, hi = F.expr(f"pos - length(left) div {width}"), F.expr(f"pos - greatest(0, {side} - length(right) div {width})")
-    whole = met.where("times > 1").select("tkey", "n", lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
-    one = met.where("place = one").join(groups.where("pairs > 1"), ["key", "check"]).withColumn("settled", F.col("times") > 1)
+    twice = counts.where("times > 1").select(*same)
+    light = sides.select(*same, "tkey", "n", (F.col("pos") - F.col("nl")).alias("lo"), (F.col("pos") - F.greatest(F.lit(0), window - 1 - F.col("nr"))).alias("hi"))
+    met = hits(light, bit_map(twice, F.xxhash64(*same)), F.xxhash64(*same)).join(twice, same, "left_semi")
+    whole = met.where("lo <= hi").select("tkey", "n", "lo", "hi")
+    groups = counts.groupBy("key", "check").agg(F.count("*").alias("pairs")).where("pairs > 1")
+    reps = scratch.save(counts.join(groups, ["key", "check"]).select(F.col("one").alias("place"), "pairs", (F.col("times") > 1).alias("settled")), "reps")
+    one = hits(sides, bit_map(reps, F.col("place")), F.col("place")).join(reps, "place")
     few, many = one.where(F.col("pairs") <= MOST), one.where(F.col("pairs") > MOST)
     return whole.union(_decided(few, unit, window)).union(_counted(many, unit, window))
 
@@ -390,10 +398,10 @@ class Texts:
         held = scratch.save(rows.groupBy("key").agg(F.count("*").alias("held")).where("held > 1").select("key"), "held")
         wanted = scratch.save(hits(rows, bit_map(held, F.col("key")), F.col("key")).join(held, "key", "left_semi"), "anchors")
         scratch.drop("all")
-        sides = scratch.save(_sides(self.distinct, wanted, unit, length, window), "sides")
+        sides = scratch.save(_named(_sides(self.distinct, wanted, unit, length, window), unit), "sides")
         found = _runs_of(scratch, sides, unit, window)
         found = self.scratch.save(found.groupBy("tkey", "n").agg(F.collect_list(F.struct("lo", "hi")).alias("found")), f"found-{unit.__name__}")
-        for name in ("held", "anchors", "sides", "pairs", "met"):
+        for name in ("held", "anchors", "sides", "pairs", "reps"):
             scratch.drop(name)
         return found
 
