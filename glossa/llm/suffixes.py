@@ -39,7 +39,7 @@ from glossa.llm.common import Scratch, bit_map, hits, sliced, words_of
 
 LENGTH, WINDOW = 400, 65
 WORDS, WORD_WINDOW = 50, 25
-MOST, BATCH, PART = 2048, 1 << 15, 1 << 20
+MOST, BATCH, PART = 8192, 1 << 15, 1 << 20
 BASE = 0x9E3779B97F4A7C15
 
 
