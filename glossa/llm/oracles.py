@@ -142,3 +142,7 @@ l AS (SELECT doc_id, (SELECT {letters} FROM (SELECT a AS p)) AS line_ids, (SELEC
 f AS (SELECT *, list_filter([{best}], lambda x: x IS NOT NULL) AS found FROM l)
 SELECT doc_id, CAST(greatest(length(line_ids) - length(replace(line_ids, '<', '')), length(text_ids) - length(replace(text_ids, '<', ''))) AS BIGINT) AS n_sentences, line_ids, text_ids, array_to_string(list_sort(list_transform(found, lambda x: {names}[x + 1])), ',') AS licences FROM f
 """
+
+#: Equal texts share a window; the row with the largest doc_id stays.
+EXACT = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""

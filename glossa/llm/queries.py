@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from glossa.llm import decontaminate as _decontaminate
+from glossa.llm import exact as _exact
 from glossa.llm import html as _html
 from glossa.llm import jaccard as _jaccard
 from glossa.llm import licenses as _licenses
@@ -99,3 +100,10 @@ def op5_nearest_url(spark, sf_dir):
 
 
 _add("op5_nearest_url", op5_nearest_url)
+
+
+def op11_digest_index(spark, sf_dir):
+    return _exact.dedup(_table(spark, sf_dir, "documents"))
+
+
+_add("op11_digest_index", op11_digest_index, oracles.EXACT)
