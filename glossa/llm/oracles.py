@@ -146,3 +146,27 @@ SELECT doc_id, CAST(greatest(length(line_ids) - length(replace(line_ids, '<', ''
 #: Equal texts share a window; the row with the largest doc_id stays.
 EXACT = """SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
 FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+#: Levels of each language's tree, then of the tree over their roots, by recursion; crc32 bit by bit; a fold along each row's siblings.
+MERKLE = """WITH RECURSIVE
+v AS (SELECT *, CAST(doc_id AS VARCHAR) AS i FROM documents),
+c AS (SELECT *, (xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(i, ''), lambda x: CAST(ascii(x) AS BIGINT))),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), CAST(range(8) AS BIGINT[])), lambda y, k: xor(y >> 1, (y & 1) * 3988292384))), 4294967295)) % 7 = 0 AS hit FROM v),
+e AS (SELECT doc_id, lang, hit, n_chars, coalesce(strlen(i) || ':' || i, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head, coalesce(strlen(text) || ':' || text, '-') AS tail FROM c),
+l AS (SELECT doc_id, lang, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+  CASE WHEN hit THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS changed FROM e),
+d AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM l),
+tree AS (SELECT lang, 0 AS lev, pos, leaf AS h, n FROM d
+  UNION ALL SELECT lang, lev + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM tree WHERE n > 1 GROUP BY lang, lev, pos // 2, n),
+sub AS (SELECT lang, lev AS depth, h AS subroot FROM tree WHERE n = 1),
+s AS (SELECT *, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n FROM sub),
+over AS (SELECT 0 AS lev, pos, subroot AS h, n FROM s
+  UNION ALL SELECT lev + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (n + 1) // 2 FROM over WHERE n > 1 GROUP BY lev, pos // 2, n),
+top AS (SELECT lev AS height, h AS root FROM over WHERE n = 1),
+up AS (SELECT doc_id, leaf, d.lang, subroot, depth, s.pos AS place, 0 AS lev, d.pos, '' AS proof, coalesce(changed, leaf) AS h FROM d JOIN s ON s.lang IS NOT DISTINCT FROM d.lang
+  UNION ALL SELECT doc_id, leaf, u.lang, subroot, depth, place, u.lev + 1, u.pos // 2, proof || coalesce(t.h, ''), sha256(CASE WHEN u.pos % 2 = 1 THEN t.h || u.h ELSE u.h || coalesce(t.h, '') END)
+  FROM up u LEFT JOIN tree t ON t.lang IS NOT DISTINCT FROM u.lang AND t.lev = u.lev AND t.pos = xor(u.pos, 1) WHERE u.lev < depth),
+further AS (SELECT doc_id, leaf, subroot, 0 AS lev, place AS pos, proof, h FROM up WHERE lev = depth
+  UNION ALL SELECT doc_id, leaf, subroot, u.lev + 1, u.pos // 2, proof || coalesce(t.h, ''), sha256(CASE WHEN u.pos % 2 = 1 THEN t.h || u.h ELSE u.h || coalesce(t.h, '') END)
+  FROM further u LEFT JOIN over t ON t.lev = u.lev AND t.pos = xor(u.pos, 1) WHERE u.lev < (SELECT height FROM top))
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, h AS folded_root, h = root AS verified FROM further, top WHERE lev = height"""

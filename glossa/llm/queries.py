@@ -7,6 +7,7 @@ from glossa.llm import exact as _exact
 from glossa.llm import html as _html
 from glossa.llm import jaccard as _jaccard
 from glossa.llm import licenses as _licenses
+from glossa.llm import merkle as _merkle
 from glossa.llm import mixing as _mixing
 from glossa.llm import oracles
 from glossa.llm import pii as _pii
@@ -107,3 +108,10 @@ def op11_digest_index(spark, sf_dir):
 
 
 _add("op11_digest_index", op11_digest_index, oracles.EXACT)
+
+
+def op12_merkle_blocks(spark, sf_dir):
+    return _merkle.audit(_table(spark, sf_dir, "documents"))
+
+
+_add("op12_merkle_blocks", op12_merkle_blocks, oracles.MERKLE)
