@@ -59,18 +59,21 @@ class DigestIndex:
         batch = batch or uuid.uuid4().hex
         best = F.max(F.struct(F.col("id"), F.col("row")))
         new = digests.groupBy("digest").agg(best.alias("best")).select("digest", F.col("best.id").alias("keep_id"), F.col("best.row").alias("keep_row"), F.lit(batch).alias("batch"))
-        # dealt like the index, so that only this side of the join is shuffled, and each task writes one bucket
+        # dealt like the index, so that only this side of the join is shuffled
         dealt = new.repartition(self.buckets, "digest")
-        fresh = dealt.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
-        fresh.write.mode("append").format("parquet").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
-        self.spark.catalog.refreshTable(self.name)
+        self._append(dealt.join(self.table().select("digest").hint("merge"), "digest", "left_anti"))
         return batch
 
+    def _append(self, rows: DataFrame) -> None:
+        """Writes rows with one file a bucket, whatever number of partitions the session deals them to."""
+        dealt = rows.repartition(self.buckets, F.pmod(F.hash("digest"), F.lit(self.buckets)))
+        dealt.write.mode("append").format("parquet").option("path", self.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
+        self.spark.catalog.refreshTable(self.name)
+
     def compact(self) -> "DigestIndex":
         """An index of its own folder, with one sorted file a bucket, holding the same rows; use it once it is complete."""
         other = DigestIndex(self.spark, f"{self.path}-{uuid.uuid4().hex}", self.buckets, self.normal)
-        self.table().repartition(self.buckets, "digest").write.mode("append").format("parquet").option("path", other.path).bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(other.name)
-        self.spark.catalog.refreshTable(other.name)
+        other._append(self.table())
         return other
 
 
