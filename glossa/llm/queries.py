@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from glossa.llm import align as _align
 from glossa.llm import decontaminate as _decontaminate
 from glossa.llm import exact as _exact
 from glossa.llm import html as _html
@@ -115,3 +116,10 @@ def op12_merkle_blocks(spark, sf_dir):
 
 
 _add("op12_merkle_blocks", op12_merkle_blocks, oracles.MERKLE)
+
+
+def op13_token_alignment(spark, sf_dir):
+    return _align.summary(_table(spark, sf_dir, "documents"))
+
+
+_add("op13_token_alignment", op13_token_alignment)
