@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glossa.functions.morphology import stem_of, stemmed_text
 from glossa.operators.tokens import numbered
 
 
@@ -54,3 +55,14 @@ def stem_file(dictionary: DataFrame) -> DataFrame:
     """number, surf, stem in lower case, without surfaces that are their own stem; of surfaces that differ in case one row."""
     rows = dictionary.where("stem IS NOT NULL").select(F.lower("surf").alias("surf"), F.lower("stem").alias("stem")).where("surf <> stem")
     return numbered(rows.groupBy("surf").agg(F.min("stem").alias("stem")), "surf").select("number", "surf", "stem")
+
+
+def candidates(groups: DataFrame) -> DataFrame:
+    """surf, place, stem: what each analysis of a surface form (surf, analyses) gives; an empty stem for forms that have none.
+
+    A form whose first analysis ends with a question mark is unknown. Twin words with different endings give no stem.
+    """
+    known = ~F.endswith(F.get("analyses", F.lit(0)), F.lit("?"))
+    each = groups.select("surf", F.posexplode_outer(F.when(known, F.col("analyses"))).alias("place", "analysis"))
+    found = each.select("surf", F.coalesce("place", F.lit(0)).alias("place"), F.when(F.col("analysis").isNotNull(), stem_of(F.col("analysis"))).alias("s"))
+    return found.select("surf", "place", F.when(~F.col("s.incorrect"), stemmed_text(F.col("s"))).otherwise("").alias("stem"))

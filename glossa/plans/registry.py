@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from glossa.plans import corpus, dictionary, edits, entries, history, indexed, lexicon, pairs, search, text, wordlists  # noqa: F401
+from glossa.plans import corpus, dictionary, edits, entries, history, indexed, lexicon, pairs, search, stems, text, wordlists  # noqa: F401
 from glossa.plans.catalog import ORACLES, QUERIES
 
 
