@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glossa.sources import store
+
 NO_RANK = 99_999
 
 
@@ -45,9 +47,56 @@ def buckets(df: DataFrame, rank: Column, hit: Column, width: int = 1000, many: i
     return (cut if many is None else cut.where(F.col("bucket") < many)).groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.col("h").cast("long")).alias("hits"))
 
 
-def contained(seeds: DataFrame, heads: DataFrame, seed: str, head: str) -> DataFrame:
-    """(seed, head): headwords that occur inside a seed, by an equi-join on the seed's substrings of up to the longest head's length."""
-    longest = heads.agg(F.max(F.length(head))).first()[0] or 1
-    cut = seeds.select(seed, F.explode(F.sequence(F.lit(1), F.length(seed))).alias("i")).select(seed, "i", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.length(seed) - F.col("i") + 1))).alias("n"))
-    cut = cut.select(seed, F.expr(f"substring({seed}, i, n)").alias(head)).distinct()
-    return cut.join(heads.select(head).distinct(), head).select(seed, head)
+def grams(text: Column, size: int) -> Column:
+    """Distinct runs of ``size`` characters of a text; none for shorter ones."""
+    n = F.length(text)
+    return F.when(n >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def contained(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, size: int = 3) -> DataFrame:
+    """(text, pattern): distinct patterns that occur inside distinct texts.
+
+    A pattern is looked for by the rarest of its runs of ``size`` characters, counted over the texts, and then verified; a
+    pattern with a run that no text has is dropped at once. Shorter patterns are runs of their own length. So a text makes
+    at most ``size`` rows for each of its characters before the join. Empty patterns occur nowhere. Both sides are written
+    down first, as they are read several times.
+    """
+    spark = texts.sparkSession
+    keep = lambda df, c, name: store.saved(df.select(F.col(c).alias(name)).where(F.length(name) > 0).distinct(), store.new_folder(spark, name))
+    longs, shorts = keep(texts, text, "__long"), keep(patterns, pattern, "__short")
+    runs = lambda c, n: F.explode(grams(F.col(c), n))
+    exact = longs.select("__long", F.explode(F.flatten(F.array(*(grams(F.col("__long"), n) for n in range(1, size))))).alias("__short")).join(shorts, "__short")
+    of_long = longs.select("__long", runs("__long", size).alias("g"))
+    of_short = shorts.where(F.length("__short") >= size).select("__short", runs("__short", size).alias("g"))
+    n = of_long.groupBy("g").agg(F.count("*").alias("n"))
+    rated = of_short.join(n, "g", "left").groupBy("__short").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("best"))
+    signs = rated.where("best.n > 0").select("__short", F.col("best.g").alias("g"))
+    met = of_long.join(signs, "g").where(F.contains("__long", F.col("__short"))).select("__long", "__short")
+    out = met.unionByName(exact.select("__long", "__short"))
+    return out.select(F.col("__long").alias(text), F.col("__short").alias(pattern))
+
+
+PART, LONGER = 1, 2
+
+
+def scope(seeds: DataFrame, heads: DataFrame) -> DataFrame:
+    """number, kind, head: what each seed (number, seed) brings in: itself (0), heads inside it (1), then heads around it (2).
+
+    A head belongs to the first seed that reaches it, and is a part before it is something longer. A head that is a seed itself
+    is listed once more under an earlier seed that reaches it, but not under later ones.
+    """
+    seeds = seeds.groupBy("seed").agg(F.min("number").alias("number"))
+    inside = contained(seeds, heads, "seed", "head").select("seed", "head", F.lit(PART).alias("kind"))
+    around = contained(heads, seeds, "head", "seed").select("seed", "head", F.lit(LONGER).alias("kind"))
+    met = inside.union(around).where("seed <> head").join(seeds, "seed")
+    first = met.groupBy("head").agg(F.min(F.struct("number", "kind")).alias("at"))
+    own = seeds.select(F.col("seed").alias("head"), F.col("number").alias("own"))
+    brought = first.join(own, "head", "left").where("own IS NULL OR at.number < own").select("at.number", "at.kind", "head")
+    return seeds.select("number", F.lit(0).alias("kind"), F.col("seed").alias("head")).union(brought)
+
+
+def scope_counts(scoped: DataFrame, seeds: DataFrame, others: DataFrame) -> DataFrame:
+    """One row: seeds, parts, longer heads, distinct heads, and places of another dictionary's heads inside the seeds."""
+    many = lambda k: F.sum((F.col("kind") == k).cast("long")).alias(("seeds", "parts", "longer")[k])
+    found = contained(seeds, others, "seed", "head").where("seed <> head").agg(F.count("*").alias("parts_elsewhere"))
+    return scoped.agg(many(0), many(PART), many(LONGER), F.count_distinct("head").alias("heads")).join(F.broadcast(found))  # one row

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.target import query_tokens, tokens
+from glossa.operators.ranks import ranked_by
 
 LONGEST_HEAD = 16
 
@@ -90,8 +91,8 @@ def hanzi_lookup(entries: DataFrame, postings: DataFrame, query: str) -> DataFra
         return entries.select("entry_id", F.lit(0).alias("start"), F.lit(0).alias("length"), F.lit(0).alias("rank")).limit(0)
     at = F.coalesce(F.nullif(F.instr("simp", F.lit(q)), F.lit(0)), F.nullif(F.instr("trad", F.lit(q)), F.lit(0)))
     found = entries.join(hanzi_candidates(postings, q), "entry_id").withColumn("start", at - 1).where("start IS NOT NULL")
-    order = Window.orderBy("start", pinyin_order(F.col("pinyin")), F.length("simp"), "entry_id")
-    return found.select("entry_id", "start", F.lit(len(q)).alias("length"), F.row_number().over(order).alias("rank"))
+    keyed = found.select("entry_id", "start", F.lit(len(q)).alias("length"), pinyin_order(F.col("pinyin")).alias("__a"), F.length("simp").alias("__b"))
+    return ranked_by(keyed, F.asc("start"), F.asc("__a"), F.asc("__b"), F.asc("entry_id")).drop("__a", "__b")
 
 
 def pinyin_candidates(postings: DataFrame, query: list[tuple[str, int]]) -> DataFrame:
@@ -110,8 +111,8 @@ def pinyin_lookup(entries: DataFrame, postings: DataFrame, query: list[tuple[str
     from glossa.functions.pinyin import contiguous
 
     found = entries.join(pinyin_candidates(postings, query), "entry_id").withColumn("start", contiguous(F.col("pinyin"), query)).where("start IS NOT NULL")
-    order = Window.orderBy(F.size("pinyin"), "start", pinyin_order(F.col("pinyin")), "entry_id")
-    return found.select("entry_id", "start", F.size("pinyin").alias("n_syllables"), F.row_number().over(order).alias("rank"))
+    keyed = found.select("entry_id", "start", F.size("pinyin").alias("n_syllables"), pinyin_order(F.col("pinyin")).alias("__a"))
+    return ranked_by(keyed, F.asc("n_syllables"), F.asc("start"), F.asc("__a"), F.asc("entry_id")).drop("__a")
 
 
 def _fits(tokens_: Column, i: Column, query: list[str], stops: list[str]) -> Column:
@@ -161,7 +162,7 @@ def target_lookup(entries: DataFrame, postings: DataFrame, query: str, stops: li
     senses = entries.join(word_candidates(postings, keys), "entry_id").select("entry_id", "freq", "sense_ix", tokens(F.get("senses", F.col("sense_ix"))).alias("tokens"))
     hit = senses.withColumn("at", phrase_match(F.col("tokens"), q, stops)).where("at IS NOT NULL")
     first = hit.groupBy("entry_id").agg(F.first("freq").alias("freq"), F.min(F.struct("sense_ix", "at")).alias("m"))
-    return first.select("entry_id", "m.sense_ix", "m.at.start", "m.at.end", F.row_number().over(Window.orderBy(F.desc("freq"), "entry_id")).alias("rank"))
+    return ranked_by(first.select("entry_id", "m.sense_ix", "m.at.start", "m.at.end", "freq"), F.desc("freq"), F.asc("entry_id")).drop("freq")
 
 
 def annotated(entries: DataFrame, query: str) -> DataFrame:

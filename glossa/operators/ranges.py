@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.operators.ranks import as_of
 
-def lookup(values: DataFrame, ranges: DataFrame, value: str, out: str, default, width: int) -> DataFrame:
-    """values with the label of the range [lo, hi] that holds them, or the default.
 
-    Ranges don't overlap. Each range is listed in the cells of ``width`` that it meets and each value in its own cell, so the
-    join is an equi-join and needs no nested loop.
+def lookup(values: DataFrame, ranges: DataFrame, value: str, out: str, default) -> DataFrame:
+    """values with the label of the range [lo, hi] that starts last at or before the value, where it reaches that far, or the default.
+
+    A range of any width is one row of the sort that brings starts and values together. Of ranges with the same start the
+    widest counts; a range inside another hides it from its start on.
     """
-    cells = ranges.select("lo", "hi", F.col("label").alias(out), F.explode(F.sequence(F.expr(f"lo div {width}"), F.expr(f"hi div {width}"))).alias("__cell"))
-    placed = values.withColumn("__cell", F.expr(f"{value} div {width}"))
-    hit = placed.join(cells, (placed["__cell"] == cells["__cell"]) & (placed[value] >= cells["lo"]) & (placed[value] <= cells["hi"]), "left")
-    return hit.select(*(placed[c] for c in values.columns), F.coalesce(cells[out], F.lit(default)).alias(out))
+    starts = ranges.select("lo", F.struct("hi", F.col("label").alias("label")).alias("__range")).where("hi IS NOT NULL")
+    met = as_of(values, starts, value, "lo", "__range")
+    inside = F.col("__range.hi") >= F.col(value)
+    return met.select(*(F.col(c) for c in values.columns), F.when(inside, F.coalesce(F.col("__range.label"), F.lit(default))).otherwise(F.lit(default)).alias(out))
 
 
 def merged(ranges: DataFrame, label: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.text import words
+from glossa.operators.ranks import ranked_by
 
 
 def tokens(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -96,16 +97,9 @@ def ranked(df: DataFrame, key: str, span: int = 4096) -> DataFrame:
     return running(df, key, F.lit(1), "rank", span).withColumn("rank", F.col("rank") + 1)
 
 
-def numbered(df: DataFrame, text: str, lead: int = 2) -> DataFrame:
-    """df with ``number``: the row's place, from 1, in the order of a distinct text.
-
-    Rows are counted by the first ``lead`` characters, and numbered inside those; one task sees the leads alone.
-    """
-    cut = df.withColumn("__lead", F.substring(text, 1, lead))
-    counts = cut.groupBy("__lead").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__lead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = F.row_number().over(Window.partitionBy("__lead").orderBy(text))
-    return cut.withColumn("__at", inside).join(counts.select("__lead", before.alias("__before")), "__lead").withColumn("number", (F.col("__at") + F.col("__before")).cast("long")).drop("__lead", "__at", "__before")
+def numbered(df: DataFrame, text: str) -> DataFrame:
+    """df with ``number``: the row's place, from 1, in the order of a distinct text."""
+    return ranked_by(df, F.asc(text), name="number", kind="long")
 
 
 def sampled(df: DataFrame, key: str, step: int, most: int, offset: int = 0) -> DataFrame:

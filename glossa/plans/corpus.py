@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions import corpus as C
 from glossa.functions import target as T
+from glossa.operators.ranks import ranked_by
 from glossa.plans.catalog import query
 from glossa.plans.dictionary import ALPHABET, E, SIMP, TRAD, entries
 from glossa.plans.text import W
@@ -210,11 +211,9 @@ def readable_characters(spark, d):
 
 @query("prefix_ranks", "WITH c AS (SELECT split_part(p_name, ' ', 1) AS prefix, count(*) AS n FROM part GROUP BY 1) SELECT prefix, n, CAST(row_number() OVER (ORDER BY n DESC, prefix) AS INTEGER) AS rank FROM c")
 def prefix_ranks(spark, d):
-    """First words of names by how often they occur; a row for each, so that one task can rank them."""
-    from pyspark.sql import Window
-
+    """First words of names by how often they occur."""
     n = table(spark, d, "part").groupBy(F.substring_index("p_name", " ", 1).alias("prefix")).agg(F.count("*").alias("n"))
-    return n.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "prefix")))
+    return ranked_by(n, F.desc("n"), F.asc("prefix"))
 
 
 @query("pre_counts", "WITH t AS (SELECT user_id, max(event_id) AS top_id, count(*) - 1 AS earlier FROM events GROUP BY user_id) SELECT event_id, e.user_id, CASE WHEN event_id = top_id THEN earlier ELSE -1 END AS count_a FROM events e JOIN t ON t.user_id = e.user_id")

@@ -196,7 +196,7 @@ SELECT event_id, event_id * 2 AS v, coalesce(label, 'none') AS label FROM events
 def range_lookup(spark, d):
     ranges = table(spark, d, "part").select((F.col("p_partkey") * 10).alias("lo"), (F.col("p_partkey") * 10 + F.when(F.col("p_size") % 3 == 0, 9).otherwise(5)).alias("hi"), F.col("p_brand").alias("label"))
     values = table(spark, d, "events").select("event_id", (F.col("event_id") * 2).alias("v"))
-    return R.lookup(values, ranges, "v", "label", "none", 256)
+    return R.lookup(values, ranges, "v", "label", "none")
 
 
 @query("merge_ranges", """WITH r AS (SELECT p_type AS label, p_partkey * 10 AS lo, p_partkey * 10 + 9 AS hi FROM part), s AS (SELECT *, CASE WHEN lag(hi) OVER (PARTITION BY label ORDER BY lo) + 1 = lo THEN 0 ELSE 1 END AS st FROM r),

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from glossa.functions.text import words
 from glossa.operators import lexicon as L
+from glossa.operators.ranks import ranked_by
 from glossa.operators.tokens import frequencies, tokens
 from glossa.plans.catalog import query
 from glossa.plans.text import W
+from glossa.sources.store import new_folder, saved
 from glossa.sources.tables import table
 
 
@@ -34,6 +36,36 @@ def substring_join(spark, d):
     return L.contained(parts.select(F.col("p_name").alias("seed")).distinct(), heads, "seed", "head")
 
 
+SCOPE = f"""f AS (SELECT word, count(*) AS n FROM (SELECT unnest({W}) AS word FROM documents) GROUP BY word), b AS (SELECT DISTINCT unnest({W}) AS word FROM benchmark),
+h AS (SELECT word AS head FROM f WHERE word NOT IN (SELECT word FROM b)), s AS (SELECT word AS seed, row_number() OVER (ORDER BY n DESC, word) AS number FROM f QUALIFY number % 49 = 1),
+m AS (SELECT number, CASE WHEN length(head) < length(seed) THEN 1 ELSE 2 END AS kind, head FROM s JOIN h ON seed <> head AND (contains(seed, head) OR contains(head, seed))),
+a AS (SELECT head, min(number) AS number, arg_min(kind, number * 10 + kind) AS kind FROM m GROUP BY head),
+r AS (SELECT number, 0 AS kind, seed AS head FROM s UNION ALL SELECT number, kind, head FROM a WHERE NOT EXISTS (SELECT 1 FROM s WHERE seed = head AND s.number <= a.number))"""
+
+
+def _scope(spark, d):
+    """Seeds: every 49th word of the documents by frequency, from the first on, numbered by rank; heads: words that the benchmark doesn't have."""
+    freq = saved(frequencies(table(spark, d, "documents")), new_folder(spark, "freq"))
+    items = table(spark, d, "benchmark").select(F.explode(words(F.col("text"))).alias("word")).distinct()
+    ranked = ranked_by(freq, F.desc("freq"), F.asc("word"), name="number", kind="long")
+    seeds = ranked.where("number % 49 = 1").select("number", F.col("word").alias("seed"))
+    return seeds, freq.join(items, "word", "left_anti").select(F.col("word").alias("head")), items.select(F.col("word").alias("head"))
+
+
+@query("lexicon_scope", f"WITH {SCOPE} SELECT CAST(number AS BIGINT) AS number, CAST(kind AS INTEGER) AS kind, head FROM r")
+def lexicon_scope(spark, d):
+    """Which headwords come into a lexicon's scope by which seed: the seed, words inside it, words around it, in the seeds' order."""
+    seeds, heads, _ = _scope(spark, d)
+    return L.scope(seeds, heads)
+
+
+@query("lexicon_scope_counts", f"""WITH {SCOPE} SELECT count(*) FILTER (WHERE kind = 0) AS seeds, count(*) FILTER (WHERE kind = 1) AS parts, count(*) FILTER (WHERE kind = 2) AS longer, count(DISTINCT head) AS heads,
+(SELECT count(*) FROM s JOIN b ON seed <> word AND contains(seed, word)) AS parts_elsewhere FROM r""")
+def lexicon_scope_counts(spark, d):
+    seeds, heads, others = _scope(spark, d)
+    return L.scope_counts(L.scope(seeds, heads), seeds, others)
+
+
 HINTS = f"h AS (SELECT DISTINCT doc_id, word FROM (SELECT doc_id, unnest({W}) AS word FROM documents))"
 
 
@@ -48,10 +80,10 @@ def hint_filter(spark, d):
 
 
 FREQUENT = f"f AS (SELECT word FROM (SELECT unnest({W}) AS word FROM documents) GROUP BY word HAVING count(*) > 2000)"
-FIRST = f"i AS (SELECT doc_id, unnest({W}) AS word, unnest(range(len({W}))) AS pos FROM documents)"
+FIRST = f"d AS (SELECT doc_id, {W} AS w FROM documents), i AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS pos FROM d)"
 
 
-@query("first_hypothesis_filter", f"WITH {FREQUENT}, {FIRST}, b AS (SELECT doc_id FROM i WHERE pos = 0 AND word IN (SELECT word FROM f)) SELECT doc_id, CAST(pos AS INTEGER) AS pos, word FROM i WHERE doc_id NOT IN (SELECT doc_id FROM b) AND word NOT IN (SELECT word FROM f)")
+@query("first_hypothesis_filter", f"WITH {FREQUENT}, {FIRST}, b AS (SELECT DISTINCT doc_id FROM d SEMI JOIN f ON f.word = w[1]) SELECT doc_id, CAST(pos AS INTEGER) AS pos, word FROM i ANTI JOIN b USING (doc_id) ANTI JOIN f USING (word)")
 def first_hypothesis_filter(spark, d):
     docs = table(spark, d, "documents")
     frequent = frequencies(docs).where("freq > 2000")
