@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import os
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -67,27 +68,36 @@ def vocabularies(folder: str):
 def encoded(texts: list[str], folder: str) -> list[tuple[list[int], list[int]]]:
     """Ids of both sides for each text; none where they don't give the text back."""
     a, b, side_a, side_b = vocabularies(folder)
-    ids_a = [e.ids for e in a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False)]
-    out = []
-    for t, x, y in zip(texts, ids_a, b.encode(texts, num_threads=1)):
-        whole = b" " + t.encode()
-        out.append((x, y) if t and side_a.joined(x) == whole and side_b.joined(y) == whole else ([], []))
-    return out
+    wholes = [b" " + t.encode() if t else b"" for t in texts]
+    ids_a = [e.ids if t else [] for t, e in zip(texts, a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False))]
+    ids_b = b.encode(texts, num_threads=1)
+    ok = lambda ids, side, whole: side.joined(ids) == whole
+    return [(x, y) if ok(x, side_a, w) and ok(y, side_b, w) else ([], []) for x, y, w in zip(ids_a, ids_b, wholes)]
 
 
 def merged(ends_a: np.ndarray, ends_b: np.ndarray):
-    """All steps of the two pointers: token of A and of B at each link, and the ends at which both move."""
-    steps = np.union1d(ends_a, ends_b)
-    at_a, at_b = np.searchsorted(ends_a, steps), np.searchsorted(ends_b, steps)
-    both = (ends_a[at_a] == steps) & (ends_b[at_b] == steps)
-    return at_a, at_b, both, steps
+    """All steps of the two pointers: token of A and of B at each link, whether both move, and the byte where it ends.
+
+    Both lists are sorted, without repeats, and end at the same byte. Each end is marked on the line of bytes; the number of
+    marks before a byte is where a pointer stands there.
+    """
+    size = int(ends_a[-1]) + 1
+    on_a, on_b = np.zeros(size, dtype=bool), np.zeros(size, dtype=bool)
+    on_a[ends_a], on_b[ends_b] = True, True
+    steps = np.flatnonzero(on_a | on_b)
+    at_a, at_b = (np.cumsum(on[steps]) - on[steps] for on in (on_a, on_b))
+    return at_a, at_b, on_a[steps] & on_b[steps], steps
+
+
+def _flat(ids: list[list[int]], n: int) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(ids), dtype=np.int64, count=n)
 
 
 def _aligned(texts: list[str], folder: str) -> dict[str, list]:
     """Columns of SCHEMA but for the id. Texts lie one behind the other on the line of bytes; each ends a group."""
     ids, (_, _, side_a, side_b) = encoded(texts, folder), vocabularies(folder)
     n_a, n_b = (np.array([len(p[k]) for p in ids], dtype=np.int64) for k in (0, 1))
-    a, b = (np.array([i for p in ids for i in p[k]], dtype=np.int64) for k in (0, 1))
+    a, b = _flat([p[0] for p in ids], n_a.sum()), _flat([p[1] for p in ids], n_b.sum())
     ends_a, ends_b = np.cumsum(side_a.sizes[a]), np.cumsum(side_b.sizes[b])
     if not len(a):
         zero = [0] * len(texts)
@@ -100,7 +110,8 @@ def _aligned(texts: list[str], folder: str) -> dict[str, list]:
     last_a, last_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
     last_a[at_a[both]], last_b[at_b[both]] = 1, 2
     last_b[np.cumsum(n_b)[n_b > 0] - 1] = 3
-    group_a, group_b = np.searchsorted(steps[both], ends_a), np.searchsorted(steps[both], ends_b)
+    # a token's group: the groups that ended before it
+    group_a, group_b = (np.cumsum(last > 0) - (last > 0) for last in (last_a, last_b))
     line = np.empty(len(a) + len(b), dtype=object)
     line[np.arange(len(a)) + np.concatenate(([0], at_b[both] + 1))[group_a]] = side_a.shown[last_a * len(side_a.pieces) + a]
     line[np.arange(len(b)) + (at_a[both] + 1)[group_b]] = side_b.shown[last_b * len(side_b.pieces) + b]
