@@ -6,7 +6,7 @@ changes to append to the history, and the entries as they are afterwards. The ta
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.operators.history import EDIT, NEW, NOTE, STATUS
@@ -15,6 +15,8 @@ from glossa.operators.tokens import ranked
 #: What status a request asks for.
 ASKED = {"approve": 1, "flag": 2, "unflag": 0}
 APPROVAL_SCORE = 100
+#: Numbers that have a code.
+CODES = 52**4 * 10**3
 
 
 def _folded(entries: DataFrame, requests: DataFrame) -> DataFrame:
@@ -79,6 +81,13 @@ def bulk_changes(new: DataFrame, ref: int, user_id: int, note: str) -> DataFrame
     return parent.unionByName(each)
 
 
+def reserved(entries: DataFrame, rows: DataFrame, key: Column, space: int = CODES) -> DataFrame:
+    """rows with an ``entry_id`` that neither an entry nor another row has."""
+    from glossa.operators.numbers import unique_numbers
+
+    return unique_numbers(rows, key, space, entries.select(F.col("entry_id").alias("number")), "entry_id")
+
+
 def stored(entries: DataFrame, rows: DataFrame) -> DataFrame:
     """entries with rows appended; an id that is taken is an error when it is read."""
     taken = entries.select("entry_id", F.lit(True).alias("taken"))
@@ -100,12 +109,14 @@ def cleansed_versions(versions: DataFrame, when: str, user: str, ref: int, note:
     return versions.unionByName(more.select(*versions.columns))
 
 
-def prepared(lines: DataFrame, when: str, user: str, note: str, mark: str | None = "(u.E.)", lower_pinyin: bool = False) -> DataFrame:
+def prepared(lines: DataFrame, when: str, user: str, note: str, mark: str | None = "(u.E.)", lower_pinyin: bool = False, taken: DataFrame | None = None, space: int = CODES) -> DataFrame:
     """The first version (version, time, user, …) of each entry line with a headword of at most 16 characters.
 
-    Codes follow from a hash of the line; entries with the mark in a sense aren't verified.
+    Codes follow from a hash of the line, and are found again where they clash with each other or with those in use (taken
+    has number); every line keeps an entry of its own. Entries with the mark in a sense aren't verified.
     """
     from glossa.functions.ids import code_of
+    from glossa.operators.numbers import unique_numbers
     from glossa.sources.entries import parse_lines, written
 
     text = F.col("text")
@@ -113,5 +124,6 @@ def prepared(lines: DataFrame, when: str, user: str, note: str, mark: str | None
         text = F.concat(F.regexp_extract(text, r"^([^\[]*)", 1), F.lower(F.regexp_extract(text, r"(\[[^\]]*\])", 1)), F.regexp_extract(text, r"^[^\]]*\](.*)$", 1))
     parsed = parse_lines(lines.withColumn("text", text)).where("entry IS NOT NULL").where(F.length("entry.simp") <= 16)
     status = F.when(F.contains("text", F.lit(mark)), 0).otherwise(1) if mark else F.lit(1)
-    number = F.pmod(F.xxhash64("text"), F.lit(52**4 * 10**3))
-    return parsed.select(code_of(number).alias("code"), F.lit(0).alias("version"), F.lit(when).cast("timestamp").alias("time"), F.lit(user).alias("user"), status.alias("status"), F.lit(1).alias("bulk_ref"), F.lit(note).alias("comment"), written(F.col("entry")).alias("line")).dropDuplicates(["code"])
+    kept = parsed.select(F.col("text").alias("__text"), status.alias("status"), written(F.col("entry")).alias("line"))
+    coded = unique_numbers(kept, F.col("__text"), space, taken)
+    return coded.select(code_of(F.col("number")).alias("code"), F.lit(0).alias("version"), F.lit(when).cast("timestamp").alias("time"), F.lit(user).alias("user"), "status", F.lit(1).alias("bulk_ref"), F.lit(note).alias("comment"), "line")

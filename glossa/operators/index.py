@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from glossa.functions.text import folded, let, words
+from glossa.functions.text import ACCENTED, PLAIN, folded, let, packed_prefix, words
 from glossa.operators.tokens import tokens
+from glossa.sources import store
 
 
 def postings(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,17 +43,30 @@ def phrase(df: DataFrame, query: str, key: str = "doc_id", text: str = "text") -
     return hit.select(key, F.size(F.filter(F.split(before, " "), lambda w: w != "")).alias("first_word"), F.size(F.filter(F.split("p", " "), lambda w: w != "")).alias("n_words"))
 
 
-def prefix_hints(freq: DataFrame, prefix: str, most: int) -> DataFrame:
-    """Words whose folded form starts with the folded prefix, in order of that form: word, folded, freq."""
-    named = freq.where("freq > 0").select("word", folded(F.col("word")).alias("folded"), "freq")
-    start = prefix.lower().translate(str.maketrans(*_accents()))
-    return named.where(F.startswith("folded", F.lit(start))).orderBy("folded", "word").limit(most)
+def prefix_table(freq: DataFrame, folder: str) -> DataFrame:
+    """word, folded, freq, packed of words that occur, saved in the order of the packed prefix, so that its files and row groups hold ranges of it."""
+    named = freq.where("freq > 0").select("word", folded(F.col("word")).alias("folded"), "freq", packed_prefix(F.col("word")).alias("packed"))
+    return store.saved(named.repartitionByRange("packed", "folded").sortWithinPartitions("packed", "folded"), folder)
 
 
-def _accents():
-    from glossa.functions.text import ACCENTED, PLAIN
+def packed_range(prefix: str) -> tuple[int, int] | None:
+    """The lowest and the highest packed prefix of texts that start with a folded prefix; none for an empty one."""
+    units = [ord(c) for c in prefix[:4]]
+    if not units:
+        return None
+    signed = lambda us: (n := sum(u << (48 - 16 * i) for i, u in enumerate(us))) - (1 << 64 if n >= 1 << 63 else 0)
+    return signed(units + [0] * (4 - len(units))), signed(units + [0xFFFF] * (4 - len(units)))
 
-    return ACCENTED, PLAIN
+
+def prefix_hints(words_: DataFrame, prefix: str, most: int) -> DataFrame:
+    """Words of a prefix table whose folded form starts with the folded prefix, in order of that form: word, folded, freq.
+
+    The prefix becomes a range of packed numbers, which reaches the scan; each task keeps its first ``most``.
+    """
+    start = "".join(c for c in unicodedata.normalize("NFD", prefix.lower().translate(str.maketrans(ACCENTED, PLAIN))) if unicodedata.category(c) != "Mn")
+    within = packed_range(start)
+    some = words_.where(F.col("packed").between(*within)) if within else words_
+    return some.where(F.startswith("folded", F.lit(start))).select("word", "folded", "freq").orderBy("folded", "word").limit(most)
 
 
 def longest_covers(queries: DataFrame, heads: DataFrame, key: str, text: str, longest: int) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glossa.sources import store
 
-ROW = "__row"
+ROW = "__sorted_row"
 
 
 def sorted_rows(df: DataFrame, *order: Column) -> DataFrame:

@@ -9,6 +9,7 @@ from glossa.operators import stemming as S
 from glossa.operators.tokens import frequencies
 from glossa.plans.catalog import query
 from glossa.plans.text import W
+from glossa.sources.store import new_folder, saved
 from glossa.sources.tables import table
 
 FORMS = f"f AS (SELECT word AS surf, count(*) AS freq FROM (SELECT unnest({W}) AS word FROM documents) GROUP BY word)"
@@ -117,3 +118,27 @@ def bulk_add(spark, d):
 @query("bulk_changes", f"WITH {ADDED} SELECT NULL::BIGINT AS entry_id, true AS parent, 5 AS bulk_ref, 3 AS user_id, 'bulk' AS note, 99 AS chg, count(*) AS n_new FROM n UNION ALL SELECT entry_id, false, 5, 3, '', 0, -1 FROM n")
 def bulk_changes(spark, d):
     return E.bulk_changes(_added(spark, d), 5, 3, "bulk")
+
+
+NEAR = """l AS (SELECT p_partkey, length(replace(p_name, ' ', '')) AS n, p_size FROM part), k AS (SELECT CASE WHEN p_size % 5 = 0 THEN 0 ELSE 1 END AS status FROM l WHERE n <= 16)"""
+
+
+@query("prepared_entries", f"WITH {NEAR} SELECT status, count(*) AS entries, (SELECT count(*) FROM k) AS codes, CAST(0 AS BIGINT) AS clashes FROM k GROUP BY status")
+def prepared_entries(spark, d):
+    """Entry lines of parts, repeats among them, as first versions: by status how many, and all their codes, none of them used twice."""
+    head = F.replace("p_name", F.lit(" "), F.lit(""))
+    line = F.concat(head, F.lit(" "), head, F.lit(" [xx] /"), "p_brand", F.when(F.col("p_size") % 5 == 0, " (u.E.)").otherwise(""), F.lit("/"))
+    made = saved(E.prepared(table(spark, d, "part").select(line.alias("text")), "2017-05-02T22:41:05Z", "u", "first"), new_folder(spark, "prepared"))
+    codes = made.groupBy("code").agg(F.count("*").alias("n")).agg(F.count("*").alias("codes"), F.sum((F.col("n") > 1).cast("long")).alias("clashes"))
+    return made.groupBy("status").agg(F.count("*").alias("entries")).join(F.broadcast(codes))  # one row
+
+
+@query("reserved_ids", "SELECT count(*) AS added, count(*) AS ids, CAST(0 AS BIGINT) AS taken FROM orders")
+def reserved_ids(spark, d):
+    """Ids for rows that nobody has, in a space that the entries and the rows fill to seven eighths."""
+    entries = table(spark, d, "customer").select(F.col("c_custkey").alias("entry_id"))
+    rows = table(spark, d, "orders").select("o_orderkey")
+    space = (entries.count() + rows.count()) * 8 // 7
+    got = saved(E.reserved(entries, rows, F.col("o_orderkey"), space), new_folder(spark, "reserved"))
+    taken = got.join(entries, "entry_id", "left_semi").agg(F.count("*").alias("taken"))
+    return got.agg(F.count("*").alias("added"), F.count_distinct("entry_id").alias("ids")).join(F.broadcast(taken))  # one row

@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from glossa.operators import export as X
 from glossa.operators import history as H
 from glossa.operators import ranges as R
 from glossa.operators.tokens import ranked
 from glossa.plans.catalog import query
+from glossa.sources.store import new_folder
 from glossa.sources.tables import table
 
+
 def _line():
     return H.timeline("user_id", "ts", "event_id")
 
@@ -88,6 +91,36 @@ def entry_pages(spark, d):
     return grouped.select("o_custkey", "n", "newest", F.array_join(F.transform("rows", lambda r: r["o_orderkey"].cast("string")), " ").alias("history"))
 
 
+EXPORT = r"""c AS (SELECT o_custkey AS e, o_orderkey AS id, o_orderdate AS t, c_name, c_mktsegment, c_custkey % 3 AS now, CASE WHEN o_orderkey % 4 = 0 THEN 'old ' || o_orderkey END AS hb, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS tb,
+CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 3 END AS sb, o_orderstatus || '\' || chr(10) || o_orderpriority AS note FROM orders JOIN customer ON c_custkey = o_custkey),
+v AS (SELECT *, row_number() OVER (PARTITION BY e ORDER BY t, id) - 1 AS version, row_number() OVER w = 1 AS newest, coalesce(last_value(hb IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), c_name) AS head,
+coalesce(last_value(tb IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), c_mktsegment) AS target, coalesce(last_value(sb IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), now) AS status FROM c WINDOW w AS (PARTITION BY e ORDER BY t DESC, id DESC)),
+s AS (SELECT *, newest OR version = 0 OR head <> lag(head) OVER u OR target <> lag(target) OVER u AS shown FROM v WINDOW u AS (PARTITION BY e ORDER BY version)),
+l AS (SELECT e, version, 0 AS part, '# ID-' || lpad(CAST(e AS VARCHAR), 9, '0') AS text FROM s WHERE version = 0
+UNION ALL SELECT e, version, 1, '# Ver ' || strftime(t, '%Y-%m-%dT%H:%M:%SZ') || ' u' || id % 7 || ' Stat-' || ['New', 'Verif', 'Flagged'][status + 1] || ' ' || lpad(CAST(id % 4 AS VARCHAR), 3, '0') || '>' || replace(replace(note, '\', '\\'), chr(10), '\n') FROM s
+UNION ALL SELECT e, version, 2, CASE WHEN newest THEN '' ELSE '# ' END || head || ' ' || target FROM s WHERE shown UNION ALL SELECT e, version, 3, '' FROM s WHERE newest)"""
+
+
+@query("export_blocks", f"WITH {EXPORT} SELECT e AS entry_id, row_number() OVER (PARTITION BY e ORDER BY version, part) AS line, text FROM l")
+def export_blocks(spark, d):
+    """The files of an export, read back: each customer's orders as the versions of an entry, numbered line by line."""
+    key, when = F.col("o_orderkey"), lambda n, v: F.when(F.col("o_orderkey") % n == 0, v)
+    customer = table(spark, d, "customer").select(F.col("c_custkey").alias("entry_id"), F.col("c_name").alias("head"), F.col("c_mktsegment").alias("target"), (F.col("c_custkey") % 3).cast("int").alias("status"))
+    changes = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("entry_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("time"), F.concat(F.lit("u"), (key % 7).cast("string")).alias("user"), (key % 4).cast("int").alias("bulk_ref"),
+        F.concat("o_orderstatus", F.lit("\\\n"), "o_orderpriority").alias("comment"), when(4, F.concat(F.lit("old "), key.cast("string"))).alias("head_before"), when(3, F.col("o_orderpriority")).alias("target_before"),
+        (key % 3).cast("int").alias("status_before"), when(5, 4).otherwise(2).alias("chg"),
+    ).join(customer, "entry_id")
+    folder = new_folder(spark, "export")
+    lines = X.block_lines(X.version_rows(changes, "time", "id"), F.lpad(F.col("entry_id").cast("string"), 9, "0"))
+    X.write_blocks(lines, folder, ["# an export"])
+    rows = X.read_lines(spark, folder)
+    # a block stays together, so lines belong to the last code before them
+    code = F.last(F.when(F.startswith("text", F.lit("# ID-")), F.substring("text", 6, 9).cast("long")), ignorenulls=True).over(Window.partitionBy("file").orderBy("at"))
+    numbered = rows.withColumn("entry_id", code)
+    return numbered.select("entry_id", F.row_number().over(Window.partitionBy("entry_id").orderBy("at")).cast("long").alias("line"), "text")
+
+
 @query("full_history", "SELECT o_orderkey, l_linenumber, l_partkey, o_orderdate, l_shipdate FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
 def full_history(spark, d):
     """All changes, ordered by entry."""

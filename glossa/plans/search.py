@@ -9,6 +9,7 @@ from glossa.operators import index as I
 from glossa.operators import tokens as K
 from glossa.plans.catalog import query
 from glossa.plans.text import W
+from glossa.sources.store import new_folder
 from glossa.sources.tables import table
 
 P = f"' ' || array_to_string({W}, ' ') || ' '"
@@ -49,7 +50,8 @@ def cascade_lookup(spark, d):
 g AS (SELECT word, translate(word, 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿőű', 'aaaaaaceeeeiiiinooooouuuuyyou') AS folded, freq FROM f)
 SELECT word, folded, freq FROM g WHERE starts_with(folded, 'ela') ORDER BY folded, word LIMIT 10""")
 def prefix_hints(spark, d):
-    return I.prefix_hints(K.frequencies(table(spark, d, "documents")), "éla", 10)
+    held = I.prefix_table(K.frequencies(table(spark, d, "documents")), new_folder(spark, "prefixes"))
+    return I.prefix_hints(held, "éla", 10)
 
 
 def _stem_dictionary(docs, heads: list[str]):

@@ -105,14 +105,21 @@ def versions(blocks: DataFrame) -> DataFrame:
     return each.select("code", "version", F.try_to_timestamp(part(1), F.lit("yyyy-MM-dd'T'HH:mm:ssX")).alias("time"), part(2).alias("user"), F.try_element_at(status, part(3)).alias("status"), bulk.alias("bulk_ref"), comment.alias("comment"), "line")
 
 
+def version_line(time: Column, user: Column, status: Column, bulk_ref: Column, comment: Column) -> Column:
+    """The line of a version, without its end; a comment's line feeds and backslashes are escaped."""
+    names = F.array(*(F.lit(k) for k in STATUS))
+    ref = F.when(bulk_ref > 0, F.lpad(bulk_ref.cast("string"), 3, "0")).otherwise("000")
+    note = F.replace(F.replace(comment, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n"))
+    return F.concat(F.lit("# Ver "), F.date_format(time, "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" "), user, F.lit(" Stat-"), F.get(names, status), F.lit(" "), ref, F.lit(">"), note)
+
+
 def block_text(history: DataFrame) -> DataFrame:
     """code, block: the block of each entry from its versions; lines equal to the version before are left out."""
     row = F.struct("version", "time", "user", "status", "bulk_ref", "comment", "line")
-    names = F.array(*(F.lit(k) for k in STATUS))
     grouped = history.groupBy("code").agg(F.array_sort(F.collect_list(row)).alias("v"))
 
     def one(v, i):
-        head = F.concat(F.lit("# Ver "), F.date_format(v["time"], "yyyy-MM-dd'T'HH:mm:ss'Z'"), F.lit(" "), v["user"], F.lit(" Stat-"), F.get(names, v["status"]), F.lit(" "), F.when(v["bulk_ref"] > 0, F.lpad(v["bulk_ref"].cast("string"), 3, "0")).otherwise("000"), F.lit(">"), F.replace(F.replace(v["comment"], F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\n"))
+        head = F.concat(version_line(*(v[c] for c in ("time", "user", "status", "bulk_ref", "comment"))), F.lit("\n"))
         last = i == F.size("v") - 1
         same = F.coalesce(F.get("v", i - 1)["line"] == v["line"], F.lit(False))
         return F.concat(head, F.when(last, F.concat(v["line"], F.lit("\n"))).when(same, "").otherwise(F.concat(F.lit("# "), v["line"], F.lit("\n"))))
