@@ -14,7 +14,9 @@ whatever its length, alone in its slice. Columns beside the two named are of no
 
 from __future__ import annotations
 
+import base64
 import os
+import re
 from functools import lru_cache
 from itertools import chain
 
@@ -27,6 +29,10 @@ from glossa.llm.common import SLICE, Scratch, bounded, quoted
 
 #: Folder of the vocabulary files on every machine, and their names.
 FOLDER, FILE_A, FILE_B = "/opt/tokenizers", "byte_bpe_50k.json", "piece_bpe_32k.model"
+#: A's vocabulary once more, as ranks, with its pattern (a fixed value): another reader of the same encoding, four times as fast.
+#: It takes texts of printable ASCII, tabs, line ends and Latin letters, on which the pattern's classes leave no doubt; A's own file takes the others.
+RANKS_A, PATTERN = "byte_bpe_50k.tiktoken", r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+CLEAR = re.compile("[\t\n\r -~À-ÖØ-öø-ž]*")
 #: Most pairs that are broadcast.
 HOT_PAIRS = 200_000
 SCHEMA = "id long, n_a long, n_b long, n_groups long, n_links long, groups string, pairs array<long>, counts array<int>"
@@ -52,8 +58,9 @@ class Side:
 
 @lru_cache(maxsize=2)
 def vocabularies(folder: str):
-    """Both tokenizers and their sides, once in each Python worker."""
+    """Both tokenizers, A's ranks, and both sides, once in each Python worker."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import tiktoken
     from sentencepiece import SentencePieceProcessor
     from tokenizers import Tokenizer
 
@@ -62,15 +69,25 @@ def vocabularies(folder: str):
     byte, names = _byte_of(), [a.id_to_token(i) for i in range(a.get_vocab_size())]
     side_a = Side([bytes(byte[c] for c in name or "") for name in names])
     piece = lambda i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
-    return a, b, side_a, Side([piece(i) for i in range(b.get_piece_size())])
+    with open(f"{folder}/{RANKS_A}", "rb") as file:
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
+    quick = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return a, b, quick, side_a, Side([piece(i) for i in range(b.get_piece_size())])
+
+
+def ids_of_a(texts: list[str], folder: str) -> list[list[int]]:
+    """A's ids of a space and each text; none for an empty text."""
+    a, _, quick, *_ = vocabularies(folder)
+    clear = [CLEAR.fullmatch(t) is not None for t in texts]
+    others = iter(a.encode_batch_fast([" " + t for t, c in zip(texts, clear) if not c], add_special_tokens=False))
+    return [([] if not t else quick.encode_ordinary(" " + t)) if c else next(others).ids for t, c in zip(texts, clear)]
 
 
 def encoded(texts: list[str], folder: str) -> list[tuple[list[int], list[int]]]:
     """Ids of both sides for each text; none where they don't give the text back."""
-    a, b, side_a, side_b = vocabularies(folder)
+    _, b, _, side_a, side_b = vocabularies(folder)
     wholes = [b" " + t.encode() if t else b"" for t in texts]
-    ids_a = [e.ids if t else [] for t, e in zip(texts, a.encode_batch_fast([" " + t for t in texts], add_special_tokens=False))]
-    ids_b = b.encode(texts, num_threads=1)
+    ids_a, ids_b = ids_of_a(texts, folder), b.encode(texts, num_threads=1)
     ok = lambda ids, side, whole: side.joined(ids) == whole
     return [(x, y) if ok(x, side_a, w) and ok(y, side_b, w) else ([], []) for x, y, w in zip(ids_a, ids_b, wholes)]
 
@@ -95,7 +112,7 @@ def _flat(ids: list[list[int]], n: int) -> np.ndarray:
 
 def _aligned(texts: list[str], folder: str) -> dict[str, list]:
     """Columns of SCHEMA but for the id. Texts lie one behind the other on the line of bytes; each ends a group."""
-    ids, (_, _, side_a, side_b) = encoded(texts, folder), vocabularies(folder)
+    ids, (*_, side_a, side_b) = encoded(texts, folder), vocabularies(folder)
     n_a, n_b = (np.array([len(p[k]) for p in ids], dtype=np.int64) for k in (0, 1))
     a, b = _flat([p[0] for p in ids], n_a.sum()), _flat([p[1] for p in ids], n_b.sum())
     ends_a, ends_b = np.cumsum(side_a.sizes[a]), np.cumsum(side_b.sizes[b])

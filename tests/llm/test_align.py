@@ -4,6 +4,7 @@ import hashlib
 import random
 from collections import Counter
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -115,3 +116,18 @@ def test_merge_is_the_two_pointer_merge():
             i, j = i + (a[i] <= b[j]), j + (b[j] <= a[i])
         at_a, at_b, both, _ = align.merged(a, b)
         assert list(zip(at_a.tolist(), at_b.tolist(), both.tolist())) == want
+
+
+def test_both_readers_of_a_agree():
+    """Where the ranks read a text, they give the ids of A's own file."""
+    a, *_ = align.vocabularies(align.FOLDER)
+    rng = random.Random(12)
+    alphabet = [chr(c) for c in (9, 10, 13, *range(32, 127), *range(0xC0, 0x17F))] + [" ", " ", "\n", "'s", "'ll", "  ", "12", "the ", "<|endoftext|>", "word", "ß"]
+    texts = ["".join(rng.choices(alphabet, k=rng.randint(1, 60))) for _ in range(20_000)] + ["a" * 5000, " " * 3000 + "x", "\n" * 999]
+    clear = [t for t in texts if align.CLEAR.fullmatch(t)]
+    assert len(clear) > 5000
+    want = [e.ids for e in a.encode_batch([" " + t for t in clear], add_special_tokens=False)]
+    assert align.ids_of_a(clear, align.FOLDER) == want
+    docs = duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet'").fetchall()
+    texts = [t for (t,) in docs if align.CLEAR.fullmatch(t)]
+    assert len(texts) > 500 and align.ids_of_a(texts, align.FOLDER) == [e.ids for e in a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
