@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from glossa.functions.text import words
 from glossa.operators.ranks import ranked_by
+from glossa.sources import store
 
 
 def tokens(df: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -25,10 +26,23 @@ def bigrams(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(w.alias("w")).select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("a"), F.get("w", i + 1).alias("b")))).alias("p")).select("p.a", "p.b")
 
 
+def countable(token: Column) -> Column:
+    """Tokens that start with punctuation or a digit are neither counted nor joined."""
+    return (token != "") & ~token.rlike(r"^[\p{P}\p{Nd}]")
+
+
+def counted_tokens(rows: DataFrame, tokens_col: str = "tokens") -> tuple[DataFrame, DataFrame]:
+    """Neighbouring countable tokens (a, b, n) and countable tokens (word, freq) of rows of tokens, each counted by itself from the map tasks on."""
+    w = F.col(tokens_col)
+    pairs = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("a"), F.get(w, i + 1).alias("b"))), lambda p: p["b"].isNotNull() & countable(p["a"]) & countable(p["b"]))
+    each = rows.select(F.explode(pairs).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
+    return each, rows.select(F.explode(F.filter(w, countable)).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+
+
 def counted_bigrams(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b, n), and words (word, freq) as sums of the pairs that they start: texts are cut into words once."""
-    each = bigrams(df, text).groupBy("a", "b").agg(F.count("*").alias("n"))
-    return each.where("b IS NOT NULL"), each.groupBy(F.col("a").alias("word")).agg(F.sum("n").alias("freq"))
+    """Pairs of neighbouring words (a, b, n), and words (word, freq)."""
+    pairs = bigrams(df, text).where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return pairs, frequencies(df, text)
 
 
 def _with_frequencies(pairs: DataFrame, single: DataFrame) -> DataFrame:
@@ -36,13 +50,23 @@ def _with_frequencies(pairs: DataFrame, single: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b")
 
 
-def bigram_scores(df: DataFrame, least: int, score: float, text: str = "text") -> DataFrame:
-    """a, b, n, mi of pairs found at least ``least`` times, with mutual information above ``score``."""
-    pairs, single = counted_bigrams(df, text)
+def scores(pairs: DataFrame, single: DataFrame, least: int, score: float, blocked=None) -> DataFrame:
+    """a, b, n, mi of counted pairs found at least ``least`` times, with mutual information above ``score``, but for blocked ones.
+
+    Rare pairs are dropped before frequencies are looked up. ``blocked(a, b)`` says which pairs must not become one token.
+    """
     total = F.broadcast(pairs.agg(F.sum("n").alias("total")))  # one row
-    scored = _with_frequencies(pairs.where(F.col("n") >= least), single).join(total)
+    some = pairs.where(F.col("n") >= least)
+    if blocked is not None:
+        some = some.where(~blocked(F.col("a"), F.col("b")))
+    met = _with_frequencies(some, single).join(total)
     mi = F.log(F.col("total") / (F.col("fa").cast("double") * F.col("fb")) * F.col("n"))
-    return scored.withColumn("mi", F.round(mi, 6)).where(mi > score).select("a", "b", "n", "mi")
+    return met.withColumn("mi", F.round(mi, 6)).where(mi > score).select("a", "b", "n", "mi")
+
+
+def bigram_scores(df: DataFrame, least: int, score: float, text: str = "text") -> DataFrame:
+    """a, b, n, mi of pairs found at least ``least`` times, with mutual information above ``score``."""
+    return scores(*counted_bigrams(df, text), least, score)
 
 
 def phrases(df: DataFrame, least: int, score: float, text: str = "text") -> DataFrame:
@@ -55,18 +79,28 @@ def phrases(df: DataFrame, least: int, score: float, text: str = "text") -> Data
     return met.withColumn("npmi", F.round(npmi, 6)).where(npmi > score).select("a", "b", "n", "npmi")
 
 
-def merge_pass(df: DataFrame, merges: DataFrame, key: str, tokens_col: str = "tokens") -> DataFrame:
-    """Joins neighbouring tokens that are in merges (a, b), best score first where pairs overlap, of equal ones the first.
+def best_places(places: DataFrame, key: str) -> DataFrame:
+    """Of places (key, pos, mi) those taken when the best goes first, of equal ones the first, and none next to a taken one is taken.
 
-    Places are matched by an equi-join. Only places next to each other overlap, so each run of such places is settled by
-    itself: of a run the best place is taken, and what is left of it on either side again.
+    A place that beats both neighbours is taken. Down a slope from there every second place is, so a place is taken when the
+    runs of falling places that end in it, from the left and from the right, both have an even number of steps. So no rounds
+    are needed, however long a run of places is.
     """
+    line = Window.partitionBy(key).orderBy("pos")
+    falls = lambda step, beats: (step("pos").over(line) == F.col("pos") + (-1 if step is F.lag else 1)) & beats(step("mi").over(line), F.col("mi"))
+    marked = places.withColumns({
+        "__l": F.when(~F.coalesce(falls(F.lag, lambda x, y: x >= y), F.lit(False)), F.col("pos")), "__r": F.when(~F.coalesce(falls(F.lead, lambda x, y: x > y), F.lit(False)), F.col("pos")),
+    })
+    left = F.col("pos") - F.max("__l").over(line.rowsBetween(Window.unboundedPreceding, 0))
+    right = F.min("__r").over(line.rowsBetween(0, Window.unboundedFollowing)) - F.col("pos")
+    return marked.withColumn("__ok", (left % 2 == 0) & (right % 2 == 0)).where("__ok").select(*places.columns)
+
+
+def merge_pass(df: DataFrame, merges: DataFrame, key: str, tokens_col: str = "tokens") -> DataFrame:
+    """Joins neighbouring tokens that are in merges (a, b, mi), best score first where pairs overlap, of equal ones the first."""
     at = df.select(key, F.posexplode(F.arrays_zip(F.col(tokens_col).alias("a"), F.slice(tokens_col, 2, F.greatest(F.size(tokens_col) - 1, F.lit(0))).alias("b"))).alias("pos", "p"))
-    found = at.select(key, "pos", "p.a", "p.b").join(merges.select("a", "b", "mi"), ["a", "b"])
-    run = F.col("pos") - F.row_number().over(Window.partitionBy(key).orderBy("pos"))
-    places = found.withColumn("run", run).groupBy(key, "run").agg(F.array_sort(F.collect_list(F.struct((-F.col("mi")).alias("rank"), "pos"))).alias("places"))
-    chosen = F.aggregate("places", F.array().cast("array<int>"), lambda acc, x: F.when(F.exists(acc, lambda p: F.abs(p - x["pos"]) <= 1), acc).otherwise(F.concat(acc, F.array(x["pos"]))))
-    starts = places.select(key, F.explode(chosen).alias("pos")).groupBy(key).agg(F.array_sort(F.collect_list("pos")).alias("starts"))
+    found = at.select(key, "pos", "p.a", "p.b").where("b IS NOT NULL").join(merges.select("a", "b", "mi"), ["a", "b"]).select(key, "pos", "mi")
+    starts = best_places(found, key).groupBy(key).agg(F.array_sort(F.collect_list("pos")).alias("starts"))
     joined = df.join(starts, key, "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<int>")))
     # pieces between the places, in order: tokens as they are, then the joined pair
     cuts = F.transform("starts", lambda s, i: F.struct(F.coalesce(F.get("starts", i - 1) + 2, F.lit(0)).alias("lo"), s.alias("hi")))
@@ -76,6 +110,19 @@ def merge_pass(df: DataFrame, merges: DataFrame, key: str, tokens_col: str = "to
     return joined.withColumn(tokens_col, new).drop("starts")
 
 
+def merged_tokens(rows: DataFrame, key: str, passes: list[tuple[int, float]], blocked=None) -> DataFrame:
+    """rows (key, tokens) after passes of (least count, least score): in each, pairs are counted anew and joined best first.
+
+    Each pass is written down, as it is read by the next one's counts and merges.
+    """
+    spark = rows.sparkSession
+    for least, score in passes:
+        rows = store.saved(rows, store.new_folder(spark, "tokens"))
+        merges = store.saved(scores(*counted_tokens(rows), least, score, blocked), store.new_folder(spark, "merges"))
+        rows = merge_pass(rows, merges, key)
+    return rows
+
+
 def running(df: DataFrame, key: str, value: Column, name: str = "before", span: int = 4096, depth: int = 3) -> DataFrame:
     """df with the sum of a value over the rows of smaller keys; keys are distinct integers.
 

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from glossa.sources import store
+
 BLOCK = 8192
 
 
@@ -83,32 +85,60 @@ def inverse_rank(targets: DataFrame, sources: DataFrame, k: int) -> DataFrame:
     return near.withColumn("place", place - 1).where(F.col("place") < k)
 
 
-def _gains(pairs: DataFrame, kept: list[int]) -> dict[int, float]:
-    """For each kept dimension the gap between the mean cosines of good and bad pairs without it; one row a dimension and side comes back."""
+def _products(pairs: DataFrame) -> DataFrame:
+    """good, ab, aa, bb: products by dimension of each pair (a, b, good), saved; sums over any dimensions follow from them."""
     a, b = F.col("a").cast("array<double>"), F.col("b").cast("array<double>")
-    pick = lambda c: F.transform(F.array(*map(F.lit, kept)), lambda i: F.get(c, i))
-    cut = pairs.select("good", pick(a).alias("x"), pick(b).alias("y"))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda s, v: s + v)
-    sums = cut.select("good", "x", "y", dot("x", "y").alias("d"), dot("x", "x").alias("n"), dot("y", "y").alias("m"))
-    without = F.transform(F.arrays_zip("x", "y"), lambda v: (F.col("d") - v["x"] * v["y"]) / F.sqrt((F.col("n") - v["x"] * v["x"]) * (F.col("m") - v["y"] * v["y"])))
-    means = sums.select("good", F.posexplode(without).alias("i", "v")).groupBy("i", "good").agg(F.avg("v").alias("mean")).collect()
-    by = {(r["i"], r["good"]): r["mean"] for r in means}
-    return {k: (by.get((i, True)) or 0.0) - (by.get((i, False)) or 0.0) for i, k in enumerate(kept)}
+    by = lambda x, y: F.zip_with(x, y, lambda p, q: p * q)
+    return store.saved(pairs.where("good IS NOT NULL").select(F.col("good").cast("boolean").alias("good"), by(a, b).alias("ab"), by(a, a).alias("aa"), by(b, b).alias("bb")), store.new_folder(pairs.sparkSession, "products"))
 
 
-def reduce_dimensions(pairs: DataFrame, size: int, rounds: int, restore_every: int = 3) -> list[int]:
+def _gaps(products: DataFrame, size: int, dropped: list[int]) -> np.ndarray:
+    """The gap between the mean cosines of good and bad pairs without each dimension, and last without the dropped ones alone.
+
+    One narrow pass: a task keeps two rows of sums, whatever number of pairs it reads. Pairs without a cosine don't count.
+    """
+    kept = np.array([i not in set(dropped) for i in range(size)])
+
+    def sums(batches):
+        total, count = np.zeros((2, size + 1)), np.zeros((2, size + 1))
+        for batch in batches:
+            good = batch.column(0).to_numpy(zero_copy_only=False)
+            ab, aa, bb = (np.asarray(batch.column(c).flatten()).reshape(len(good), size) * kept for c in (1, 2, 3))
+            less = lambda x: np.concatenate([x.sum(axis=1, keepdims=True) - x, x.sum(axis=1, keepdims=True)], axis=1)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cosines = less(ab) / np.sqrt(np.maximum(less(aa) * less(bb), 0.0))
+            fine = np.isfinite(cosines)
+            for side in (0, 1):
+                mine = good == bool(side)
+                total[side] += np.where(fine, cosines, 0.0)[mine].sum(axis=0)
+                count[side] += fine[mine].sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(list(total)), pa.array(list(count))], ["side", "total", "count"])
+
+    rows = products.mapInArrow(sums, "side long, total array<double>, count array<double>").select("side", F.posexplode(F.arrays_zip("total", "count")).alias("i", "x"))
+    means = np.zeros((2, size + 1))
+    for r in rows.groupBy("side", "i").agg(F.sum("x.total").alias("t"), F.sum("x.count").alias("n")).collect():  # two rows a dimension
+        means[r["side"], r["i"]] = r["t"] / r["n"] if r["n"] else 0.0
+    return means[1] - means[0]
+
+
+def reduce_dimensions(pairs: DataFrame, size: int, rounds: int, restore_every: int = 3, only_gains: bool = False) -> list[int]:
     """Dimensions dropped, in order, to widen the gap between good and bad pairs (a, b, good).
 
     Each round drops the dimension without which the gap is widest, of equal ones the first; each ``restore_every``-th round
-    the one dropped earliest comes back before that. A round is a job over the pairs, of which a mean for each dimension and
-    side comes back.
+    the one dropped earliest comes back before that. With ``only_gains`` it ends once no drop widens the gap. Products by dimension
+    are saved once, and a round is one narrow pass over them.
     """
-    dropped: list[int] = []
+    products, dropped = _products(pairs), []
     for n in range(1, rounds + 1):
         if n % restore_every == 0 and dropped:
             dropped.pop(0)
-        gains = _gains(pairs, [i for i in range(size) if i not in dropped])
-        dropped.append(min(gains, key=lambda i: (-round(gains[i], 12), i)))
+        if len(dropped) == size - 1:
+            break
+        gaps = _gaps(products, size, dropped)
+        best = min((i for i in range(size) if i not in dropped), key=lambda i: (-round(gaps[i], 12), i))
+        if only_gains and gaps[best] <= gaps[size]:
+            break
+        dropped.append(best)
     return dropped
 
 

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from glossa.functions import corpus as C
 from glossa.functions import target as T
+from glossa.operators import tokens as K
 from glossa.operators.ranks import ranked_by
 from glossa.plans.catalog import query
 from glossa.plans.dictionary import ALPHABET, E, SIMP, TRAD, entries
-from glossa.plans.text import W
+from glossa.plans.text import W, merge_sql
 from glossa.sources.tables import table
 
 # Characters that meet the merge rules, and some that don't.
@@ -33,6 +34,22 @@ def merge_blocked(spark, d):
     return table(spark, d, "events").select("event_id", a.alias("a"), b.alias("b")).withColumn("blocked", C.merge_blocked(F.col("a"), F.col("b")))
 
 
+# Characters for the letters and digits of names, those of the merge rules among them.
+MERGE_CHARS = "是的我们不天这个了地你好一本那家他中她人吗很有真只自国为目但部解就结口除"
+BLOCKED = f"(length(a) = 1 AND (a IN ('们', '的') OR {_limited('a')})) OR (length(b) = 1 AND (b IN ('不', '这', '那', '哪') OR {_limited('b')})) OR (list_contains({sql_list(C.DETERMINERS)}, left(a, 1)) AND list_contains({sql_list(C.CLASSIFIERS)}, left(b, 1)))"
+HANZI_MERGES, HANZI_LAST = merge_sql("t", [(3, -2.0), (3, -1.0), (2, 0.0)], BLOCKED)
+
+
+@query("merge_best_first", f"""WITH c AS (SELECT p_partkey AS k, string_split(translate(replace(p_name, ' ', '') || p_size, '{ALPHABET}', '{MERGE_CHARS}'), '') AS w FROM part), t AS (SELECT k, unnest(range(len(w))) AS pos, unnest(w) AS tok FROM c),
+{HANZI_MERGES} SELECT k AS p_partkey, string_agg(tok, ' ' ORDER BY pos) AS tokens FROM {HANZI_LAST} GROUP BY k""")
+def merge_best_first(spark, d):
+    """Characters of names joined in three passes, best pairs first, under the rules that keep some pairs apart."""
+    text = F.translate(F.concat(F.replace("p_name", F.lit(" "), F.lit("")), F.col("p_size").cast("string")), ALPHABET, MERGE_CHARS)
+    rows = table(spark, d, "part").select("p_partkey", F.filter(F.split(text, ""), lambda c: c != "").alias("tokens"))
+    merged = K.merged_tokens(rows, "p_partkey", [(3, -2.0), (3, -1.0), (2, 0.0)], C.merge_blocked)
+    return merged.select("p_partkey", F.array_join("tokens", " ").alias("tokens"))
+
+
 @query("bad_stems", "WITH t AS (SELECT o_orderkey, o_orderkey % 9 AS n, o_orderkey // 9 % 5 AS bad FROM orders) SELECT o_orderkey, n = 0 OR bad >= 3 OR (n <= 3 AND bad > 0) OR (n > 3 AND bad * 3 >= n) AS dropped FROM t")
 def bad_stems(spark, d):
     n, bad = F.col("o_orderkey") % 9, F.expr("(o_orderkey div 9) % 5")
@@ -69,16 +86,33 @@ def cleansed_lines(spark, d):
     return parts.select("p_partkey", "cleansed", (F.col("cleansed") != F.col("line")).alias("changed"))
 
 
-@query("entry_lines", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN NULL ELSE 'X Y [z1] /' || replace(p_brand || '/a', '/', chr(92)) || '/' || p_type || '/' END AS line FROM part")
+@query("entry_lines", """WITH h AS (SELECT doc_id, text, CASE doc_id % 4 WHEN 0 THEN 'X' || doc_id || ' [z' || doc_id % 6 || ']' WHEN 1 THEN 'X' || lang || ' ' || source || ' [z' || doc_id || ' y]' WHEN 2 THEN lang || ' ' || source || ' []' ELSE lang || ' ' || lang || ' [' || source || ']' END AS head FROM documents)
+SELECT doc_id, CASE WHEN doc_id % 4 IN (1, 3) THEN head || ' /' || array_to_string(list_filter(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), '/', chr(92)), chr(10)), lambda x: x <> ''), '/') || '/' END AS line FROM h""")
 def entry_lines(spark, d):
-    """Entry lines from a headword and senses given a line each; a headword out of form gives none."""
-    head = F.when(F.col("p_size") % 4 == 0, "X [z1]").otherwise("X Y [z1]")
-    return table(spark, d, "part").select("p_partkey", C.entry_line(head, F.concat("p_brand", F.lit("/a\r\n"), "p_type")).alias("line"))
+    """Entry lines from headwords and texts with a sense on each line; a headword out of form gives none."""
+    n, k = F.col("doc_id"), F.col("doc_id") % 4
+    text = lambda *parts: F.concat(*(F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts))
+    head = F.when(k == 0, text("X", n, " [z", n % 6, "]")).when(k == 1, text("X", F.col("lang"), " ", F.col("source"), " [z", n, " y]")).when(k == 2, text(F.col("lang"), " ", F.col("source"), " []")).otherwise(text(F.col("lang"), " ", F.col("lang"), " [", F.col("source"), "]"))
+    return table(spark, d, "documents").select("doc_id", C.entry_line(head, F.col("text")).alias("line"))
 
 
-@query("measure_words", "SELECT p_partkey, unnest(CASE p_size % 3 WHEN 0 THEN ['個'] WHEN 1 THEN ['個', '本'] ELSE ['本'] END) AS trad, unnest(CASE p_size % 3 WHEN 0 THEN ['个'] WHEN 1 THEN ['个', '本'] ELSE ['本'] END) AS simp, unnest(CASE p_size % 3 WHEN 0 THEN ['ge4'] WHEN 1 THEN ['ge4', 'ben3'] ELSE ['ben3'] END) AS pinyin FROM part")
+CLASSIFIED = {"trad": "個本條張隻輛顆門頭臺", "simp": "个本条张只辆颗门头台", "pinyin": "ge4 ben3 tiao2 zhang1 zhi1 liang4 ke1 men2 tou2 tai2".split()}
+ITEMS = "i AS (SELECT p_partkey, unnest(range(p_partkey % 4 + 1)) AS k FROM part), j AS (SELECT p_partkey, k, (p_partkey * 3 + k * 7) % 10 + 1 AS nth, (p_partkey + k * p_size) % 4 AS form FROM i JOIN part USING (p_partkey))"
+MEASURES = f"{ITEMS}, m AS (SELECT p_partkey, substr('{CLASSIFIED['trad']}', nth, 1) AS trad, substr('{CLASSIFIED['simp']}', nth, 1) AS simp, form, {sql_list(CLASSIFIED['pinyin'])}[nth] AS pinyin FROM j WHERE form < 3)"
+
+
+@query("measure_words", f"WITH {MEASURES} SELECT p_partkey, trad, CASE WHEN form = 0 THEN simp ELSE trad END AS simp, CASE WHEN form = 2 THEN '' ELSE pinyin END AS pinyin FROM m")
 def measure_words(spark, d):
-    sense = F.when(F.col("p_size") % 3 == 0, "SZ:個|个[ge4]").when(F.col("p_size") % 3 == 1, "SZ:個|个[ge4],本[ben3]").otherwise("SZ:xx,本[ben3],q|")
+    """Measure words out of lists of one to four: in both forms, in one, without a reading, and pieces that are none."""
+    k = F.sequence(F.lit(0), (F.col("p_partkey") % 4).cast("int"))
+
+    def one(i):
+        at, form = ((F.col("p_partkey") * 3 + i * 7) % 10 + 1).cast("int"), F.pmod(F.col("p_partkey") + i * F.col("p_size"), F.lit(4))
+        trad, simp = (F.substring(F.lit(CLASSIFIED[c]), at, F.lit(1)) for c in ("trad", "simp"))
+        read = F.concat(F.lit("["), F.get(F.array(*map(F.lit, CLASSIFIED["pinyin"])), at - 1), F.lit("]"))
+        return F.when(form == 0, F.concat(trad, F.lit("|"), simp, read)).when(form == 1, F.concat(trad, read)).when(form == 2, F.concat(trad, F.lit("[]"))).otherwise(F.concat(trad, trad, read))
+
+    sense = F.concat(F.lit("SZ:"), F.array_join(F.transform(k, one), ","))
     return table(spark, d, "part").select("p_partkey", F.explode(C.measure_words(sense)).alias("m")).select("p_partkey", "m.*")
 
 
@@ -113,12 +147,12 @@ def head_checks(spark, d):
 
 
 @query("pruned_texts", rf"""SELECT conv_id, turn, CASE WHEN regexp_matches(text, '\p{{Nd}}') THEN '' ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\p{{P}}', '', 'g'), '\s+', ' ', 'g'), '^ ', ''), '^a ', ''), '^az ', '') END AS plain,
-url_encode(left(text, 30)) AS encoded, len({W}) AS n FROM conversations""")
+url_encode(text) AS encoded, len({W}) AS n FROM conversations""")
 def pruned_texts(spark, d):
     from glossa.functions.text import words
 
     t = table(spark, d, "conversations")
-    encoded = F.replace(F.url_encode(F.substring("text", 1, 30)), F.lit("+"), F.lit("%20"))
+    encoded = F.replace(F.url_encode("text"), F.lit("+"), F.lit("%20"))
     return t.select("conv_id", "turn", T.without_punctuation(F.col("text")).alias("plain"), encoded.alias("encoded"), F.size(words(F.col("text"))).cast("long").alias("n"))
 
 
@@ -141,11 +175,13 @@ def char_places(spark, d):
     return each.select("conv_id", "turn", F.size("p").cast("long").alias("n"), F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x).alias("places"))
 
 
-@query("erhua", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'war yi' ELSE 'wa yi' END AS shown, CASE WHEN p_size % 2 = 0 THEN '0-1,2-2' ELSE '0-0,1-1' END AS places FROM part")
+@query("erhua", """WITH l AS (SELECT p_partkey, lower(replace(p_type || p_name, ' ', '')) AS l FROM part), x AS (SELECT p_partkey, unnest(string_split(l, '')) AS c, unnest(range(length(l))) AS i FROM l), y AS (SELECT *, c = 'r' AND (p_partkey + i) % 5 = 0 AND i > 0 AS joined FROM x),
+g AS (SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY p_partkey ORDER BY i) AS g FROM y), r AS (SELECT p_partkey, g, string_agg(c, '' ORDER BY i) AS text, min(i) AS a, max(i) AS b FROM g GROUP BY p_partkey, g)
+SELECT p_partkey, string_agg(text, ' ' ORDER BY g) AS shown, string_agg(a || '-' || b, ',' ORDER BY g) AS places FROM r GROUP BY p_partkey""")
 def erhua(spark, d):
-    """A neutral r is shown with the syllable before it; places map the run as given to the run as shown."""
-    s = lambda t, n: F.struct(F.lit(t).alias("text"), F.lit(n).alias("tone"))
-    run = F.when(F.col("p_size") % 2 == 0, F.array(s("wa", 3), s("r", 0), s("yi", 1))).otherwise(F.array(s("wa", 3), s("yi", 1)))
+    """A neutral r is shown with the syllable before it; places map the run as given to the run as shown. Letters of names stand for syllables, their tones go round."""
+    letters = F.filter(F.split(F.lower(F.replace(F.concat("p_type", "p_name"), F.lit(" "), F.lit(""))), ""), lambda c: c != "")
+    run = F.transform(letters, lambda c, i: F.struct(c.alias("text"), ((F.col("p_partkey") + i) % 5).cast("int").alias("tone")))
     return table(spark, d, "part").select("p_partkey", C.merged_erhua(run).alias("m")).select("p_partkey", F.array_join(F.transform("m", lambda x: x["text"]), " ").alias("shown"), F.array_join(F.transform("m", lambda x: F.concat_ws("-", x["from"].cast("string"), x["to"].cast("string"))), ",").alias("places"))
 
 
@@ -191,15 +227,18 @@ def sense_checks(spark, d):
     return each.select("entry_id", "sense_ix", F.contains("text", F.lit(",")).alias("has_comma"), F.concat("s.domain", "s.equiv", "s.note").alias("plain"))
 
 
-@query("repository_lines", "SELECT CASE p_size % 5 WHEN 0 THEN 'lengths of traditional and simplified differ' WHEN 1 THEN 'no slash at the end' WHEN 2 THEN 'header' ELSE 'kept' END AS outcome, count(*) AS n FROM part GROUP BY 1")
+@query("repository_lines", f"""WITH {E}, r AS (SELECT entry_id, l, CASE WHEN entry_id % 11 = 0 THEN left(simp, 1) ELSE simp END AS simp, CASE WHEN entry_id % 7 = 0 THEN 1 ELSE 0 END AS more, entry_id % 5 = 0 AS open, entry_id % 13 = 0 AS headless FROM e)
+SELECT CASE WHEN headless THEN 'header' WHEN length(simp) <> length(l) THEN 'lengths of traditional and simplified differ' WHEN more = 1 THEN 'characters and syllables don''t match' WHEN open THEN 'no slash at the end' ELSE 'kept' END AS outcome, count(*) AS n, CAST(sum(length(l)) AS BIGINT) AS characters FROM r GROUP BY 1""")
 def repository_lines(spark, d):
-    """How many dictionary lines are kept, and why the others aren't."""
+    """Dictionary lines of all entries, some of them spoilt in one way or more: how many are kept, and why the others aren't."""
     from glossa.sources.entries import parse_lines
 
-    k = F.col("p_size") % 5
-    line = F.when(k == 0, "一 一二 [yi1] /a/").when(k == 1, "一 一 [yi1] /a").when(k == 2, "nothing").otherwise("一 一 [yi1] /a/")
-    parsed = parse_lines(table(spark, d, "part").select(line.alias("text")))
-    return parsed.groupBy(F.coalesce("error", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"))
+    n = F.col("entry_id")
+    sylls = F.array_join(F.transform("pinyin", lambda s: F.concat(s["text"], (s["tone"] + 1).cast("string"))), " ")
+    simp = F.when(n % 11 == 0, F.substring("simp", 1, 1)).otherwise(F.col("simp"))
+    line = F.concat(F.when(n % 13 == 0, "").otherwise(F.concat("trad", F.lit(" "))), simp, F.lit(" ["), sylls, F.when(n % 7 == 0, " le5").otherwise(""), F.lit("] /"), F.array_join("senses", "\\"), F.when(n % 5 == 0, "").otherwise("/"))
+    parsed = parse_lines(entries(spark, d).select(F.length("simp").alias("size"), line.alias("text")))
+    return parsed.groupBy(F.coalesce("error", F.lit("kept")).alias("outcome")).agg(F.count("*").alias("n"), F.sum("size").cast("long").alias("characters"))
 
 
 @query("readable_characters", "SELECT hanzi, n FROM (SELECT p_brand AS hanzi, count(*) FILTER (WHERE p_size % 7 = 0) AS n FROM part GROUP BY p_brand) WHERE n > 0")
@@ -254,15 +293,16 @@ def kept_words(spark, d):
     return frequencies(table(spark, d, "documents")).where("freq >= 20").join(known, "word", "left_semi")
 
 
-@query("measure_word_counts", "WITH m AS (SELECT unnest(CASE p_size % 3 WHEN 0 THEN ['个'] WHEN 1 THEN ['个', '本'] ELSE ['本'] END) AS simp FROM part) SELECT simp, count(*) AS n FROM m GROUP BY simp")
+@query("measure_word_counts", f"WITH {MEASURES} SELECT CASE WHEN form = 0 THEN simp ELSE trad END AS simp, count(*) AS n FROM m GROUP BY 1")
 def measure_word_counts(spark, d):
     return measure_words(spark, d).groupBy("simp").agg(F.count("*").alias("n"))
 
 
-@query("entry_sense_counts", f"WITH {E} SELECT len(senses) AS n_senses, count(*) AS n FROM e GROUP BY 1")
+@query("entry_sense_counts", r"SELECT n_senses, count(*) AS n FROM (SELECT len(list_filter(regexp_split_to_array(text, '[.!?;]+\s*'), lambda x: x <> '')) AS n_senses FROM conversations) GROUP BY n_senses")
 def entry_sense_counts(spark, d):
-    """How many entries have so many senses."""
-    return entries(spark, d).groupBy(F.size("senses").cast("long").alias("n_senses")).agg(F.count("*").alias("n"))
+    """How many entries have so many senses; turns stand for entries, their sentences for senses."""
+    senses = F.filter(F.split("text", r"[.!?;]+\s*"), lambda x: x != "")
+    return table(spark, d, "conversations").groupBy(F.size(senses).cast("long").alias("n_senses")).agg(F.count("*").alias("n"))
 
 
 @query("packed_prefixes", "SELECT p_partkey, (CAST(ascii(substr(p_name, 1, 1)) AS BIGINT) << 48) + (CAST(ascii(substr(p_name, 2, 1)) AS BIGINT) << 32) + (CAST(ascii(substr(p_name, 3, 1)) AS BIGINT) << 16) + ascii(substr(p_name, 4, 1)) AS packed FROM part")

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from glossa.functions import pinyin as Y
 from glossa.functions import target as T
 from glossa.operators import lookup as L
-from glossa.plans.catalog import query
+from glossa.plans.catalog import ORACLES, query
+from glossa.sources.store import new_folder, saved
 from glossa.sources.tables import table
 
 # Fixed values of the entries that are made: a character and a syllable for each letter and digit.
@@ -170,11 +171,19 @@ def annotate(spark, d):
     return L.annotated(entries(spark, d), LONG)
 
 
-@query("lookup_cascade", f"""WITH {TOK}, r AS (SELECT a.entry_id FROM m a WHERE a.norm = 'economy' OR a.first = 'economy' OR a.second = 'economy') SELECT DISTINCT 4 AS mode, entry_id FROM r""")
+CASCADE = {"1": WIDGET[:3] + " " + WIDGET[3:], "2": "wayi da4", "3": LONG, "4": "economy"}
+
+
+@query("lookup_cascade", f"SELECT 1 AS query, 1 AS mode, entry_id FROM ({ORACLES['hanzi_lookup']}) UNION ALL SELECT 2, 2, entry_id FROM ({ORACLES['pinyin_lookup']}) UNION ALL SELECT DISTINCT 3, 3, entry_id FROM ({ORACLES['annotate']}) UNION ALL SELECT 4, 4, entry_id FROM (WITH {TOK} SELECT DISTINCT entry_id FROM m WHERE norm = 'economy' OR first = 'economy' OR second = 'economy')")
 def lookup_cascade(spark, d):
-    """Characters, syllables, headwords inside, target words: the first that finds something. This query is found by its target word."""
-    known = entries(spark, d)
-    q = "economy"
-    by_hanzi = L.hanzi_lookup(known, L.hanzi_postings(known), q)
-    by_pinyin = L.pinyin_lookup(known, L.syllable_postings(known), Y.parse_query(q, _syllabary()))
-    return L.cascade(by_hanzi, by_pinyin, L.annotated(known, q), L.target_lookup(known, L.word_postings(known, STOPS), q, STOPS)).select("mode", "entry_id")
+    """Characters, syllables, headwords inside, target words: the first that finds something. Each of four queries is found in a mode of its own."""
+    known = saved(entries(spark, d), new_folder(spark, "entries"))
+    hanzi, sylls, posts = L.hanzi_postings(known), L.syllable_postings(known), L.word_postings(known, STOPS)
+    found = None
+    for name, q in CASCADE.items():
+        latin = q.isascii()
+        by_pinyin = L.pinyin_lookup(known, sylls, Y.parse_query(q, _syllabary())) if latin else known.limit(0)
+        inside = known.limit(0) if latin else L.annotated(known, q)
+        rows = L.cascade(L.hanzi_lookup(known, hanzi, q), by_pinyin, inside, L.target_lookup(known, posts, q, STOPS)).select(F.lit(int(name)).alias("query"), "mode", "entry_id").distinct()
+        found = rows if found is None else found.union(rows)
+    return found

@@ -47,15 +47,30 @@ def bigram_mi(spark, d):
     return K.bigram_scores(table(spark, d, "documents"), 3, 2.5)
 
 
-@query("trigram_merge_pass")
+def merge_sql(given: str, passes: list[tuple[int, float]], blocked: str = "false") -> tuple[str, str]:
+    """CTEs of merge passes over a table (k, pos, tok), and the last one's name."""
+    out, t = [], given
+    for i, (least, score) in enumerate(passes):
+        out.append(f"""n{i} AS (SELECT *, lead(tok) OVER (PARTITION BY k ORDER BY pos) AS nxt FROM {t}), u{i} AS (SELECT tok, count(*) AS f FROM {t} WHERE NOT regexp_matches(tok, '^[\\p{{P}}\\p{{Nd}}]') GROUP BY tok),
+b{i} AS (SELECT tok AS a, nxt AS b, count(*) AS n FROM n{i} WHERE nxt IS NOT NULL AND NOT regexp_matches(tok, '^[\\p{{P}}\\p{{Nd}}]') AND NOT regexp_matches(nxt, '^[\\p{{P}}\\p{{Nd}}]') GROUP BY 1, 2), z{i} AS (SELECT CAST(sum(n) AS DOUBLE) AS total FROM b{i}),
+m{i} AS (SELECT * FROM (SELECT a, b, ln(total / (CAST(x.f AS DOUBLE) * y.f) * n) AS mi FROM b{i} JOIN u{i} x ON x.tok = a JOIN u{i} y ON y.tok = b, z{i} WHERE n >= {least} AND NOT ({blocked})) WHERE mi > {score}),
+p{i} AS (SELECT k, pos, round(mi, 6) AS mi FROM n{i} JOIN m{i} ON tok = a AND nxt = b),
+q{i} AS (SELECT *, CASE WHEN lag(pos) OVER w = pos - 1 AND lag(mi) OVER w >= mi THEN NULL ELSE pos END AS l, CASE WHEN lead(pos) OVER w = pos + 1 AND lead(mi) OVER w > mi THEN NULL ELSE pos END AS r FROM p{i} WINDOW w AS (PARTITION BY k ORDER BY pos)),
+c{i} AS (SELECT k, pos FROM (SELECT *, pos - max(l) OVER (PARTITION BY k ORDER BY pos ROWS UNBOUNDED PRECEDING) AS dl, min(r) OVER (PARTITION BY k ORDER BY pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - pos AS dr FROM q{i}) WHERE dl % 2 = 0 AND dr % 2 = 0),
+t{i} AS (SELECT n.k, row_number() OVER (PARTITION BY n.k ORDER BY n.pos) AS pos, CASE WHEN c.pos IS NULL THEN tok ELSE tok || nxt END AS tok FROM n{i} n LEFT JOIN c{i} c ON c.k = n.k AND c.pos = n.pos LEFT JOIN c{i} d ON d.k = n.k AND d.pos = n.pos - 1 WHERE d.pos IS NULL)""")
+        t = f"t{i}"
+    return ",\n".join(out), t
+
+
+MERGES, LAST = merge_sql("t", [(3, 6.0), (5, 8.0)])
+
+
+@query("trigram_merge_pass", f"WITH t AS (SELECT doc_id AS k, unnest(range(len(w))) AS pos, unnest(w) AS tok FROM (SELECT doc_id, {W} AS w FROM documents)), {MERGES} SELECT tok AS token, count(*) AS freq FROM {LAST} GROUP BY tok")
 def trigram_merge_pass(spark, d):
-    """Two merge passes: counts of the most joined tokens."""
-    docs = table(spark, d, "documents")
-    merges = K.bigram_scores(docs, 3, 6.0)
-    merged = K.merge_pass(docs.select("doc_id", T.words(F.col("text")).alias("tokens")), merges, "doc_id")
-    again = merged.select("doc_id", F.array_join("tokens", " ").alias("text"))
-    second = K.bigram_scores(again, 5, 8.0)
-    return K.merge_pass(merged, second, "doc_id").select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
+    """Two merge passes: counts of the tokens that come out."""
+    rows = table(spark, d, "documents").select("doc_id", T.words(F.col("text")).alias("tokens"))
+    merged = K.merged_tokens(rows, "doc_id", [(3, 6.0), (5, 8.0)])
+    return merged.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("freq"))
 
 
 @query(
