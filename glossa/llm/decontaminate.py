@@ -8,10 +8,11 @@ near, and a look-up of the window's own value finds it. Each found pair of windo
 document; there, and SHIFT words to either side, the weighted Jaccard similarity of five-word shingles decides exactly. A
 shingle weighs as many units as its words have characters.
 
-A word that no item has stands in five shingles that no item has, but for the four words at either end of a window. At a
-similarity of s those weigh at most 1 / s - 1 times what is shared, so in a window without repeated shingles such words have
-at most (1 / s - 1) / 5 of the item's weight in characters. Windows and places with more are passed over before they are
-fingerprinted or compared.
+A word that no item has stands in five shingles that no item has, but for the four words at either end of a window. Those of
+its first place in a window are five different ones, since the word comes first at another place in each. At a similarity of s
+what is not shared weighs at most 1 / s - 1 times the item, so the distinct strange words of a window have at most
+(1 / s - 1) / 5 of the item's weight in characters, however often they or their phrases are repeated. Windows and places with
+more are passed over before they are fingerprinted or compared.
 
 The index finds every fingerprint within RADIUS. That a similar passage has one is a matter of chance, if a small one: at a
 similarity of 0.8 about one word in 45 differs, which turns 4 of 64 bits on average. Tests measure what is found.
@@ -138,11 +139,25 @@ def similarity(a: dict[tuple, int], b: dict[tuple, int]) -> float:
     return shared / total if total else 0.0
 
 
-def strange(h: np.ndarray, lengths: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """Running sums, from 0, of the characters of words that aren't known."""
+def strange(h: np.ndarray, lengths: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each word its characters if it isn't known, else 0, and how many words back it stood last; len(h) + 1 where it is new."""
     place = np.searchsorted(known, h)
     place[place == len(known)] = 0
-    return np.concatenate([[0], np.cumsum(np.where(known[place] == h, 0, lengths))])
+    order = np.argsort(h, kind="stable")
+    back = np.full(len(h), len(h) + 1)
+    again = np.flatnonzero(h[order[1:]] == h[order[:-1]]) + 1
+    back[order[again]] = order[again] - order[again - 1]
+    return np.where(known[place] == h, 0, lengths), back
+
+
+def firsts(weights: np.ndarray, back: np.ndarray, size: int) -> np.ndarray:
+    """Running sums, from 0, of the weights of words that no window of ``size`` words holds twice before their place."""
+    return np.concatenate([[0], np.cumsum(np.where(back >= size, weights, 0))])
+
+
+def weight_of(known: set[str], before: list[str], some: list[str]) -> int:
+    """Characters of the distinct words of ``some`` that aren't known and don't stand before it."""
+    return sum(map(len, set(some) - known - set(before)))
 
 
 def matches(docs: list[list[str]], items: Items):
@@ -157,13 +172,14 @@ def matches(docs: list[list[str]], items: Items):
         lengths = np.array([len(d) for d in docs[lo:hi]])
         starts = np.cumsum([0, *lengths])
         owner = np.repeat(np.arange(hi - lo), lengths)
-        sums, unknown = running(h, longest), strange(h, chars, items.vocabulary)
+        sums, (weights, back) = running(h, longest), strange(h, chars, items.vocabulary)
         found: set[tuple[int, int, int]] = set()
         for size, (prints, owners, first, filled, item, offset, limit) in items.sizes.items():
             f, at = np.empty(0, np.uint64), np.empty(0, np.int64)
             if len(h) >= size:
                 good = owner[: len(h) - size + 1] == owner[size - 1 :]
                 if size > 2 * edge:
+                    unknown = firsts(weights, back, size)
                     good &= unknown[size - edge : len(unknown) - edge] - unknown[edge : len(unknown) - size + edge] <= limit
                 at = np.flatnonzero(good)
                 f = np.packbits((sums[at + size] - sums[at]) > size // 2, axis=1).view(np.uint64).ravel()
@@ -190,13 +206,13 @@ def matches(docs: list[list[str]], items: Items):
             top = max(0, len(doc) - n)
             first_place, last_place = (max(0, min(start + shift, top)) for shift in (-SHIFT, SHIFT))
             # the words that the middles of all places to be tried have in common, then those of each
-            if sum(len(w) for w in doc[last_place + edge : min(first_place + n, len(doc)) - edge] if w not in known) > limit:
+            if weight_of(known, doc[first_place : last_place + edge], doc[last_place + edge : min(first_place + n, len(doc)) - edge]) > limit:
                 continue
             for s in range(first_place, last_place + 1):
                 if (d, k, s) in done:
                     continue
                 done.add((d, k, s))
-                if sum(len(w) for w in doc[s + edge : min(s + n, len(doc)) - edge] if w not in known) > limit:
+                if weight_of(known, doc[s : s + edge], doc[s + edge : min(s + n, len(doc)) - edge]) > limit:
                     continue
                 x = similarity(shingles(doc[s : s + n]), items.shingles[k])
                 if x >= SIMILARITY:

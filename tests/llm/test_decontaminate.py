@@ -109,3 +109,37 @@ def test_recall_at_the_threshold():
         assert got <= want | {(a, b) for a, b in got if a != b}
         tried, missed = tried + len(want), missed + len(want - got)
     assert tried > 120 and missed <= 0.01 * tried
+
+
+def test_repeated_phrases_lose_nothing(spark):
+    """Items of a phrase that is repeated, with one word of it replaced throughout: few distinct shingles change, at many places."""
+    rng = random.Random(17)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    items, docs = [], []
+    for k in range(16):
+        phrase, free = [word() for _ in range(10)], [word() for _ in range(100)]
+        times = rng.choice([2, 5, 20, 30])
+        changed = list(phrase)
+        changed[rng.randrange(10)] = word()
+        items.append((k, " ".join(free + phrase * times)))
+        around = [word() for _ in range(rng.randint(0, 30))]
+        docs.append((k, " ".join(around + free + changed * times + [word() for _ in range(rng.randint(0, 30))])))
+    want = brute(docs, items)
+    got = {(r["doc_id"], r["item_id"]) for r in d.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == want == d_screened(docs, items) and len(want) == 16
+
+
+def d_screened(docs, items):
+    """Pairs of which some place passes the screens and is similar: what the screens alone leave."""
+    out = set()
+    for k, text in docs:
+        words = d.words(text)
+        for i, item in items:
+            w = d.words(item)
+            s, edge = d.shingles(w), d.WIDTH - 1
+            limit = (1 / d.SIMILARITY - 1) / d.WIDTH * sum(s.values()) + 1e-6
+            for a in range(max(1, len(words) - len(w) + 1)):
+                window = words[a : a + len(w)]
+                if d.weight_of(set(w), window[:edge], window[edge : len(window) - edge]) <= limit and d.similarity(d.shingles(window), s) >= d.SIMILARITY:
+                    out.add((k, i))
+    return out
