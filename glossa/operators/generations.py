@@ -55,25 +55,31 @@ class Generations:
     def bucket_of(self, term: Column) -> Column:
         return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
 
-    def _write(self, rows: DataFrame, gen: int, most: int) -> list[tuple]:
-        """Writes live rows as one generation, of which no term has more than ``most``; its rows of the version."""
-        placed = rows.select(*(c for c in self.names if c != "gen"), F.lit(gen).cast("long").alias("gen"), self.bucket_of(F.col("term")).alias("bucket"))
-        part = F.pmod(F.xxhash64("key"), F.lit(-(-most // FILE_ROWS) or 1)).alias("part")
-        dealt = placed.withColumn("part", part).repartition("bucket", "part").sortWithinPartitions("bucket", "term", "key")
+    def _write(self, rows: DataFrame, gen: int, most: int, unpack=None) -> list[tuple]:
+        """Writes live rows as one generation, of which no term has more than ``most``; its rows of the version.
+
+        With ``unpack``, rows are (bucket, key, packed) with all that a key files in a bucket, and unpack makes posting rows of
+        them after they were dealt; so a key is shuffled once for each bucket and not for each term.
+        """
+        part = F.pmod(F.xxhash64("key"), F.lit(-(-most // FILE_ROWS) or 1))
+        bucket = self.bucket_of(F.col("term"))
+        # what rows are dealt by isn't shuffled with them
+        dealt = unpack(rows.repartition("bucket", part)) if unpack else rows.select(*(c for c in self.names if c != "gen")).repartition(bucket, part)
+        placed = dealt.select(*(c for c in self.names if c != "gen"), F.lit(gen).cast("long").alias("gen"), bucket.alias("bucket")).sortWithinPartitions("bucket", "term", "key")
         at = f"{self.folder}/gen={gen}"
-        dealt.drop("part").write.mode("overwrite").partitionBy("bucket").parquet(at)
+        placed.write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(at)
         written = self.spark.read.schema(f"{self.columns}, gen long, bucket int").parquet(at) if most else None
         counts = written.groupBy("bucket").agg(F.count("*").alias("n")).collect() if most else []  # a row for each bucket, from the footers
         return [(gen, "rows", r["bucket"], r["n"], f"{at}/bucket={r['bucket']}") for r in counts]
 
-    def add(self, rows: DataFrame, most: int, keys: DataFrame | None = None) -> int:
-        """Files rows as a new generation; ``keys`` (key) are taken out of older ones first.
+    def add(self, rows: DataFrame, most: int, keys: DataFrame | None = None, unpack=None) -> int:
+        """Files rows, or packed rows and how to unpack them, as a new generation; ``keys`` (key) are taken out of older ones first.
 
         ``most`` bounds the rows of one term, such as the number of texts; it sets how many files a bucket is cut into.
         """
         now = self.version()
         gen = max((r["gen"] for r in now), default=0) + 1
-        new = [tuple(r) for r in now] + (self._write(rows, gen, most) if most else [])
+        new = [tuple(r) for r in now] + (self._write(rows, gen, most, unpack) if most else [])
         if keys is not None:
             at = f"{self.folder}/gone={gen}"
             keys.select(F.col("key").cast(self.key_type).alias("key"), F.lit(gen).cast("long").alias("gone")).distinct().write.mode("overwrite").parquet(at)

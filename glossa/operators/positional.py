@@ -15,6 +15,8 @@ from glossa.operators.generations import Generations
 
 #: Term under which a text's number of words is filed.
 LENGTH = "\x00length"
+#: What stands between a term and its positions, and between terms, where they are packed.
+WITH, NEXT = "\x01", "\x02"
 #: Places of a term up to which the texts that hold it are broadcast: some 20 MB.
 FEW_PLACES = 1_000_000
 
@@ -45,14 +47,28 @@ class PositionalIndex:
         self.terms, self.least = terms, least
         self.table = Generations(spark, folder, f"term string, key {key_type}, positions array<int>", buckets)
 
-    def _rows(self, docs: DataFrame, key: str, text: str) -> DataFrame:
+    def _packed(self, docs: DataFrame, key: str, text: str) -> DataFrame:
+        """bucket, key, packed: a text's terms with their positions, as one text for each bucket that has some."""
         each = docs.select(F.col(key).alias("key"), self.terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
         size = F.array(F.struct(F.lit(LENGTH).alias("term"), F.array(F.size("terms")).alias("positions")))
-        return each.select("key", F.explode(F.concat(positions(F.col("terms"), self.least), size)).alias("p")).select("p.term", "key", "p.positions")
+        filed = F.concat(positions(F.col("terms"), self.least), size)
+        lines = F.sort_array(F.transform(filed, lambda p: F.struct(self.table.bucket_of(p["term"]).alias("b"), F.concat(p["term"], F.lit(WITH), F.array_join(p["positions"], ",")).alias("t"))))
+
+        def runs(s: Column) -> Column:
+            firsts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["b"] != x["b"]), i)), lambda i: i.isNotNull())
+            one = lambda f, at, j: F.struct(F.get(s, at)["b"].alias("bucket"), F.array_join(F.transform(F.slice(s, at + 1, F.coalesce(F.get(f, j + 1), F.size(s)) - at), lambda x: x["t"]), NEXT).alias("packed"))
+            return let(firsts, lambda f: F.transform(f, lambda at, j: one(f, at, j)))
+
+        return each.select("key", F.explode(let(lines, runs)).alias("p")).select("p.bucket", "key", "p.packed")
+
+    @staticmethod
+    def _unpacked(rows: DataFrame) -> DataFrame:
+        each = rows.select("key", F.explode(F.split("packed", NEXT)).alias("t"))
+        return each.select(F.substring_index("t", WITH, 1).alias("term"), "key", F.split(F.substring_index("t", WITH, -1), ",").cast("array<int>").alias("positions"))
 
     def add(self, docs: DataFrame, key: str, text: str, fresh: bool = False) -> None:
         """Files texts; keys that are filed already are replaced. With ``fresh``, no key is, so nothing has to be taken out."""
-        self.table.add(self._rows(docs, key, text), docs.count(), None if fresh else docs.select(F.col(key).alias("key")))
+        self.table.add(self._packed(docs, key, text), docs.count(), None if fresh else docs.select(F.col(key).alias("key")), self._unpacked)
 
     def remove(self, keys: DataFrame, key: str) -> None:
         self.table.remove(keys.select(F.col(key).alias("key")))

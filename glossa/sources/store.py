@@ -25,7 +25,7 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 def saved(df: DataFrame, folder: str) -> DataFrame:
     """The table as it was written to a folder, without its lineage."""
-    df.write.mode("overwrite").parquet(folder)
+    df.write.mode("overwrite").option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
