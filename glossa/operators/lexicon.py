@@ -65,17 +65,29 @@ def contained(texts: DataFrame, patterns: DataFrame, text: str, pattern: str, si
     keep = lambda df, c, name: store.saved(df.select(F.col(c).alias(name)).where(F.length(name) > 0).distinct(), store.new_folder(spark, name))
     longs, shorts = keep(texts, text, "__long"), keep(patterns, pattern, "__short")
     runs = lambda c, n: F.explode(grams(F.col(c), n))
-    exact = longs.select("__long", F.explode(F.flatten(F.array(*(grams(F.col("__long"), n) for n in range(1, size))))).alias("__short")).join(shorts, "__short")
+    exact = longs.select("__long", F.explode(F.flatten(F.array(*(grams(F.col("__long"), n) for n in range(1, size))))).alias("__short")).join(sent(shorts.where(F.length("__short") < size)), "__short")
     of_long = longs.select("__long", runs("__long", size).alias("g"))
     of_short = shorts.where(F.length("__short") >= size).select("__short", runs("__short", size).alias("g"))
-    n = of_long.groupBy("g").agg(F.count("*").alias("n"))
-    rated = of_short.join(n, "g", "left").groupBy("__short").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("best"))
-    signs = rated.where("best.n > 0").select("__short", F.col("best.g").alias("g"))
-    met = of_long.join(signs, "g").where(F.contains("__long", F.col("__short"))).select("__long", "__short")
+    n = store.saved(of_long.groupBy("g").agg(F.count("*").alias("n")), store.new_folder(spark, "grams"))
+    # a pattern with a run that no text has is gone here
+    rated = of_short.join(sent(n), "g", "left").groupBy("__short").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("best"))
+    signs = store.saved(rated.where("best.n > 0").select("__short", F.col("best.g").alias("g")), store.new_folder(spark, "signs"))
+    met = of_long.join(sent(signs), "g").where(F.contains("__long", F.col("__short"))).select("__long", "__short")
     out = met.unionByName(exact.select("__long", "__short"))
     return out.select(F.col("__long").alias(text), F.col("__short").alias(pattern))
 
 
+#: Rows and characters of a saved table up to which it is broadcast: some 60 MB.
+FEW_ROWS, FEW_CHARACTERS = 500_000, 10_000_000
+
+
+def sent(df: DataFrame) -> DataFrame:
+    """A saved table of texts and numbers, marked for a broadcast where it is small enough."""
+    texts = [F.length(f.name) for f in df.schema.fields if f.dataType.simpleString() == "string"]
+    rows, size = df.agg(F.count("*"), F.coalesce(F.sum(sum(texts, F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if rows <= FEW_ROWS and size <= FEW_CHARACTERS else df
+
+
 PART, LONGER = 1, 2
 
 
