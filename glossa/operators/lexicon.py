@@ -97,10 +97,10 @@ def scope(seeds: DataFrame, heads: DataFrame) -> DataFrame:
     A head belongs to the first seed that reaches it, and is a part before it is something longer. A head that is a seed itself
     is listed once more under an earlier seed that reaches it, but not under later ones.
     """
-    seeds = seeds.groupBy("seed").agg(F.min("number").alias("number"))
+    seeds = store.saved(seeds.groupBy("seed").agg(F.min("number").alias("number")), store.new_folder(seeds.sparkSession, "seeds"))
     inside = contained(seeds, heads, "seed", "head").select("seed", "head", F.lit(PART).alias("kind"))
     around = contained(heads, seeds, "head", "seed").select("seed", "head", F.lit(LONGER).alias("kind"))
-    met = inside.union(around).where("seed <> head").join(seeds, "seed")
+    met = inside.union(around).where("seed <> head").join(sent(seeds), "seed")
     first = met.groupBy("head").agg(F.min(F.struct("number", "kind")).alias("at"))
     own = seeds.select(F.col("seed").alias("head"), F.col("number").alias("own"))
     brought = first.join(own, "head", "left").where("own IS NULL OR at.number < own").select("at.number", "at.kind", "head")
