@@ -85,6 +85,8 @@ def mix(docs: DataFrame, weights: dict[str, int], block: int = 64, default: int
     before = Window.partitionBy("source").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("source", "b", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     totals = {r["source"]: r["n"] for r in sizes.groupBy("source").agg(F.sum("n").alias("n")).limit(MAX_PERIOD + 1).collect()}
+    if len(totals) > MAX_PERIOD:
+        raise ValueError(f"more than {MAX_PERIOD} sources: none is left out in silence")
     sources = sorted(totals, key=lambda s: (s is None, s or ""))
     share = [weights.get(s, default) for s in sources]
     if min(share) <= 0:
