@@ -47,7 +47,7 @@ def morphemes(analysis: Column) -> Column:
     parts = F.filter(F.split(analysis, " "), lambda p: p != "")
     after = lambda p: F.substring(p, F.instr(p, F.lit(":")) + 1, F.length(p))
     tagged = lambda p: F.startswith(after(p), F.lit("["))
-    tag = lambda p: F.substring_index(F.regexp_replace(after(p), r"^\[|\]$", ""), "`", -1)
+    tag = lambda p: F.substring_index(F.substring_index(F.rtrim(after(p), F.lit("]")), "[", -1), "`", -1)
     side = lambda p, letter: F.when(tagged(p), F.concat(F.lit("\x01"), tag(p), F.lit("\x02"))).otherwise(letter)
     line = lambda letter: F.split(F.array_join(F.transform(parts, lambda p: side(p, letter(p))), ""), "\x02")
     both = F.zip_with(line(after), line(lambda p: F.substring_index(p, ":", 1)), lambda x, y: F.struct(F.substring_index(x, "\x01", 1).alias("lexical"), F.substring_index(y, "\x01", 1).alias("surface"), F.substring_index(x, "\x01", -1).alias("tag")))
