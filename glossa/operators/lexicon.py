@@ -23,14 +23,14 @@ def with_rank(df: DataFrame, ranks: DataFrame, key: str) -> DataFrame:
 
 
 def rare(pairs: DataFrame, value: str, most: int) -> DataFrame:
-    """Pairs whose value is used by at most ``most`` keys."""
+    """Pairs whose value is used by at most ``most`` keys. The values used by more are few, are written down, and are broadcast if they are."""
     common = pairs.groupBy(value).agg(F.count("*").alias("k")).where(F.col("k") > most).select(value)
-    return pairs.join(common, value, "left_anti")
+    return pairs.join(sent(store.saved(common, store.new_folder(pairs.sparkSession, "common"))), value, "left_anti")
 
 
 def first_ok(items: DataFrame, key: str, place: str, value: str, banned: DataFrame) -> DataFrame:
-    """Items of keys whose first item isn't banned, without their banned items."""
-    banned = banned.select(value).distinct()
+    """Items of keys whose first item isn't banned, without their banned items. Banned values are written down, and broadcast if they are few."""
+    banned = sent(store.saved(banned.select(value).distinct(), store.new_folder(items.sparkSession, "banned")))
     bad = items.where(F.col(place) == 0).join(banned, value, "left_semi").select(key).distinct()
     return items.join(bad, key, "left_anti").join(banned, value, "left_anti")
 

@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glossa.functions.text import words
+from glossa.operators.lexicon import sent
+from glossa.operators.positional import positions
+from glossa.sources import store
 
 
 def turn_pairs(turns: DataFrame) -> DataFrame:
@@ -25,17 +28,22 @@ def zipped(left: DataFrame, right: DataFrame, line: str = "line") -> DataFrame:
 def counted(pairs: DataFrame, least_src: int, least_trg: int, src: str = "src", trg: str = "trg") -> DataFrame:
     """src, trg, n, src_freq, trg_freq: token pairs of all segments, with multiplicity, of words frequent enough.
 
-    Both sides' words are counted by segment in one table, which gives the frequencies too. Rare words are dropped before a
-    segment's words are brought together, and pairs are made inside its row.
+    A segment's words are counted inside its row and written down. Frequent words get numbers; where they are few they are
+    broadcast, and only they are brought together again, so that pairs are made inside rows and counted as two numbers.
     """
-    side = lambda c, k: F.transform(words(F.col(c)), lambda w: F.struct(F.lit(k).alias("side"), w.alias("word")))
-    each = pairs.select("conv_id", "turn", F.explode(F.concat(side(src, 0), side(trg, 1))).alias("x")).select("conv_id", "turn", "x.side", "x.word")
-    each = each.groupBy("conv_id", "turn", "side", "word").agg(F.count("*").alias("times"))
-    freq = each.groupBy("side", "word").agg(F.sum("times").alias("freq")).where(F.col("freq") >= F.when(F.col("side") == 0, least_src).otherwise(least_trg))
-    own = lambda k: F.collect_list(F.when(F.col("side") == k, F.struct("word", "times", "freq")))
-    rows = each.join(freq, ["side", "word"]).groupBy("conv_id", "turn").agg(own(0).alias("s"), own(1).alias("t"))
-    met = rows.select(F.explode("s").alias("a"), "t").select("a", F.explode("t").alias("b"))
-    return met.groupBy(F.col("a.word").alias("src"), F.col("b.word").alias("trg")).agg(F.sum(F.col("a.times") * F.col("b.times")).alias("n"), F.first("a.freq").alias("src_freq"), F.first("b.freq").alias("trg_freq"))
+    spark = pairs.sparkSession
+    times = lambda c: F.transform(positions(words(F.coalesce(F.col(c), F.lit("")))), lambda p: F.struct(p["term"].alias("word"), F.size(p["positions"]).cast("long").alias("times")))
+    rows = store.saved(pairs.select(F.monotonically_increasing_id().alias("row"), times(src).alias("s"), times(trg).alias("t")), store.new_folder(spark, "segments"))
+    tag = lambda c, k: F.transform(c, lambda x: F.struct(F.lit(k).alias("side"), x["word"].alias("word"), x["times"].alias("times")))
+    each = rows.select("row", F.explode(F.concat(tag("s", 0), tag("t", 1))).alias("x")).select("row", "x.*")
+    often = each.groupBy("side", "word").agg(F.sum("times").alias("freq")).where(F.col("freq") >= F.when(F.col("side") == 0, least_src).otherwise(least_trg))
+    often = store.saved(often.withColumn("id", F.monotonically_increasing_id()), store.new_folder(spark, "often"))
+    own = lambda k: F.collect_list(F.when(F.col("side") == k, F.struct("id", "times")))
+    kept = each.join(sent(often.select("side", "word", "id")), ["side", "word"]).groupBy("row").agg(own(0).alias("s"), own(1).alias("t"))
+    met = kept.select(F.explode("s").alias("a"), "t").select("a", F.explode("t").alias("b"))
+    n = met.groupBy(F.col("a.id").alias("__a"), F.col("b.id").alias("__b")).agg(F.sum(F.col("a.times") * F.col("b.times")).alias("n"))
+    named = lambda name, key: often.select(F.col("id").alias(key), F.col("word").alias(name), F.col("freq").alias(f"{name}_freq"))
+    return n.join(named("src", "__a"), "__a").join(named("trg", "__b"), "__b").select("src", "trg", "n", "src_freq", "trg_freq")
 
 
 def _xlnx(x: Column) -> Column:
