@@ -63,7 +63,7 @@ class Hashes(dict):
 
 
 def word_hashes(tokens: list[str], known: Hashes | None = None) -> np.ndarray:
-    return np.array(list(map((Hashes() if known is None else known).__getitem__, tokens)), np.uint64)
+    return np.fromiter(map((Hashes() if known is None else known).__getitem__, tokens), np.uint64, len(tokens))
 
 
 def window_size(n: int) -> int:
@@ -168,8 +168,8 @@ def matches(docs: list[list[str]], items: Items):
     longest, edge = max(items.sizes), WIDTH - 1
     for lo, hi in _chunks(docs):
         tokens = [w for d in docs[lo:hi] for w in d]
-        h, chars = word_hashes(tokens, items.hashes), np.array(list(map(len, tokens)))
-        lengths = np.array([len(d) for d in docs[lo:hi]])
+        h, chars = word_hashes(tokens, items.hashes), np.fromiter(map(len, tokens), np.int64, len(tokens))
+        lengths = np.fromiter(map(len, docs[lo:hi]), np.int64, hi - lo)
         starts = np.cumsum([0, *lengths])
         owner = np.repeat(np.arange(hi - lo), lengths)
         sums, (weights, back) = running(h, longest), strange(h, chars, items.vocabulary)
