@@ -11,11 +11,10 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossa.functions.text import HANZI, has_hanzi, let, normal_token
+from glossa.functions.text import HANZI, NUMBER, has_hanzi, let, normal_token
 
-# Characters that part tokens, besides white space; what a number looks like.
+# Characters that part tokens, besides white space.
 SEPARATORS = ",;:.?!-/'\"()[]"
-NUMBER = r"^([0-9\-.:,^%]+|[0-9]+(th|nd|rd|st|s|m))$"
 
 _SEP = r"\s" + re.escape(SEPARATORS).replace('"', r"\x22").replace("'", r"\x27")
 _HAN = HANZI[1:-1]

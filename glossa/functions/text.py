@@ -23,6 +23,8 @@ def _folds() -> tuple[str, str]:
 ACCENTED, PLAIN = _folds()
 # Bands of the length filter: longest source, ratio of lengths from and to, largest share of punctuation.
 BANDS = ((5, 2.5, 7.0, 0.3), (20, 2.3, 5.0, 0.2), (40, 2.1, 4.0, 0.1))
+# Tokens that count as numbers.
+NUMBER = r"^([0-9\-.:,^%]+|[0-9]+(th|nd|rd|st|s|m))$"
 # The blocks of characters that count as hanzi.
 HANZI = r"[\x{3400}-\x{4DFF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]"
 
@@ -100,7 +102,7 @@ def merged_alnum(text: Column) -> Column:
 def normal_token(surface: Column) -> Column:
     """Key of a target token: without pipes, ß as ss, lower case; NNN for numbers, ZHO for Chinese."""
     key = F.lower(F.replace(F.replace(surface, F.lit("|"), F.lit("")), F.lit("ß"), F.lit("ss")))
-    number = surface.rlike(r"^([0-9\-.:,^%]+|[0-9]+(th|nd|rd|st|s|m))$")
+    number = surface.rlike(NUMBER)
     return F.when(number, "NNN").when(has_hanzi(surface), "ZHO").otherwise(key)
 
 

@@ -23,12 +23,16 @@ def side_by_side(first: DataFrame, second: DataFrame, near: DataFrame, head: str
     return both.join(best, head, "left").select(head, "first", "second", F.array_join(F.transform("near", lambda x: x["word"]), " ").alias("near"))
 
 
+# The two kinds of lines of a translation log.
+SENTENCE, HYPOTHESIS = r"^[^\]]+\] SENT[^:]+:(.+)$", r"^[^\]]+\] \[([^\]]+)\] (.+)$"
+
+
 def hypotheses(log: DataFrame) -> DataFrame:
     """sentence (number), source, place, score, text of a translation log (line, text) of SENT lines and scored lines after each.
 
     Texts lose joiners, punctuation and a leading article; those with digits, empty ones and repeats in a sentence go.
     """
-    kinds = log.select("line", F.regexp_extract("text", r"^[^\]]+\] SENT[^:]+:(.+)$", 1).alias("source"), F.regexp_extract("text", r"^[^\]]+\] \[([^\]]+)\] (.+)$", 1).alias("score"), F.regexp_extract("text", r"^[^\]]+\] \[([^\]]+)\] (.+)$", 2).alias("raw"))
+    kinds = log.select("line", F.regexp_extract("text", SENTENCE, 1).alias("source"), F.regexp_extract("text", HYPOTHESIS, 1).alias("score"), F.regexp_extract("text", HYPOTHESIS, 2).alias("raw"))
     grouped = running(kinds, "line", F.col("source") != "", "before")
     heads = grouped.where("source <> ''").select((F.col("before") + 1).alias("sentence"), F.regexp_replace("source", r"[ \t]", "").alias("source"))
     clean = without_punctuation(F.trim(F.replace("raw", F.lit("￭ "), F.lit(""))))
