@@ -6,7 +6,7 @@ at least ``min_docs`` documents of its host is boilerplate. That is a number and
 doesn't grow with the host; a host of fewer documents has no boilerplate. A document is rejected when base rules fail or
 when, without its boilerplate, it has under ``min_words`` words or under ``min_left`` of its words.
 
-Defined cases: a null text is empty and is rejected for want of words; a null host is a host of its own; equal rows give
+Defined cases: a null text is empty and is rejected for want of words; a null host and an empty one are one host; equal rows give
 equal results; an empty table gives no rows; a text of any length is read whole. Columns beside those named here pass
 through ``clean`` untouched, and working columns are named so as not to clash with them.
 """
