@@ -20,7 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glossa.llm.common import Scratch, quoted
+from glossa.llm.common import Scratch, quoted, unused
 
 #: Buckets of an index; a bucket of an index of 10^11 texts in 65,536 buckets holds 60 MB. Fixed once an index exists.
 BUCKETS = 64
@@ -122,9 +122,10 @@ def keep_one(docs: DataFrame, index: DigestIndex, ident: str = "doc_id", text: s
     scratch = Scratch(docs.sparkSession)
     saved = scratch.save(index.digests(docs, ident, text), "digests")
     batch = index.add(saved)
-    fresh = index.table().where(F.col("batch") == batch).select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__id"))
+    digest, keep = unused(docs, "digest", "keep")
+    fresh = index.table().where(F.col("batch") == batch).select(F.col("digest").alias(digest), F.col("keep_id").alias(keep))
     key = digest_of(F.col(quoted(text)), index.normal)
-    met = docs.join(fresh, (key == F.col("__digest")) & F.col(quoted(ident)).cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    met = docs.join(fresh, (key == F.col(digest)) & F.col(quoted(ident)).cast("long").eqNullSafe(F.col(keep)), "left_semi")
     # rows that repeat both id and text pass together
     repeated = saved.groupBy("digest", "id").count().where("count > 1")
     return met if repeated.isEmpty() else met.dropDuplicates([ident, text])

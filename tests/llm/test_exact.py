@@ -57,6 +57,8 @@ def test_index_outlives_its_session_and_takes_batches(spark, tmp_path):
     whole = again.compact()
     assert sorted(map(tuple, whole.table().select("keep_id").collect())) == [(2,), (3,), (7,), (8,)]
     assert exact.keep_one(second, whole).count() == 0
+    clash = spark.createDataFrame([(20, "new", 1, 2, 3), (21, "new", 4, 5, 6)], "doc_id long, text string, digest int, keep int, batch int")
+    assert [tuple(r) for r in exact.keep_one(clash, whole).collect()] == [(21, "new", 4, 5, 6)]
 
 
 def test_normalised_texts(spark, tmp_path):
