@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from glossa.functions.text import words
 from glossa.operators.lexicon import sent
-from glossa.operators.positional import positions
 from glossa.sources import store
 
 
@@ -28,14 +27,15 @@ def zipped(left: DataFrame, right: DataFrame, line: str = "line") -> DataFrame:
 def counted(pairs: DataFrame, least_src: int, least_trg: int, src: str = "src", trg: str = "trg") -> DataFrame:
     """src, trg, n, src_freq, trg_freq: token pairs of all segments, with multiplicity, of words frequent enough.
 
-    A segment's words are counted inside its row and written down. Frequent words get numbers; where they are few they are
-    broadcast, and only they are brought together again, so that pairs are made inside rows and counted as two numbers.
+    Words are counted by segment and written down once. Frequent words get numbers; where they are few they are broadcast, and
+    only they are brought together again, so that pairs are made inside rows and counted as two numbers.
     """
     spark = pairs.sparkSession
-    times = lambda c: F.transform(positions(words(F.coalesce(F.col(c), F.lit("")))), lambda p: F.struct(p["term"].alias("word"), F.size(p["positions"]).cast("long").alias("times")))
-    rows = store.saved(pairs.select(F.monotonically_increasing_id().alias("row"), times(src).alias("s"), times(trg).alias("t")), store.new_folder(spark, "segments"))
-    tag = lambda c, k: F.transform(c, lambda x: F.struct(F.lit(k).alias("side"), x["word"].alias("word"), x["times"].alias("times")))
-    each = rows.select("row", F.explode(F.concat(tag("s", 0), tag("t", 1))).alias("x")).select("row", "x.*")
+    side = lambda c, k: F.transform(words(F.coalesce(F.col(c), F.lit(""))), lambda w: F.struct(F.lit(k).alias("side"), w.alias("word")))
+    # numbered before words become rows
+    numbered = pairs.select(F.monotonically_increasing_id().alias("row"), F.concat(side(src, 0), side(trg, 1)).alias("w"))
+    each = numbered.select("row", F.explode("w").alias("x")).select("row", "x.*")
+    each = store.saved(each.groupBy("row", "side", "word").agg(F.count("*").alias("times")), store.new_folder(spark, "segments"))
     often = each.groupBy("side", "word").agg(F.sum("times").alias("freq")).where(F.col("freq") >= F.when(F.col("side") == 0, least_src).otherwise(least_trg))
     often = store.saved(often.withColumn("id", F.monotonically_increasing_id()), store.new_folder(spark, "often"))
     own = lambda k: F.collect_list(F.when(F.col("side") == k, F.struct("id", "times")))
