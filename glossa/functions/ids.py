@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from math import prod
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 LETTERS, DIGITS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 #: Kinds of the code's places, first to last: letters or digits.
 PLACES = (LETTERS, DIGITS, DIGITS, LETTERS, LETTERS, DIGITS, LETTERS)
+#: Different codes; from this number on they come again.
+CODES = prod(map(len, PLACES))
 
 
 def code_of(number: Column) -> Column:
@@ -16,13 +20,18 @@ def code_of(number: Column) -> Column:
     for alphabet in reversed(PLACES):
         n = len(alphabet)
         parts.append(F.substring(F.lit(alphabet), (F.pmod(rest, F.lit(n)) + 1).cast("int"), F.lit(1)))
-        rest = F.floor(rest / n).cast("long")  # exact: codes stay below 2^53
+        rest = F.floor(rest / n).cast("long")  # exact: numbers stay below 2^53
     return F.concat(*reversed(parts))
 
 
-def number_of(code: Column) -> Column:
-    """The integer of a code."""
-    total = F.lit(0).cast("long")
+def turn_of(number: Column) -> Column:
+    """How often codes have all been used before a number's; 0 for the first CODES numbers."""
+    return F.floor(number.cast("long") / CODES).cast("long")
+
+
+def number_of(code: Column, turn: Column | None = None) -> Column:
+    """The integer of a code. A code names one of CODES integers; larger ones need their turn besides."""
+    total = F.lit(0).cast("long") if turn is None else turn.cast("long")
     for i, alphabet in enumerate(PLACES):
         total = total * len(alphabet) + F.instr(F.lit(alphabet), F.substring(code, i + 1, 1)) - 1
     return total.cast("long")

@@ -2,11 +2,13 @@
 
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from glossa.functions import corpus, target
+from glossa.functions import corpus, ids, target
 from glossa.operators import aligned, edits, lookup, tokens, vectors, wordlists
+from glossa.plans import registry
 from glossa.sources import entries, files
 
 
@@ -167,3 +169,20 @@ def test_lone_stop_words_stay_dark(spark):
     seg = spark.createDataFrame([(1, "甲乙", "az alma a", [{"a": 0, "b": 1}, {"a": 1, "b": 1}], [{"a": 0, "b": 2}, {"a": 3, "b": 4}, {"a": 8, "b": 1}], [{"ix1": 0, "ix2": 0, "score": 0.1}, {"ix1": 0, "ix2": 2, "score": 0.2}, {"ix1": 1, "ix2": 2, "score": 0.3}])], "segment_id long, src string, trg string, src_map array<struct<a:int,b:int>>, trg_map array<struct<a:int,b:int>>, align array<struct<ix1:int,ix2:int,score:double>>")
     assert aligned.lit_tokens(seg, "甲").count() == 0
     assert sorted((r["ix"], r["score"]) for r in aligned.lit_tokens(seg, "甲乙", prune=False).collect()) == [(0, 0.1), (2, 0.3)]
+
+
+def test_codes_that_come_again_have_their_turn(spark):
+    numbers = [0, 51, ids.CODES - 1, ids.CODES, ids.CODES + 7, 9_000_000 * 7919 + 1]
+    n = F.col("n")
+    df = spark.createDataFrame([(x,) for x in numbers], "n long").select("n", ids.code_of(n).alias("code"), ids.turn_of(n).alias("turn"))
+    got = df.select("n", "code", ids.number_of(F.col("code"), F.col("turn")).alias("back"), ids.number_of(F.col("code")).alias("first")).collect()
+    assert [r["back"] for r in got] == [r["n"] for r in got] and [r["first"] for r in got] == [r["n"] % ids.CODES for r in got]
+    assert got[3]["code"] == got[0]["code"] == "a00aa0a"
+
+
+def test_id_codec_of_large_keys_gives_its_sql(spark, tmp_path):
+    keys = [1, 923_301, 923_302, 36_000_000]
+    spark.createDataFrame([(k,) for k in keys], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    sql = registry.oracle_sql()["id_codec"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got = registry.queries()["id_codec"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted(duckdb.sql(sql).fetchall())
