@@ -63,6 +63,33 @@ def test_vector_matches_equal_brute_force(spark, monkeypatch):
     assert vectors.matches(df.limit(0), df, k=3).count() == 0
 
 
+def test_vector_search_holds_a_bounded_number_of_similarities():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(10_000, 8))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(list(v))], ["id", "v"])
+    ids, units = np.arange(4000), v[:4000] / np.linalg.norm(v[:4000], axis=1, keepdims=True)
+    tracemalloc.start()
+    found = sum(b.num_rows for b in vectors._search(ids, units, [batch], 3, None))
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20  # all at once are 320 MB
+    tracemalloc.stop()
+    assert 3 * 4000 <= found <= 2 * 3 * 4000
+
+
+def test_equal_vectors_tie_wherever_they_stand(spark):
+    v = [[float(x) for x in row] for row in ([0.1, 0.7, 0.3, 0.9, 0.2], [0.3, 0.3, 0.8, 0.1, 0.6], [0.5, 0.2, 0.4, 0.4, 0.9])]
+    df = spark.createDataFrame([(i, v[i % 3]) for i in range(301)], "id long, v array<float>").repartition(3)
+    got = {}
+    for r in vectors.matches(df.where("id < 30"), df, k=5).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["id"]
+    for q in range(30):
+        assert [got[q][k] for k in range(1, 6)] == [i for i in range(301) if i % 3 == q % 3 and i != q][:5]
+
+
 def test_entry_lines(spark):
     lines = ["# comment", "", "蘋果 苹果 [ping2 guo3] /(növ.) alma (gyümölcs (ehető))/SZ:個|个[ge4]/", "女 女 [nu:3] /nő/", "A咖 A咖 [A ka1] /menő/", "苹果 苹 [ping2 guo3] /x/", "苹果 苹果 [ping2] /x/", "bad line", "苹果 苹果 [ping2 guo3] /x", "𠀀 𠀀 [he1] /x/", "你 你 [ni5] /(csak (mély))/"]
     out = entries.parse_lines(spark.createDataFrame(list(enumerate(lines)), "n int, text string")).collect()
