@@ -38,10 +38,15 @@ def tokens(text: Column) -> Column:
     def whole(t):
         surf = t["surf"]
         number, hanzi = surf.rlike(NUMBER), has_hanzi(surf)
-        cut = F.when(~number & ~hanzi & F.contains(surf, F.lit("|")), F.length(surf) - F.length(F.substring_index(surf, "|", -1)) - 1)
+        place = F.when(~number & ~hanzi & F.contains(surf, F.lit("|")), F.length(surf) - F.length(F.substring_index(surf, "|", -1)) - 1)
+        # most tokens have no pipe, so that the patterns are not tried
+        return let(F.when(F.contains(surf, F.lit("|")), place), lambda cut: parted(t, cut))
+
+    def parted(t, cut):
+        surf = t["surf"]
         half = lambda x: F.when(cut.isNotNull(), normal_half(x))
         return F.struct(
-            surf.alias("surf"), normal_token(surf).alias("norm"), t["start"].alias("start"), F.when(hanzi, 0).otherwise(t["sub"]).alias("sub"), cut.alias("cut"),
+            surf.alias("surf"), normal_token(surf).alias("norm"), t["start"].alias("start"), F.when(has_hanzi(surf), 0).otherwise(t["sub"]).alias("sub"), cut.alias("cut"),
             half(F.substring(surf, F.lit(1), cut)).alias("first"), half(F.substring(surf, cut + 2, F.length(surf))).alias("second"),
         )
 

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.target import query_tokens, tokens
+from glossa.functions.text import let
 from glossa.operators.ranks import ranked_by
 
 LONGEST_HEAD = 16
@@ -136,13 +137,21 @@ def phrase_match(tokens_: Column, query: list[str], stops: list[str]) -> Column:
     """(start, end) in characters of the first run of tokens that fits the query; null without one.
 
     The first word may be the second half of a compound, the last word the first half; the highlight is cut there. A stop
-    word counts only where it is a whole sub-sense.
+    word counts only where it is a whole sub-sense. Tokens and place are computed once a row, wherever a filter on the
+    result is pushed to.
     """
-    at = F.get(F.filter(F.transform(tokens_, lambda t, i: i), lambda i: _fits(tokens_, i, query, stops)), F.lit(0))
-    first, last = F.get(tokens_, at), F.get(tokens_, at + len(query) - 1)
-    start = first["start"] + F.when(F.coalesce(first["second"] == query[0], F.lit(False)), first["cut"]).otherwise(0)
-    end = last["start"] + F.when(F.coalesce(last["first"] == query[-1], F.lit(False)), last["cut"]).otherwise(F.length(last["surf"]))
-    return F.when(at.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+    def match(ts):
+        first_of = F.get(F.filter(F.transform(ts, lambda t, i: i), lambda i: _fits(ts, i, query, stops)), F.lit(0))
+
+        def cut(at):
+            first, last = F.get(ts, at), F.get(ts, at + len(query) - 1)
+            start = first["start"] + F.when(F.coalesce(first["second"] == query[0], F.lit(False)), first["cut"]).otherwise(0)
+            end = last["start"] + F.when(F.coalesce(last["first"] == query[-1], F.lit(False)), last["cut"]).otherwise(F.length(last["surf"]))
+            return F.when(at.isNotNull(), F.struct(start.alias("start"), end.alias("end")))
+
+        return F.when(F.size(ts) >= len(query), let(first_of, cut))
+
+    return let(tokens_, match)
 
 
 def word_candidates(postings: DataFrame, words: list[str]) -> DataFrame:

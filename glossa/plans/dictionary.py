@@ -177,8 +177,9 @@ CASCADE = {"1": WIDGET[:3] + " " + WIDGET[3:], "2": "wayi da4", "3": LONG, "4":
 @query("lookup_cascade", f"SELECT 1 AS query, 1 AS mode, entry_id FROM ({ORACLES['hanzi_lookup']}) UNION ALL SELECT 2, 2, entry_id FROM ({ORACLES['pinyin_lookup']}) UNION ALL SELECT DISTINCT 3, 3, entry_id FROM ({ORACLES['annotate']}) UNION ALL SELECT 4, 4, entry_id FROM (WITH {TOK} SELECT DISTINCT entry_id FROM m WHERE norm = 'economy' OR first = 'economy' OR second = 'economy')")
 def lookup_cascade(spark, d):
     """Characters, syllables, headwords inside, target words: the first that finds something. Each of four queries is found in a mode of its own."""
-    known = saved(entries(spark, d), new_folder(spark, "entries"))
-    hanzi, sylls, posts = L.hanzi_postings(known), L.syllable_postings(known), L.word_postings(known, STOPS)
+    known = saved(entries(spark, d).repartition("entry_id"), new_folder(spark, "entries"))
+    # four queries read the indexes
+    hanzi, sylls, posts = (saved(p, new_folder(spark, "postings")) for p in (L.hanzi_postings(known), L.syllable_postings(known), L.word_postings(known, STOPS)))
     found = None
     for name, q in CASCADE.items():
         latin = q.isascii()

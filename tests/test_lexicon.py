@@ -186,3 +186,31 @@ def test_id_codec_of_large_keys_gives_its_sql(spark, tmp_path):
     sql = registry.oracle_sql()["id_codec"].replace("FROM orders", f"FROM '{tmp_path}/orders.parquet/*.parquet'")
     got = registry.queries()["id_codec"](spark, str(tmp_path)).collect()
     assert sorted(map(tuple, got)) == sorted(duckdb.sql(sql).fetchall())
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_filters_on_a_phrase_do_not_make_its_tokens_again(spark):
+    senses = spark.createDataFrame([("the cold; widget",), ("widget x",)], "s string").select(target.tokens(F.col("s")).alias("tokens"))
+    hit = senses.withColumn("at", lookup.phrase_match(F.col("tokens"), ["widget"], ["widget"])).where("at IS NOT NULL")
+    assert [tuple(r["at"]) for r in hit.collect()] == [(10, 16)]
+    assert _plan(hit).count("regexp_extract_all") <= 2
+
+
+def test_bpe_map_looks_for_a_token_once(spark):
+    df = spark.createDataFrame([("One two, two", "One two￭, two"), ("a b", "a c"), ("", "")], "s string, t string")
+    got = df.select(corpus.bpe_map(F.col("s"), F.col("t")).alias("m"))
+    assert [r["m"] and [tuple(x) for x in r["m"]] for r in got.collect()] == [[("One", 0, 3), ("two", 4, 3), ("two", 9, 3)], None, None]
+    one = df.select(corpus.bpe_map(F.replace("s", F.lit("x"), F.lit("y")), F.col("t")).alias("m"))
+    assert _plan(one).count("locate(") == 1 and _plan(one).count("replace(s") == 1
+
+
+def test_cascade_reads_postings_that_were_written(spark, monkeypatch):
+    from glossa.plans import dictionary
+
+    given, own = [], lookup.target_lookup
+    monkeypatch.setattr(lookup, "target_lookup", lambda known, posts, *rest: given.append(_plan(posts)) or own(known, posts, *rest))
+    dictionary.lookup_cascade(spark, "/root/testdata/sf0.001")
+    assert len(given) == 4 and not any("regexp_extract_all" in p for p in given)
