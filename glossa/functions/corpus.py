@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from glossa.functions.text import HANZI
+from glossa.functions.text import HANZI, let
 
 # Characters that can't end or start a merged word, what single characters may merge to, determiners and classifiers.
 NO_END, NO_START = "不这那哪", "们的"
@@ -166,12 +166,13 @@ def bpe_map(surface: Column, tokens: Column) -> Column:
     bare = F.transform(clean, lambda t: F.regexp_replace(F.replace(t, F.lit("￭"), F.lit("")), "[.,]$", ""))
     begin = F.struct(F.lit(1).alias("at"), F.lit(True).alias("ok"), F.array().cast("array<struct<token:string,start:int,length:int>>").alias("out"))
 
-    def step(acc, t):
-        at = _located(surface, t, acc["at"])
-        found = acc["ok"] & (t != "") & (at > 0)
-        return F.struct(F.when(found, at + F.length(t)).otherwise(acc["at"]).alias("at"), found.alias("ok"), F.when(found, F.concat(acc["out"], F.array(F.struct(t.alias("token"), (at - 1).alias("start"), F.length(t).alias("length"))))).otherwise(acc["out"]).alias("out"))
+    def found(acc, t, at):
+        ok = acc["ok"] & (t != "") & (at > 0)
+        return F.when(ok, F.struct((at + F.length(t)).alias("at"), F.lit(True).alias("ok"), F.concat(acc["out"], F.array(F.struct(t.alias("token"), (at - 1).alias("start"), F.length(t).alias("length")))).alias("out"))).otherwise(F.struct(acc["at"].alias("at"), F.lit(False).alias("ok"), acc["out"].alias("out")))
 
-    return F.aggregate(bare, begin, step, lambda acc: F.when(acc["ok"] & (F.size(acc["out"]) > 0), acc["out"]))
+    # text and place are bound, as they may be long expressions
+    step = lambda text: lambda acc, t: let(_located(text, t, acc["at"]), lambda at: found(acc, t, at))
+    return let(surface, lambda text: F.aggregate(bare, begin, step(text), lambda acc: F.when(acc["ok"] & (F.size(acc["out"]) > 0), acc["out"])))
 
 
 def _located(text: Column, part: Column, start: Column) -> Column:
