@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glossa.functions.text import has_hanzi
+from glossa.functions.text import has_hanzi, let
 
 # Short target words that aren't lit alone.
 LONE_STOPS = ["a", "az", "és"]
@@ -28,8 +28,10 @@ def lit_tokens(segments: DataFrame, query: str, prune: bool = True) -> DataFrame
     at = F.instr("src", F.lit(query)) - 1
     covers = lambda p, place: (p["a"] <= place) & (p["a"] + p["b"] > place)
     chosen = F.filter(F.transform("src_map", lambda p, i: F.when(covers(p, F.col("at")) | covers(p, F.col("at") + len(query) - 1), i)), lambda i: i.isNotNull())
-    near = segments.where(F.contains("src", F.lit(query))).withColumn("at", at).withColumn("chosen", chosen)
-    best = F.transform("trg_map", lambda p, i: F.struct(i.alias("ix"), p["a"].alias("start"), p["b"].alias("length"), F.array_max(F.transform(F.filter("align", lambda x: (x["ix2"] == i) & F.array_contains("chosen", x["ix1"])), lambda x: x["score"])).alias("score")))
+    near = segments.where(F.contains("src", F.lit(query))).withColumn("at", at)
+    # bound: the few links of the chosen tokens are found once a row, before each target token looks for its own
+    links = let(chosen, lambda c: F.filter("align", lambda x: F.array_contains(c, x["ix1"])))
+    best = let(links, lambda few: F.transform("trg_map", lambda p, i: F.struct(i.alias("ix"), p["a"].alias("start"), p["b"].alias("length"), F.array_max(F.transform(F.filter(few, lambda x: x["ix2"] == i), lambda x: x["score"])).alias("score"))))
     near = near.withColumn("best", best)
     lone = lambda x: F.get("best", x["ix"] - 1)["score"].isNull() & F.get("best", x["ix"] + 1)["score"].isNull() & (x["length"] <= 2) & F.lower(F.substring(F.col("trg"), x["start"] + 1, x["length"])).isin(*LONE_STOPS)
     lit = F.filter("best", lambda x: x["score"].isNotNull() & (~lone(x) if prune else F.lit(True)))
