@@ -189,17 +189,19 @@ def _verified(scratch: Scratch, docs: DataFrame, table: DataFrame, pairs: DataFr
     the tokens outside one of them. Prefixes are sets of 32-bit values: what that merges is granted to the pair.
     """
     other = [f"p{k}" for k in range(1, ORDERS)]
-    ends = scratch.save(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")).distinct(), f"{name}-ends")
-    some = scratch.save(hits(table.select("doc_id", "n", *BITS, *other), bit_map(ends, F.col("doc_id")), F.col("doc_id")), f"{name}-some")
     size = lambda n: f"least({n}, 2 * ({n} - ({percent} * {n} + 99) div 100 + 1))"
     outside = F.greatest(F.expr(f"nx - {size('nx')}"), F.expr(f"ny - {size('ny')}"))
     need = _least("nx", "ny", percent) - outside
-    side = lambda k, *columns: some.select(F.col("doc_id").alias(k), F.col("n").alias(f"n{k}"), *(F.col(c).alias(f"{k}_{c}") for c in columns))
-    mapped = pairs.join(side("x", *BITS), "x").join(side("y", *BITS), "y")
+    ends = lambda p: bit_map(p.select(F.col("x").alias("doc_id")).union(p.select("y")), F.col("doc_id"))
+    side = lambda known, k, *columns: hits(table.select("doc_id", *columns), known, F.col("doc_id")).select(F.col("doc_id").alias(k), *(F.col(c).alias(f"n{k}" if c == "n" else f"{k}_{c}") for c in columns))
+    some = ends(pairs)
+    mapped = pairs.join(side(some, "x", "n", *BITS), "x").join(side(some, "y", "n", *BITS), "y")
     only = lambda a, b: sum((F.bit_count(F.col(f"{a}_{c}").bitwiseAND(F.bitwise_not(f"{b}_{c}"))) for c in BITS), F.lit(0))
     mapped = mapped.where((only("x", "y") <= F.col("nx") - _least("nx", "ny", percent)) & (only("y", "x") <= F.col("ny") - _least("nx", "ny", percent)))
     mapped = scratch.save(mapped.select("x", "y", "nx", "ny", "large"), f"{name}-mapped")
-    passed = mapped.join(side("x", *other).drop("nx"), "x").join(side("y", *other).drop("ny"), "y")
+    # prefixes are fetched for what the maps leave, as most pairs end there
+    few = ends(mapped)
+    passed = mapped.join(side(few, "x", *other), "x").join(side(few, "y", *other), "y")
     for c in other:
         both = F.size(F.array_intersect(f"x_{c}", f"y_{c}"))
         merged = F.expr(size("nx")) - F.size(f"x_{c}")
@@ -211,7 +213,7 @@ def _verified(scratch: Scratch, docs: DataFrame, table: DataFrame, pairs: DataFr
     delta = F.when(F.col("large"), F.concat(F.array_except("a", "b"), F.array_except("b", "a")))
     met = met.select("x", "y", F.size("a").cast("long").alias("nx"), F.size("b").cast("long").alias("ny"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), delta.alias("delta"))
     met = scratch.save(met, f"{name}-met")
-    for part in ("sets", "some", "mapped", "ends"):
+    for part in ("sets", "wanted", "passed", "mapped"):
         scratch.drop(f"{name}-{part}")
     return met
 
@@ -272,12 +274,14 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     """jaccard_components of (doc_id, text) in which no doc_id repeats."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    ranks = classes(spark, sketch(docs, width))
+    ranks = classes(spark, scratch.save(sketch(docs, width), "sketch"))
     table = scratch.save(profiles(docs, width, percent, ranks), "profiles")
     small = table.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "set_id")
     members = scratch.save(small.join(small.groupBy("n", "set_id").agg(F.min("doc_id").alias("member")), ["n", "set_id"]).select("doc_id", "member"), "members")
-    alone = members.select(F.col("member").alias("doc_id")).distinct()
-    tokens = table.select("doc_id", "n", "rare", "p0").join(alone, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    # of equal sets one goes on; a prefix is shuffled only where the map of the others' keys doesn't show that it stays
+    copies = members.where("doc_id <> member").select("doc_id")
+    known, prefixes = bit_map(copies, F.col("doc_id")), table.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "rare", "p0")
+    tokens = hits(prefixes, known, F.col("doc_id"), wanted=False).union(hits(prefixes, known, F.col("doc_id")).join(copies, "doc_id", "left_anti"))
     tokens = tokens.select("doc_id", "n", F.posexplode("p0").alias("at", "token"), "rare").select("token", "doc_id", "n", "at", (F.col("at") < F.col("rare")).alias("rare"))
     tokens = scratch.save(_grouped(tokens), "tokens")
 
@@ -295,9 +299,12 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     placed = tokens.where("held > 2").join(parts, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id")).join(far, ["hub", "doc_id"], "left")
     placed = placed.withColumn("far", F.when(F.col("doc_id") == F.col("hub"), F.lit(0.0)).otherwise(F.col("far"))).select("token", "doc_id", "n", "at", "component", "far", (F.col("held") > SMALL).alias("large"))
     placed = scratch.save(placed, "placed")
+    scratch.drop("tokens")
     mixed = scratch.save(placed.join(placed.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token"), "token"), "mixed")
+    scratch.drop("placed")
     second = _small_pairs(mixed.where("NOT large"), percent).union(_unplaced_pairs(mixed.where("large"), percent)).union(_delta_pairs(met, parts, percent)).distinct()
     second = scratch.save(second.join(met.select("x", "y"), ["x", "y"], "left_anti").withColumn("large", F.lit(False)), "second")
+    scratch.drop("mixed")
     more = _linked(_verified(scratch, docs, table, second, width, percent, "two"), percent)
     found = components(scratch, links.union(more), "x", "y", "all")
 
