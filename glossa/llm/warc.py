@@ -134,10 +134,11 @@ def _payload(content: Column) -> Column:
     return let(F.substring_index(_latin(content), END, 1), lambda http: F.substring(content, F.length(http) + len(END) + 1, F.length(content)))
 
 
-def walk(spark: SparkSession, path: str):
+def walk(spark: SparkSession, path: str, done=None):
     """The saved pieces, and what is known of those of reached records, with where the record starts.
 
-    A piece that holds its record whole has the length and digest of its payload; of others these are null.
+    A piece that holds its record whole has the length and digest of its payload; of others these are null. ``done`` is
+    called when the pieces are saved, as the archives aren't read after that.
     """
     scratch = Scratch(spark)
     order = Window.partitionBy("file").orderBy("block", "row")
@@ -149,6 +150,8 @@ def walk(spark: SparkSession, path: str):
         return F.struct(x["size"].alias("size"), x["head"].alias("head"), F.when(whole, payload).alias("own"), F.coalesce(whole, F.lit(False)).alias("whole"))
 
     raw = scratch.save(pieces(spark, path).select("file", "block", "row", let(facts, known).alias("x"), "value").select("file", "block", "row", "x.*", "value"), "raw")
+    if done:
+        done()
     light = raw.drop("value").withColumn("offset", F.coalesce(F.sum(F.col("size") + len(MAGIC)).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - len(MAGIC))
     light = scratch.save(light, "pieces")
     found = light.where("offset >= 0").select("file", "offset", (F.col("offset") + len(MAGIC) + F.length("head") + len(END) + _length(F.col("head")) + len(END)).alias("successor"))
@@ -196,7 +199,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
     home = Scratch(spark)
     path = f"{home.root}/archives"
     write(pages, path)
-    scratch, raw, owned = walk(spark, path)
+    scratch, raw, owned = walk(spark, path, lambda: home.drop("archives"))
     pieces_of = owned.groupBy("file", "start").agg(F.count("*").alias("n"))
     several = owned.join(pieces_of.where("n > 1").select("file", "start"), ["file", "start"], "left_semi")
     single = owned.join(pieces_of.where("n = 1").select("file", "start"), ["file", "start"], "left_semi")
@@ -205,7 +208,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     whole = single.select(*_named(F.col("head")), F.col("own.bytes").alias("own_bytes"), F.col("own.digest").alias("own_digest"))
     rest = joined(cut, several).select(*_named(F.col("head")), _payload(F.col("content")).alias("p")).select("page_id", "url", "record_type", "refers_to", "payload_digest", F.octet_length("p").cast("long").alias("own_bytes"), base32(F.sha1("p")).alias("own_digest"))
     back = scratch.save(whole.unionByName(rest).drop("url"), "back")
-    home.drop("archives")
     for name in ("raw", "pieces", "owned"):
         scratch.drop(name)
     own = F.col("record_type") == "response"

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import os
 
 from glossa.llm import warc
 from glossa.llm.common import Scratch
@@ -66,3 +67,12 @@ def test_null_page_id_and_a_long_payload(spark):
 
 def test_empty(spark):
     assert warc.round_trip(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_archives_go_once_their_pieces_are_saved(spark, monkeypatch):
+    paths, left = [], []
+    monkeypatch.setattr(warc, "write", lambda pages, path, write=warc.write: (paths.append(path), write(pages, path)))
+    monkeypatch.setattr(warc, "chain", lambda scratch, found, chain=warc.chain: (left.append(os.path.exists(paths[0].removeprefix("file://"))), chain(scratch, found))[1])
+    pages = spark.createDataFrame([(1, "u", "<p>a</p>"), (2, "u", "<p>a</p>"), (3, None, None)], "page_id long, url string, html string")
+    assert {r["page_id"]: r["record_type"] for r in warc.round_trip(pages).collect()} == {1: "revisit", 2: "response", 3: "response"}
+    assert left == [False]
