@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glossa.functions.text import words
+from glossa.functions.text import let, words
+from glossa.operators import neighbours as N
 from glossa.operators.ranks import ranked_by
 from glossa.sources import store
 
@@ -26,23 +27,19 @@ def bigrams(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(w.alias("w")).select(F.explode(F.transform("w", lambda x, i: F.struct(x.alias("a"), F.get("w", i + 1).alias("b")))).alias("p")).select("p.a", "p.b")
 
 
-def countable(token: Column) -> Column:
-    """Tokens that start with punctuation or a digit are neither counted nor joined."""
-    return (token != "") & ~token.rlike(r"^[\p{P}\p{Nd}]")
+def counted(rows: DataFrame, tokens_col: str, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of rows of tokens: neighbouring countable tokens (a, b, n) and countable tokens (word, freq) found ``least`` times or more, and one row of sums.
 
-
-def counted_tokens(rows: DataFrame, tokens_col: str = "tokens") -> tuple[DataFrame, DataFrame]:
-    """Neighbouring countable tokens (a, b, n) and countable tokens (word, freq) of rows of tokens, each counted by itself from the map tasks on."""
-    w = F.col(tokens_col)
-    pairs = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("a"), F.get(w, i + 1).alias("b"))), lambda p: p["b"].isNotNull() & countable(p["a"]) & countable(p["b"]))
-    each = rows.select(F.explode(pairs).alias("p")).groupBy(F.col("p.a").alias("a"), F.col("p.b").alias("b")).agg(F.count("*").alias("n"))
-    return each, rows.select(F.explode(F.filter(w, countable)).alias("word")).groupBy("word").agg(F.count("*").alias("freq"))
+    The sums (pairs, words) count rare ones as well. Tokens that start with punctuation or a digit aren't countable. A token is
+    found at least as often as a pair that it begins or ends, so no frequency of a pair that is given is missing.
+    """
+    each = N.counted(rows, tokens_col, least)
+    total = lambda kind, name: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("n"))), F.lit(0)).alias(name)
+    return each.where(F.col("kind") == N.PAIR).select("a", "b", "n"), each.where(F.col("kind") == N.WORD).select(F.col("a").alias("word"), F.col("n").alias("freq")), each.agg(total(N.PAIRS, "pairs"), total(N.WORDS, "words"))
 
 
-def counted_bigrams(df: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Pairs of neighbouring words (a, b, n), and words (word, freq)."""
-    pairs = bigrams(df, text).where("b IS NOT NULL").groupBy("a", "b").agg(F.count("*").alias("n"))
-    return pairs, frequencies(df, text)
+def _counted_words(df: DataFrame, text: str, least: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return counted(df.select(words(F.col(text)).alias("tokens")), "tokens", least)
 
 
 def _with_frequencies(pairs: DataFrame, single: DataFrame) -> DataFrame:
@@ -50,30 +47,28 @@ def _with_frequencies(pairs: DataFrame, single: DataFrame) -> DataFrame:
     return pairs.join(a, "a").join(b, "b")
 
 
-def scores(pairs: DataFrame, single: DataFrame, least: int, score: float, blocked=None) -> DataFrame:
-    """a, b, n, mi of counted pairs found at least ``least`` times, with mutual information above ``score``, but for blocked ones.
+def scores(counts: tuple[DataFrame, DataFrame, DataFrame], score: float, blocked=None) -> DataFrame:
+    """a, b, n, mi of counted pairs with mutual information above ``score``, but for blocked ones.
 
-    Rare pairs are dropped before frequencies are looked up. ``blocked(a, b)`` says which pairs must not become one token.
+    ``blocked(a, b)`` says which pairs must not become one token.
     """
-    total = F.broadcast(pairs.agg(F.sum("n").alias("total")))  # one row
-    some = pairs.where(F.col("n") >= least)
+    pairs, single, sums = counts
     if blocked is not None:
-        some = some.where(~blocked(F.col("a"), F.col("b")))
-    met = _with_frequencies(some, single).join(total)
-    mi = F.log(F.col("total") / (F.col("fa").cast("double") * F.col("fb")) * F.col("n"))
+        pairs = pairs.where(~blocked(F.col("a"), F.col("b")))
+    met = _with_frequencies(pairs, single).join(F.broadcast(sums))  # one row
+    mi = F.log(F.col("pairs") / (F.col("fa").cast("double") * F.col("fb")) * F.col("n"))
     return met.withColumn("mi", F.round(mi, 6)).where(mi > score).select("a", "b", "n", "mi")
 
 
 def bigram_scores(df: DataFrame, least: int, score: float, text: str = "text") -> DataFrame:
     """a, b, n, mi of pairs found at least ``least`` times, with mutual information above ``score``."""
-    return scores(*counted_bigrams(df, text), least, score)
+    return scores(_counted_words(df, text, least), score)
 
 
 def phrases(df: DataFrame, least: int, score: float, text: str = "text") -> DataFrame:
     """a, b, n, npmi of pairs found at least ``least`` times, with normalised mutual information above ``score``."""
-    pairs, single = counted_bigrams(df, text)
-    total = F.broadcast(single.agg(F.sum("freq").cast("double").alias("total")))  # one row
-    met = _with_frequencies(pairs.where(F.col("n") >= least), single).join(total)
+    pairs, single, sums = _counted_words(df, text, least)
+    met = _with_frequencies(pairs, single).join(F.broadcast(sums.select(F.col("words").cast("double").alias("total"))))  # one row
     share = lambda c: F.col(c) / F.col("total")
     npmi = F.log(share("n") / (share("fa") * share("fb"))) / -F.log(share("n"))
     return met.withColumn("npmi", F.round(npmi, 6)).where(npmi > score).select("a", "b", "n", "npmi")
@@ -98,16 +93,23 @@ def best_places(places: DataFrame, key: str) -> DataFrame:
 
 def merge_pass(df: DataFrame, merges: DataFrame, key: str, tokens_col: str = "tokens") -> DataFrame:
     """Joins neighbouring tokens that are in merges (a, b, mi), best score first where pairs overlap, of equal ones the first."""
-    at = df.select(key, F.posexplode(F.arrays_zip(F.col(tokens_col).alias("a"), F.slice(tokens_col, 2, F.greatest(F.size(tokens_col) - 1, F.lit(0))).alias("b"))).alias("pos", "p"))
-    found = at.select(key, "pos", "p.a", "p.b").where("b IS NOT NULL").join(merges.select("a", "b", "mi"), ["a", "b"]).select(key, "pos", "mi")
+    found = N.places(df, merges, key, tokens_col).join(merges.select("a", "b", "mi"), ["a", "b"]).select(key, "pos", "mi")
     starts = best_places(found, key).groupBy(key).agg(F.array_sort(F.collect_list("pos")).alias("starts"))
-    joined = df.join(starts, key, "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<int>")))
-    # pieces between the places, in order: tokens as they are, then the joined pair
-    cuts = F.transform("starts", lambda s, i: F.struct(F.coalesce(F.get("starts", i - 1) + 2, F.lit(0)).alias("lo"), s.alias("hi")))
-    head = F.flatten(F.transform(cuts, lambda c: F.concat(F.slice(tokens_col, c["lo"] + 1, c["hi"] - c["lo"]), F.array(F.concat(F.get(tokens_col, c["hi"]), F.get(tokens_col, c["hi"] + 1))))))
-    end = F.coalesce(F.try_element_at("starts", F.lit(-1)) + 2, F.lit(0))
-    new = F.concat(head, F.slice(tokens_col, end + 1, F.greatest(F.size(tokens_col) - end, F.lit(0))))
-    return joined.withColumn(tokens_col, new).drop("starts")
+    # dealt as one text, which is a third of the array, where that gives the same tokens back
+    line = F.array_join(tokens_col, N.NEXT)
+    same = F.coalesce(F.size(F.split(line, N.NEXT)) == F.size(tokens_col), F.lit(False))
+    rest = [c for c in df.columns if c != tokens_col]
+    dealt = df.select(*rest, F.when(same, line).alias("__line"), F.when(~same, F.col(tokens_col)).alias("__tokens"))
+    joined = dealt.join(starts, key, "left").withColumn("starts", F.coalesce("starts", F.array().cast("array<int>")))
+
+    def pieces(t: Column) -> Column:
+        # pieces between the places, in order: tokens as they are, then the joined pair
+        cuts = F.transform("starts", lambda s, i: F.struct(F.coalesce(F.get("starts", i - 1) + 2, F.lit(0)).alias("lo"), s.alias("hi")))
+        head = F.flatten(F.transform(cuts, lambda c: F.concat(F.slice(t, c["lo"] + 1, c["hi"] - c["lo"]), F.array(F.concat(F.get(t, c["hi"]), F.get(t, c["hi"] + 1))))))
+        end = F.coalesce(F.try_element_at("starts", F.lit(-1)) + 2, F.lit(0))
+        return F.concat(head, F.slice(t, end + 1, F.greatest(F.size(t) - end, F.lit(0))))
+
+    return joined.withColumn(tokens_col, let(F.coalesce("__tokens", F.split("__line", N.NEXT)), pieces)).select(*df.columns)
 
 
 def merged_tokens(rows: DataFrame, key: str, passes: list[tuple[int, float]], blocked=None) -> DataFrame:
@@ -118,7 +120,7 @@ def merged_tokens(rows: DataFrame, key: str, passes: list[tuple[int, float]], bl
     spark = rows.sparkSession
     for least, score in passes:
         rows = store.saved(rows, store.new_folder(spark, "tokens"))
-        merges = store.saved(scores(*counted_tokens(rows), least, score, blocked), store.new_folder(spark, "merges"))
+        merges = store.saved(scores(counted(rows, "tokens", least), score, blocked), store.new_folder(spark, "merges"))
         rows = merge_pass(rows, merges, key)
     return rows
 

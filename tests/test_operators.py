@@ -176,3 +176,45 @@ def test_streaming(spark, tmp_path):
         stream = df.writeStream.format("memory").queryName(f"t_{name}").outputMode(mode).trigger(availableNow=True).option("checkpointLocation", str(tmp_path / f"ck_{name}")).start()
         stream.awaitTermination(120)
     assert spark.table("t_w").first()["n"] == 3 and spark.table("t_s").first()["n"] == 3 and spark.table("t_d").count() == 2
+
+
+def test_neighbours_are_counted_whole(spark, monkeypatch):
+    from collections import Counter
+
+    from glossa.operators import neighbours
+
+    rng = random.Random(5)
+    words = ["a", "b", "c\x01d", "\x02", "\x03b", ",x", "1", "", "é"]
+    texts = [[rng.choice(words) for _ in range(rng.randrange(12))] for _ in range(300)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "k long, w array<string>").repartition(3)
+    ok = lambda w: w not in (",x", "1", "")
+    pairs = Counter(p for t in texts if t for p in zip(t, t[1:]) if all(map(ok, p)))
+    single = Counter(w for t in texts if t for w in t if ok(w))
+    for block, size in ((neighbours.BLOCK, neighbours.MERGE_BYTES), (40, 1)):
+        monkeypatch.setattr(neighbours, "BLOCK", block)
+        monkeypatch.setattr(neighbours, "MERGE_BYTES", size)
+        p, w, sums = tokens.counted(df, "w", 20)
+        assert {(r["a"], r["b"]): r["n"] for r in p.collect()} == {k: n for k, n in pairs.items() if n >= 20}
+        assert {r["word"]: r["freq"] for r in w.collect()} == {k: n for k, n in single.items() if n >= 20}
+        assert tuple(sums.first()) == (sum(pairs.values()), sum(single.values()))
+
+
+def test_neighbours_are_dealt_as_packed_buckets(spark):
+    # one row a bucket is shuffled, not one a pair, and texts go to their merges as one text each
+    from glossa.operators import neighbours
+
+    df = spark.createDataFrame([(i, [f"w{j}" for j in range(i, i + 40)]) for i in range(200)], "k long, w array<string>")
+    plan = tokens.merge_pass(df, spark.createDataFrame([("w1", "w2", 1.0)], "a string, b string, mi double"), "k", "w")
+    assert plan.where("array_contains(w, 'w1w2')").count() == 2
+    text = plan._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in text and "posexplode" not in text
+    packed = df.select("w").coalesce(1).mapInArrow(neighbours._count, "bucket int, packed binary, size int, counts array<int>")
+    assert packed.select("bucket").distinct().count() == packed.count() < sum(len(r["counts"]) for r in packed.select("counts").collect())
+
+
+def test_merge_pass_keeps_odd_tokens(spark):
+    rows = [(1, ["a", "b", "x\x02y", "a", "b"]), (2, ["", ""]), (3, [""]), (4, []), (5, ["a", None, "b"]), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    merges = spark.createDataFrame([("a", "b", 2.0)], "a string, b string, mi double")
+    got = {r["doc_id"]: r["tokens"] for r in tokens.merge_pass(df, merges, "doc_id").collect()}
+    assert got == {1: ["ab", "x\x02y", "ab"], 2: ["", ""], 3: [""], 4: [], 5: ["a", None, "b"], 6: None}
