@@ -13,6 +13,13 @@ from glossa.sources import store
 from glossa.sources.entries import version_line
 
 CHANGE_OF_STATUS = 4
+#: Changes of a partition, and so of a file.
+PART_ROWS = 100_000
+
+
+def parts_of(changes: int) -> int:
+    """Partitions that hold so many changes; they grow in number and not in size."""
+    return max(1, -(-changes // PART_ROWS))
 
 
 def version_rows(changes: DataFrame, *order: str) -> DataFrame:
@@ -44,16 +51,16 @@ def block_lines(versions: DataFrame, code: Column, name: str = "user") -> DataFr
     return versions.select(code.alias("code"), "version", F.posexplode(lines).alias("part", "text")).where("text IS NOT NULL")
 
 
-def write_blocks(lines: DataFrame, folder: str, prologue: list[str], last_change=None, written_at=None, compression: str | None = "gzip") -> bool:
+def write_blocks(lines: DataFrame, folder: str, prologue: list[str], last_change=None, written_at=None, compression: str | None = "gzip", parts: int | None = None) -> bool:
     """Writes blocks as text files, each block whole in one of them, and the prologue as a file before them; says whether it did.
 
-    Nothing is written where the files are newer than the last change. An empty line parts blocks.
+    Nothing is written where the files are newer than the last change. An empty line parts blocks. ``parts`` says how many files.
     """
     if written_at is not None and last_change is not None and written_at > last_change:
         return False
     options = {"compression": compression} if compression else {}
     spark = lines.sparkSession
-    dealt = lines.repartition("code").sortWithinPartitions("code", "version", "part").select("text")
+    dealt = (lines.repartition(parts, "code") if parts else lines.repartition("code")).sortWithinPartitions("code", "version", "part").select("text")
     dealt.write.mode("overwrite").text(f"{folder}/blocks", **options)
     spark.createDataFrame([(t,) for t in prologue], "text string").coalesce(1).write.mode("overwrite").text(f"{folder}/a-prologue", **options)
     return True

@@ -106,18 +106,21 @@ def export_blocks(spark, d):
     """The files of an export, read back: each customer's orders as the versions of an entry, numbered line by line."""
     key, when = F.col("o_orderkey"), lambda n, v: F.when(F.col("o_orderkey") % n == 0, v)
     customer = table(spark, d, "customer").select(F.col("c_custkey").alias("entry_id"), F.col("c_name").alias("head"), F.col("c_mktsegment").alias("target"), (F.col("c_custkey") % 3).cast("int").alias("status"))
-    changes = table(spark, d, "orders").select(
+    orders = table(spark, d, "orders")
+    # all steps are dealt to as many partitions as the changes need, so that a task's share doesn't grow with them
+    parts = X.parts_of(orders.count())
+    changes = orders.select(
         F.col("o_custkey").alias("entry_id"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("timestamp").alias("time"), F.concat(F.lit("u"), (key % 7).cast("string")).alias("user"), (key % 4).cast("int").alias("bulk_ref"),
         F.concat("o_orderstatus", F.lit("\\\n"), "o_orderpriority").alias("comment"), when(4, F.concat(F.lit("old "), key.cast("string"))).alias("head_before"), when(3, F.col("o_orderpriority")).alias("target_before"),
         (key % 3).cast("int").alias("status_before"), when(5, 4).otherwise(2).alias("chg"),
-    ).join(customer, "entry_id")
+    ).repartition(parts, "entry_id").join(customer.repartition(parts, "entry_id"), "entry_id")
     folder = new_folder(spark, "export")
     lines = X.block_lines(X.version_rows(changes, "time", "id"), F.lpad(F.col("entry_id").cast("string"), 9, "0"))
-    X.write_blocks(lines, folder, ["# an export"])
-    rows = X.read_lines(spark, folder)
+    X.write_blocks(lines, folder, ["# an export"], parts=parts)
+    rows = X.read_lines(spark, folder).repartition(parts, "file")
     # a block stays together, so lines belong to the last code before them
     code = F.last(F.when(F.startswith("text", F.lit("# ID-")), F.substring("text", 6, 9).cast("long")), ignorenulls=True).over(Window.partitionBy("file").orderBy("at"))
-    numbered = rows.withColumn("entry_id", code)
+    numbered = rows.withColumn("entry_id", code).select("entry_id", "at", "text").repartition(parts, "entry_id")
     return numbered.select("entry_id", F.row_number().over(Window.partitionBy("entry_id").orderBy("at")).cast("long").alias("line"), "text")
 
 

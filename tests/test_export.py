@@ -130,3 +130,11 @@ def test_an_entry_with_many_versions(spark, tmp_path):
     lines = X.block_lines(X.version_rows(changes, "time"), F.lit("aaaaaaa"))
     X.write_blocks(lines, str(tmp_path / "o"), [])
     assert X.read_lines(spark, str(tmp_path / "o")).count() == 1 + n + n // 2 + 1 + 1
+
+
+def test_files_of_an_export_grow_in_number(spark, tmp_path):
+    assert [X.parts_of(n) for n in (0, 1, X.PART_ROWS, X.PART_ROWS + 1, 90 * X.PART_ROWS)] == [1, 1, 1, 2, 90]
+    lines = spark.createDataFrame([(f"{i:03}", 0, p, f"# ID-{i:03}" if p == 0 else "x") for i in range(200) for p in (0, 1)], "code string, version int, part int, text string")
+    assert X.write_blocks(lines, str(tmp_path / "o"), [], parts=7)
+    rows = X.read_lines(spark, str(tmp_path / "o"))
+    assert rows.count() == 400 and rows.select("file").distinct().count() == 7
