@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
+from itertools import chain
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.text import ACCENTED, PLAIN, folded, let, packed_prefix, words
+from glossa.operators.lexicon import sent
 from glossa.operators.tokens import tokens
 from glossa.sources import store
 
@@ -72,18 +75,20 @@ def prefix_hints(words_: DataFrame, prefix: str, most: int) -> DataFrame:
 def longest_covers(queries: DataFrame, heads: DataFrame, key: str, text: str, longest: int) -> DataFrame:
     """key, start, length, head: headwords that cover a query text, at each start the longest that reaches further.
 
-    Substrings of up to ``longest`` characters are joined with the headwords; a start's longest one stays if it ends beyond
-    all that start before it.
+    Substrings of up to ``longest`` characters are joined with the headwords, which are written down, and broadcast if they are
+    few. Of the matches of a text in order of start, longest first, the first at a start stays if it ends beyond all before it;
+    so matches are dealt and sorted once, and no map task groups what it made.
     """
-    from pyspark.sql import Window
-
     n = F.length(text)
     starts = queries.select(key, text, F.explode(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)))).alias("start")).where(n > 0)
     cut = starts.select(key, "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), n - F.col("start")))).alias("length"), text)
     cut = cut.select(key, "start", "length", F.expr(f"substring({text}, start + 1, length)").alias("head"))
-    best = cut.join(heads.select("head").distinct(), "head").groupBy(key, "start").agg(F.max("length").alias("length"), F.max_by("head", "length").alias("head"))
-    far = F.coalesce(F.max(F.col("start") + F.col("length")).over(Window.partitionBy(key).orderBy("start").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return best.withColumn("far", far).where("start + length > far").drop("far")
+    known = sent(store.saved(heads.select("head").distinct(), store.new_folder(queries.sparkSession, "heads")))
+    line = Window.partitionBy(key).orderBy("start", F.desc("length"))
+    far = F.coalesce(F.max(F.col("start") + F.col("length")).over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    first = F.coalesce(F.lag("start").over(line) != F.col("start"), F.lit(True))
+    best = cut.join(known, "head").select(key, "start", "length", "head").withColumns({"far": far, "first": first})
+    return best.where("first AND start + length > far").drop("far", "first")
 
 
 def segments(df: DataFrame, heads: DataFrame, key: str, text: str) -> DataFrame:
@@ -98,8 +103,9 @@ def segments(df: DataFrame, heads: DataFrame, key: str, text: str) -> DataFrame:
     known = df.sparkSession.sparkContext.broadcast(lengths_of(r["head"] for r in heads.distinct().collect()))
 
     def split(batches):
+        pieces = _Pieces(known.value)
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([_match(t, known.value) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], [key, "segments"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([pieces.of(t) for t in batch.column(1).to_pylist()], pa.list_(pa.string()))], [key, "segments"])
 
     kind = df.schema[key].dataType.simpleString()
     return df.select(key, text).mapInArrow(split, f"{key} {kind}, segments array<string>")
@@ -114,6 +120,35 @@ def lengths_of(heads) -> dict[str, list[tuple[int, set[str]]]]:
     return {c: sorted(x.items(), reverse=True) for c, x in by.items()}
 
 
+#: Pieces of texts whose segments a task keeps, and the longest of them.
+KEPT_PIECES, KEPT_LENGTH = 200_000, 64
+
+
+class _Pieces(dict):
+    """Segments of pieces of texts, as they are matched once each; all are forgotten when there are too many.
+
+    A character that no headword has and that is no ASCII letter or digit ends whatever is before it, so texts are cut there.
+    """
+
+    def __init__(self, heads: dict[str, list[tuple[int, set[str]]]]):
+        self.heads = heads
+        inner = {c for sizes in heads.values() for _, known in sizes for h in known for c in h}
+        chars = "".join(sorted(re.escape(c) for c in inner if not (c.isascii() and c.isalnum())))
+        # white space outside headwords gives no segment
+        self.cut = re.compile(f"[A-Za-z0-9{chars}]+|[^A-Za-z0-9{chars}\\s]").findall
+
+    def __missing__(self, piece: str) -> list[str]:
+        found = _match(piece, self.heads)
+        if len(piece) <= KEPT_LENGTH:
+            if len(self) >= KEPT_PIECES:
+                self.clear()
+            self[piece] = found
+        return found
+
+    def of(self, text: str | None) -> list[str]:
+        return list(chain.from_iterable(map(self.__getitem__, self.cut(text or ""))))
+
+
 def _match(text: str | None, heads: dict[str, list[tuple[int, set[str]]]]) -> list[str]:
     out: list[str] = []
     i, run = 0, False

@@ -218,3 +218,23 @@ def test_merge_pass_keeps_odd_tokens(spark):
     merges = spark.createDataFrame([("a", "b", 2.0)], "a string, b string, mi double")
     got = {r["doc_id"]: r["tokens"] for r in tokens.merge_pass(df, merges, "doc_id").collect()}
     assert got == {1: ["ab", "x\x02y", "ab"], 2: ["", ""], 3: [""], 4: [], 5: ["a", None, "b"], 6: None}
+
+
+def test_pieces_match_as_whole_texts(monkeypatch):
+    rng = random.Random(9)
+    for heads in ({"ab", "abc", "c", "苹果", "苹"}, {"a b", "b-]", "^", "é1", " c"}, set()):
+        by = index.lengths_of(heads)
+        for keep in (3, 200_000):
+            monkeypatch.setattr(index, "KEPT_PIECES", keep)
+            pieces = index._Pieces(by)
+            for _ in range(300):
+                text = "".join(rng.choice("abc1 \n\t,-]^é苹果ű\x00 ") for _ in range(rng.randrange(30)))
+                assert pieces.of(text) == index._match(text, by), text
+            assert pieces.of(None) == [] and len(pieces) <= keep
+
+
+def test_covers_are_not_grouped_in_map_tasks(spark):
+    texts = spark.createDataFrame([(1, "abcabcd"), (2, "xx"), (3, ""), (4, None)], "k long, t string")
+    got = index.longest_covers(texts, spark.createDataFrame([("ab",), ("abc",), ("bcd",), ("c",), ("ab",)], "head string"), "k", "t", 3)
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 0, 3, "abc"), (1, 3, 3, "abc"), (1, 4, 3, "bcd")]
+    assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
