@@ -1,5 +1,7 @@
 import random
 
+import xxhash
+
 from glossa.llm import decontaminate as d
 
 
@@ -143,3 +145,29 @@ def d_screened(docs, items):
                 if d.weight_of(set(w), window[:edge], window[edge : len(window) - edge]) <= limit and d.similarity(d.shingles(window), s) >= d.SIMILARITY:
                     out.add((k, i))
     return out
+
+
+def test_words_by_numpy_are_those_of_the_pattern():
+    rng = random.Random(11)
+    letters = ["a", "B", "é", "_", "7", "İ", "Σ", "的", "😀", "\U00020000", "\ud800", "\u0301", " ", "\n", "-", "\x00", "·"]
+    texts = [None, "", "x" * (d.PIECE + 9), ("ab cd" * 99 + "\n") * 300] + ["".join(rng.choices(letters, k=rng.randint(0, 90))) for _ in range(300)]
+    got, hashes = d.Texts(texts), {}
+    at = 0
+    for i, t in enumerate(texts):
+        want = d.words(t)
+        assert got.words(i) == want and got.lengths[i] == len(want)
+        assert got.chars[at : at + len(want)].tolist() == list(map(len, want))
+        for w, h in zip(want, got.hashes[at : at + len(want)].tolist(), strict=True):
+            assert hashes.setdefault(w, h) == h == xxhash.xxh64_intdigest(w)
+        at += len(want)
+    assert at == len(got.hashes) and len(set(hashes.values())) == len(hashes)
+
+
+def test_texts_of_a_task_cost_less_than_their_words_as_strings():
+    """Items are found in a block of texts of which few words are ever made strings."""
+    rng = random.Random(12)
+    items = d.Items([(i, " ".join(f"q{rng.randrange(10**6)}" for _ in range(40))) for i in range(20)])
+    docs = d.Texts([" ".join(f"w{rng.randrange(3000)}" for _ in range(400)) for _ in range(200)] + [" ".join(items.words[3][1])])
+    made = []
+    docs.words = lambda i: made.append(i) or d.Texts.words(docs, i)
+    assert [(a, b) for a, b, _, _ in d.found_in(docs, items)] == [(200, 3)] and made == [200]
