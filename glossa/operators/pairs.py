@@ -47,7 +47,8 @@ def counted(pairs: DataFrame, least_src: int, least_trg: int, src: str = "src",
 
 
 def _xlnx(x: Column) -> Column:
-    return F.when(x > 0, x * F.log(x))
+    # F.log gives null where x isn't positive; a condition of its own would make the row's method too long to be compiled
+    return x * F.log(x)
 
 
 def mutual_information(n: Column, a: Column, b: Column, total: Column) -> Column:

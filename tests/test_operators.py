@@ -238,3 +238,23 @@ def test_covers_are_not_grouped_in_map_tasks(spark):
     got = index.longest_covers(texts, spark.createDataFrame([("ab",), ("abc",), ("bcd",), ("c",), ("ab",)], "head string"), "k", "t", 3)
     assert sorted(tuple(r) for r in got.collect()) == [(1, 0, 3, "abc"), (1, 3, 3, "abc"), (1, 4, 3, "bcd")]
     assert "Aggregate" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_stay_compiled(spark):
+    """The JVM compiles no method of over 8,000 bytes; scores of such a method took eight times as long."""
+    counts = spark.createDataFrame([("a", "b", 4, 5, 6), ("a", "c", 5, 5, 5)], "src string, trg string, n long, src_freq long, trg_freq long")
+    each = spark.createDataFrame([(1,)] * 50, "x int")
+    got = pairs.scored(each, counts, 0.0, 0.0)
+    rows = {r["trg"]: (r["ll"], r["mi"]) for r in got.collect()}
+    assert rows["b"][0] is not None and rows["c"] == (None, 2.3026)  # a cell of 0 has no logarithm
+    parts = got._jdf.queryExecution().debug().codegenToSeq()
+    sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+    assert sizes and max(sizes) < 8000
+
+
+def test_collocations_are_counted_once(spark):
+    """The sort of scores reads a table, not the join and the counts, which it would run twice."""
+    from glossa.plans.registry import queries
+
+    plan = queries()["colloc_ll_mi"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" in plan and "Join" not in plan and "HashAggregate" not in plan
