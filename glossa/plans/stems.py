@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glossa.operators import stemming as S
 from glossa.operators.tokens import frequencies
 from glossa.plans.catalog import query
+from glossa.sources.store import new_folder, saved
 from glossa.sources.tables import table
 
 # Fixed values of the analyses that are made: tags of the first part, the second and the third.
@@ -30,9 +31,19 @@ def analysis_of(word: Column, salt: int) -> Column:
     return F.array_join(F.concat(*spelled, F.array(F.lit(":[Nom]"))), " ")
 
 
-def analysed(spark, d):
+#: Words of a task: their analyses take some seconds, however few bytes they are.
+TASK_WORDS = 50_000
+
+
+def counted_words(spark, d):
+    """word, freq of the documents, counted once, written down and dealt to as many tasks as they need."""
+    forms = saved(frequencies(table(spark, d, "documents")), new_folder(spark, "forms"))
+    return forms.repartition(-(-forms.count() // TASK_WORDS) or 1, "word")
+
+
+def analysed(spark, d, forms=None):
     """surf, analyses: two analyses of each distinct word; words in z have none."""
-    forms = frequencies(table(spark, d, "documents"))
+    forms = counted_words(spark, d) if forms is None else forms
     both = F.array(analysis_of(F.col("word"), 1), analysis_of(F.col("word"), 2))
     return forms.select(F.col("word").alias("surf"), F.when(F.startswith("word", F.lit("z")), F.array(F.lit("z:z?"))).otherwise(both).alias("analyses"))
 
@@ -40,5 +51,6 @@ def analysed(spark, d):
 @query("analysed_stems")
 def analysed_stems(spark, d):
     """A stem dictionary by analyses: the shortest of the stems that a word's analyses give."""
-    frequent = frequencies(table(spark, d, "documents")).where("freq >= 5").select(F.col("word").alias("surf"))
-    return S.stem_dictionary(S.candidates(analysed(spark, d)), frequent, ["the"])
+    forms = counted_words(spark, d)
+    frequent = forms.where("freq >= 5").select(F.col("word").alias("surf"))
+    return S.stem_dictionary(S.candidates(analysed(spark, d, forms)), frequent, ["the"])

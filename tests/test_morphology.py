@@ -178,3 +178,13 @@ def test_dictionary_of_the_words_of_documents(spark):
 def test_candidates_of_unknown_forms(spark):
     groups = spark.createDataFrame([("a", ["x:x?"]), ("b", None), ("c", [BY_HAND[0][0], BY_HAND[1][0]])], "surf string, analyses array<string>")
     assert sorted(map(tuple, S.candidates(groups).collect())) == [("a", 0, ""), ("b", 0, ""), ("c", 0, "ház"), ("c", 1, "alma")]
+
+
+def test_words_are_counted_once_and_dealt(spark, monkeypatch):
+    """Texts are cut into words once; the analyses of many words are no single task, however few bytes they are."""
+    monkeypatch.setattr(P, "TASK_WORDS", 500)
+    df = P.analysed_stems(spark, DIR)
+    assert "regexp_extract_all" not in df._jdf.queryExecution().optimizedPlan().toString()
+    forms = P.counted_words(spark, DIR)
+    n = forms.count()
+    assert forms.rdd.getNumPartitions() == -(-n // 500) > 1 and df.count() == n
