@@ -53,7 +53,8 @@ class Generations:
     # writing
 
     def bucket_of(self, term: Column) -> Column:
-        return F.pmod(F.xxhash64(term), F.lit(self.buckets)).cast("int")
+        # a checksum that tasks outside the JVM have too
+        return F.pmod(F.crc32(F.encode(term, "UTF-8")), F.lit(self.buckets)).cast("int")
 
     def _write(self, rows: DataFrame, gen: int, most: int, unpack=None) -> list[tuple]:
         """Writes live rows as one generation, of which no term has more than ``most``; its rows of the version.

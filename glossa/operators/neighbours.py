@@ -32,7 +32,7 @@ def countable_token(token: str) -> bool:
     return token != "" and (kind := unicodedata.category(token[0]))[0] != "P" and kind != "Nd"
 
 
-def _blocks(batches, column: int):
+def token_blocks(batches, column: int):
     """(lists of tokens, batches) of about BLOCK tokens."""
     held, size = [], 0
     for batch in batches:
@@ -45,7 +45,7 @@ def _blocks(batches, column: int):
         yield pa.concat_arrays([b.column(column) for b in held]), held
 
 
-def _neighbours(lists: pa.ListArray):
+def neighbours(lists: pa.ListArray):
     """Distinct tokens, numbers of all tokens, sizes of the texts, and whether a token has one after it in its text."""
     coded = lists.flatten().fill_null("").dictionary_encode()
     sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -65,8 +65,8 @@ def _place(a, b):
 
 
 def _count(batches):
-    for lists, _ in _blocks(batches, 0):
-        words, ids, _, more = _neighbours(lists)
+    for lists, _ in token_blocks(batches, 0):
+        words, ids, _, more = neighbours(lists)
         if not len(ids):
             continue
         ok = np.fromiter(map(countable_token, words.to_pylist()), bool, len(words))
@@ -154,8 +154,8 @@ def places(rows: DataFrame, wanted: DataFrame, key: str, tokens: str) -> DataFra
     sent = rows.sparkSession.sparkContext.broadcast(bits)
 
     def find(batches):
-        for lists, held in _blocks(batches, 1):
-            words, ids, sizes, more = _neighbours(lists)
+        for lists, held in token_blocks(batches, 1):
+            words, ids, sizes, more = neighbours(lists)
             sums = _hashes(words)
             at = np.flatnonzero(more[:-1])
             p = _place(sums[ids[at]], sums[ids[at + 1]])

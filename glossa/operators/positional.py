@@ -7,11 +7,17 @@ can allow several words, for searches by stem. Texts are read when they are file
 
 from __future__ import annotations
 
+from zlib import crc32
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glossa.functions.text import HANZI, let, words
 from glossa.operators.generations import Generations
+from glossa.operators.neighbours import neighbours, token_blocks
 
 #: Term under which a text's number of words is filed.
 LENGTH = "\x00length"
@@ -28,16 +34,38 @@ def character_terms(text: Column) -> Column:
     return F.regexp_extract_all(F.translate(F.lower(text), wide, half), F.lit(rf"{HANZI}|[\p{{L}}\p{{N}}&&[^\x{{3400}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}]]+"), 0)
 
 
-def positions(terms: Column, least: int = 1) -> Column:
-    """(term, positions) of each distinct term of an array, found by one sort inside the row; terms under ``least`` characters only count as places."""
-    # an entry for the term's first place, then the run of its places in the sorted array
-    pairs = F.sort_array(F.filter(F.transform(terms, lambda t, i: F.struct(t.alias("t"), i.alias("i"))), lambda x: F.length(x["t"]) >= least))
-
-    def runs(s: Column) -> Column:
-        firsts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["t"] != x["t"]), i)), lambda i: i.isNotNull())
-        return let(firsts, lambda f: F.transform(f, lambda at, j: F.struct(F.get(s, at)["t"].alias("term"), F.transform(F.slice(s, at + 1, F.coalesce(F.get(f, j + 1), F.size(s)) - at), lambda x: x["i"]).alias("positions"))))
-
-    return let(pairs, runs)
+def _packer(buckets: int, least: int):
+    """Makes (bucket, key, packed) of (key, terms), about a block of tokens at a time; terms under ``least`` characters only count as places."""
+
+    def bucket_of(terms):
+        return np.fromiter((crc32(t.encode()) % buckets for t in terms), np.int64, len(terms))
+
+    def joined(items, cuts, size, mark):
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(cuts, size).astype(np.int32)), items), mark)
+
+    def pack(batches):
+        for lists, held in token_blocks(batches, 1):
+            terms, ids, sizes, _ = neighbours(lists)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            at = np.arange(len(ids)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            kept = np.flatnonzero(pc.greater_equal(pc.utf8_length(terms), least).to_numpy(zero_copy_only=False)[ids]) if len(ids) else ids
+            # places of a term in a text side by side, in order, by one sort
+            kept = kept[np.argsort(row[kept] * len(terms) + ids[kept], kind="stable")]
+            both = row[kept] * len(terms) + ids[kept]
+            cuts = np.flatnonzero(np.diff(both, prepend=-1))
+            first = kept[cuts]
+            filed = pc.binary_join_element_wise(terms.take(pa.array(ids[first])), joined(pa.array(at[kept]).cast(pa.string()), cuts, len(kept), ","), WITH)
+            lengths = pc.binary_join_element_wise(pa.array([LENGTH] * len(sizes), pa.string()), pa.array(sizes).cast(pa.string()), WITH)
+            items, owner = pa.concat_arrays([filed, lengths]), np.concatenate([row[first], np.arange(len(sizes))])
+            bucket = np.concatenate([bucket_of(terms.to_pylist())[ids[first]], np.full(len(sizes), bucket_of([LENGTH])[0])])
+            # one text for each text and bucket
+            order = np.argsort(owner * buckets + bucket, kind="stable")
+            cuts = np.flatnonzero(np.diff((owner * buckets + bucket)[order], prepend=-1))
+            packed = joined(items.take(pa.array(order)), cuts, len(order), NEXT)
+            keys = pa.concat_arrays([b.column(0) for b in held]).take(pa.array(owner[order[cuts]]))
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[order[cuts]].astype(np.int32)), keys, packed], ["bucket", "key", "packed"])
+
+    return pack
 
 
 class PositionalIndex:
@@ -50,16 +78,7 @@ class PositionalIndex:
     def _packed(self, docs: DataFrame, key: str, text: str) -> DataFrame:
         """bucket, key, packed: a text's terms with their positions, as one text for each bucket that has some."""
         each = docs.select(F.col(key).alias("key"), self.terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
-        size = F.array(F.struct(F.lit(LENGTH).alias("term"), F.array(F.size("terms")).alias("positions")))
-        filed = F.concat(positions(F.col("terms"), self.least), size)
-        lines = F.sort_array(F.transform(filed, lambda p: F.struct(self.table.bucket_of(p["term"]).alias("b"), F.concat(p["term"], F.lit(WITH), F.array_join(p["positions"], ",")).alias("t"))))
-
-        def runs(s: Column) -> Column:
-            firsts = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["b"] != x["b"]), i)), lambda i: i.isNotNull())
-            one = lambda f, at, j: F.struct(F.get(s, at)["b"].alias("bucket"), F.array_join(F.transform(F.slice(s, at + 1, F.coalesce(F.get(f, j + 1), F.size(s)) - at), lambda x: x["t"]), NEXT).alias("packed"))
-            return let(firsts, lambda f: F.transform(f, lambda at, j: one(f, at, j)))
-
-        return each.select("key", F.explode(let(lines, runs)).alias("p")).select("p.bucket", "key", "p.packed")
+        return each.mapInArrow(_packer(self.table.buckets, self.least), f"bucket int, key {each.schema['key'].dataType.simpleString()}, packed string")
 
     @staticmethod
     def _unpacked(rows: DataFrame) -> DataFrame:

@@ -144,3 +144,20 @@ def test_spans_of_words(spark):
     rows = [("  The of; ther!", 1, 2), ("of the", 0, 2)]
     df = spark.createDataFrame(rows, "t string, s int, n int").select("t", P.span(F.col("t"), F.col("s"), F.col("n")).alias("x"))
     assert [r.t[r.x["from"] : r.x["to"]] for r in df.collect()] == ["of; ther", "of the"]
+
+
+def test_postings_are_packed_outside_the_row(spark, tmp_path):
+    """Postings of odd texts against a plain version; they are packed a block of texts at a time, not by sorts inside each row."""
+    from glossa.operators.positional import LENGTH, PositionalIndex
+
+    texts = {"a": "b aa b cc aa", "b": "", "c": None, "d": "x", "e": "zz " * 300, "f": "éé aa"}
+    index = PositionalIndex(spark, str(tmp_path / "packed"), buckets=7, least=2, key_type="string")
+    docs = spark.createDataFrame(list(texts.items()), "key string, text string")
+    assert "sort_array" not in index._packed(docs, "key", "text")._jdf.queryExecution().optimizedPlan().toString()
+    index.add(docs, "key", "text", fresh=True)
+    want = set()
+    for k, t in texts.items():
+        w = (t or "").split()
+        want |= {(x, k, tuple(i for i, y in enumerate(w) if y == x)) for x in w if len(x) >= 2} | {(LENGTH, k, (len(w),))}
+    assert {(r["term"], r["key"], tuple(r["positions"])) for r in index.table.rows().collect()} == want
+    assert {r["key"] for r in index.phrase(["aa", "b"]).collect()} == {"a"}
