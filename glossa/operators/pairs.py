@@ -10,6 +10,10 @@ from glossa.operators.lexicon import sent
 from glossa.sources import store
 
 
+#: Distinct words of segments of a task that makes pairs of them.
+TASK_WORDS = 100_000
+
+
 def turn_pairs(turns: DataFrame) -> DataFrame:
     """conv_id, turn, src, trg: each user turn with the assistant turn that follows it."""
     asked = turns.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("src"))
@@ -39,7 +43,9 @@ def counted(pairs: DataFrame, least_src: int, least_trg: int, src: str = "src",
     often = each.groupBy("side", "word").agg(F.sum("times").alias("freq")).where(F.col("freq") >= F.when(F.col("side") == 0, least_src).otherwise(least_trg))
     often = store.saved(often.withColumn("id", F.monotonically_increasing_id()), store.new_folder(spark, "often"))
     own = lambda k: F.collect_list(F.when(F.col("side") == k, F.struct("id", "times")))
-    kept = each.join(sent(often.select("side", "word", "id")), ["side", "word"]).groupBy("row").agg(own(0).alias("s"), own(1).alias("t"))
+    # dealt to as many tasks as the words need, so that what a task counts doesn't grow with the segments
+    met = each.join(sent(often.select("side", "word", "id")), ["side", "word"]).repartition(-(-each.count() // TASK_WORDS) or 1, "row")
+    kept = met.groupBy("row").agg(own(0).alias("s"), own(1).alias("t"))
     met = kept.select(F.explode("s").alias("a"), "t").select("a", F.explode("t").alias("b"))
     n = met.groupBy(F.col("a.id").alias("__a"), F.col("b.id").alias("__b")).agg(F.sum(F.col("a.times") * F.col("b.times")).alias("n"))
     named = lambda name, key: often.select(F.col("id").alias(key), F.col("word").alias(name), F.col("freq").alias(f"{name}_freq"))

@@ -258,3 +258,12 @@ def test_collocations_are_counted_once(spark):
 
     plan = queries()["colloc_ll_mi"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Sort" in plan and "Join" not in plan and "HashAggregate" not in plan
+
+
+def test_pairs_are_dealt_by_the_number_of_words(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"a b c{i}", "x y") for i in range(40)], "src string, trg string")
+    want = sorted(map(tuple, pairs.counted(rows, 5, 3).collect()))
+    monkeypatch.setattr(pairs, "TASK_WORDS", 20, raising=True)
+    got = pairs.counted(rows, 5, 3)
+    assert "RepartitionByExpression [row" in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == want == [(a, b, 40, 40, 40) for a in "abc" for b in "xy"]
