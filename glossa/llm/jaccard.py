@@ -21,6 +21,10 @@ what is wanting. Before prefixes are fetched, maps of 1,024 bits of the whole se
 only one side has stand for tokens that it doesn't share. These bounds hold for every linked pair, and cut pairs before whole
 sets are fetched.
 
+Prefixes are grouped in PARTS ranges of tokens, one after the other, as most of their tokens are held by one document and end
+there. Prefixes and whole sets are fetched for PAIRS pairs at a time, or a quarter of the documents if that is more, and maps for
+MAPS times as many. So what is on disk at a time grows with the documents, whatever the number of pairs.
+
 Tokens that the sketch shows to be rare are grouped by a window. Those it can't show to be so are counted with map-side
 aggregation and joined with their counts, so that no task need hold all rows of a frequent token.
 
@@ -45,6 +49,8 @@ SLOTS, SIDE, ORDERS = 1 << 19, 16, 3
 BITS = tuple(f"b{i}" for i in range(16))
 #: Tokens whose slot counts fewer than 2^RARE documents are grouped by a window.
 RARE = 16
+#: Ranges of tokens that are grouped one after the other; pairs that are verified at a time, unless the documents are many; times as many meet by maps.
+PARTS, PAIRS, MAPS = 4, 50_000, 8
 #: Groups of up to so many members are compared pair by pair; larger ones by differences from their smallest document.
 SMALL = 8
 
@@ -182,40 +188,75 @@ def _room(nx: str, ax: str, ny: str, ay: str, percent: int) -> Column:
     return F.least(F.col(nx) - F.col(ax), F.col(ny) - F.col(ay)) >= _least(nx, ny, percent)
 
 
-def _verified(scratch: Scratch, docs: DataFrame, table: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
-    """x, y, nx, ny, shared for the pairs (x, y) that pass the filter of every further order; delta for those marked large.
+def _most(table: DataFrame) -> int:
+    """Pairs that are verified at a time."""
+    return max(PAIRS, table.count() // 4)
 
-    delta holds the tokens that are in one of the two sets only. What two prefixes share is all that they can share but for
-    the tokens outside one of them. Prefixes are sets of 32-bit values: what that merges is granted to the pair.
-    """
+
+def _slices(pairs: DataFrame, most: int):
+    """The saved pairs (x, y), at most about so many at a time."""
+    many = max(1, -(-pairs.count() // most))
+    for i in range(many):
+        yield pairs if many == 1 else pairs.where(F.pmod(F.xxhash64("x", "y"), F.lit(many)) == i)
+
+
+def _ends(pairs: DataFrame) -> DataFrame:
+    """Map of the documents of pairs."""
+    return bit_map(pairs.select(F.col("x").alias("doc_id")).union(pairs.select("y")), F.col("doc_id"))
+
+
+def _side(table: DataFrame, known: DataFrame, k: str, *columns: str) -> DataFrame:
+    """Columns of the documents of pairs, named for one side."""
+    some = hits(table.select("doc_id", *columns), known, F.col("doc_id"))
+    return some.select(F.col("doc_id").alias(k), *(F.col(c).alias(f"n{k}" if c == "n" else f"{k}_{c}") for c in columns))
+
+
+def _mapped(table: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """x, y, nx, ny, large of the pairs (x, y, large) that the maps of their sets leave."""
+    some = _ends(pairs)
+    mapped = pairs.join(_side(table, some, "x", "n", *BITS), "x").join(_side(table, some, "y", "n", *BITS), "y")
+    only = lambda a, b: sum((F.bit_count(F.col(f"{a}_{c}").bitwiseAND(F.bitwise_not(f"{b}_{c}"))) for c in BITS), F.lit(0))
+    mapped = mapped.where((only("x", "y") <= F.col("nx") - _least("nx", "ny", percent)) & (only("y", "x") <= F.col("ny") - _least("nx", "ny", percent)))
+    return mapped.select("x", "y", "nx", "ny", "large")
+
+
+def _passed(table: DataFrame, mapped: DataFrame, percent: int) -> DataFrame:
+    """x, y, large of the mapped pairs that pass the filter of every further order."""
     other = [f"p{k}" for k in range(1, ORDERS)]
     size = lambda n: f"least({n}, 2 * ({n} - ({percent} * {n} + 99) div 100 + 1))"
     outside = F.greatest(F.expr(f"nx - {size('nx')}"), F.expr(f"ny - {size('ny')}"))
     need = _least("nx", "ny", percent) - outside
-    ends = lambda p: bit_map(p.select(F.col("x").alias("doc_id")).union(p.select("y")), F.col("doc_id"))
-    side = lambda known, k, *columns: hits(table.select("doc_id", *columns), known, F.col("doc_id")).select(F.col("doc_id").alias(k), *(F.col(c).alias(f"n{k}" if c == "n" else f"{k}_{c}") for c in columns))
-    some = ends(pairs)
-    mapped = pairs.join(side(some, "x", "n", *BITS), "x").join(side(some, "y", "n", *BITS), "y")
-    only = lambda a, b: sum((F.bit_count(F.col(f"{a}_{c}").bitwiseAND(F.bitwise_not(f"{b}_{c}"))) for c in BITS), F.lit(0))
-    mapped = mapped.where((only("x", "y") <= F.col("nx") - _least("nx", "ny", percent)) & (only("y", "x") <= F.col("ny") - _least("nx", "ny", percent)))
-    mapped = scratch.save(mapped.select("x", "y", "nx", "ny", "large"), f"{name}-mapped")
-    # prefixes are fetched for what the maps leave, as most pairs end there
-    few = ends(mapped)
-    passed = mapped.join(side(few, "x", *other), "x").join(side(few, "y", *other), "y")
+    few = _ends(mapped)
+    passed = mapped.join(_side(table, few, "x", *other), "x").join(_side(table, few, "y", *other), "y")
     for c in other:
         both = F.size(F.array_intersect(f"x_{c}", f"y_{c}"))
         merged = F.expr(size("nx")) - F.size(f"x_{c}")
         passed = passed.where((both > 0) & (both + merged >= need))
-    passed = scratch.save(passed.select("x", "y", "large"), f"{name}-passed")
-    wanted = scratch.save(passed.select(F.col("x").alias("doc_id")).union(passed.select("y")).distinct(), f"{name}-wanted")
-    sets = scratch.save(_sets(docs, wanted, width), f"{name}-sets")
-    met = passed.join(sets.select(F.col("doc_id").alias("x"), F.col("tokens").alias("a")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("tokens").alias("b")), "y")
-    delta = F.when(F.col("large"), F.concat(F.array_except("a", "b"), F.array_except("b", "a")))
-    met = met.select("x", "y", F.size("a").cast("long").alias("nx"), F.size("b").cast("long").alias("ny"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), delta.alias("delta"))
-    met = scratch.save(met, f"{name}-met")
-    for part in ("sets", "wanted", "passed", "mapped"):
-        scratch.drop(f"{name}-{part}")
-    return met
+    return passed.select("x", "y", "large")
+
+
+def _verified(scratch: Scratch, docs: DataFrame, table: DataFrame, pairs: DataFrame, width: int, percent: int, name: str) -> DataFrame:
+    """x, y, nx, ny, shared for the saved pairs (x, y, large) that pass the filter of every further order; delta for the large ones.
+
+    delta holds the tokens that are in one of the two sets only. What two prefixes share is all that they can share but for
+    the tokens outside one of them. Prefixes are sets of 32-bit values: what that merges is granted to the pair. They are
+    fetched for what the maps leave, as most pairs end there.
+    """
+    most = _most(table)
+    mapped = scratch.parts(f"{name}-mapped", [scratch.save(_mapped(table, some, percent), f"{name}-mapped/{i}") for i, some in enumerate(_slices(pairs, MAPS * most))])
+    met = []
+    for i, some in enumerate(_slices(mapped, most)):
+        passed = scratch.save(_passed(table, some, percent), f"{name}-passed")
+        wanted = scratch.save(passed.select(F.col("x").alias("doc_id")).union(passed.select("y")).distinct(), f"{name}-wanted")
+        sets = scratch.save(_sets(docs, wanted, width), f"{name}-sets")
+        both = passed.join(sets.select(F.col("doc_id").alias("x"), F.col("tokens").alias("a")), "x").join(sets.select(F.col("doc_id").alias("y"), F.col("tokens").alias("b")), "y")
+        delta = F.when(F.col("large"), F.concat(F.array_except("a", "b"), F.array_except("b", "a")))
+        both = both.select("x", "y", F.size("a").cast("long").alias("nx"), F.size("b").cast("long").alias("ny"), F.size(F.array_intersect("a", "b")).cast("long").alias("shared"), delta.alias("delta"))
+        met.append(scratch.save(both, f"{name}-met/{i}"))
+        for part in ("sets", "wanted", "passed"):
+            scratch.drop(f"{name}-{part}")
+    scratch.drop(f"{name}-mapped")
+    return scratch.parts(f"{name}-met", met)
 
 
 def _sides(mixed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -271,7 +312,7 @@ def _grouped(tokens: DataFrame) -> DataFrame:
 
 
 def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """jaccard_components of (doc_id, text) in which no doc_id repeats."""
+    """jaccard_components of (doc_id, text) in which no doc_id repeats, saved."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
     ranks = classes(spark, scratch.save(sketch(docs, width), "sketch"))
@@ -283,7 +324,8 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     known, prefixes = bit_map(copies, F.col("doc_id")), table.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "rare", "p0")
     tokens = hits(prefixes, known, F.col("doc_id"), wanted=False).union(hits(prefixes, known, F.col("doc_id")).join(copies, "doc_id", "left_anti"))
     tokens = tokens.select("doc_id", "n", F.posexplode("p0").alias("at", "token"), "rare").select("token", "doc_id", "n", "at", (F.col("at") < F.col("rare")).alias("rare"))
-    tokens = scratch.save(_grouped(tokens), "tokens")
+    some = [scratch.save(_grouped(tokens.where(F.pmod("token", F.lit(PARTS)) == i)), f"tokens/{i}") for i in range(PARTS)]
+    tokens = scratch.parts("tokens", some)
 
     # the pair is wanted if any of its tokens leaves room; it is large if any of its groups is
     first = tokens.where("doc_id <> hub").where(_both("n", "hub_n", percent)).withColumn("room", _room("n", "at", "hub_n", "hub_at", percent))
@@ -309,7 +351,8 @@ def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
     found = components(scratch, links.union(more), "x", "y", "all")
 
     placed = members.join(found.withColumnRenamed("node", "member"), "member", "left").select("doc_id", F.coalesce("component", "member").alias("component_id")).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return table.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    every = table.select("doc_id", F.col("n").alias("n_shingles")).join(placed, "doc_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    return scratch.last(every, "components")
 
 
 def _repeats(docs: DataFrame) -> bool:
@@ -331,7 +374,7 @@ def _texts(docs: DataFrame, width: int, percent: int) -> DataFrame:
     leads = owned.groupBy("component_id").agg(F.min(F.struct("doc_id", "__key")).alias("lead"))
     named = owned.join(leads, "component_id").select("__key", "doc_id", "n_shingles", "lead")
     none = found.where("doc_id IS NULL").select(F.col("doc_id").alias("__key"), "doc_id", "n_shingles", F.lit(None).cast(named.schema["lead"].dataType).alias("lead"))
-    return scratch.save(named.union(none), "leads")
+    return scratch.last(named.union(none), "leads")
 
 
 def jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -354,6 +397,9 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
         kept = _texts(docs, width, percent).where("__key = lead.__key").select(F.col("__key").alias(keep))
         found = _keyed(docs, name).join(kept, F.col(name) == F.col(keep), "left_semi").dropDuplicates([name]).select(*all_of(docs))
     else:
-        kept = _components(docs.select("doc_id", "text"), width, percent).where("component_id = doc_id").select(F.col("doc_id").alias(keep))
-        found = docs.join(kept, F.col("doc_id") == F.col(keep), "left_semi")
+        gone = _components(docs.select("doc_id", "text"), width, percent).where("component_id <> doc_id").select(F.col("doc_id").alias(keep))
+        # most documents stay: texts are shuffled only where the map of those that go doesn't show it
+        ident = F.col("doc_id").cast("long")
+        known, named = bit_map(gone, F.col(keep)), docs.where("doc_id IS NOT NULL")
+        found = hits(named, known, ident, wanted=False).unionByName(hits(named, known, ident).join(gone, ident == F.col(keep), "left_anti"))
     return found.unionByName(docs.where("doc_id IS NULL"))

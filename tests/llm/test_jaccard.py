@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 from glossa.llm import jaccard as j
 
@@ -91,3 +92,27 @@ def test_repeated_ids_of_other_texts(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert j.jaccard_components(docs).count() == 0 and j.keep_one(docs).count() == 0
+
+
+def test_pairs_and_tokens_in_parts_give_the_same(spark, monkeypatch):
+    # prefixes are fetched for a few pairs at a time, and no range of tokens is saved with all others
+    base, names = [f"w{i}" for i in range(80)], []
+    rows = [(i, " ".join([*base[: 5 * i], f"x{i}", *base[5 * i + 1 :]])) for i in range(12)] + [(20, "a b c d e f g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(j, "_most", lambda table: 4)
+    monkeypatch.setattr(j, "MAPS", 2)
+    monkeypatch.setattr(j.Scratch, "save", lambda self, df, name, save=j.Scratch.save: (names.append(name), save(self, df, name))[1])
+    out = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in j.jaccard_components(docs, 5, 80).collect()}
+    assert out == brute(rows, 5, 80)
+    assert {*(f"tokens/{i}" for i in range(j.PARTS)), "one-mapped/1", "one-met/1"} <= {*names}
+
+
+def test_scratch_tables_go_and_texts_that_stay_are_not_shuffled(spark):
+    docs = spark.createDataFrame([(i, f"word{i} " * 3 + " ".join(f"w{i}x{k}" for k in range(30))) for i in range(40)] + [(40, None), (None, "a")], "doc_id long, text string")
+    docs = docs.union(docs.where("doc_id < 3").withColumn("doc_id", docs["doc_id"] + 100))
+    found = j.keep_one(docs)
+    root = Path(found.inputFiles()[0].removeprefix("file:")).parent.parent if found.inputFiles() else None
+    assert root is None or {p.name for p in root.iterdir() if p.is_dir() and any(p.rglob("*.parquet"))} == {"components"}
+    assert sorted(r["doc_id"] for r in found.where("doc_id IS NOT NULL").collect()) == list(range(41)) and found.where("doc_id IS NULL").count() == 1
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftAnti") == 1 and "LeftSemi" not in plan  # the one join of texts reads what the map can't rule out
