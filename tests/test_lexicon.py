@@ -130,6 +130,44 @@ def test_greedy_dimensions_equal_a_plain_run(spark):
     assert got == dropped
 
 
+def test_dropped_dimensions_come_of_all_rows(spark, tmp_path):
+    import numpy as np
+
+    from glossa.plans import registry
+
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(38, 6)).astype(np.float32)
+    ids = [i for i in range(1, 41) if i % 20]  # none that a search would take for a query
+    df = spark.createDataFrame([(i, [float(x) for x in r], 0) for i, r in zip(ids, v, strict=True)], "vec_id long, embedding array<float>, label int")
+    df.repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [r["dimension"] for r in registry.queries()["dropped_dimensions"](spark, str(tmp_path)).orderBy("place").collect()]
+
+    u = v.astype(float)
+    near = u @ u.T / np.linalg.norm(u, axis=1)[:, None] / np.linalg.norm(u, axis=1)
+    np.fill_diagonal(near, -2)
+    at = {x: i for i, x in enumerate(ids)}
+    other = [(at[r["a_id"]], at[r["b_id"]]) for r in vectors.negative_pairs(df.selectExpr("vec_id AS id", "embedding AS v")).collect()]
+    assert len(other) == len(ids)
+
+    def gap(dims):
+        x = u[:, dims] / np.linalg.norm(u[:, dims], axis=1)[:, None]
+        mean = lambda pairs: np.mean([x[a] @ x[b] for a, b in pairs])
+        return mean([*enumerate(near.argmax(axis=1))]) - mean(other)
+
+    dropped = []
+    for n in range(1, 9):
+        if n % 3 == 0 and dropped:
+            dropped.pop(0)
+        left = [i for i in range(6) if i not in dropped]
+        if len(left) == 1:
+            break
+        best = max(left, key=lambda i: gap([x for x in left if x != i]))
+        if gap([x for x in left if x != best]) <= gap(left):
+            break
+        dropped.append(best)
+    assert got == dropped
+
+
 def test_negative_pairs_and_trained_vectors(spark):
     df = spark.createDataFrame([(i * 3, [float(i)]) for i in range(50)], "id long, v array<double>")
     pairs = vectors.negative_pairs(df).collect()
